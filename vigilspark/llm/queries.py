@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .ngram_jaccard import op6_ngram_jaccard
+from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = "512"
 
 
+_SHIPPED: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches for wide text rows (the default of 10,000 rows could hold gigabytes)."""
+    """Small Arrow batches for wide text rows (the default of 10,000 rows could hold gigabytes),
+    and this package on the executors' path, once for each application."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="vigilspark-"), "vigilspark.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, Path(package.name, file.relative_to(package)))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
