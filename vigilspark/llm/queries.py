@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .ngram_jaccard import op6_ngram_jaccard
+from .quality import op9_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
