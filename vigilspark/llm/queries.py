@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .licenses import ORACLE_SQL as LICENSE_SQL
+from .licenses import op10_license_scan
+from .mixing import op5_source_mixing
 from .ngram_jaccard import op6_ngram_jaccard
 from .quality import op9_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_license_scan": LICENSE_SQL,
+}
