@@ -130,7 +130,9 @@ def _combine(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): a text's id tied to the smallest id that shares one of its digests."""
+    """(a, b): the name of a set (its first digest) tied to the smallest name that shares a cell with it.
+
+    Texts with equal sets are one node here, so copies make no edges."""
     spark = docs.sparkSession
     tasks = partitions(spark)
     wide = max(256, tasks)
@@ -146,7 +148,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets, off = shingle_sets(block, n)
             k, owner = cell_digests(sets, off, percent)
             keys.append(k)
-            ids.append(rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner])
+            ids.append(set_digests(sets, off)[0][owner])
             held += len(k)
             if held >= FLUSH:
                 yield flush()
@@ -167,7 +169,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 tied = node != low
                 yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(low[tied])], names=["a", "b"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(send, "bucket int, k binary, d binary")
+    packed = docs.select("text").mapInArrow(send, "bucket int, k binary, d binary")
     return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "a long, b long")
 
 
@@ -224,7 +226,7 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int) ->
             )
 
     sets = materialise(
-        docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "cluster", "text")
+        docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "cluster", "text")
         .mapInArrow(to_sets, "doc_id long, cluster long, n long, shingles binary"), "sets")
     # Blocks: a cluster's size bands, split by hash so that none exceeds about half a tile.
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
@@ -275,11 +277,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     described = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long"), "described")
     same = described.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
-    rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep").distinct(), "rep")
+    rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     clusters = connected_components(candidate_edges(docs, n, percent), "candidates")
-    members = clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(
-        rep.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    members = rep.where("doc_id = rep").join(clusters, F.col("d1") == F.col("id")).groupBy("doc_id").agg(F.min("component").alias("cluster"))
     found = connected_components(verified_links(docs, members, n, percent).union(copies), "links")
     out = described.join(found, described.doc_id == found.id, "left").select(
         described.doc_id, "n_shingles", F.coalesce("component", described.doc_id).alias("component_id"))
