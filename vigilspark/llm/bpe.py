@@ -45,6 +45,7 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.lengths = [len(t) for t in self.table]
+        self.widths = np.array(self.lengths, dtype=np.int64)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._known: dict[int, bool] = {}
