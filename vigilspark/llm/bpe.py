@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column_name, prepare
+from .shared import column_name, extended, prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded words kept by a worker; the store is emptied beyond it, which only costs time.
@@ -198,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     spark = prepare(docs.sparkSession)
     get = shared_codec(spark, path, pattern)
     ids, count, decoded = (column_name(docs, c) for c in ("ids", "n_tokens", "decoded"))
-    schema = docs.schema.add(ids, "array<int>").add(count, "long").add(decoded, "binary")
+    schema = extended(docs, (ids, "array<int>"), (count, "long"), (decoded, "binary"))
 
     def encode(batches):
         bpe = get()

@@ -22,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column_name, prepare
+from .shared import column_name, extended, prepare
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -259,7 +259,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     prepare(pages.sparkSession)
     rest = pages.drop(column)
     names = [column_name(rest, "text"), column_name(rest, "n_chars")]
-    schema = rest.schema.add(names[0], "string").add(names[1], "long")
+    schema = extended(rest, (names[0], "string"), (names[1], "long"))
 
     def run(batches):
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, ngram_hashes
-from .shared import column_name, prepare
+from .shared import column_name, extended, prepare
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -172,9 +172,7 @@ def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, covered_percent: int =
     the new ones then have an underscore appended."""
     prepare(docs.sparkSession)
     names = {c: column_name(docs, c) for c in (*COUNTS, "base_failed", "kept")}
-    schema = docs.schema
-    for c in COUNTS:
-        schema = schema.add(names[c], "long")
+    schema = extended(docs, *((names[c], "long") for c in COUNTS))
 
     def run(batches):
         for rows, block in blocks(batches):

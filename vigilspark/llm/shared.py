@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: whole texts travel in batches, so keep few of them together.
 BATCH_ROWS = "512"
@@ -64,6 +65,11 @@ def column_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def extended(df: DataFrame, *new: tuple[str, str]) -> T.StructType:
+    """The schema of ``df`` with (name, type) columns added; ``df.schema.add`` would change ``df``."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in new)])
+
+
 def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]):
     """One row per bucket, each column packed as bytes: far fewer shuffle rows than one per item."""
     order = np.argsort(bucket, kind="stable")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, complete_groups
-from .shared import column_name, materialise, partitions, prepare, scatter, unpack
+from .shared import column_name, extended, materialise, partitions, prepare, scatter, unpack
 
 LENGTH = 200
 GRAM = 72
@@ -238,7 +238,7 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFra
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with kept (binary), n_bytes, n_removed, n_spans, kept_sha256.
 
-    ``kept`` is what is left of the text's UTF-8 bytes."""
+    ``kept`` is what is left of the text's UTF-8 bytes.  Names that ``docs`` has already get an underscore."""
     prepare(docs.sparkSession)
     rid = F.xxhash64("doc_id", "text")
     keyed = docs.select(rid.alias("rid"), F.col("text").cast("string").alias("text"))
@@ -249,7 +249,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     key = column_name(docs, "rid")
     mark = column_name(docs, "spans")
     whole = docs.withColumn(key, rid).join(removed.select(F.col("rid").alias(key), F.col("spans").alias(mark)), key, "left").drop(key)
-    schema = whole.drop(mark).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    added = zip(("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"), ("binary", "long", "long", "long", "string"))
+    schema = extended(whole.drop(mark), *((column_name(docs, name), kind) for name, kind in added))
 
     def cut(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Codec, shared_codec
-from .shared import column_name, prepare
+from .shared import column_name, extended, prepare
 
 RULES = ("start", "end", "largest")
 
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, separator: st
         parts: list[Column] = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(separator if i + 1 < len(fields) else "")) for i, f in enumerate(fields)]
         staged = docs.withColumn(text, F.concat(*parts)).withColumn(lengths, F.array(*(F.octet_length(p) for p in parts)))
     names = [column_name(docs, c) for c in ("n_tokens", "n_sections", "section_tokens", "n_crossing")]
-    schema = docs.schema.add(names[0], "long").add(names[1], "long").add(names[2], "array<long>").add(names[3], "long")
+    schema = extended(docs, (names[0], "long"), (names[1], "long"), (names[2], "array<long>"), (names[3], "long"))
 
     def run(batches):
         codec = get()
