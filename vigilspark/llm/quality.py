@@ -45,7 +45,7 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     ranks, width = [rank], 1
     alone = -np.arange(1, n + 1)
     while True:
-        shared = np.bincount(rank[rank > 0])
+        shared = np.bincount(rank[rank > 0], minlength=1)
         live = np.flatnonzero((rank > 0) & (shared[np.maximum(rank, 0)] > 1) & (np.arange(n) + 2 * width <= end))
         if not len(live):
             break
