@@ -15,8 +15,13 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def match_entities_in_text(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc, entity, key) for every normalised key that the normalised title contains."""
-    return docs.join(_small(keys.select("entity", "key").where(F.length("key") >= 2)), F.col("norm").contains(F.col("key"))).select("doc", "norm", "entity", "key")
+    """(doc, norm, entity, key) for every normalised key (two characters or more) that the normalised title contains.
+
+    Titles and keys meet by the key's first three characters, an equi-join; the whole key is checked then."""
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(n)))
+    cut = docs.select("doc", "norm", F.explode(F.array_distinct(F.concat(grams(3), grams(2)))).alias("_g"))
+    begun = keys.select("entity", "key", F.substring("key", 1, 3).alias("_g")).where(F.length("key") >= 2).distinct()
+    return cut.join(begun, "_g").where(F.col("norm").contains(F.col("key"))).select("doc", "norm", "entity", "key")
 
 
 def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ def _(v):
     return files.read_ledger_csv(v.spark, path, "c_custkey long, c_name string, c_acctbal double", "ISO-8859-1").select("c_custkey", F.replace("c_name", F.lit("é"), F.lit("")).alias("c_name"), F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
-@query("io2_read_ledger_json", "SELECT o_orderkey, o_custkey FROM {orders}")
+@query("io2_read_ledger_json", "SELECT s_suppkey, s_name FROM {supplier}")
 def _(v):
     path = _folder(v)
-    v.orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_custkey")).alias("records")).select("records").write.json(path)
-    # One document a line here; the reader also takes documents over many lines.
-    return v.spark.read.schema("records array<struct<o_orderkey:long,o_custkey:long>>").json(path).select(F.explode("records").alias("r")).select("r.*")
+    ledgers = v.supplier.groupBy("s_nationkey").agg(F.collect_list(F.struct("s_suppkey", "s_name")).alias("records"))
+    ledgers.write.partitionBy("s_nationkey").json(path)  # one document a file
+    return files.read_ledger_json(v.spark, path, "records array<struct<s_suppkey:long,s_name:string>>", "records")
 
 
 @query("io12_write_ledger", "SELECT p_partkey, p_size, p_brand FROM {part}")

@@ -14,7 +14,7 @@ _S = "(SELECT *, CASE WHEN doc % 10 = 0 THEN '#' || doc ELSE name || '/' || boar
 
 
 @query("a17_series_rollup", f"""SELECT series, editions, first_year, last_year, latest, CASE WHEN 2 * m > editions THEN f ELSE 'general' END AS field, titles FROM (
-SELECT series, count(*) AS editions, min(year) AS first_year, max(year) AS last_year, arg_max(doc, CAST(year AS BIGINT) * 100000000 + CAST(replace(posted, '-', '') AS BIGINT) % 10000 * 1000000 + doc) AS latest,
+SELECT series, count(*) AS editions, min(year) AS first_year, max(year) AS last_year, arg_max(doc, CAST(year AS BIGINT) * 10000000000000 + CAST(replace(posted, '-', '') AS BIGINT) % 10000 * 1000000000 + doc) AS latest,
 CASE WHEN count(*) FILTER (field = 'infection') >= count(*) FILTER (field = 'chronic') THEN 'infection' ELSE 'chronic' END AS f, greatest(count(*) FILTER (field = 'infection'), count(*) FILTER (field = 'chronic')) AS m,
 string_agg(title, '|' ORDER BY year DESC, posted, title, doc) AS titles FROM {_S} GROUP BY series)""")
 def _(v):
