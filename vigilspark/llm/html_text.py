@@ -148,7 +148,8 @@ class _Tree:
             return False
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
-            if key in ("class", "id") and any(w in BOILERPLATE for w in _WORDS.findall(value)):
+            # An article's own header holds its title.
+            if key in ("class", "id") and any(w in BOILERPLATE and not (in_article and w == "header") for w in _WORDS.findall(value)):
                 return True
             if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True

@@ -18,6 +18,7 @@ BATCH_ROWS = "512"
 
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,8 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="vigilspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="vigilspark-")
+        _LOCAL[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
