@@ -275,7 +275,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], names=["doc_id", "n_shingles", "d1", "d2"])
 
     described = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long"), "described")
-    same = described.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that Spark can split a set that many rows share when both sides meet.
+    same = materialise(described.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
     rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
