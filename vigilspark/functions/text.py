@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.operators.sizes import small
+
 #: Character references that feeds use.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -173,7 +175,7 @@ def glossary_gaps(pages: DataFrame, watched: DataFrame, terms: DataFrame) -> Dat
     """(word, pages, state): watched words on pages without a definition, and definitions no page uses."""
     words = watched.select(F.lower("word").alias("word")).distinct()
     known = terms.select(F.lower("word").alias("word")).distinct()
-    every = F.broadcast(words.union(known).distinct().limit(100_000))
+    every = small(words.union(known).distinct())
     used = pages.select("page_id", F.lower("text").alias("_t")).join(every, F.col("_t").contains(F.col("word"))).groupBy("word").agg(F.countDistinct("page_id").alias("pages"))
     missing = words.join(known, "word", "left_anti").join(used, "word").select("word", "pages", F.lit("undefined").alias("state"))
     return missing.unionByName(known.join(used, "word", "left_anti").select("word", F.lit(0).cast("long").alias("pages"), F.lit("unused").alias("state")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.operators.sizes import small
+
 
 class Unresolved(ValueError):
     """Names that no dictionary resolves."""
@@ -63,7 +65,7 @@ def wide_kinds_merge(df: DataFrame, keys: list[str], kinds: list[str]) -> DataFr
 
 def notices_mentioning(entities: DataFrame, notices: DataFrame, after: str) -> DataFrame:
     """(entity, effective, note) of the notices after a date whose note names the entity."""
-    return notices.where(F.col("effective") > after).join(F.broadcast(entities.limit(100_000)), F.col("note").contains(F.col("entity"))).select("entity", "effective", "note")
+    return notices.where(F.col("effective") > after).join(small(entities), F.col("note").contains(F.col("entity"))).select("entity", "effective", "note")
 
 
 def imports_by_country(df: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def scenario_sets(base: DataFrame, with_flights: DataFrame, reported: DataFrame,
     """(scenario, country, disease): base and five variants of it; ``extra`` is crossed with the base's diseases,
     a handful of rows on both sides."""
     pairs = base.select("country", "disease")
-    diseases = F.broadcast(pairs.select("disease").distinct())
+    diseases = small(pairs.select("disease").distinct())
     sets = {
         "base": pairs, "flights": pairs.join(with_flights, "country", "left_semi"), "reported": pairs.join(reported, ["country", "disease"], "left_semi"),
         "priority": base.where("level = 'priority'").select("country", "disease"), "without": pairs.where(F.col("disease") != dropped),

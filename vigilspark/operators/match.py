@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dictionary side is broadcast; beyond it the caller should tokenise first.
-MAX_DICTIONARY = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint behind a check of the dictionary's rows; without it Spark joins by blocks."""
-    return F.broadcast(df) if df.limit(MAX_DICTIONARY + 1).count() <= MAX_DICTIONARY else df
+from vigilspark.operators.sizes import small
 
 
 def match_entities_in_text(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -28,7 +22,7 @@ def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:
     """Drop a hit whose matched keys all lie only inside longer names of other entities that the title holds.
 
     Those names are blanked out of the title; a key that is still there stands by itself."""
-    longer = _small(names.select(F.col("entity").alias("_other"), F.col("key").alias("_long")))
+    longer = small(names.select(F.col("entity").alias("_other"), F.col("key").alias("_long")))
     within = (F.col("_other") != F.col("entity")) & F.col("_long").contains(F.col("key")) & (F.length("_long") > F.length("key")) & F.col("norm").contains(F.col("_long"))
     left = matches.join(longer, within, "left")
     per = left.groupBy("doc", "entity", "key", "norm").agg(F.collect_set("_long").alias("_longs"))
@@ -48,7 +42,7 @@ def suppress_mislisted(matches: DataFrame) -> DataFrame:
 
 def longest_match(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, name): the longest name in the title, the first in order on ties."""
-    hits = docs.join(_small(names), F.col("title").contains(F.col("name")))
+    hits = docs.join(small(names), F.col("title").contains(F.col("name")))
     return hits.groupBy("doc").agg(F.min_by("name", F.struct((-F.length("name")).alias("l"), "name")).alias("name"))
 
 
@@ -65,7 +59,7 @@ def prefix_fallback_join(left: DataFrame, right: DataFrame, n: int) -> DataFrame
 def superseded_by(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """``docs`` (doc, title, year) with ``by`` and ``why`` of the first rule (place, key, by, since, why) that applies."""
     hit = F.col("title").contains(F.col("key")) & (F.col("year").isNull() | F.col("since").isNull() | (F.col("year") < F.col("since")))
-    found = docs.join(_small(rules), hit).groupBy("doc").agg(F.min_by(F.struct("by", "why"), "place").alias("_r"))
+    found = docs.join(small(rules), hit).groupBy("doc").agg(F.min_by(F.struct("by", "why"), "place").alias("_r"))
     return docs.join(found, "doc", "left").select(*docs.columns, F.col("_r.by").alias("by"), F.col("_r.why").alias("why"))
 
 
@@ -126,7 +120,7 @@ def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> D
 
 def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFrame:
     """``items`` with ``labels``: keywords (place, word, label) that start a word, in order, distinct, capped."""
-    hits = items.select("id", F.lower("text").alias("_t")).join(_small(keywords), F.rlike(F.col("_t"), F.concat(F.lit(r"\b"), F.col("word"))))
+    hits = items.select("id", F.lower("text").alias("_t")).join(small(keywords), F.rlike(F.col("_t"), F.concat(F.lit(r"\b"), F.col("word"))))
     first = hits.groupBy("id", "label").agg(F.min("place").alias("place")).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x.label), 1, cap).alias("labels"))
     return items.join(first, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
@@ -134,7 +128,7 @@ def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFra
 def tag_broader_groups(tagged: DataFrame, groups: DataFrame, cap: int = 2) -> DataFrame:
     """``maybe``: group words (place, word, group, candidates) in the text none of whose candidates is tagged;
     a group without candidates counts only if nothing is tagged."""
-    hits = tagged.join(_small(groups), F.lower("text").contains(F.col("word")))
+    hits = tagged.join(small(groups), F.lower("text").contains(F.col("word")))
     free = F.when(F.size("candidates") == 0, F.size("labels") == 0).otherwise(~F.arrays_overlap("labels", "candidates"))
     maybe = hits.where(free).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("place", "group"))), lambda x: x.group), 1, cap).alias("maybe"))
     return tagged.join(maybe, "id", "left").withColumn("maybe", F.coalesce("maybe", F.array().cast("array<string>")))

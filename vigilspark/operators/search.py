@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.operators.sizes import small
+
 
 def build_search_records(axes: dict[str, DataFrame]) -> DataFrame:
     """Records of several kinds under one schema (title, year, url, ...), each with its kind."""
@@ -32,7 +34,7 @@ def score_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFram
     Queries are the small side and are broadcast up to 10,000 of them; the corpus (id, name, hub, year) isn't shuffled
     until it is cut to hits."""
     q = queries.select("query_id", F.lower(F.trim("q")).alias("_q")).where("_q <> ''")
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
+    q = small(q, 10_000)
     text = F.lower("name")
     words = F.forall(F.split("_q", r"\s+"), lambda w: text.contains(w))
     score = F.when(text.startswith(F.col("_q")), 3).when(text.contains(F.col("_q")), 1).when(words, 1).otherwise(0) + F.when(F.col("hub") & (text == F.col("_q")), 5).otherwise(0)
@@ -46,13 +48,13 @@ def match_query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     tokens = queries.select("query_id", F.explode(F.split(F.lower("q"), r"\s+")).alias("_t")).where(F.length("_t") >= 2)
     n = F.lower("name")
     score = F.when(F.col("_t") == n, F.length(n) + 10).when(F.startswith(F.col("_t"), n), F.length(n) + 5).when((F.length(n) >= 4) & F.contains(F.col("_t"), n), F.length(n))
-    hits = tokens.join(F.broadcast(names.limit(100_000)), F.contains(F.col("_t"), n)).withColumn("_s", score).where("_s IS NOT NULL")
+    hits = tokens.join(small(names), F.contains(F.col("_t"), n)).withColumn("_s", score).where("_s IS NOT NULL")
     return hits.groupBy("query_id").agg(F.min_by(F.struct("name", "_s"), F.struct((-F.col("_s")).alias("k"), "name")).alias("_b")).select("query_id", F.col("_b.name").alias("name"), F.col("_b._s").alias("score"))
 
 
 def route_intents(queries: DataFrame, intents: DataFrame, k: int = 3) -> DataFrame:
     """The first k distinct destinations whose words (place, word, url) the query holds; null without any."""
-    hits = queries.join(F.broadcast(intents.limit(100_000)), F.lower("q").contains(F.col("word")))
+    hits = queries.join(small(intents), F.lower("q").contains(F.col("word")))
     first = hits.groupBy("query_id", "url").agg(F.min("place").alias("place")).groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url), 1, k).alias("urls"))
     return queries.select("query_id").join(first, "query_id", "left")
 
@@ -62,7 +64,7 @@ def autocomplete(prefixes: DataFrame, corpus: DataFrame, k: int = 8) -> DataFram
     p = F.lower("prefix")
     text = F.lower("name")
     tier = F.when(F.col("hub") & text.startswith(p), 0).when(F.col("hub"), 1).otherwise(2)
-    hits = corpus.join(F.broadcast(prefixes.limit(10_000)), text.contains(p)).groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
+    hits = corpus.join(small(prefixes), text.contains(p)).groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("tier", F.length("name"), "name"))).where(F.col("place") <= k)
 
 
@@ -70,7 +72,7 @@ def suggest_similar(queries: DataFrame, names: DataFrame, k: int = 6) -> DataFra
     """Names that hold the query's first two characters, or whose first two the query holds."""
     q, n = F.lower("q"), F.lower("name")
     near = F.contains(n, F.substring(q, 1, 2)) | F.contains(q, F.substring(n, 1, 2))
-    hits = names.join(F.broadcast(queries.limit(10_000)), near)
+    hits = names.join(small(queries), near)
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where(F.col("place") <= k).select("query_id", "name", "place")
 
 

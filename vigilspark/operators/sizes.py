@@ -1,0 +1,12 @@
+"""Broadcasts behind a check of their size."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a dictionary is broadcast; a larger one joins without the hint, and no row is dropped.
+MAX_DICTIONARY = 100_000
+
+
+def small(df: DataFrame, most: int = MAX_DICTIONARY) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, which the check stops counting at."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
