@@ -6,7 +6,9 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of wor
    neighbouring ones.  In a pair of bands linked sets differ in at most K shingles; hashing shingles
    to K + 1 cells leaves one cell with equal contents (pigeonhole).  Each set sends one digest a cell;
    sets that share a digest get a candidate edge to the digest's smallest id.  Digests cover about ten
-   shingles each, so words, lines or passages that are frequent don't make candidates.
+   shingles each, so words, lines or passages that are frequent don't make candidates.  Under a
+   threshold of 0.87 cells would become too small for that; then 128 larger cells are drawn, of which
+   two sets right at the threshold share each with a chance of 0.17 or more: all differ once in 10^10.
 2. *Clusters* of candidate edges are connected components.  Equal sets leave one representative.
 3. *Tiles.*  A cluster is one tile, or, beyond ``TILE`` members, a tile for each pair of blocks of
    compatible size bands: a task holds two blocks at most, whatever the cluster's size.
@@ -34,6 +36,10 @@ MASK = U64((1 << BITS) - 1)
 TILE = 1024
 SIGNATURE_BITS = 1024
 FLUSH = 2_000_000
+#: From this threshold on the cells are as many as differing shingles, plus one; below, such cells would hold three
+#: shingles or fewer and tie most texts together, so a fixed number of larger cells is drawn.
+PIGEONHOLE = 87
+SAMPLED = 128
 NULL_ID = -(1 << 63)
 
 
@@ -115,6 +121,45 @@ def cell_digests(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(digests), np.concatenate(owners)
 
 
+def sampled_cells(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, text) of about ``SAMPLED`` cells a text, of 4 to 8 shingles each at 0.8, for lower thresholds.
+
+    A text is cut at its size's power of two, and at the next one if a partner may be there.  Small texts are cut
+    several times by other hashes, of large ones only the first cells count.  Cells of under three shingles are
+    left out (but for texts of under 16), so that a frequent line makes no candidates."""
+    sizes = np.diff(off)
+    per_cell = max(1, 1 << int(np.log2(0.9 * (100 + percent) / (2 * (100 - percent)))))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    level = np.zeros(len(sizes), dtype=np.int64)
+    some = sizes > 0
+    level[some] = np.floor(np.log2(sizes[some])).astype(np.int64)
+    digests, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for up in (0, 1):
+        mine = some if not up else some & (sizes * 100 >= percent * (2 << level))
+        cells = np.maximum(2, (1 << (level + up)) // per_cell)
+        rounds = np.where(mine, -(-SAMPLED // cells), 0)
+        for r in range(int(rounds.max(initial=0))):
+            at = np.flatnonzero((rounds > r)[owner])
+            doc = owner[at]
+            h = mix(sets[at] + U64(1 + r))
+            cell = ((h >> U64(32)) * cells[doc].astype(U64) >> U64(32)).astype(np.int64)
+            kept = cell < SAMPLED
+            doc, h, group = doc[kept], h[kept], (doc * SAMPLED + cell)[kept]
+            if not len(group):
+                continue
+            order = np.argsort(group, kind="stable")
+            group, h, doc = group[order], h[order], doc[order]
+            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            held = np.diff(np.append(head, len(group)))
+            digest = np.add.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), head)
+            doc, place = doc[head], group[head] % SAMPLED
+            heavy = (held >= 3) | (level[doc] + up < 4)
+            tag = (((level[doc] + up) << 20) + (r << 10) + place).astype(U64)
+            digests.append(mix(mix(digest) + tag)[heavy])
+            owners.append(doc[heavy])
+    return np.concatenate(digests), np.concatenate(owners)
+
+
 def _combine(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Before the shuffle: one row a key, its members tied to its smallest id by keys of their own.
 
@@ -146,7 +191,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
         for rows, block in blocks(batches):
             sets, off = shingle_sets(block, n)
-            k, owner = cell_digests(sets, off, percent)
+            k, owner = (cell_digests if percent >= PIGEONHOLE else sampled_cells)(sets, off, percent)
             keys.append(k)
             ids.append(set_digests(sets, off)[0][owner])
             held += len(k)
