@@ -1 +1 @@
-"""."""
+"""DataFrame operators, one module an area; nothing here collects a table."""

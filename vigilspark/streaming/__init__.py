@@ -1 +1 @@
-"""."""
+"""The feed board as a stream."""
