@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import column_name, extended, prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Encoded words kept by a worker; the store is emptied beyond it, which only costs time.
-STORE = 1_000_000
+#: Encoded words, and token pairs, that a worker keeps; each store is emptied beyond it, which only costs time.
+STORE = 300_000
 STORED_BYTES = 64
 
 
@@ -83,6 +83,8 @@ class Codec:
         key = (left, right) if below is None else (left, right, below)
         found = self._apart.get(key)
         if found is None:
+            if len(self._apart) >= STORE:
+                self._apart.clear()
             found = self._apart[key] = self._stay_apart(left, right, below)
         return found
 
@@ -129,7 +131,9 @@ class Codec:
                         key = last << 32 | token
                         fits = known.get(key)
                         if fits is None:
-                            fits = known[key] = reached[token] and self.apart(last, token)
+                            if len(known) >= STORE:
+                                known.clear()
+                            fits = known[key] = reached[token] and self._stay_apart(last, token, None)
                     if fits:
                         break
                 token = shorter[token]

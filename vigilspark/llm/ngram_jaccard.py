@@ -35,7 +35,7 @@ BITS = 50  # of a shingle's hash; the rest of 64 bits hold the document's place
 MASK = U64((1 << BITS) - 1)
 TILE = 1024
 SIGNATURE_BITS = 1024
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: From this threshold on the cells are as many as differing shingles, plus one; below, such cells would hold three
 #: shingles or fewer and tie most texts together, so a fixed number of larger cells is drawn.
 PIGEONHOLE = 87
