@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -392,3 +393,17 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         licenses.license_scan(empty(spark), [("x", "one")])
+
+
+def test_licenses_in_passages(spark):
+    full = dict(licenses.full_texts())
+    notes = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    wrap = lambda t: "\n".join(f" * {x}" for x in textwrap.wrap(t, 60))
+    rows = [(name, text) for name, text in full.items()]
+    rows += [(name, f"{prose(5, 80)}\n\n{text}\n\n{prose(6, 300)}") for name, text in full.items() if name != "GPL-3.0"]
+    rows += [("GPL-3.0", f"/*\n * {prose(1, 9)}\n *\n{wrap(notes[13])}\n */\n{prose(2, 60)}"), ("BSD-3-Clause", f"{prose(3, 30)}\n{wrap(notes[3])}\n{prose(4, 50)}"), ("MIT", f"# {prose(7, 12)}\n{wrap(notes[17])}\n{prose(8, 40)}")]
+    rows += [("MIT", "We made this at home for fun. Released under the MIT License."), ("MIT", full["MIT"].replace("\n\n", "\r").replace("\n", " ").replace("\r", "\n")), (None, f"{prose(9, 400)}\n{prose(10, 30)}"), (None, full["GPL-3.0"][:9000])]
+    got = dict(licenses.license_scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).select("doc_id", F.split("licenses", ",")).collect())
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(rows) if (n or "") not in got[i] or not n and got[i] != [""]] == []
+    one = licenses.license_scan(spark.createDataFrame([(1, rows[-4][1])], "doc_id long, text string")).first()
+    assert tuple(one) == (1, "MIT", 1.0, 1, "MIT")

@@ -8,6 +8,12 @@ bigrams from above and the distinct words, less one, from below, so most units l
 bigram is made; the rest need enough bigrams in common with all templates together before they are
 compared with each.  Everything happens within a row: no shuffle, no join, no Python.
 
+A licence that no line and no whole text gives is looked for in passages: runs of consecutive lines and
+sentences, for templates over ``LONG_GRAMS`` bigrams runs of paragraphs (of lines, where no line is blank),
+whose words lie in the template's size bounds.  Its best passage is one more unit, counted after the lines.
+A passage's bigrams are among the text's, so only texts with enough of a template's bigrams are cut up.
+Whole licence texts (``license_texts``) are templates of passages; the whole text is tried first.
+
 Null and empty texts have no match.  On equal dice the first unit, then the first template in order wins.
 Templates are a driver-side list whose bigrams travel in the plan; ``MAX_TEMPLATE_GRAMS`` bounds them.
 """
@@ -15,14 +21,17 @@ Templates are a driver-side list whose bigrams travel in the plan; ``MAX_TEMPLAT
 from __future__ import annotations
 
 import re
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import column_name
 
 THRESHOLD_PERCENT = 80
 MAX_TEMPLATE_GRAMS = 20_000
+LONG_GRAMS = 400
 
 #: Public licence notices, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -53,11 +62,97 @@ def template_grams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licence texts by SPDX identifier."""
+    return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+def telling_words(grams: list[str], percent: int) -> list[str]:
+    """Words of a template of which every text with enough of its bigrams has one."""
+    spare, words, left = len(grams) * (200 - 2 * percent) // (200 - percent), [], [g.split() for g in grams]
+    gone = 0
+    for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
+        if gone > spare:
+            break
+        rest = [g for g in left if word not in g]
+        gone, left = gone + len(left) - len(rest), rest
+        words.append(word)
+    return words
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _strings(items: list[str]) -> Column:
+    """An array literal, sent as one string."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
+def _pairs(words: Column) -> Column:
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def passage_matches(matches: Column, templates: list[tuple[str, str]], percent: int) -> Column:
+    """The best passage of each licence that ``matches`` doesn't have, as matches."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    words_of = lambda part: F.filter(F.split(F.regexp_replace(part, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    none = F.array().cast("array<struct<unit:int,order:int,license:string,dice:double>>")
+    first = F.size(F.split(text, "\n")) + 1
+    by_kind: dict[bool, list] = {False: [], True: []}
+    for i, (name, template) in enumerate(templates):
+        if own := template_grams(template):
+            by_kind[len(own) > LONG_GRAMS].append((i, name, own))
+
+    def best_passage(k, grams, parts):
+        dice = lambda own: 2.0 * F.size(F.array_intersect(own, k.grams)) / (F.size(own) + F.size(k.grams))
+
+        def runs(segments):
+            # Words with a mark at each segment's first; runs lie between two marks, or a mark and the end.
+            marked = F.flatten(F.transform(segments, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i == 0).alias("head")))))
+            return _let(marked, lambda m: _let(F.struct(
+                _pairs(F.transform(m, lambda x: x.w)).alias("pairs"),
+                F.concat(F.filter(F.transform(m, lambda x, i: F.when(x.head, i)), lambda i: i.isNotNull()), F.array(F.size(m))).alias("cuts")), lambda d: F.array_max(F.flatten(
+                    F.transform(d.cuts, lambda a: F.transform(
+                        F.filter(d.cuts, lambda b: ((b - a - 1) * (200 - percent) >= F.size(k.grams) * percent) & ((b - a - 1) * percent <= F.size(k.grams) * (200 - percent))),
+                        lambda b: dice(F.array_distinct(F.slice(d.pairs, a + 1, b - a - 1)))))))))
+
+        whole = dice(grams)
+        return F.when(100 * whole >= percent, whole).otherwise(runs(parts))
+
+    def among(known, parts):
+        array = F.array(*(F.struct(F.lit(i).alias("order"), F.lit(name).alias("license"), _strings(own).alias("grams")) for i, name, own in known))
+        least = min(len(own) for *_, own in known)
+        enough = lambda n, of: n * (200 - percent) >= of * percent
+        telling = _strings(sorted({w for *_, own in known for w in telling_words(own, percent)}))
+
+        def search(words):
+            return _let(F.array_distinct(_pairs(words)), lambda grams: F.filter(F.transform(
+                F.filter(array, lambda k: ~F.exists(matches, lambda m: m.license == k.license) & enough(F.size(F.array_intersect(grams, k.grams)), F.size(k.grams))),
+                lambda k: F.struct((first + k.order).cast("int").alias("unit"), k.order.alias("order"), k.license.alias("license"), best_passage(k, grams, parts).cast("double").alias("dice"))),
+                lambda m: 100 * m.dice >= percent))
+
+        return _let(words_of(text), lambda words: F.when(
+            enough(F.size(words) - 1, F.lit(least)) & (F.size(F.array_intersect(words, telling)) > 0), search(words)).otherwise(none))
+
+    # Sentences end at a full stop and white space; paragraphs at blank lines.
+    full = lambda parts: F.filter(F.transform(parts, words_of), lambda ws: F.size(ws) > 0)
+    fine = full(F.split(text, r"(?<=[.!?;:])\s+|\n"))
+    coarse = full(F.when(text.rlike(r"\n\s*\n"), F.split(text, r"\n\s*\n")).otherwise(F.split(text, "\n")))
+    found = F.concat(*(among(known, parts) for known, parts in ((by_kind[False], fine), (by_kind[True], coarse)) if known))
+    # One passage a licence: the best, then the first template's.
+    return _let(found, lambda every: F.filter(every, lambda m: ~F.exists(every, lambda o: (o.license == m.license) & ((o.dice > m.dice) | (o.dice == m.dice) & (o.order < m.order)))))
+
+
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """``docs`` (text, ...) with matches: array of (unit, license, dice), units counted from 1 by line, 0 the whole text."""
+    """``docs`` (text, ...) with matches: array of (unit, license, dice), units counted from 1 by line, 0 the whole text, passages after the lines."""
+    long = full_texts() if templates is None else []
     grams = [(i, name, template_grams(text)) for i, (name, text) in enumerate(templates or TEMPLATES)]
     grams = [g for g in grams if g[2]]
-    if not grams or sum(len(g[2]) for g in grams) > MAX_TEMPLATE_GRAMS:
+    if not grams or sum(len(template_grams(text)) for _, text in [*(templates or TEMPLATES), *long]) > MAX_TEMPLATE_GRAMS:
         raise ValueError(f"templates need 1 to {MAX_TEMPLATE_GRAMS} word bigrams")
     sizes = [len(g[2]) for g in grams]
     least, most = min(sizes), max(sizes)
@@ -79,7 +174,10 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
         F.filter(known, lambda k: (F.size(u.grams) * (200 - percent) >= F.size(k.grams) * percent) & (F.size(u.grams) * percent <= F.size(k.grams) * (200 - percent))),
         lambda k: F.struct(u.unit.alias("unit"), k.order.alias("order"), k.license.alias("license"),
                            (2.0 * F.size(F.array_intersect(u.grams, k.grams)) / (F.size(u.grams) + F.size(k.grams))).alias("dice")))))
-    return docs.withColumn(column_name(docs, "matches"), F.filter(scored, lambda m: 100 * m.dice >= percent))
+    mark = column_name(docs, "matches")
+    # A column of its own, so that the passages don't compute it again.
+    found = docs.withColumn(mark, F.filter(scored, lambda m: 100 * m.dice >= percent))
+    return found.withColumn(mark, F.concat(mark, passage_matches(F.col(mark), [*(templates or TEMPLATES), *long], percent)))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
