@@ -43,6 +43,22 @@ def test_html_density_prefers_text_over_links():
     assert html_text.main_text(f"<body><div><ul>{links}</ul></div><div><p>{'word ' * 60}</p><p>{'more ' * 50}</p></div></body>") == " ".join(["word"] * 60 + ["more"] * 50)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class=no-sidebar", "div id=page-with-nav", "div class=cookie-banner-ready", "form id=aspnetForm action=/"])
+def test_html_wrappers_keep_their_page(wrapper):
+    inner = f"<p>{'word ' * 60}</p><p>{'more ' * 50}</p><input value=x>"
+    text = " ".join(["word"] * 60 + ["more"] * 50)
+    close = f"</{wrapper.split()[0]}>"
+    for body in (inner, f"<div>{inner}</div><div class=ad>Buy this</div>", f"<nav><a href=/>x</a></nav><article>{inner}</article>"):
+        assert html_text.main_text(f"<body><{wrapper}>{body}{close}</body>") == text
+    assert html_text.main_text(f"<body><{wrapper}>{close}<div class=sidebar>only this</div></body>") == "only this"
+
+
+def test_html_articles_keep_their_parts():
+    parts = "<section id=discussion><p>We discuss it.</p></section><p class=notice>Mind this.</p><div class=related-work><p>Others did so.</p></div>"
+    page = f"<body><article><p>{'word ' * 60}</p>{parts}<div class=related-posts><p>Read more</p></div><div class=ad>Buy</div></article><ol id=comments><article class=comment-body><p>{'no ' * 200}</p></article></ol></body>"
+    assert html_text.main_text(page) == "word " * 60 + "We discuss it. Mind this. Others did so."
+
+
 def test_html_query_shape(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()

@@ -8,6 +8,9 @@ largest sum.  A selection inside one ``article`` or ``main`` element takes all o
 
 Elements that never hold an article's text are left out beforehand: scripts, styles, forms, menus,
 headers, footers and sidebars by tag or role, adverts, notices and reader comments by class or id.
+What follows has-, no- or with- in a class name doesn't count, and inside an article only names made of
+such words alone do.  A form, or an element with such a name, stays if it holds an article, a main or
+most of the page's text outside links; a page that would have no text is read again without names.
 Character references are decoded; white space in a block becomes one space; blocks are trimmed and
 joined in page order by one space.  Null, empty and text-less pages give an empty text.  Every page is
 handled whole and by itself; repeated rows give repeated results.
@@ -40,7 +43,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset(
-    "script style noscript template iframe object embed svg canvas audio video map head title nav footer aside form button select textarea input dialog menu".split()
+    "script style noscript template iframe object embed svg canvas audio video map head title nav footer aside button select textarea input dialog menu".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class names and ids that mark adverts, notices, page furniture and reader comments.
@@ -49,6 +52,18 @@ BOILERPLATE = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted "
     "promotion related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: In a class name, what follows says how the page is laid out, not what the element is.
+MODIFIERS = frozenset("has is no non not with without".split())
+#: Of these, the names of an article's own parts, and those of readers' words, which may be longer than the article.
+OF_ARTICLES = frozenset("banner discussion header notice notices".split())
+OF_READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Words that may stand beside them in a name that marks an article's boilerplate: "related-posts", not "related-work".
+FURNITURE = frozenset(
+    "area articles bar block bottom box btn button buttons container content desktop group icons inline inner item items left link links list media mobile "
+    "outer page post posts right section site slot stories text top unit wrap wrapper".split()
+)
+#: Why an element is left out: never an article's text, or unless it holds the article.
+ALWAYS, BY_NAME, BY_READERS = 1, 2, 3
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -67,8 +82,9 @@ ENDS = {
 class _Tree:
     """Nodes in page order: tag, parent, whether left out; and text pieces with the node they stand in."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, names: bool = True):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.why, self.content = [0], [False]
         self.linked = [False]
         self.pieces: list[tuple[int, str]] = []  # a None text is a block boundary
         stack = [0]
@@ -89,10 +105,12 @@ class _Tree:
                 if name not in INLINE:
                     self.pieces.append((stack[-1], None))
                 if name in VOID:
-                    self._node(name, stack[-1], self.out[stack[-1]])
+                    self._node(name, stack[-1], 0)
                     continue
                 article = any(self.tag[i] in ("article", "main") for i in stack)
-                node = self._node(name, stack[-1], self.out[stack[-1]] or self._left_out(name, found.group(3), article))
+                node = self._node(name, stack[-1], self._left_out(name, found.group(3), article))
+                if name == "main" or name == "article" and not _boilerplate(found.group(3), False):
+                    self.content[node] = True
                 if name in RAW:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else n
@@ -109,11 +127,33 @@ class _Tree:
                         break
                     if name in INLINE and self.tag[stack[depth]] not in INLINE:
                         break  # a stray inline end tag doesn't close blocks
+        self._spare(names)
+
+    def _spare(self, names: bool) -> None:
+        """Leave out elements by name and forms, but those that hold the page's article."""
+        if not any(w in (BY_NAME, BY_READERS) for w in self.why):
+            return
+        n = len(self.tag)
+        plain = [0] * n
+        for node, text in self.pieces:
+            if text and not self.linked[node]:
+                plain[node] += len("".join(text.split()))
+        holds = list(self.content)
+        for i in range(n - 1, 0, -1):
+            if not self.out[i]:
+                plain[self.parent[i]] += plain[i]
+                holds[self.parent[i]] |= holds[i]
+        for i in range(1, n):
+            spared = not names or holds[i] or self.why[i] == BY_NAME and 2 * plain[i] > plain[0]
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or self.why[i] in (BY_NAME, BY_READERS) and not spared
+        self.pieces = [(node, text) for node, text in self.pieces if text is None or not self.out[node]]
 
-    def _node(self, name: str, parent: int, out: bool) -> int:
+    def _node(self, name: str, parent: int, why: int) -> int:
         self.tag.append(name)
         self.parent.append(parent)
-        self.out.append(out)
+        self.why.append(why)
+        self.content.append(False)
+        self.out.append(self.out[parent] or why == ALWAYS)
         self.linked.append(name == "a" or self.linked[parent])
         return len(self.tag) - 1
 
@@ -141,21 +181,36 @@ class _Tree:
                     break
 
     @staticmethod
-    def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+    def _left_out(name: str, attributes: str, in_article: bool) -> int:
         if name in DROPPED or (name == "header" and not in_article):
-            return True
+            return ALWAYS
         if not attributes or name in ("html", "body", "main", "article"):
-            return False
+            return BY_NAME if name == "form" else 0
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
-            # An article's own header holds its title.
-            if key in ("class", "id") and any(w in BOILERPLATE and not (in_article and w == "header") for w in _WORDS.findall(value)):
-                return True
             if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return ALWAYS
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return ALWAYS
+        return _boilerplate(attributes, in_article) or (BY_NAME if name == "form" else 0)
+
+
+def _boilerplate(attributes: str, in_article: bool) -> int:
+    """Whether class or id name an element that is left out."""
+    found = 0
+    for key, *values in _ATTRIBUTE.findall(attributes or ""):
+        if key.lower() not in ("class", "id"):
+            continue
+        for token in "".join(values).lower().split():
+            words = _WORDS.findall(token)
+            words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+            marks = [w for w in words if w in BOILERPLATE and not (in_article and w in OF_ARTICLES)]
+            if not marks or in_article and any(w not in marks and w not in FURNITURE for w in words):
+                continue
+            if OF_READERS.intersection(marks):
+                return BY_READERS
+            found = BY_NAME
+    return found
 
 
 def densities(tree: _Tree) -> tuple[list[float], list[float]]:
@@ -198,6 +253,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _Tree(page)
+    found = _chosen_text(tree)
+    if not found and any(w in (BY_NAME, BY_READERS) for w in tree.why):
+        found = _chosen_text(_Tree(page, names=False))
+    return found
+
+
+def _chosen_text(tree: _Tree) -> str:
     density, total = densities(tree)
     n = len(tree.tag)
     children: list[list[int]] = [[] for _ in range(n)]
