@@ -130,6 +130,20 @@ def test_suffix_dedup_random_small_alphabet(spark):
     assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == [(d, *x) for (d, _), x in zip(rows, brute_removed(rows, 200))]
 
 
+def test_suffix_dedup_hot_leads(spark, monkeypatch):
+    shared = prose(41, 90)
+    rows = [(i, f"{prose(500 + i % 50, 40)} {shared} {prose(900 + i % 70, 40)}") for i in range(300)] + [(7, shared), (7, shared), (None, shared[:250])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute_removed(rows, 200)))
+    held = []
+    compare = suffix_dedup.match_windows
+    monkeypatch.setattr(suffix_dedup, "match_windows", lambda units, length: held.append(units.count()) or compare(units, length))
+    for hot in (20, 10**9, 0):
+        got = suffix_dedup.remove_repeats(df, hot=hot).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert len(held) == 2 and held[0] > 40
+
+
 # 4. WARC
 
 def test_warc_round_trip(spark, tmp_path):

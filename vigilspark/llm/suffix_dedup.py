@@ -16,6 +16,9 @@ A suffix for each of 10^14 bytes can't be shipped, so the array is sparse and lo
   window suffixes by multikey quicksort with eight bytes a key: a round splits each group of equal
   prefixes by the next word and drops what stands alone.  What survives all rounds repeats,
   compared byte by byte.
+* Leading tokens of more than ``HOT`` such units (the ends of a passage that millions of texts
+  share) aren't one bucket: each window goes by itself to a bucket of its 128-bit hash, which deals
+  them evenly.  Windows that a task holds twice are settled there, and one of each goes on.
 
 Nulls count as empty texts, texts under ``length`` bytes lose nothing, matches never cross texts,
 and two rows with equal texts repeat each other, also when their doc_ids are equal.  A passage that
@@ -28,15 +31,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, blocks, complete_groups
+from .blocks import U64, Block, blocks, complete_groups, mix
 from .shared import column_name, extended, materialise, partitions, prepare, scatter, unpack
 
 LENGTH = 200
 GRAM = 72
 FLUSH = 500_000
+HOT = 20_000
 _POSITION_BITS = 22  # of a block's bytes; longer texts take more
 
 
@@ -198,8 +203,85 @@ def repeated_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, lengt
     return found
 
 
-def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(rid, lo, hi): repeated spans of the wanted units, compared by their bytes."""
+def _windows(units: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit and step within it of every window."""
+    run = units.lengths - (length - 1)
+    unit = np.repeat(np.arange(units.n), run)
+    return unit, np.arange(len(unit)) - np.repeat(np.cumsum(run) - run, run)
+
+
+def _runs(rid: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
+    """(rid, lo, hi) of windows, consecutive ones of a row as one span."""
+    order = np.lexsort((lo, rid))
+    rid, lo = rid[order], lo[order]
+    head = np.concatenate([[True], (rid[1:] != rid[:-1]) | (lo[1:] > lo[:-1] + 1)])
+    tail = np.append(head[1:], True)
+    return pa.RecordBatch.from_arrays([pa.array(rid[head]), pa.array(lo[head].astype(np.int32)), pa.array((lo[tail] + length).astype(np.int32))], names=["rid", "lo", "hi"])
+
+
+def match_windows(units: DataFrame, length: int) -> DataFrame:
+    """(rid, lo, hi): repeated spans of units (rid, lo, bytes) of hot leads, by the hashes of their windows."""
+    tasks = partitions(units.sparkSession)
+    wide = max(1024, tasks)
+
+    def groups(h, g):
+        order = np.lexsort((g, h))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+        return order, new, np.cumsum(new) - 1
+
+    def send(batches):
+        kept: list[list[np.ndarray]] = []
+        held = 0
+
+        def flush():
+            h, g, rid, lo = (np.concatenate(x) for x in zip(*kept))
+            order, new, group = groups(h, g)
+            many = np.bincount(group) > 1
+            rest = order[many[group] & ~new]
+            if len(rest):
+                spans = _runs(rid[rest], lo[rest], length)
+                yield pa.RecordBatch.from_arrays([pa.array((spans.column(0).to_numpy().view(U64) % U64(wide)).astype(np.int32)), *(pa.nulls(len(spans), pa.binary()) for _ in range(5)), *spans.columns], names=names)
+            one = order[new]
+            batch = scatter((h[one] % U64(wide)).astype(np.int64), {"h": h[one], "g": g[one], "at": rid[one], "low": lo[one], "many": many.astype(np.int8)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int32())], names=names)
+
+        names = ["bucket", "h", "g", "at", "low", "many", "rid", "lo", "hi"]
+        for rows, block in blocks(batches, "bytes"):
+            unit, step = _windows(block, length)
+            at, half, prefix = block.off[unit] + step, length // 2, block.prefix_hash()
+            h = block.span_hash(at, at + length, prefix=prefix)
+            g = mix(block.span_hash(at, at + half, prefix=prefix)) + block.span_hash(at + half, at + length, prefix=prefix)
+            rid, lo = rows.column(rows.schema.get_field_index("rid")).to_numpy()[unit], rows.column(rows.schema.get_field_index("lo")).to_numpy()[unit]
+            kept.append([h, g, rid, (lo + step).astype(np.int32)])
+            held += len(unit)
+            if held >= FLUSH:
+                yield from flush()
+                kept, held = [], 0
+        if held:
+            yield from flush()
+
+    def receive(batches):
+        for table in complete_groups(batches, ["bucket"]):
+            through = pc.is_valid(table.column("rid"))
+            passed = table.filter(through).select(["rid", "lo", "hi"])
+            yield from passed.to_batches()
+            table = table.filter(pc.invert(through))
+            if not table.num_rows:
+                continue
+            h, g, rid = unpack(table, "h", U64), unpack(table, "g", U64), unpack(table, "at", np.int64)
+            lo, many = unpack(table, "low", np.int32), unpack(table, "many", np.int8)
+            order, _, group = groups(h, g)
+            found = order[np.bincount(group, weights=1 + many[order])[group] > 1]
+            if len(found):
+                yield _runs(rid[found], lo[found], length)
+
+    packed = units.select("rid", "lo", "bytes").mapInArrow(
+        send, "bucket int, h binary, g binary, at binary, low binary, many binary, rid long, lo int, hi int")
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "rid long, lo int, hi int")
+
+
+def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """(rid, lo, hi): repeated spans of the wanted units, compared by their bytes; by hashes for leads of over ``hot`` units."""
     spark = docs.sparkSession
 
     def fetch(batches):
@@ -214,9 +296,7 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFra
     def bucket(batches):
         for table in complete_groups(batches, ["lead", "gram"]):
             units = Block.of(table.column("bytes").combine_chunks())
-            run = units.lengths - (length - 1)
-            unit = np.repeat(np.arange(units.n), run)
-            step = np.arange(len(unit)) - np.repeat(np.cumsum(run) - run, run)
+            unit, step = _windows(units, length)
             at = units.off[unit] + step
             gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
             found = repeated_suffixes(units.data, at, gram[unit] * (length + 1) + table.column("skip").to_numpy()[unit] - step, length)
@@ -229,13 +309,19 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid), pa.array((lo + step[head]).astype(np.int32)), pa.array((lo + step[tail] + length).astype(np.int32))], names=["rid", "lo", "hi"])
 
-    asks = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "lead", "gram", "skip")).alias("asks"))
-    fetched = docs.select("rid", "text")
-    units = fetched.join(asks, "rid").mapInArrow(fetch, "lead long, gram long, skip int, rid long, lo int, bytes binary")
-    return units.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "gram").mapInArrow(bucket, "rid long, lo int, hi int")
+    def fetched(asked: DataFrame) -> DataFrame:
+        asks = asked.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "lead", "gram", "skip")).alias("asks"))
+        return docs.select("rid", "text").join(asks, "rid").mapInArrow(fetch, "lead long, gram long, skip int, rid long, lo int, bytes binary")
+
+    # At most one row for each ``hot`` units.
+    leads = materialise(wanted.groupBy("lead").count().where(F.col("count") > hot).select("lead"), "hot")
+    some = not leads.isEmpty()
+    units = fetched(wanted.join(F.broadcast(leads), "lead", "left_anti") if some else wanted)
+    cold = units.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "gram").mapInArrow(bucket, "rid long, lo int, hi int")
+    return cold.union(match_windows(fetched(wanted.join(F.broadcast(leads), "lead", "left_semi")), length)) if some else cold
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with kept (binary), n_bytes, n_removed, n_spans, kept_sha256.
 
     ``kept`` is what is left of the text's UTF-8 bytes.  Names that ``docs`` has already get an underscore."""
@@ -243,9 +329,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rid = F.xxhash64("doc_id", "text")
     keyed = docs.select(rid.alias("rid"), F.col("text").cast("string").alias("text"))
     spans = materialise(settle_units(keyed, length, gram), "units")
-    compared = compare_suffixes(keyed, spans.where("gram is not null"), length)
+    compared = compare_suffixes(keyed, spans.where("gram is not null"), length, hot)
     removed = spans.where("gram is null").select("rid", "lo", "hi").union(compared).groupBy("rid").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        F.collect_set(F.struct("lo", "hi")).alias("spans"))
     key = column_name(docs, "rid")
     mark = column_name(docs, "spans")
     whole = docs.withColumn(key, rid).join(removed.select(F.col("rid").alias(key), F.col("spans").alias(mark)), key, "left").drop(key)
