@@ -280,6 +280,23 @@ def test_jaccard_tiles_of_large_clusters(spark, monkeypatch):
     assert Counter(tuple(x) for x in got) == brute_components(rows, 3, 90)
 
 
+def test_jaccard_large_cluster_is_not_tiled_against_itself(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TILE", 16)
+    r = random.Random(3)
+    rows = []
+    for i in range(260):
+        w = prose(51, 200).split()
+        for _ in range(1 if i < 240 else 5 + i % 4):  # near copies, and some at the edge of the threshold
+            w[r.randrange(len(w))] = "c" + str(r.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    made, tiles = [], ngram_jaccard._tiles
+    monkeypatch.setattr(ngram_jaccard, "_tiles", lambda big, percent: made.append((out := tiles(big, percent), big)) or out)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert Counter(tuple(x) for x in got) == brute_components(rows, 3, 90)
+    # Every block against every block would make 3 * 260 / 8 rows of each member.
+    assert made and made[0][1].count() > 240 and made[0][0].count() < 3 * 20 * 260
+
+
 def test_jaccard_empty_table(spark):
     assert ngram_jaccard.jaccard_components(empty(spark)).count() == 0
 

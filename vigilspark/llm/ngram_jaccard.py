@@ -10,8 +10,10 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of wor
    threshold of 0.87 cells would become too small for that; then 128 larger cells are drawn, of which
    two sets right at the threshold share each with a chance of 0.17 or more: all differ once in 10^10.
 2. *Clusters* of candidate edges are connected components.  Equal sets leave one representative.
-3. *Tiles.*  A cluster is one tile, or, beyond ``TILE`` members, a tile for each pair of blocks of
-   compatible size bands: a task holds two blocks at most, whatever the cluster's size.
+3. *Tiles.*  A cluster is one tile.  Beyond ``TILE`` members its candidate edges are verified first,
+   one by one, and what they link is one component: a cluster of near copies mostly ends there.  If
+   components are still apart, pairs of blocks of compatible size bands are tiles, but for blocks of
+   one component: a task holds two blocks at most, whatever the cluster's size.
 4. In a tile parity bitmaps bound the overlap from above (their Hamming distance never exceeds the
    sets' difference); what passes is decided by exact intersection.  Pairs already connected in the
    tile are skipped, and each tile returns a spanning forest, never all pairs.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, chain, complete_groups, local_components, mix, ngram_hashes
@@ -218,20 +220,43 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "a long, b long")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int(np.count_nonzero(b[at] == a))
+    return common * (100 + percent) >= percent * (len(a) + len(b))
+
+
+def edge_links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the candidate edges between ``sets`` (doc_id, name, shingles) that are links."""
+    ends = [sets.select(F.col("name").alias(x), F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab"]
+
+    def verify(batches):
+        for batch in batches:
+            at = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            one, other = at["a_set"].to_pylist(), at["b_set"].to_pylist()
+            ok = pa.array([_linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(one, other)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([at["a_id"].filter(ok), at["b_id"].filter(ok)], names=["a", "b"])
+
+    # The leaders' side of a hub is one row, so Spark can split the other.
+    return edges.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id", "a_set", "b_set").mapInArrow(verify, "a long, b long")
+
+
 def _links(table: pa.Table, percent: int):
     """Spanning forest of the links in one tile."""
     ids = table.column("doc_id").to_numpy()
+    linked = table.column("comp").to_numpy()
     cross = table.column("side").to_numpy()
     sizes = table.column("n").to_numpy().astype(np.int64)
     order = np.lexsort((ids, sizes))
     ids, cross, sizes = ids[order], cross[order], sizes[order]
+    component = np.unique(linked[order], return_inverse=True)[1]
     packed = table.column("shingles").to_pylist()
     sets = [np.frombuffer(packed[i], dtype=U64) for i in order]
     everything = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
     ones = np.bincount(row * SIGNATURE_BITS + (everything % U64(SIGNATURE_BITS)).astype(np.int64), minlength=len(sets) * SIGNATURE_BITS)
     sign = np.packbits((ones & 1).astype(np.uint8).reshape(len(sets), SIGNATURE_BITS), axis=1).view(U64)
-    component = np.arange(len(sets))
     out = []
     for i in range(len(sets)):
         upto = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")
@@ -247,18 +272,42 @@ def _links(table: pa.Table, percent: int):
         for k in j:
             if component[k] == component[i]:
                 continue
-            a, b = (sets[i], sets[k])
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            common = int(np.count_nonzero(b[at] == a))
-            if common * (100 + percent) >= percent * int(sizes[i] + sizes[k]):
+            if _linked(sets[i], sets[k], percent):
                 component[component == component[k]] = component[i]
                 out.append((ids[i], ids[k]))
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between the representatives in ``members`` (doc_id, cluster), a forest by tile."""
+def _tiles(big: DataFrame, percent: int) -> DataFrame:
+    """Members of large clusters, once a tile: pairs of blocks that aren't of one component (``comp``)."""
+    # A component of more than half a tile has blocks of its own; the others share blocks.
+    sizes = big.groupBy("cluster", "comp").agg(F.count("*").alias("rows"))
+    apart = sizes.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").select("cluster")
+    own = sizes.where(F.col("rows") > TILE // 2).select("cluster", "comp", F.lit(True).alias("own"))
+    # Blocks: size bands, split by hash so that none exceeds about half a tile.
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
+    teamed = big.join(apart, "cluster").join(own, ["cluster", "comp"], "left").withColumn("band", band).withColumn(
+        "team", F.when(F.col("own"), F.col("comp")))
+    splits = teamed.groupBy("cluster", "team", "band").agg(F.count("*").alias("rows")).groupBy("cluster", "team").agg(
+        F.max(F.ceil(F.col("rows") * 2 / TILE)).cast("int").alias("splits"))
+    before = Window.partitionBy("cluster").orderBy("team").rowsBetween(Window.unboundedPreceding, -1)
+    teams = materialise(splits.select(
+        F.col("cluster").alias("of"), F.col("team").alias("mate"), "splits", F.coalesce(F.sum("splits").over(before), F.lit(0)).cast("int").alias("base"),
+        F.sum("splits").over(Window.partitionBy("cluster")).cast("int").alias("parts")), "teams")
+    placed = teamed.join(teams, (F.col("cluster") == F.col("of")) & F.col("team").eqNullSafe(F.col("mate"))).withColumn(
+        "part", (F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("splits").cast("long"))).cast("int"))
+    # (band, part) meets the parts of its own band and of the neighbouring ones, but not its own component's.
+    met = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("team").isNull() | (p < F.col("base")) | (p >= F.col("base") + F.col("splits")))
+    others = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(met, lambda p: (F.col("band") + d) * F.col("parts") + p)))
+    return placed.withColumn("block", F.col("band") * F.col("parts") + F.col("part")).withColumn("other", F.explode(others)).select(
+        "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id",
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "n", "shingles", "comp")
+
+
+def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between the representatives in ``members`` (doc_id, cluster), a forest by tile.
+
+    ``edges`` are the candidate edges, by names of sets, that made the clusters."""
     spark = docs.sparkSession
 
     def to_sets(batches):
@@ -266,29 +315,24 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int) ->
             sets, off = shingle_sets(block, n)
             data = sets.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(np.diff(off), pa.int64()), pa.array([data[8 * i:8 * j] for i, j in zip(off[:-1], off[1:])], pa.binary())],
-                names=["doc_id", "cluster", "n", "shingles"],
+                [rows.column(0), rows.column(1), pa.array(np.diff(off), pa.int64()), pa.array([data[8 * i:8 * j] for i, j in zip(off[:-1], off[1:])], pa.binary()), pa.array(set_digests(sets, off)[0])],
+                names=["doc_id", "cluster", "n", "shingles", "name"],
             )
 
     sets = materialise(
         docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "cluster", "text")
-        .mapInArrow(to_sets, "doc_id long, cluster long, n long, shingles binary"), "sets")
-    # Blocks: a cluster's size bands, split by hash so that none exceeds about half a tile.
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
-    counted = sets.groupBy("cluster", band.alias("band")).agg(F.count("*").alias("rows"))
-    whole = counted.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.max(F.ceil(F.col("rows") * 2 / TILE)).cast("int").alias("splits"))
-    placed = sets.join(whole, "cluster")
-    small = placed.where(F.col("all_rows") <= TILE).select(
-        "cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), "doc_id", F.lit(-1).alias("side"), "n", "shingles")
-    # (band, part) of a large cluster meets the parts of its own band and of the next one.
-    big = placed.where(F.col("all_rows") > TILE).withColumn("band", band).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id"), F.col("splits").cast("long")).cast("int"))
-    block_no = F.col("band") * F.col("splits") + F.col("part")
-    others = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(
-        F.sequence(F.lit(0), F.col("splits") - 1), lambda p: (F.col("band") + d) * F.col("splits") + p)))
-    tiled = big.withColumn("block", block_no).withColumn("other", F.explode(others)).select(
-        "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id",
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "n", "shingles")
+        .mapInArrow(to_sets, "doc_id long, cluster long, n long, shingles binary, name long"), "sets")
+    whole = materialise(sets.groupBy("cluster").agg(F.count("*").alias("all_rows")), "whole")
+    small = sets.join(whole.where(F.col("all_rows") <= TILE), "cluster").select(
+        "cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), "doc_id", F.lit(-1).alias("side"), "n", "shingles", F.col("doc_id").alias("comp"))
+    large = whole.where(F.col("all_rows") > TILE)
+    tiles, first = small, None
+    if not large.isEmpty():
+        big = sets.join(large, "cluster")
+        first = materialise(edge_links(big, edges, percent), "first")
+        found = connected_components(first, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"))
+        big = materialise(big.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
+        tiles = small.unionByName(_tiles(big, percent))
 
     def link(batches):
         for table in complete_groups(batches, ["cluster", "x", "y"]):
@@ -302,8 +346,9 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int) ->
                 a, b = np.array(found, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    tiles = small.unionByName(tiled).withColumn("tile", F.xxhash64("cluster", "x", "y"))
-    return tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile").mapInArrow(link, "a long, b long")
+    tiles = tiles.withColumn("tile", F.xxhash64("cluster", "x", "y"))
+    links = tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile").mapInArrow(link, "a long, b long")
+    return links if first is None else links.union(first)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -325,9 +370,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
     rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    clusters = connected_components(candidate_edges(docs, n, percent), "candidates")
+    edges = materialise(candidate_edges(docs, n, percent).distinct(), "edges")
+    clusters = connected_components(edges, "candidates")
     members = rep.where("doc_id = rep").join(clusters, F.col("d1") == F.col("id")).groupBy("doc_id").agg(F.min("component").alias("cluster"))
-    found = connected_components(verified_links(docs, members, n, percent).union(copies), "links")
+    found = connected_components(verified_links(docs, members, edges, n, percent).union(copies), "links")
     out = described.join(found, described.doc_id == found.id, "left").select(
         described.doc_id, "n_shingles", F.coalesce("component", described.doc_id).alias("component_id"))
     null = F.lit(NULL_ID)
