@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -84,7 +85,7 @@ def test_fingerprints(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
     assert fingerprints.fingerprint(empty(spark)).count() == 0
     one = fingerprints.fingerprint(documents(spark).where("doc_id = 13")).collect()
-    assert len(one) == 1 and one[0]["near_next"] == 1.0 == one[0]["near_edited"] or one[0]["near_next"] == 1.0
+    assert len(one) == 1 and one[0]["near_next"] == 1.0 > one[0]["near_edited"] > 0.3
 
 
 def test_window_entropy():
@@ -137,13 +138,27 @@ def test_suffix_dedup_hot_leads(spark, monkeypatch):
     want = Counter((d, *x) for (d, _), x in zip(rows, brute_removed(rows, 200)))
     held = []
     compare = suffix_dedup.match_windows
-    monkeypatch.setattr(suffix_dedup, "match_windows", lambda units, length: held.append(units.count()) or compare(units, length))
+    monkeypatch.setattr(suffix_dedup, "match_windows", lambda units, *rest: held.append(units.count()) or compare(units, *rest))
     for hot in (20, 10**9, 0):
         got = suffix_dedup.remove_repeats(df, hot=hot).collect()
         assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert len(held) == 2 and held[0] > 40
 
 
+def test_suffix_dedup_many_equal_rows(spark):
+    # Rows equal in doc_id and text, equal texts under other ids, one id with many texts, ids that are strings.
+    text, other = prose(60, 120), prose(61, 120)
+    rows = [(1, text)] * 150 + [(2 + i, text) for i in range(150)] + [(None, other)] * 80 + [(9, f"{prose(70 + i, 9)} {other[:300]}") for i in range(60)] + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute_removed(rows, 200)))
+    for hot in (suffix_dedup.HOT, 10):
+        got = suffix_dedup.remove_repeats(df, hot=hot).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    named = suffix_dedup.remove_repeats(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), decode=True).collect()
+    assert Counter(("d%d" % d if d else None, *x) for d, *x in want.elements()) == Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in named)
+    assert {r["kept"] for r in named if r["doc_id"] == "d1"} == {""}
+
+
 # 4. WARC
 
 def test_warc_round_trip(spark, tmp_path):
@@ -179,6 +194,36 @@ def test_warc_archives_start_with_the_dictionary_and_are_validated(spark, tmp_pa
             warc.parse_record(bad)
 
 
+def test_warc_archives_are_bounded_and_each_starts_with_the_dictionary(spark, tmp_path, monkeypatch):
+    page = F.concat(F.lit("<html><p>page number "), F.col("id").cast("string"), F.repeat(F.sha2(F.col("id").cast("string"), 512), (F.col("id") % 9).cast("int")))
+    df = spark.range(500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), page.alias("html")).repartition(2)
+    for frames, size in ((7, 1 << 20), (50, 9000)):
+        monkeypatch.setattr(warc, "ARCHIVE_FRAMES", frames)
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+        path = tmp_path / str(frames)
+        warc.write_archives(df, f"file://{path}")
+        files = [p.read_bytes() for p in path.glob("part-*")]
+        assert len(files) > 15 and all(f[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") for f in files)
+        lead = int.from_bytes(files[0][4:8], "little")
+        assert max(map(len, files)) < lead + size + 8 * frames + 3000 and max(sum(1 for _ in warc.read_archive(f)) for f in files) < frames
+        got = warc.read_archives(spark, f"file://{path}")
+        assert {(r["page_id"], bytes(r["payload"]).decode()) for r in got.collect()} == {(r["page_id"], r["html"]) for r in df.collect()}
+
+
+def test_warc_reader_takes_time_in_proportion():
+    packer = warc.zstandard.ZstdCompressor(level=1)
+
+    def archive(n):
+        return b"".join(packer.compress(warc.build_record("response", str(i), "u", p := random.Random(i).randbytes(900), warc.sha1_base32(p), 900, [])) for i in range(n))
+
+    def seconds(data, n):
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_archive(data)) == n
+        return time.process_time() - began
+    small, large = archive(2_000), archive(20_000)
+    assert seconds(large, 20_000) < 25 * seconds(small, 2_000)
+
+
 # 5. mixing
 
 def water(sizes, cap=3):
@@ -410,7 +455,7 @@ def test_quality_verdicts(spark):
     passage = prose(8, 40)
     rows = [(1, prose(1, 200)), (2, prose(2, 30)), (3, f"{passage} {prose(3, 60)} {passage} {prose(4, 20)}"), (4, None), (5, "same line here\n" * 30)]
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, kept string")).withColumn("kept", F.col("kept_")).collect()}
-    assert got == {1: (False, True), 2: (True, False), 3: (False, False), 4: (True, False), 5: (True, False)} or got[3] == (True, False)
+    assert got == {1: (False, True), 2: (True, False), 3: (False, False), 4: (True, False), 5: (True, False)}
     assert quality.judge(empty(spark)).count() == 0
 
 

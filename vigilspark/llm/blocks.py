@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1 << 18
 MAX_DOCS = 512
 U64 = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1
@@ -46,14 +46,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next block."""
+    """base**0 .. base**(n-1) modulo 2**64; those for a usual block are kept for the next one."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, MAX_BYTES + (1 << 16))
-        have = np.full(size, base, dtype=U64)
+        have = np.full(max(n, MAX_BYTES + (1 << 16)), base, dtype=U64)
         have[0] = 1
         have = np.cumprod(have)
-        if n <= 8 * MAX_BYTES:
+        if n <= MAX_BYTES + (1 << 16):
             _POWERS[base] = have
     return have[:n]
 

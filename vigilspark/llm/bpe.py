@@ -13,8 +13,10 @@ Null texts are empty and have no tokens; empty texts have no tokens.
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
+import struct
 
 import ahocorasick
 import numpy as np
@@ -22,11 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column_name, extended, prepare
+from .shared import column_name, extended, map_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Encoded words, and token pairs, that a worker keeps; each store is emptied beyond it, which only costs time.
-STORE = 300_000
+#: Encoded words, and token pairs, that a worker keeps.  Words are kept in two generations: when the younger one is full
+#: it replaces the older.  All stores are emptied when a task ends; what is forgotten only costs time.
+WORDS, PAIRS = 80_000, 200_000
 STORED_BYTES = 64
 
 
@@ -50,6 +53,7 @@ class Codec:
         self._apart: dict[tuple[int, int], bool] = {}
         self._known: dict[int, bool] = {}
         self._store: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self.prefixes = [self._shorter(i) for i in range(size)]
         self.reached = [bool(t) and self.merged(i) for i, t in enumerate(self.table)]
 
@@ -83,7 +87,7 @@ class Codec:
         key = (left, right) if below is None else (left, right, below)
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) >= STORE:
+            if len(self._apart) >= PAIRS:
                 self._apart.clear()
             found = self._apart[key] = self._stay_apart(left, right, below)
         return found
@@ -131,7 +135,7 @@ class Codec:
                         key = last << 32 | token
                         fits = known.get(key)
                         if fits is None:
-                            if len(known) >= STORE:
+                            if len(known) >= PAIRS:
                                 known.clear()
                             fits = known[key] = reached[token] and self._stay_apart(last, token, None)
                     if fits:
@@ -152,18 +156,28 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
-        return np.frombuffer(b"".join([*map(self._word, self.split(text))]), dtype="<u4")
+        words = self.split(text)
+        parts = [*map(self._store.get, words)]
+        if None in parts:
+            parts = [self._word(word) if part is None else part for word, part in zip(words, parts)]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
     def _word(self, word: str) -> bytes:
-        found = self._store.get(word)
+        found = self._store.get(word) or self._older.get(word)
         if found is None:
-            found = np.array(self.encode_bytes(word.encode("utf-8")), dtype="<u4").tobytes()
-            if len(word) <= STORED_BYTES:
-                if len(self._store) >= STORE:
-                    self._store.clear()
-                self._store[word] = found
+            ids = self.encode_bytes(word.encode("utf-8"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= STORED_BYTES:
+            if len(self._store) >= WORDS:
+                self._older, self._store = self._store, {}
+            self._store[word] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the stores."""
+        for store in (self._store, self._older, self._known, self._apart):
+            store.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join([*map(self.table.__getitem__, ids.tolist())])
 
@@ -186,55 +200,63 @@ def codec(path_bytes: bytes, pattern: str) -> Codec:
 
 
 def shared_codec(spark: SparkSession, path: str | None = None, pattern: str | None = None):
-    """A function that gives each worker its codec.  The driver reads the vocabulary file, whose size
-    doesn't grow with the data (checked: 64 MB at most), and broadcasts it."""
+    """A context that gives a task its worker's codec, and empties the codec's stores at the end.  The driver
+    reads the vocabulary file, whose size doesn't grow with the data (checked: 64 MB at most), and broadcasts it."""
     standard = default_vocabulary() if path is None or pattern is None else (None, None)
     with open(path or standard[0], "rb") as f:
         raw = f.read((64 << 20) + 1)
     if len(raw) > 64 << 20:
         raise ValueError("the vocabulary file exceeds 64 MB")
     held, split = spark.sparkContext.broadcast(raw), pattern or standard[1]
-    return lambda: codec(held.value, split)
+
+    @contextlib.contextmanager
+    def lent():
+        bpe = codec(held.value, split)
+        try:
+            yield bpe
+        finally:
+            bpe.forget()
+
+    return lent
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with ids (array of int), n_tokens and decoded (binary) for each row."""
-    spark = prepare(docs.sparkSession)
-    get = shared_codec(spark, path, pattern)
+    get = shared_codec(docs.sparkSession, path, pattern)
     ids, count, decoded = (column_name(docs, c) for c in ("ids", "n_tokens", "decoded"))
     schema = extended(docs, (ids, "array<int>"), (count, "long"), (decoded, "binary"))
 
     def encode(batches):
-        bpe = get()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            coded = [bpe.encode(t or "") for t in texts]
-            sizes = np.array([len(c) for c in coded], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array([bpe.decode(c) for c in coded], pa.binary())],
-                names=[f.name for f in schema])
+        with get() as bpe:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                coded = [bpe.encode(t or "") for t in texts]
+                sizes = np.array([len(c) for c in coded], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array([bpe.decode(c) for c in coded], pa.binary())],
+                    names=[f.name for f in schema])
 
-    return docs.mapInArrow(encode, schema)
+    return map_batches(docs, encode, schema)
 
 
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids stay in the task."""
-    get = shared_codec(prepare(docs.sparkSession), path, pattern)
+    get = shared_codec(docs.sparkSession, path, pattern)
 
     def digest(batches):
-        bpe = get()
-        for batch in batches:
-            count, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                coded = bpe.encode(text or "")
-                count.append(len(coded))
-                ids.append(hashlib.sha256(coded.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(coded)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        with get() as bpe:
+            for batch in batches:
+                count, ids, decoded = [], [], []
+                for text in batch.column(1).to_pylist():
+                    coded = bpe.encode(text or "")
+                    count.append(len(coded))
+                    ids.append(hashlib.sha256(coded).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(coded)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(docs.select("doc_id", "text"), digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

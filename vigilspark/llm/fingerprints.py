@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, mix
-from .shared import materialise, partitions, prepare
+from .shared import map_batches, partitions
 
 WINDOW = 32
 SHORT_WINDOW = 8
@@ -184,8 +184,7 @@ def entropy_rarity(docs: DataFrame) -> list[int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["step", "windows"])
 
-    prepare(docs.sparkSession)
-    found = docs.select("text").mapInArrow(count, "step int, windows long").groupBy("step").agg(F.sum("windows").alias("windows"))
+    found = map_batches(docs.select("text"), count, "step int, windows long").groupBy("step").agg(F.sum("windows").alias("windows"))
     windows = np.zeros(LEVELS + 1, dtype=np.int64)
     for row in found.collect():
         windows[row["step"]] = row["windows"]
@@ -233,7 +232,7 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def fingerprint(docs: DataFrame, rarity: list[int] | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the next text's beginning."""
-    spark = prepare(docs.sparkSession)
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = spark.sparkContext.broadcast(np.array(rarity if rarity is not None else entropy_rarity(docs), dtype=np.int64))
     rows, _ = with_next(docs)
@@ -271,7 +270,7 @@ def fingerprint(docs: DataFrame, rarity: list[int] | None = None) -> DataFrame:
             if ready:
                 yield finish(rank, ready, nexts)
 
-    return placed.mapInArrow(run, _SCHEMA)
+    return map_batches(placed, run, _SCHEMA)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column_name, extended, prepare
+from .shared import column_name, extended, map_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -319,7 +319,6 @@ def _chosen_text(tree: _Tree) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with text and n_chars instead of ``column``; clashing names get an underscore."""
-    prepare(pages.sparkSession)
     rest = pages.drop(column)
     names = [column_name(rest, "text"), column_name(rest, "n_chars")]
     schema = extended(rest, (names[0], "string"), (names[1], "long"))
@@ -329,7 +328,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in schema])
 
-    return pages.select(*rest.columns, column).mapInArrow(run, schema)
+    return map_batches(pages.select(*rest.columns, column), run, schema)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

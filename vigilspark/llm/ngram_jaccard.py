@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, chain, complete_groups, local_components, mix, ngram_hashes
-from .shared import connected_components, materialise, partitions, prepare, scatter, unpack
+from .shared import buckets, connected_components, map_batches, materialise, partitions, scatter, unpack
 
 BITS = 50  # of a shingle's hash; the rest of 64 bits hold the document's place in its block
 MASK = U64((1 << BITS) - 1)
 TILE = 1024
 SIGNATURE_BITS = 1024
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: From this threshold on the cells are as many as differing shingles, plus one; below, such cells would hold three
 #: shingles or fewer and tie most texts together, so a fixed number of larger cells is drawn.
 PIGEONHOLE = 87
@@ -176,13 +176,11 @@ def _combine(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([keys[head], own, own]), np.concatenate([ids[head], ties[:, 0], ties[:, 1]])
 
 
-def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, n: int, percent: int, wide: int) -> DataFrame:
     """(a, b): the name of a set (its first digest) tied to the smallest name that shares a cell with it.
 
-    Texts with equal sets are one node here, so copies make no edges."""
-    spark = docs.sparkSession
-    tasks = partitions(spark)
-    wide = max(256, tasks)
+    Texts with equal sets are one node here, so copies make no edges.  Digests meet in ``wide`` buckets."""
+    tasks = partitions(docs.sparkSession)
 
     def send(batches):
         keys, ids, held = [], [], 0
@@ -216,8 +214,8 @@ def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 tied = node != low
                 yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(low[tied])], names=["a", "b"])
 
-    packed = docs.select("text").mapInArrow(send, "bucket int, k binary, d binary")
-    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "a long, b long")
+    packed = map_batches(docs.select("text"), send, "bucket int, k binary, d binary")
+    return map_batches(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), receive, "a long, b long")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -239,7 +237,7 @@ def edge_links(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([at["a_id"].filter(ok), at["b_id"].filter(ok)], names=["a", "b"])
 
     # The leaders' side of a hub is one row, so Spark can split the other.
-    return edges.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id", "a_set", "b_set").mapInArrow(verify, "a long, b long")
+    return map_batches(edges.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id", "a_set", "b_set"), verify, "a long, b long")
 
 
 def _links(table: pa.Table, percent: int):
@@ -319,9 +317,9 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
                 names=["doc_id", "cluster", "n", "shingles", "name"],
             )
 
-    sets = materialise(
-        docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "cluster", "text")
-        .mapInArrow(to_sets, "doc_id long, cluster long, n long, shingles binary, name long"), "sets")
+    sets = materialise(map_batches(
+        docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "cluster", "text"),
+        to_sets, "doc_id long, cluster long, n long, shingles binary, name long"), "sets")
     whole = materialise(sets.groupBy("cluster").agg(F.count("*").alias("all_rows")), "whole")
     small = sets.join(whole.where(F.col("all_rows") <= TILE), "cluster").select(
         "cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), "doc_id", F.lit(-1).alias("side"), "n", "shingles", F.col("doc_id").alias("comp"))
@@ -347,7 +345,8 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     tiles = tiles.withColumn("tile", F.xxhash64("cluster", "x", "y"))
-    links = tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile").mapInArrow(link, "a long, b long")
+    links = map_batches(
+        tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile"), link, "a long, b long")
     return links if first is None else links.union(first)
 
 
@@ -355,7 +354,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over links, the row's own included."""
-    spark = prepare(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches):
@@ -364,13 +362,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             d1, d2 = set_digests(sets, off)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], names=["doc_id", "n_shingles", "d1", "d2"])
 
-    described = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long"), "described")
+    described = materialise(map_batches(docs, describe, "doc_id long, n_shingles long, d1 long, d2 long"), "described")
     # A table of its own, so that Spark can split a set that many rows share when both sides meet.
     same = materialise(described.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
     rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = materialise(candidate_edges(docs, n, percent).distinct(), "edges")
+    # A shingle makes four bytes of digests or so at 0.9, and a small text SAMPLED digests under PIGEONHOLE.
+    shingles = described.agg(F.sum(F.greatest("n_shingles", F.lit(SAMPLED if percent < PIGEONHOLE else 1)))).first()[0] or 0
+    edges = materialise(candidate_edges(docs, n, percent, buckets(docs.sparkSession, 8 * shingles)).distinct(), "edges")
     clusters = connected_components(edges, "candidates")
     members = rep.where("doc_id = rep").join(clusters, F.col("d1") == F.col("id")).groupBy("doc_id").agg(F.min("component").alias("cluster"))
     found = connected_components(verified_links(docs, members, edges, n, percent).union(copies), "links")

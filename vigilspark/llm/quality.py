@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, ngram_hashes
-from .shared import column_name, extended, prepare
+from .shared import column_name, extended, map_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -170,7 +170,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, covered_percent: int = MAX_COVERED_PERCENT, longest_percent: int = MAX_LONGEST_PERCENT) -> DataFrame:
     """``docs`` with the counts, base_failed and kept; columns that ``docs`` has already are kept too,
     the new ones then have an underscore appended."""
-    prepare(docs.sparkSession)
     names = {c: column_name(docs, c) for c in (*COUNTS, "base_failed", "kept")}
     schema = extended(docs, *((names[c], "long") for c in COUNTS))
 
@@ -182,7 +181,7 @@ def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, covered_percent: int =
     col = lambda c: F.col(names[c])
     failed = (col("n_words") < MIN_WORDS) | (100 * col("n_repeat_words") > MAX_REPEAT_PERCENT * col("n_words"))
     clean = (100 * col("n_covered_words") <= covered_percent * col("n_words")) & (100 * col("longest_repeat") <= longest_percent * col("n_words"))
-    return docs.mapInArrow(run, schema).withColumn(names["base_failed"], failed).withColumn(names["kept"], ~failed & clean)
+    return map_batches(docs, run, schema).withColumn(names["base_failed"], failed).withColumn(names["kept"], ~failed & clean)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

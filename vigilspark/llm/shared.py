@@ -1,7 +1,10 @@
-"""Session plumbing that the operators share: batch size, partition counts, shared folder."""
+"""Session plumbing that the operators share: batch size, partition counts, shared folder, workers' memory."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,16 +18,20 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: whole texts travel in batches, so keep few of them together.
 BATCH_ROWS = "512"
-
+_BATCH_SETTING, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Bytes of input for each bucket that a task sorts at once; tables of more bytes get more buckets.
+BUCKET_BYTES = 4 << 20
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches for wide text rows (the default of 10,000 rows could hold gigabytes),
-    and this package on the executors' path, once for each application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Small Arrow batches for wide text rows, unless the session has a size of its own, and this
+    package on the executors' path, once for each application."""
+    if spark.conf.get(_BATCH_SETTING) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
@@ -42,20 +49,72 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession, size: int) -> int:
+    """Buckets for ``size`` bytes of input, so that what a task sorts at once doesn't grow with the input."""
+    return max(256, partitions(spark), -(-size // BUCKET_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset a local run gets a temporary one; a cluster must name one that executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="vigilspark-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _LOCAL.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="vigilspark-")
         _LOCAL[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and reread it: lineage ends there, and it survives executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/vigilspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what :func:`materialise` wrote inside; the caller has stored the result by then."""
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[mark:]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.remove(path)
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's pool and malloc hold unused: idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, work, schema) -> DataFrame:
+    """``df.mapInArrow(work, schema)``, whose workers give their memory back when a task ends."""
+    prepare(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def column_name(df: DataFrame, wanted: str) -> str:
@@ -94,11 +153,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Alternating large-star and small-star steps (Kiveris et al. 2014).  Minima are partial
     aggregates and are joined back, so a hub's neighbours never sit in one task's memory; every
-    round is a table in the shared folder.  Ids without an edge have no row.
+    round is a table in the shared folder, which replaces the round before.  Ids without an edge
+    have no row.
     """
-    edges = materialise(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
+    edges, path = _written(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
 
     def state(df):
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -115,7 +174,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialise(small, name)
+        old = path
+        edges, path = _written(small, name)
+        _delete(edges.sparkSession, old)
         after = state(edges)
         if after == before:
             break

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, complete_groups, mix
-from .shared import column_name, extended, materialise, partitions, prepare, scatter, unpack
+from .shared import buckets, column_name, extended, map_batches, materialise, partitions, scatter, unpack
 
 LENGTH = 200
 GRAM = 72
-FLUSH = 500_000
-HOT = 20_000
+FLUSH = 150_000
+HOT = 2_000
 _POSITION_BITS = 22  # of a block's bytes; longer texts take more
 
 
@@ -76,65 +76,72 @@ def anchored_units(block: Block, length: int, gram: int):
     return doc, first, run, anchor, h[anchor], block.span_hash(first, first + run + length - 1, prefix=prefix)
 
 
-def _sorted_units(h, u, rid, start):
-    order = np.lexsort((start, rid, u, h))
+def _sorted_units(h, u, rid, tid, start):
+    order = np.lexsort((start, tid, rid, u, h))
     h, u = h[order], u[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
     new_u = new_h | np.concatenate([[True], u[1:] != u[:-1]])
     return order, new_h, new_u
 
 
-_SPANS = "rid long, lo int, hi int, lead long, gram long, skip int"
+_FOUND = "rid long, tid int, lo int, hi int"
+_SPANS = _FOUND + ", lead long, gram long, skip int"
 
 
-def _spans(rid, lo, hi, lead=None, gram=None, skip=None):
+def _spans(rid, tid, lo, hi, lead=None, gram=None, skip=None):
     """Rows of _SPANS: removed bytes, or with ``gram`` a unit whose bytes are wanted."""
     n = len(rid)
     nulls = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), nulls if lead is None else pa.array(lead),
+        [pa.array(rid), pa.array(tid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), nulls if lead is None else pa.array(lead),
          nulls if gram is None else pa.array(gram), pa.nulls(n, pa.int32()) if skip is None else pa.array(skip.astype(np.int32))],
-        names=["rid", "lo", "hi", "lead", "gram", "skip"])
+        names=["rid", "tid", "lo", "hi", "lead", "gram", "skip"])
 
 
-def settle_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans that repeat as whole units, and the units still to be compared (with ``gram``)."""
+def _row_hash(rid: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    return mix(mix(rid.view(U64)) ^ tid.astype(np.int64).view(U64))
+
+
+_UNITS = {"h": U64, "u": U64, "rid": np.int64, "tid": np.int32, "start": np.int32, "run": np.int16, "skip": np.int16, "lead": np.int64}
+
+
+def settle_units(docs: DataFrame, length: int, gram: int, wide: int) -> DataFrame:
+    """Spans that repeat as whole units, and the units still to be compared (with ``gram``).
+
+    Units meet in ``wide`` buckets by their anchor's string, packed by task and bucket."""
     tasks = partitions(docs.sparkSession)
-    wide = max(256, tasks)
+    names = ["bucket", *_UNITS, "many"]
+
+    def packed(bucket, columns):
+        batch = scatter((bucket % U64(wide)).astype(np.int64), columns)
+        have = dict(zip(batch.schema.names, batch.columns))
+        return pa.RecordBatch.from_arrays([have.get(n, pa.nulls(batch.num_rows, pa.binary())) for n in names], names=names)
 
     def send(batches):
         kept: list[list[np.ndarray]] = []
         held = 0
 
         def flush():
-            h, u, rid, start, run, skip, lead = (np.concatenate(x) for x in zip(*kept))
+            units = dict(zip(_UNITS, (np.concatenate(x) for x in zip(*kept))))
             # Units met twice here are settled; one of each goes on, marked, to meet the others.
-            order, _, new_u = _sorted_units(h, u, rid, start)
+            order, _, new_u = _sorted_units(*(units[c] for c in ("h", "u", "rid", "tid", "start")))
             group = np.cumsum(new_u) - 1
             many = np.bincount(group)[group] > 1
             rest = order[many & ~new_u]
-            packs = []
-            if len(rest):
-                packs.append((rid[rest].view(U64), {"h": h[rest], "u": u[rest], "rid": rid[rest], "start": start[rest], "run": run[rest], "skip": skip[rest], "lead": lead[rest], "many": np.full(len(rest), 2, np.int8)}))
+            if len(rest):  # settled spans only pass through
+                yield packed(_row_hash(units["rid"][rest], units["tid"][rest]), {
+                    **{c: units[c][rest] for c in ("rid", "tid", "start", "run")}, "many": np.full(len(rest), 2, np.int8)})
             one = order[new_u]
-            packs.append((h[one], {"h": h[one], "u": u[one], "rid": rid[one], "start": start[one], "run": run[one], "skip": skip[one], "lead": lead[one], "many": many[new_u].astype(np.int8)}))
-            for key, columns in packs:
-                if columns["many"][0] == 2:  # settled spans only pass through
-                    columns = columns | {"h": np.zeros(0, U64), "u": np.zeros(0, U64), "skip": np.zeros(0, np.int16), "lead": np.zeros(0, np.int64)}
-                    whole = {k: v for k, v in columns.items() if len(v)}
-                    batch = scatter((key % U64(wide)).astype(np.int64), whole)
-                    yield _fill(batch)
-                else:
-                    yield _fill(scatter((key % U64(wide)).astype(np.int64), columns))
+            yield packed(units["h"][one], {**{c: v[one] for c, v in units.items()}, "many": many[new_u].astype(np.int8)})
 
         for rows, block in blocks(batches):
             doc, start, run, anchor, h, u = anchored_units(block, length, gram)
             if not len(doc):
                 continue
-            rid = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+            rid, tid = (rows.column(i).to_numpy(zero_copy_only=False)[doc] for i in range(2))
             words = np.ndarray((max(len(block.data) - 7, 0),), dtype=">u8", buffer=np.ascontiguousarray(block.data), strides=(1,))
-            lead = (words[anchor] >> U64(1)).astype(np.int64)
-            kept.append([h, u, rid, (start - block.off[doc]).astype(np.int32), run.astype(np.int16), (anchor - start).astype(np.int16), lead])
+            found = (h, u, rid, tid, start - block.off[doc], run, anchor - start, words[anchor] >> U64(1))
+            kept.append([v.astype(kind, copy=False) for v, kind in zip(found, _UNITS.values())])
             held += len(doc)
             if held >= FLUSH:
                 yield from flush()
@@ -147,33 +154,26 @@ def settle_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
             through = np.array([m[:1] == b"\x02" for m in table.column("many").to_pylist()], dtype=bool)
             passed = table.filter(pa.array(through))
             if passed.num_rows:
-                rid, start, run = unpack(passed, "rid", np.int64), unpack(passed, "start", np.int32), unpack(passed, "run", np.int16)
-                yield _spans(rid, start, start + run + (length - 1))
+                rid, tid, start, run = (unpack(passed, c, _UNITS[c]) for c in ("rid", "tid", "start", "run"))
+                yield _spans(rid, tid, start, start + run + (length - 1))
             table = table.filter(pa.array(~through))
             if not table.num_rows:
                 continue
-            h, u, rid = unpack(table, "h", U64), unpack(table, "u", U64), unpack(table, "rid", np.int64)
-            start, run, skip = unpack(table, "start", np.int32), unpack(table, "run", np.int16), unpack(table, "skip", np.int16)
-            many, lead = unpack(table, "many", np.int8), unpack(table, "lead", np.int64)
-            order, new_h, new_u = _sorted_units(h, u, rid, start)
+            h, u, rid, tid, start, run, skip, lead = (unpack(table, c, kind) for c, kind in _UNITS.items())
+            many = unpack(table, "many", np.int8)
+            order, new_h, new_u = _sorted_units(h, u, rid, tid, start)
             by_u, by_h = np.cumsum(new_u) - 1, np.cumsum(new_h) - 1
-            settled = np.bincount(by_u, weights=1 + many[order]) [by_u] > 1
-            yield _spans(rid[order][settled], start[order][settled], (start[order] + run[order])[settled] + (length - 1))
+            settled = np.bincount(by_u, weights=1 + many[order])[by_u] > 1
+            done = order[settled]
+            yield _spans(rid[done], tid[done], start[done], start[done] + run[done] + (length - 1))
             # A string whose units are all settled, or that has one unit, needs no comparison.
             texts = np.bincount(by_h[new_u])
             still = np.bincount(by_h, weights=~settled) > 0
             ask = order[new_u & (still & (texts > 1))[by_h]]
-            yield _spans(rid[ask], start[ask], start[ask] + run[ask] + (length - 1), lead[ask], h[ask].view(np.int64), skip[ask])
-
-    packed = docs.select("rid", "text").mapInArrow(
-        send, "bucket int, h binary, u binary, rid binary, start binary, run binary, skip binary, lead binary, many binary")
-    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, _SPANS)
-
+            yield _spans(rid[ask], tid[ask], start[ask], start[ask] + run[ask] + (length - 1), lead[ask], h[ask].view(np.int64), skip[ask])
 
-def _fill(batch: pa.RecordBatch) -> pa.RecordBatch:
-    names = ["bucket", "h", "u", "rid", "start", "run", "skip", "lead", "many"]
-    have = dict(zip(batch.schema.names, batch.columns))
-    return pa.RecordBatch.from_arrays([have.get(n, pa.nulls(batch.num_rows, pa.binary())) for n in names], names=names)
+    sent = map_batches(docs.select("rid", "tid", "text"), send, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:]))
+    return map_batches(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket"), receive, _SPANS)
 
 
 def repeated_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -210,19 +210,24 @@ def _windows(units: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
     return unit, np.arange(len(unit)) - np.repeat(np.cumsum(run) - run, run)
 
 
-def _runs(rid: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
-    """(rid, lo, hi) of windows, consecutive ones of a row as one span."""
-    order = np.lexsort((lo, rid))
-    rid, lo = rid[order], lo[order]
-    head = np.concatenate([[True], (rid[1:] != rid[:-1]) | (lo[1:] > lo[:-1] + 1)])
+def _runs(rid: np.ndarray, tid: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
+    """(rid, tid, lo, hi) of windows, consecutive ones of a row as one span."""
+    order = np.lexsort((lo, tid, rid))
+    rid, tid, lo = rid[order], tid[order], lo[order]
+    head = np.concatenate([[True], (rid[1:] != rid[:-1]) | (tid[1:] != tid[:-1]) | (lo[1:] > lo[:-1] + 1)])
     tail = np.append(head[1:], True)
-    return pa.RecordBatch.from_arrays([pa.array(rid[head]), pa.array(lo[head].astype(np.int32)), pa.array((lo[tail] + length).astype(np.int32))], names=["rid", "lo", "hi"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rid[head]), pa.array(tid[head]), pa.array(lo[head].astype(np.int32)), pa.array((lo[tail] + length).astype(np.int32))], names=["rid", "tid", "lo", "hi"])
+
+
+_WINDOWS = {"h": U64, "g": U64, "at": np.int64, "of": np.int32, "low": np.int32, "many": np.int8}
 
 
-def match_windows(units: DataFrame, length: int) -> DataFrame:
-    """(rid, lo, hi): repeated spans of units (rid, lo, bytes) of hot leads, by the hashes of their windows."""
+def match_windows(units: DataFrame, length: int, wide: int = 1024) -> DataFrame:
+    """(rid, tid, lo, hi): repeated spans of units (rid, tid, lo, bytes) of hot leads, by the hashes of their windows."""
     tasks = partitions(units.sparkSession)
-    wide = max(1024, tasks)
+    wide = max(wide, tasks)
+    names = ["bucket", *_WINDOWS, "rid", "tid", "lo", "hi"]
 
     def groups(h, g):
         order = np.lexsort((g, h))
@@ -234,27 +239,28 @@ def match_windows(units: DataFrame, length: int) -> DataFrame:
         held = 0
 
         def flush():
-            h, g, rid, lo = (np.concatenate(x) for x in zip(*kept))
+            h, g, rid, tid, lo = (np.concatenate(x) for x in zip(*kept))
             order, new, group = groups(h, g)
             many = np.bincount(group) > 1
             rest = order[many[group] & ~new]
             if len(rest):
-                spans = _runs(rid[rest], lo[rest], length)
-                yield pa.RecordBatch.from_arrays([pa.array((spans.column(0).to_numpy().view(U64) % U64(wide)).astype(np.int32)), *(pa.nulls(len(spans), pa.binary()) for _ in range(5)), *spans.columns], names=names)
+                spans = _runs(rid[rest], tid[rest], lo[rest], length)
+                to = _row_hash(spans.column(0).to_numpy(), spans.column(1).to_numpy()) % U64(wide)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(pa.nulls(len(spans), pa.binary()) for _ in _WINDOWS), *spans.columns], names=names)
             one = order[new]
-            batch = scatter((h[one] % U64(wide)).astype(np.int64), {"h": h[one], "g": g[one], "at": rid[one], "low": lo[one], "many": many.astype(np.int8)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int32())], names=names)
+            batch = scatter((h[one] % U64(wide)).astype(np.int64), {"h": h[one], "g": g[one], "at": rid[one], "of": tid[one], "low": lo[one], "many": many.astype(np.int8)})
+            none = [pa.nulls(len(batch), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *none], names=names)
 
-        names = ["bucket", "h", "g", "at", "low", "many", "rid", "lo", "hi"]
         for rows, block in blocks(batches, "bytes"):
             unit, step = _windows(block, length)
             at, half, prefix = block.off[unit] + step, length // 2, block.prefix_hash()
             h = block.span_hash(at, at + length, prefix=prefix)
             g = mix(block.span_hash(at, at + half, prefix=prefix)) + block.span_hash(at + half, at + length, prefix=prefix)
-            rid, lo = rows.column(rows.schema.get_field_index("rid")).to_numpy()[unit], rows.column(rows.schema.get_field_index("lo")).to_numpy()[unit]
-            kept.append([h, g, rid, (lo + step).astype(np.int32)])
+            rid, tid, lo = (rows.column(rows.schema.get_field_index(c)).to_numpy()[unit] for c in ("rid", "tid", "lo"))
+            kept.append([h, g, rid, tid, (lo + step).astype(np.int32)])
             held += len(unit)
-            if held >= FLUSH:
+            if held >= 3 * FLUSH:
                 yield from flush()
                 kept, held = [], 0
         if held:
@@ -263,35 +269,35 @@ def match_windows(units: DataFrame, length: int) -> DataFrame:
     def receive(batches):
         for table in complete_groups(batches, ["bucket"]):
             through = pc.is_valid(table.column("rid"))
-            passed = table.filter(through).select(["rid", "lo", "hi"])
-            yield from passed.to_batches()
+            yield from table.filter(through).select(["rid", "tid", "lo", "hi"]).to_batches()
             table = table.filter(pc.invert(through))
             if not table.num_rows:
                 continue
-            h, g, rid = unpack(table, "h", U64), unpack(table, "g", U64), unpack(table, "at", np.int64)
-            lo, many = unpack(table, "low", np.int32), unpack(table, "many", np.int8)
+            h, g, rid, tid, lo, many = (unpack(table, c, kind) for c, kind in _WINDOWS.items())
             order, _, group = groups(h, g)
             found = order[np.bincount(group, weights=1 + many[order])[group] > 1]
             if len(found):
-                yield _runs(rid[found], lo[found], length)
+                yield _runs(rid[found], tid[found], lo[found], length)
 
-    packed = units.select("rid", "lo", "bytes").mapInArrow(
-        send, "bucket int, h binary, g binary, at binary, low binary, many binary, rid long, lo int, hi int")
-    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "rid long, lo int, hi int")
+    packed = map_batches(
+        units.select("rid", "tid", "lo", "bytes"), send, "bucket int, " + ", ".join(f"{c} binary" for c in _WINDOWS) + ", " + _FOUND)
+    return map_batches(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), receive, _FOUND)
 
 
-def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(rid, lo, hi): repeated spans of the wanted units, compared by their bytes; by hashes for leads of over ``hot`` units."""
+def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, wide: int, hot: int = HOT) -> DataFrame:
+    """(rid, tid, lo, hi): repeated spans of the wanted units, compared by their bytes; by hashes for leads of over ``hot`` units."""
     spark = docs.sparkSession
+    row = ["rid", "tid"]
+    ask = ["lo", "hi", "lead", "gram", "skip"]
+    sent = {"lead": pa.int64(), "gram": pa.int64(), "skip": pa.int32(), "rid": pa.int64(), "tid": pa.int32(), "lo": pa.int32(), "bytes": pa.binary()}
 
     def fetch(batches):
         for batch in batches:
-            for rid, text, asks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: list[tuple] = []
+            for rid, tid, text, asks in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = text.encode() if isinstance(text, str) else text
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["lead"] for a in asks], pa.int64()), pa.array([a["gram"] for a in asks], pa.int64()), pa.array([a["skip"] for a in asks], pa.int32()),
-                     pa.array([rid] * len(asks), pa.int64()), pa.array([a["lo"] for a in asks], pa.int32()), pa.array([data[a["lo"]:a["hi"]] for a in asks], pa.binary())],
-                    names=["lead", "gram", "skip", "rid", "lo", "bytes"])
+                out += [(a["lead"], a["gram"], a["skip"], rid, tid, a["lo"], data[a["lo"]:a["hi"]]) for a in asks]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), sent.values())], names=list(sent))
 
     def bucket(batches):
         for table in complete_groups(batches, ["lead", "gram"]):
@@ -301,41 +307,50 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, hot: int =
             gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
             found = repeated_suffixes(units.data, at, gram[unit] * (length + 1) + table.column("skip").to_numpy()[unit] - step, length)
             unit, step = unit[found], step[found]
-            if not len(unit):
-                continue
-            head = np.concatenate([[True], (unit[1:] != unit[:-1]) | (step[1:] != step[:-1] + 1)])
-            tail = np.append(head[1:], True)
-            rid, lo = table.column("rid").to_numpy()[unit[head]], table.column("lo").to_numpy()[unit[head]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array((lo + step[head]).astype(np.int32)), pa.array((lo + step[tail] + length).astype(np.int32))], names=["rid", "lo", "hi"])
+            if len(unit):
+                rid, tid, lo = (table.column(c).to_numpy()[unit] for c in ("rid", "tid", "lo"))
+                yield _runs(rid, tid, lo + step, length)
 
     def fetched(asked: DataFrame) -> DataFrame:
-        asks = asked.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "lead", "gram", "skip")).alias("asks"))
-        return docs.select("rid", "text").join(asks, "rid").mapInArrow(fetch, "lead long, gram long, skip int, rid long, lo int, bytes binary")
+        # Units of rows that occur twice are settled, so each row here is one of its kind and asks once for a unit.
+        asks = asked.groupBy(*row).agg(F.collect_list(F.struct(*ask)).alias("asks"))
+        return map_batches(docs.select(*row, "text").join(asks, row), fetch, "lead long, gram long, skip int, rid long, tid int, lo int, bytes binary")
 
-    # At most one row for each ``hot`` units.
+    # Leads of many units: at most one row for each ``hot`` units, so Spark chooses how to join them.
     leads = materialise(wanted.groupBy("lead").count().where(F.col("count") > hot).select("lead"), "hot")
     some = not leads.isEmpty()
-    units = fetched(wanted.join(F.broadcast(leads), "lead", "left_anti") if some else wanted)
-    cold = units.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "gram").mapInArrow(bucket, "rid long, lo int, hi int")
-    return cold.union(match_windows(fetched(wanted.join(F.broadcast(leads), "lead", "left_semi")), length)) if some else cold
+    units = fetched(wanted.join(leads, "lead", "left_anti") if some else wanted)
+    cold = map_batches(units.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead", "gram"), bucket, _FOUND)
+    return cold.union(match_windows(fetched(wanted.join(leads, "lead", "left_semi")), length, 4 * wide)) if some else cold
+
+
+def _row_keys(docs: DataFrame) -> tuple:
+    """Two columns that name a row: its doc_id and a hash of its text, so rows share them only if both agree.
+
+    Rows without a doc_id go by a longer hash of the text, ids that aren't whole numbers by their hash."""
+    number = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    by_id = F.col("doc_id").cast("long") if number else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(by_id, F.xxhash64("text")), F.hash("text")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, decode: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with kept (binary), n_bytes, n_removed, n_spans, kept_sha256.
 
-    ``kept`` is what is left of the text's UTF-8 bytes.  Names that ``docs`` has already get an underscore."""
-    prepare(docs.sparkSession)
-    rid = F.xxhash64("doc_id", "text")
-    keyed = docs.select(rid.alias("rid"), F.col("text").cast("string").alias("text"))
-    spans = materialise(settle_units(keyed, length, gram), "units")
-    compared = compare_suffixes(keyed, spans.where("gram is not null"), length, hot)
-    removed = spans.where("gram is null").select("rid", "lo", "hi").union(compared).groupBy("rid").agg(
+    ``kept`` is what is left of the text's UTF-8 bytes; with ``decode`` it is a string, without the bytes
+    of characters that are only partly left.  Names that ``docs`` has already get an underscore."""
+    rid, tid = _row_keys(docs)
+    keyed = docs.select(rid.alias("rid"), tid.alias("tid"), F.col("text").cast("string").alias("text"))
+    wide = buckets(docs.sparkSession, keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    spans = materialise(settle_units(keyed, length, gram, wide), "units")
+    compared = compare_suffixes(keyed, spans.where("gram is not null"), length, wide, hot)
+    # A set: rows that are equal in doc_id and text share their spans, however many they are.
+    removed = spans.where("gram is null").select("rid", "tid", "lo", "hi").union(compared).groupBy("rid", "tid").agg(
         F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    key = column_name(docs, "rid")
+    keys = column_name(docs, "rid"), column_name(docs, "tid")
     mark = column_name(docs, "spans")
-    whole = docs.withColumn(key, rid).join(removed.select(F.col("rid").alias(key), F.col("spans").alias(mark)), key, "left").drop(key)
-    added = zip(("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"), ("binary", "long", "long", "long", "string"))
+    whole = docs.withColumns(dict(zip(keys, (rid, tid)))).join(
+        removed.select(F.col("rid").alias(keys[0]), F.col("tid").alias(keys[1]), F.col("spans").alias(mark)), list(keys), "left").drop(*keys)
+    added = zip(("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"), ("string" if decode else "binary", "long", "long", "long", "string"))
     schema = extended(whole.drop(mark), *((column_name(docs, name), kind) for name, kind in added))
 
     def cut(batches):
@@ -357,13 +372,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                         spans, lost, at = spans + 1, lost + j - i, j
                 parts.append(text[at:])
                 left = b"".join(parts)
-                kept.append(left), size.append(len(text)), gone.append(lost), runs.append(spans)
+                kept.append(left.decode("utf-8", "ignore") if decode else left)
+                size.append(len(text)), gone.append(lost), runs.append(spans)
                 digest.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())],
+                [*columns, pa.array(kept, pa.string() if decode else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())],
                 names=[f.name for f in schema])
 
-    return whole.mapInArrow(cut, schema)
+    return map_batches(whole, cut, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Codec, shared_codec
-from .shared import column_name, extended, prepare
+from .shared import column_name, extended, map_batches
 
 RULES = ("start", "end", "largest")
 
@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, separator: st
     ``separator`` after each but the last; a separator belongs to the field before it."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    get = shared_codec(prepare(docs.sparkSession), path, pattern)
+    get = shared_codec(docs.sparkSession, path, pattern)
     text, lengths = column_name(docs, "rendered"), column_name(docs, "lengths")
     if fields is None:
         staged = docs.withColumn(text, F.col("text").cast("string")).withColumn(lengths, F.lit(None).cast("array<int>"))
@@ -79,16 +79,16 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, separator: st
     schema = extended(docs, (names[0], "long"), (names[1], "long"), (names[2], "array<long>"), (names[3], "long"))
 
     def run(batches):
-        codec = get()
-        for batch in batches:
-            texts, sizes = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            found = [count_one(codec, t, s, rule) for t, s in zip(texts, sizes)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.int64())],
-                names=[f.name for f in schema])
-
-    return staged.mapInArrow(run, schema)
+        with get() as codec:
+            for batch in batches:
+                texts, sizes = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                found = [count_one(codec, t, s, rule) for t, s in zip(texts, sizes)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-2], pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()),
+                     pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.int64())],
+                    names=[f.name for f in schema])
+
+    return map_batches(staged, run, schema)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

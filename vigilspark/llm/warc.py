@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, prepare, shared_folder
+from .shared import map_batches, prepare, shared_folder
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame: magic 0x184D2A50 and four zero bytes of length.
@@ -37,6 +37,10 @@ SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 8192, 64 << 10
 LEVEL = 6
 #: Records of one decoded batch, so that a file never is in memory decoded as a whole.
 BATCH_BYTES = 4 << 20
+#: An archive ends after so many frames, or as soon as it has so many bytes: readers take files whole.
+ARCHIVE_FRAMES, ARCHIVE_BYTES = 20_000, 256 << 20
+#: Bytes that a decoder is given first; what it leaves of them is copied, so a frame's cost doesn't grow with the file.
+WINDOW = 8 << 10
 
 
 class InvalidRecord(ValueError):
@@ -87,9 +91,10 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
-def read_archive(data: bytes):
-    """Records of one ``.warc.zst`` file, in order, validated."""
-    view, at, decoder = memoryview(data), 0, zstandard.ZstdDecompressor()
+def read_archive(data):
+    """Records of one ``.warc.zst`` file, given as anything with bytes, in order, validated; linear in the file."""
+    data = view = memoryview(data)
+    at, decoder = 0, zstandard.ZstdDecompressor()
     first = True
     while at < len(data):
         if len(data) - at < 4:
@@ -111,12 +116,14 @@ def read_archive(data: bytes):
                 decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
             at += 8 + size
         else:
-            one = decoder.decompressobj()
-            record = one.decompress(view[at:])
-            if not one.eof:
-                raise InvalidRecord("a frame is cut off")
-            at = len(data) - len(one.unused_data)
-            yield parse_record(record)
+            one, parts, window = decoder.decompressobj(), [], WINDOW
+            while not one.eof:
+                if at >= len(data):
+                    raise InvalidRecord("a frame is cut off")
+                parts.append(one.decompress(view[at:at + window]))
+                at, window = min(at + window, len(data)), 2 * window
+            at -= len(one.unused_data)
+            yield parse_record(b"".join(parts))
         first = False
 
 
@@ -133,7 +140,10 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html) to archives under ``path``."""
+    """Write a record for each row of ``pages`` (page_id, url, html) to archives under ``path``.
+
+    Each archive begins with the dictionary.  Spark's writer begins a new file after ARCHIVE_FRAMES rows; one
+    that reaches ARCHIVE_BYTES before is filled up with empty rows, of which only separators stay."""
     spark = prepare(pages.sparkSession)
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages))
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -147,8 +157,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     def encode(batches):
         held = dictionary.value
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(held)) if held else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<II", DICTIONARY_MAGIC, len(held)) + held], pa.binary())], names=["frame"])
+        lead = struct.pack("<II", DICTIONARY_MAGIC, len(held)) + held if held else b""
+        rows, size = 0, 0  # of the file that is being written
         for batch in batches:
             frames = []
             for page_id, url, page, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
@@ -160,11 +170,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                     extra += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{name(refers_to)}>"), ("X-Refers-To-Page-ID", str(refers_to))]
                 extra.append(("X-Payload-Length", str(len(payload))))
                 record = build_record("response" if refers_to is None else "revisit", name(page_id), url, payload if refers_to is None else b"", digest, len(payload), extra)
+                if rows and size >= ARCHIVE_BYTES:
+                    frames += [b""] * (ARCHIVE_FRAMES - rows)
+                    rows = ARCHIVE_FRAMES
+                if rows in (0, ARCHIVE_FRAMES):
+                    frames.append(lead)
+                    rows, size = 1, len(lead)
                 frames.append(packer.compress(record))
+                rows, size = rows + 1, size + len(frames[-1])
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    marked.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option(
-        "lineSep", SEPARATOR.decode("ascii")).text(path)
+    map_batches(marked, encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option(
+        "lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", ARCHIVE_FRAMES).text(path)
 
 
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -172,8 +189,6 @@ _RECORDS = "page_id long, url string, record_type string, refers_to long, payloa
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Validated records of all archives under ``path``; an invalid record fails the read."""
-    prepare(spark)
-
     def decode(batches):
         rows, size = [], 0
 
@@ -183,7 +198,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
         for batch in batches:
             for content in batch.column(0):
-                for fields, payload in read_archive(content.as_buffer().to_pybytes()):
+                for fields, payload in read_archive(content.as_buffer()):
                     kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     length = int(fields["x-payload-length"]) if "x-payload-length" in fields else len(payload)
                     if kind == "response" and length != len(payload):
@@ -197,7 +212,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         if rows:
             yield flush()
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(decode, _RECORDS)
+    return map_batches(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"), decode, _RECORDS)
 
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
