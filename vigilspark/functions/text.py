@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.operators.sizes import small
+from vigilspark.operators.contain import contained
 
 #: Character references that feeds use.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -166,7 +166,7 @@ def expand_keys(name: Column, aliases: Column) -> Column:
     """Search keys: name, base without brackets, bracketed acronyms, base without a common suffix, aliases; from two characters."""
     base = F.trim(F.regexp_replace(name, r"\s*\([^)]*\)", ""))
     inner = F.regexp_extract_all(name, F.lit(r"\(([A-Za-z0-9-]+)\)"), 1)
-    plain = F.trim(F.regexp_replace(base, r"(?i)\s+(?:disease|virus infection|infection|syndrome|fever)$", ""))
+    plain = F.trim(F.regexp_replace(base, r"(?i)\s+(?:condition|virus infection|infection|syndrome|fever)$", ""))
     keys = F.concat(F.array(name, base, plain), inner, F.coalesce(aliases, F.array().cast("array<string>")))
     return F.array_distinct(F.filter(F.transform(keys, lambda k: F.lower(F.trim(k))), lambda k: F.length(k) >= 2))
 
@@ -175,7 +175,7 @@ def glossary_gaps(pages: DataFrame, watched: DataFrame, terms: DataFrame) -> Dat
     """(word, pages, state): watched words on pages without a definition, and definitions no page uses."""
     words = watched.select(F.lower("word").alias("word")).distinct()
     known = terms.select(F.lower("word").alias("word")).distinct()
-    every = small(words.union(known).distinct())
-    used = pages.select("page_id", F.lower("text").alias("_t")).join(every, F.col("_t").contains(F.col("word"))).groupBy("word").agg(F.countDistinct("page_id").alias("pages"))
+    every = words.union(known).distinct()
+    used = contained(pages.select("page_id", F.lower("text").alias("_t")), every, "_t", "word", ["page_id"]).groupBy("word").agg(F.countDistinct("page_id").alias("pages"))
     missing = words.join(known, "word", "left_anti").join(used, "word").select("word", "pages", F.lit("undefined").alias("state"))
     return missing.unionByName(known.join(used, "word", "left_anti").select("word", F.lit(0).cast("long").alias("pages"), F.lit("unused").alias("state")))

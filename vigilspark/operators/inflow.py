@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.sizes import small
+from vigilspark.operators.contain import contained
+from vigilspark.operators.order import numbered
 
 
 class Unresolved(ValueError):
@@ -47,9 +48,9 @@ def assemble_entity_table(sources: dict[str, DataFrame], key: str, home: str | N
 
 
 def designation_match(reports: DataFrame, designations: DataFrame, scope: DataFrame) -> DataFrame:
-    """(disease, country, n, hit) of the diseases in scope, misses by n first."""
-    marked = designations.select("country", "disease").distinct().withColumn("hit", F.lit(True))
-    return reports.join(scope, "disease", "left_semi").groupBy("country", "disease").agg(F.sum("n").alias("n")).join(marked, ["country", "disease"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """(condition, country, n, hit) of the conditions in scope, misses by n first."""
+    marked = designations.select("country", "condition").distinct().withColumn("hit", F.lit(True))
+    return reports.join(scope, "condition", "left_semi").groupBy("country", "condition").agg(F.sum("n").alias("n")).join(marked, ["country", "condition"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def list_membership_flags(df: DataFrame, key: str, lists: dict[str, DataFrame]) -> DataFrame:
@@ -65,14 +66,14 @@ def wide_kinds_merge(df: DataFrame, keys: list[str], kinds: list[str]) -> DataFr
 
 def notices_mentioning(entities: DataFrame, notices: DataFrame, after: str) -> DataFrame:
     """(entity, effective, note) of the notices after a date whose note names the entity."""
-    return notices.where(F.col("effective") > after).join(small(entities), F.col("note").contains(F.col("entity"))).select("entity", "effective", "note")
+    return contained(notices.where(F.col("effective") > after), entities.select("entity").distinct(), "note", "entity").select("entity", "effective", "note")
 
 
 def imports_by_country(df: DataFrame) -> DataFrame:
-    """Per country: n, diseases by n (desc, name), first and last (year, week)."""
-    by = df.groupBy("country", "disease").agg(F.sum("n").alias("n"), F.min(F.struct("year", "week")).alias("first"), F.max(F.struct("year", "week")).alias("last"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "disease", "n"))), lambda x: F.struct(x.disease.alias("disease"), x.n.alias("n")))
-    return by.groupBy("country").agg(F.sum("n").alias("n"), ordered.alias("diseases"), F.min("first").alias("first"), F.max("last").alias("last"))
+    """Per country: n, conditions by n (desc, name), first and last (year, week)."""
+    by = df.groupBy("country", "condition").agg(F.sum("n").alias("n"), F.min(F.struct("year", "week")).alias("first"), F.max(F.struct("year", "week")).alias("last"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "condition", "n"))), lambda x: F.struct(x.condition.alias("condition"), x.n.alias("n")))
+    return by.groupBy("country").agg(F.sum("n").alias("n"), ordered.alias("conditions"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def monthly_entries(df: DataFrame, low: str, high: str) -> DataFrame:
@@ -98,27 +99,28 @@ def rate_per_million(n: Column, denominator: Column) -> tuple[Column, Column]:
 
 
 def nearest_rank_bins(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """(p, bound): values at index min(n - 1, int(p * n)) of the ascending non-zero values.
-
-    The window is over entities, of which there are few; don't use it on raw rows."""
-    ranked = df.where(F.col(column) > 0).select(F.col(column).alias("bound"), (F.row_number().over(Window.orderBy(column)) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    """(p, bound): values at index min(n - 1, int(p * n)) of the ascending non-zero values."""
+    seen = df.where(F.col(column) > 0).select(F.col(column).alias("bound"))
+    ranked = numbered(seen, "i", [F.col("bound")], F.col("bound"))
     at = [F.struct(F.lit(p).alias("p"), F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))).alias("at")) for p in probs]
-    return ranked.withColumn("_p", F.explode(F.array(*at))).where(F.col("i") == F.col("_p.at")).select("_p.p", "bound")
+    wanted = seen.agg(F.count("*").alias("n")).select(F.explode(F.array(*at)).alias("_p"))  # a row for each of ``probs``
+    return ranked.join(F.broadcast(wanted), F.col("i") - 1 == F.col("_p.at")).select("_p.p", "bound")
 
 
 def rank_flips(df: DataFrame, key: str, count: str, rate: str) -> DataFrame:
     """Rank by count, rank by rate, and their difference, largest first."""
-    a = F.row_number().over(Window.orderBy(F.col(count).desc(), key))
-    b = F.row_number().over(Window.orderBy(F.col(rate).desc_nulls_last(), key))
-    return df.withColumn("by_count", a).withColumn("by_rate", b).withColumn("flip", F.abs(F.col("by_count") - F.col("by_rate"))).orderBy(F.col("flip").desc(), key)
+    a = numbered(df, "by_count", [F.col(count).desc(), F.col(key)], -F.col(count))
+    b = numbered(a, "by_rate", [F.col(rate).desc_nulls_last(), F.col(key)], -F.col(rate))
+    return b.withColumn("flip", F.abs(F.col("by_count") - F.col("by_rate"))).orderBy(F.col("flip").desc(), key)
 
 
 def ends_by_ratio(df: DataFrame, key: str, ratio: str, denominator: str, least: float, k: int = 5) -> DataFrame:
     """The k lowest and k highest ratios among rows with enough denominator."""
     rows = df.where(F.col(denominator) > least)
-    low = rows.withColumn("place", F.row_number().over(Window.orderBy(ratio, key))).where(F.col("place") <= k).withColumn("end", F.lit("low"))
-    high = rows.withColumn("place", F.row_number().over(Window.orderBy(F.col(ratio).desc(), key))).where(F.col("place") <= k).withColumn("end", F.lit("high"))
-    return low.unionByName(high)
+
+    def end(name: str, *order: Column) -> DataFrame:  # the window is over the k rows of the limit
+        return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("end", F.lit(name))
+    return end("low", F.col(ratio), F.col(key)).unionByName(end("high", F.col(ratio).desc(), F.col(key)))
 
 
 def coverage_counts(df: DataFrame, flags: list[str]) -> DataFrame:
@@ -126,7 +128,7 @@ def coverage_counts(df: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def designation_by_entity(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("country").agg(F.sort_array(F.collect_set("disease")).alias("diseases"))
+    return pairs.groupBy("country").agg(F.sort_array(F.collect_set("condition")).alias("conditions"))
 
 
 def marks_to_pairs(wide: DataFrame, key: str) -> DataFrame:
@@ -152,49 +154,49 @@ def require_domain(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
 
 
 def scenario_sets(base: DataFrame, with_flights: DataFrame, reported: DataFrame, dropped: str, extra: DataFrame) -> DataFrame:
-    """(scenario, country, disease): base and five variants of it; ``extra`` is crossed with the base's diseases,
-    a handful of rows on both sides."""
-    pairs = base.select("country", "disease")
-    diseases = small(pairs.select("disease").distinct())
-    sets = {
-        "base": pairs, "flights": pairs.join(with_flights, "country", "left_semi"), "reported": pairs.join(reported, ["country", "disease"], "left_semi"),
-        "priority": base.where("level = 'priority'").select("country", "disease"), "without": pairs.where(F.col("disease") != dropped),
-        "more": pairs.union(extra.select("country").join(diseases, F.lit(True))).distinct(),
-    }
-    out = None
-    for name, df in sets.items():
-        df = df.select(F.lit(name).alias("scenario"), "country", "disease")
-        out = df if out is None else out.union(df)
-    return out
+    """(scenario, country, condition): base and five variants of it; ``extra`` is crossed with the base's conditions,
+    a handful of rows on both sides.  Each pair is marked with the scenarios it belongs to, in one pass."""
+    there = lambda df, *keys: df.select(*keys).distinct().withColumn("_".join(("_in", *keys)), F.lit(True))
+    marked = base.join(there(with_flights, "country"), "country", "left").join(there(reported, "country", "condition"), ["country", "condition"], "left")
+    sets = F.array_compact(F.array(
+        F.lit("base"), F.when(F.col("_in_country"), "flights"), F.when(F.col("_in_country_condition"), "reported"),
+        F.when(F.col("level") == "priority", "priority"), F.when(F.col("condition") != dropped, "without")))
+    pairs = base.select("country", "condition")
+    conditions = pairs.agg(F.collect_set("condition").alias("_all"))  # one row
+    more = pairs.union(extra.select("country").join(F.broadcast(conditions)).select("country", F.explode("_all"))).distinct()
+    return marked.select(F.explode(sets).alias("scenario"), "country", "condition").union(more.select(F.lit("more"), "country", "condition"))
 
 
 def scenario_diff(base: DataFrame, other: DataFrame) -> DataFrame:
-    """(country, disease, change): pairs added to and removed from the base."""
-    keys = ["country", "disease"]
+    """(country, condition, change): pairs added to and removed from the base."""
+    keys = ["country", "condition"]
     a, b = base.select(*keys), other.select(*keys)
     return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
 def scenario_metrics(scenarios: DataFrame, reports: DataFrame, entities: DataFrame) -> DataFrame:
     """One row a scenario; each country's passengers count once in it."""
-    covered = reports.groupBy("country", "disease").agg(F.sum("n").alias("n"))
-    pairs = scenarios.join(covered, ["country", "disease"], "left")
-    countries = scenarios.select("scenario", "country").distinct().join(entities, "country", "left")
-    by_pair = pairs.groupBy("scenario").agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("covered_n"), F.count("n").alias("covered_pairs"))
-    by_country = countries.groupBy("scenario").agg(F.count("*").alias("countries"), F.coalesce(F.sum("direct"), F.lit(0)).alias("direct"), F.count_if(F.col("direct").isNull()).alias("without_flights"))
-    total = reports.agg(F.sum("n").alias("total"))
-    return by_pair.join(by_country, "scenario").join(F.broadcast(total), F.lit(True)).select(
-        "*", F.round(100.0 * F.col("covered_n") / F.col("total"), 2).alias("covered_share"), F.round(F.try_divide(F.col("covered_n") * 1e6, F.col("direct")), 2).alias("covered_per_million")).drop("total")
-
-
-def scenario_by_disease(scenarios: DataFrame, base: DataFrame, reports: DataFrame) -> DataFrame:
-    """(scenario, disease): designated countries against the base, reported n and the part that is covered."""
-    pairs = scenarios.groupBy("scenario", "disease").agg(F.count("*").alias("designated"))
-    in_base = base.groupBy("disease").agg(F.count("*").alias("in_base"))
-    n = reports.groupBy("country", "disease").agg(F.sum("n").alias("n"))
-    reported = n.groupBy("disease").agg(F.sum("n").alias("reported_n"))
-    covered = scenarios.join(n, ["country", "disease"]).groupBy("scenario", "disease").agg(F.sum("n").alias("covered_n"))
-    return pairs.join(in_base, "disease", "left").join(reported, "disease", "left").join(covered, ["scenario", "disease"], "left").na.fill(0, ["in_base", "reported_n", "covered_n"])
+    covered = reports.groupBy("country", "condition").agg(F.sum("n").alias("n"))
+    by_country = scenarios.join(covered, ["country", "condition"], "left").groupBy("scenario", "country").agg(
+        F.count("*").alias("pairs"), F.sum("n").alias("covered_n"), F.count("n").alias("covered_pairs"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by_scenario = by_country.join(entities, "country", "left").groupBy("scenario").agg(
+        F.sum("pairs").alias("pairs"), none("covered_n").alias("covered_n"), F.sum("covered_pairs").alias("covered_pairs"),
+        F.count("*").alias("countries"), none("direct").alias("direct"), F.count_if(F.col("direct").isNull()).alias("without_flights"))
+    total = covered.agg(F.sum("n").alias("total"))  # one row
+    return by_scenario.join(F.broadcast(total)).select(
+        "*", F.round(100.0 * F.col("covered_n") / F.col("total"), 2).alias("covered_share"),
+        F.round(F.try_divide(F.col("covered_n") * 1e6, F.col("direct")), 2).alias("covered_per_million")).drop("total")
+
+
+def scenario_by_condition(scenarios: DataFrame, base: DataFrame, reports: DataFrame) -> DataFrame:
+    """(scenario, condition): designated countries against the base, reported n and the part that is covered."""
+    pairs = scenarios.groupBy("scenario", "condition").agg(F.count("*").alias("designated"))
+    in_base = base.groupBy("condition").agg(F.count("*").alias("in_base"))
+    n = reports.groupBy("country", "condition").agg(F.sum("n").alias("n"))
+    reported = n.groupBy("condition").agg(F.sum("n").alias("reported_n"))
+    covered = scenarios.join(n, ["country", "condition"]).groupBy("scenario", "condition").agg(F.sum("n").alias("covered_n"))
+    return pairs.join(in_base, "condition", "left").join(reported, "condition", "left").join(covered, ["scenario", "condition"], "left").na.fill(0, ["in_base", "reported_n", "covered_n"])
 
 
 def top_entities(df: DataFrame, metric: str, key: str, k: int) -> DataFrame:

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.sizes import small
+from vigilspark.operators.contain import contained
 
 
 def match_entities_in_text(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc, norm, entity, key) for every normalised key (two characters or more) that the normalised title contains.
-
-    Titles and keys meet by the key's first three characters, an equi-join; the whole key is checked then."""
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(n)))
-    cut = docs.select("doc", "norm", F.explode(F.array_distinct(F.concat(grams(3), grams(2)))).alias("_g"))
-    begun = keys.select("entity", "key", F.substring("key", 1, 3).alias("_g")).where(F.length("key") >= 2).distinct()
-    return cut.join(begun, "_g").where(F.col("norm").contains(F.col("key"))).select("doc", "norm", "entity", "key")
+    """(doc, norm, entity, key) for every normalised key (two characters or more) that the normalised title contains."""
+    keys = keys.select("entity", "key").where(F.length("key") >= 2).distinct()
+    return contained(docs.select("doc", "norm"), keys, "norm", "key")
 
 
 def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:
     """Drop a hit whose matched keys all lie only inside longer names of other entities that the title holds.
 
     Those names are blanked out of the title; a key that is still there stands by itself."""
-    longer = small(names.select(F.col("entity").alias("_other"), F.col("key").alias("_long")))
-    within = (F.col("_other") != F.col("entity")) & F.col("_long").contains(F.col("key")) & (F.length("_long") > F.length("key")) & F.col("norm").contains(F.col("_long"))
-    left = matches.join(longer, within, "left")
+    longer = names.select(F.col("entity").alias("_other"), F.col("key").alias("_long")).distinct()
+    held = contained(matches.select("doc", "norm").distinct(), longer, "norm", "_long").select("doc", F.col("norm").alias("_norm"), "_other", "_long")
+    # Only the names within one title meet each other.
+    same = (F.col("doc") == F.col("_doc")) & F.col("norm").eqNullSafe(F.col("_norm"))
+    within = same & (F.col("_other") != F.col("entity")) & F.col("_long").contains(F.col("key")) & (F.length("_long") > F.length("key"))
+    left = matches.join(held.withColumnRenamed("doc", "_doc"), within, "left")
     per = left.groupBy("doc", "entity", "key", "norm").agg(F.collect_set("_long").alias("_longs"))
     masked = F.aggregate(F.reverse(F.array_sort("_longs", lambda a, b: F.length(a) - F.length(b))), F.col("norm"), lambda text, name: F.replace(text, name, F.lit("\x01")))
     return per.withColumn("_free", masked.contains(F.col("key"))).groupBy("doc", "entity").agg(F.bool_or("_free").alias("_free"), F.array_sort(F.collect_set("key")).alias("keys")).where("_free").drop("_free")
@@ -42,7 +41,7 @@ def suppress_mislisted(matches: DataFrame) -> DataFrame:
 
 def longest_match(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, name): the longest name in the title, the first in order on ties."""
-    hits = docs.join(small(names), F.col("title").contains(F.col("name")))
+    hits = contained(docs, names.select("name").distinct(), "title", "name")
     return hits.groupBy("doc").agg(F.min_by("name", F.struct((-F.length("name")).alias("l"), "name")).alias("name"))
 
 
@@ -58,8 +57,8 @@ def prefix_fallback_join(left: DataFrame, right: DataFrame, n: int) -> DataFrame
 
 def superseded_by(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """``docs`` (doc, title, year) with ``by`` and ``why`` of the first rule (place, key, by, since, why) that applies."""
-    hit = F.col("title").contains(F.col("key")) & (F.col("year").isNull() | F.col("since").isNull() | (F.col("year") < F.col("since")))
-    found = docs.join(small(rules), hit).groupBy("doc").agg(F.min_by(F.struct("by", "why"), "place").alias("_r"))
+    applies = F.col("year").isNull() | F.col("since").isNull() | (F.col("year") < F.col("since"))
+    found = contained(docs, rules, "title", "key").where(applies).groupBy("doc").agg(F.min_by(F.struct("by", "why"), "place").alias("_r"))
     return docs.join(found, "doc", "left").select(*docs.columns, F.col("_r.by").alias("by"), F.col("_r.why").alias("why"))
 
 
@@ -120,7 +119,8 @@ def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> D
 
 def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFrame:
     """``items`` with ``labels``: keywords (place, word, label) that start a word, in order, distinct, capped."""
-    hits = items.select("id", F.lower("text").alias("_t")).join(small(keywords), F.rlike(F.col("_t"), F.concat(F.lit(r"\b"), F.col("word"))))
+    starts = F.rlike(F.col("_t"), F.concat(F.lit(r"\b\Q"), F.col("word"), F.lit(r"\E")))
+    hits = contained(items.select("id", F.lower("text").alias("_t")), keywords, "_t", "word").where(starts)
     first = hits.groupBy("id", "label").agg(F.min("place").alias("place")).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x.label), 1, cap).alias("labels"))
     return items.join(first, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
@@ -128,7 +128,7 @@ def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFra
 def tag_broader_groups(tagged: DataFrame, groups: DataFrame, cap: int = 2) -> DataFrame:
     """``maybe``: group words (place, word, group, candidates) in the text none of whose candidates is tagged;
     a group without candidates counts only if nothing is tagged."""
-    hits = tagged.join(small(groups), F.lower("text").contains(F.col("word")))
+    hits = contained(tagged.withColumn("_t", F.lower("text")), groups, "_t", "word")
     free = F.when(F.size("candidates") == 0, F.size("labels") == 0).otherwise(~F.arrays_overlap("labels", "candidates"))
     maybe = hits.where(free).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("place", "group"))), lambda x: x.group), 1, cap).alias("maybe"))
     return tagged.join(maybe, "id", "left").withColumn("maybe", F.coalesce("maybe", F.array().cast("array<string>")))
@@ -152,9 +152,9 @@ def tag_places_masked(items: DataFrame, names: list[tuple[str, str]], least: int
 
 def join_item_context(items: DataFrame, designations: DataFrame) -> DataFrame:
     """A row an item, place and label with the designation's level; one fallback row for a place without any."""
-    pairs = items.select("id", F.explode("places").alias("country"), "labels").select("id", "country", F.explode("labels").alias("disease"))
-    known = designations.select("country", "disease", "level")
-    hits = pairs.join(known, ["country", "disease"])
+    pairs = items.select("id", F.explode("places").alias("country"), "labels").select("id", "country", F.explode("labels").alias("condition"))
+    known = designations.select("country", "condition", "level")
+    hits = pairs.join(known, ["country", "condition"])
     places = items.select("id", F.explode("places").alias("country")).distinct()
     none = places.join(hits.select("id", "country"), ["id", "country"], "left_anti")
-    return hits.select("id", "country", "disease", "level").unionByName(none.select("id", "country", F.lit(None).cast("string").alias("disease"), F.lit("none").alias("level")))
+    return hits.select("id", "country", "condition", "level").unionByName(none.select("id", "country", F.lit(None).cast("string").alias("condition"), F.lit("none").alias("level")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.sizes import small
+from vigilspark.operators.contain import contained
 
 
 def build_search_records(axes: dict[str, DataFrame]) -> DataFrame:
@@ -31,14 +31,13 @@ def expand_entry_terms(terms: DataFrame) -> DataFrame:
 def score_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """Top k a query (query_id, q): prefix 3, contains 1, all words 1, an exact hub 5 more; then shorter, newer, id.
 
-    Queries are the small side and are broadcast up to 10,000 of them; the corpus (id, name, hub, year) isn't shuffled
-    until it is cut to hits."""
+    A query meets the corpus (id, name, hub, year) at its longest word; the other words are checked then."""
     q = queries.select("query_id", F.lower(F.trim("q")).alias("_q")).where("_q <> ''")
-    q = small(q, 10_000)
-    text = F.lower("name")
+    longest = F.array_max(F.transform(F.split("_q", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    text = F.col("_t")
     words = F.forall(F.split("_q", r"\s+"), lambda w: text.contains(w))
     score = F.when(text.startswith(F.col("_q")), 3).when(text.contains(F.col("_q")), 1).when(words, 1).otherwise(0) + F.when(F.col("hub") & (text == F.col("_q")), 5).otherwise(0)
-    hits = corpus.join(q, words).withColumn("score", score)
+    hits = contained(corpus.withColumn("_t", F.lower("name")), q.withColumn("_w", longest), "_t", "_w").where(words).withColumn("score", score)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.length("name"), F.col("year").desc_nulls_last(), "id"))
     return hits.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "score")
 
@@ -46,33 +45,42 @@ def score_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFram
 def match_query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Best entity a query by token: equal length + 10, starts with length + 5, contains (from 4 characters) length."""
     tokens = queries.select("query_id", F.explode(F.split(F.lower("q"), r"\s+")).alias("_t")).where(F.length("_t") >= 2)
-    n = F.lower("name")
+    n = F.col("_n")
     score = F.when(F.col("_t") == n, F.length(n) + 10).when(F.startswith(F.col("_t"), n), F.length(n) + 5).when((F.length(n) >= 4) & F.contains(F.col("_t"), n), F.length(n))
-    hits = tokens.join(small(names), F.contains(F.col("_t"), n)).withColumn("_s", score).where("_s IS NOT NULL")
+    hits = contained(tokens, names.select("name", F.lower("name").alias("_n")).distinct(), "_t", "_n").withColumn("_s", score).where("_s IS NOT NULL")
     return hits.groupBy("query_id").agg(F.min_by(F.struct("name", "_s"), F.struct((-F.col("_s")).alias("k"), "name")).alias("_b")).select("query_id", F.col("_b.name").alias("name"), F.col("_b._s").alias("score"))
 
 
 def route_intents(queries: DataFrame, intents: DataFrame, k: int = 3) -> DataFrame:
     """The first k distinct destinations whose words (place, word, url) the query holds; null without any."""
-    hits = queries.join(small(intents), F.lower("q").contains(F.col("word")))
+    hits = contained(queries.withColumn("_q", F.lower("q")), intents, "_q", "word")
     first = hits.groupBy("query_id", "url").agg(F.min("place").alias("place")).groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url), 1, k).alias("urls"))
     return queries.select("query_id").join(first, "query_id", "left")
 
 
 def autocomplete(prefixes: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     """Distinct names a prefix: hubs that start with it, hubs that contain it, then other records that contain it."""
-    p = F.lower("prefix")
-    text = F.lower("name")
+    p, text = F.col("_p"), F.col("_t")
     tier = F.when(F.col("hub") & text.startswith(p), 0).when(F.col("hub"), 1).otherwise(2)
-    hits = corpus.join(small(prefixes), text.contains(p)).groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
+    hits = contained(corpus.withColumn("_t", F.lower("name")), prefixes.select("prefix", F.lower("prefix").alias("_p")).distinct(), "_t", "_p").groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("tier", F.length("name"), "name"))).where(F.col("place") <= k)
 
 
 def suggest_similar(queries: DataFrame, names: DataFrame, k: int = 6) -> DataFrame:
-    """Names that hold the query's first two characters, or whose first two the query holds."""
-    q, n = F.lower("q"), F.lower("name")
-    near = F.contains(n, F.substring(q, 1, 2)) | F.contains(q, F.substring(n, 1, 2))
-    hits = names.join(small(queries), near)
+    """Names that hold the query's first two characters, or whose first two the query holds; by name, the first k.
+
+    The first k names of every pair of characters are enough for that, so a pair that most names hold stays short."""
+    first = lambda c: F.substring(F.lower(c), 1, 2)
+    pairs = lambda c: F.array_distinct(F.concat(F.array(first(c)), F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2)))))
+
+    def shortest(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("_p").orderBy("name"))
+        return rows.where("_p <> ''").withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+    names = names.select("name").distinct()
+    inside = shortest(names.select("name", F.explode(pairs("name")).alias("_p"))).join(queries.select("query_id", first("q").alias("_p")), "_p")
+    begun = shortest(names.select("name", first("name").alias("_p"))).join(queries.select("query_id", F.explode(pairs("q")).alias("_p")), "_p")
+    hits = inside.select("query_id", "name").union(begun.select("query_id", "name")).distinct()
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where(F.col("place") <= k).select("query_id", "name", "place")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.operators.order import numbered
+
 
 def series_rollup(docs: DataFrame, default_field: str) -> DataFrame:
     """Per series: editions (newest first), first and last year, and the field that more than half of them have.
@@ -90,12 +92,12 @@ def immunity_threshold(df: DataFrame) -> DataFrame:
 
 
 def align_rate_and_cases(links: DataFrame, rates: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per disease the linked vaccine with the longest series; its rate in every year with cases, and the peak year's."""
+    """Per condition the linked vaccine with the longest series; its rate in every year with cases, and the peak year's."""
     length = rates.groupBy("vaccine").agg(F.countDistinct("year").alias("_y"))
-    chosen = links.join(length, "vaccine").groupBy("disease").agg(F.min_by("vaccine", F.struct((-F.col("_y")).alias("k"), "vaccine")).alias("vaccine"))
-    rows = cases.join(chosen, "disease").join(rates, ["vaccine", "year"], "left")
-    return rows.groupBy("disease", "vaccine").agg(F.count("*").alias("years"), F.count("rate").alias("with_rate"), F.min_by(F.struct("year", "rate"), F.struct((-F.col("n")).alias("k"), "year")).alias("_p")).select(
-        "disease", "vaccine", "years", "with_rate", F.col("_p.year").alias("peak_year"), F.col("_p.rate").alias("peak_rate"))
+    chosen = links.join(length, "vaccine").groupBy("condition").agg(F.min_by("vaccine", F.struct((-F.col("_y")).alias("k"), "vaccine")).alias("vaccine"))
+    rows = cases.join(chosen, "condition").join(rates, ["vaccine", "year"], "left")
+    return rows.groupBy("condition", "vaccine").agg(F.count("*").alias("years"), F.count("rate").alias("with_rate"), F.min_by(F.struct("year", "rate"), F.struct((-F.col("n")).alias("k"), "year")).alias("_p")).select(
+        "condition", "vaccine", "years", "with_rate", F.col("_p.year").alias("peak_year"), F.col("_p.rate").alias("peak_rate"))
 
 
 def lowest_per_year(df: DataFrame) -> DataFrame:
@@ -156,21 +158,31 @@ def quota_top_k(df: DataFrame, group: str, theme: str, k: int = 10, caps: tuple[
 def fuzzy_dedup_by_weight(df: DataFrame, width: int = 24) -> DataFrame:
     """Per year keep the heaviest of titles of which one's normalised beginning contains the other's; greedy.
 
-    Sequential by nature, so a year is one group: years of exhibits, hundreds of rows each."""
-    base = F.substring(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), 1, width)
+    Equal beginnings leave their heaviest before the shuffle.  The greedy pass over a year's distinct beginnings
+    is sequential by nature, but linear: a beginning has at most width * (width + 1) / 2 substrings, which are
+    looked up among the kept ones and theirs.  A null title counts as an empty one, which every title contains."""
+    base = F.coalesce(F.substring(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), 1, width), F.lit(""))
+    order = F.struct((-F.col("weight")).alias("w"), "id")
+    row = F.struct(*(F.col(c) for c in df.columns))
+    heads = df.withColumn("_base", base).groupBy("year", "_base").agg(F.min_by(row, order).alias("_row"), F.min(order).alias("_order"))
 
     def greedy(rows):
-        rows = rows.sort_values(["weight", "id"], ascending=[False, True])
-        kept: list[str] = []
+        rows = rows.assign(_w=[o["w"] for o in rows["_order"]], _i=[o["id"] for o in rows["_order"]]).sort_values(["_w", "_i"])
+        kept: set[str] = set()
+        inside: set[str] = set()  # every substring of the kept ones
         keep = []
         for text in rows["_base"]:
-            fresh = not any(text in other or other in text for other in kept)
+            parts = {text[i:j] for i in range(len(text) + 1) for j in range(i, len(text) + 1)}
+            fresh = text not in inside and kept.isdisjoint(parts)
             keep.append(fresh)
             if fresh:
-                kept.append(text)
-        return rows[keep].drop(columns="_base")
+                kept.add(text)
+                inside |= parts
+        return rows.loc[keep, ["year", "_base"]]
 
-    return df.withColumn("_base", base).groupBy("year").applyInPandas(greedy, df.schema)
+    found = heads.select("year", "_base", "_order").groupBy("year").applyInPandas(greedy, heads.select("year", "_base").schema)
+    same = heads["year"].eqNullSafe(F.col("_y")) & (heads["_base"] == F.col("_b"))
+    return heads.join(found.select(F.col("year").alias("_y"), F.col("_base").alias("_b")), same, "left_semi").select("_row.*")
 
 
 def primary_document(df: DataFrame) -> DataFrame:
@@ -186,9 +198,9 @@ def retain_newest(items: DataFrame, keep: int = 400) -> DataFrame:
 
 
 def severity_order(df: DataFrame, column: str, order: list[str], then: list[Column]) -> DataFrame:
-    """Sorted by the place of ``column`` in ``order`` (others last), then by ``then``."""
+    """Sorted by the place of ``column`` in ``order`` (others last), then by ``then``, whose first is a number."""
     place = F.coalesce(*(F.when(F.col(column) == x, F.lit(i)) for i, x in enumerate(order)), F.lit(len(order)))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(place, *then)))
+    return numbered(df, "place", [place, *then], then[0], place)
 
 
 def signature_twins(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

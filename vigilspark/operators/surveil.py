@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.operators.order import numbered
+
 
 def weekly_baseline_ratio(df: DataFrame) -> DataFrame:
     """``ratio`` = n / base to two places; null without a base or with base 0."""
@@ -23,8 +25,9 @@ def anomaly_rank(df: DataFrame, min_base: float = 3) -> DataFrame:
     rows = weekly_baseline_ratio(df.where(F.col("base") >= min_base)).where(F.col("ratio").isNotNull())
     key = F.struct("ratio", (-F.col("year")).alias("y"), (-F.col("week")).alias("w"))
     cell = F.struct("year", "week", "n", "ratio")
-    return rows.groupBy("entity").agg(F.max_by(F.struct("year", "week", "n", "base", "ratio"), key).alias("peak"), F.sort_array(F.collect_list(cell)).alias("series")).select(
-        "entity", "peak.*", F.row_number().over(Window.orderBy(F.col("peak.ratio").desc(), "entity")).alias("rank"), "series")
+    peaks = rows.groupBy("entity").agg(F.max_by(F.struct("year", "week", "n", "base", "ratio"), key).alias("peak"), F.sort_array(F.collect_list(cell)).alias("series"))
+    ranked = numbered(peaks, "rank", [F.col("peak.ratio").desc(), F.col("entity")], -F.col("peak.ratio"))
+    return ranked.select("entity", "peak.*", "rank", "series")
 
 
 def average_rank(df: DataFrame, group: list[str], column: str, name: str) -> DataFrame:

@@ -145,8 +145,8 @@ def _(v):
     return found.select("id", F.array_join(F.array_sort("places"), ",").alias("places"))
 
 
-@query("j13_join_item_context", """WITH i AS (SELECT o_orderkey AS id, n_name AS country, o_orderpriority AS disease FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)
-SELECT id, i.country, CASE WHEN d.level IS NOT NULL THEN i.disease END AS disease, coalesce(d.level, 'none') AS level FROM i LEFT JOIN {designation} d ON i.country = d.country AND i.disease = d.disease""")
+@query("j13_join_item_context", """WITH i AS (SELECT o_orderkey AS id, n_name AS country, o_orderpriority AS condition FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)
+SELECT id, i.country, CASE WHEN d.level IS NOT NULL THEN i.condition END AS condition, coalesce(d.level, 'none') AS level FROM i LEFT JOIN {designation} d ON i.country = d.country AND i.condition = d.condition""")
 def _(v):
     items = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey")).join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("o_orderkey").alias("id"), F.array("n_name").alias("places"), F.array("o_orderpriority").alias("labels"))

@@ -27,9 +27,9 @@ def _(v):
     }, "country", "NATION_3")
 
 
-@query("j4_designation_match", "SELECT r.country, r.disease, r.n, d.country IS NOT NULL AS hit FROM (SELECT country, disease, CAST(sum(n) AS BIGINT) AS n FROM {imports} WHERE disease <> '5-LOW' GROUP BY 1, 2) r LEFT JOIN {designation} d ON r.country = d.country AND r.disease = d.disease")
+@query("j4_designation_match", "SELECT r.country, r.condition, r.n, d.country IS NOT NULL AS hit FROM (SELECT country, condition, CAST(sum(n) AS BIGINT) AS n FROM {imports} WHERE condition <> '5-LOW' GROUP BY 1, 2) r LEFT JOIN {designation} d ON r.country = d.country AND r.condition = d.condition")
 def _(v):
-    return i.designation_match(v.imports, v.designation, v.designation.where("disease <> '5-LOW'").select("disease").distinct())
+    return i.designation_match(v.imports, v.designation, v.designation.where("condition <> '5-LOW'").select("condition").distinct())
 
 
 @query("j5_list_membership_flags", "SELECT n_name AS country, n_name IN (SELECT country FROM {designation} WHERE level = 'priority') AS priority, n_name IN (SELECT country FROM {designation} WHERE level = 'general') AS general FROM {nation}")
@@ -52,12 +52,12 @@ def _(v):
     return hits.select(F.rtrim(F.col("entity"), F.lit(".")).alias("entity"), F.regexp_extract("note", r"key (\d+)", 1).cast("long").alias("o_orderkey"), "effective")
 
 
-@query("a7_imports_by_country", """SELECT country, CAST(sum(n) AS BIGINT) AS n, string_agg(disease || '=' || n, ',' ORDER BY n DESC, disease) AS diseases, CAST(min(f) AS INT) AS first, CAST(max(l) AS INT) AS last FROM (
-SELECT country, disease, CAST(sum(n) AS BIGINT) AS n, min(year * 100 + week) AS f, max(year * 100 + week) AS l FROM {imports} GROUP BY 1, 2) GROUP BY 1""")
+@query("a7_imports_by_country", """SELECT country, CAST(sum(n) AS BIGINT) AS n, string_agg(condition || '=' || n, ',' ORDER BY n DESC, condition) AS conditions, CAST(min(f) AS INT) AS first, CAST(max(l) AS INT) AS last FROM (
+SELECT country, condition, CAST(sum(n) AS BIGINT) AS n, min(year * 100 + week) AS f, max(year * 100 + week) AS l FROM {imports} GROUP BY 1, 2) GROUP BY 1""")
 def _(v):
-    cell = lambda x: F.concat(x.disease, F.lit("="), x.n.cast("string"))
+    cell = lambda x: F.concat(x.condition, F.lit("="), x.n.cast("string"))
     code = lambda c: (F.col(f"{c}.year") * 100 + F.col(f"{c}.week")).cast("int").alias(c)
-    return i.imports_by_country(v.imports).select("country", "n", F.array_join(F.transform("diseases", cell), ",").alias("diseases"), code("first"), code("last"))
+    return i.imports_by_country(v.imports).select("country", "n", F.array_join(F.transform("conditions", cell), ",").alias("conditions"), code("first"), code("last"))
 
 
 @query("a8_monthly_entries", "SELECT c.country, m.month, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT country FROM {entries} WHERE month BETWEEN '1996-11' AND '1998-02') c CROSS JOIN (SELECT strftime(d, '%Y-%m') AS month FROM range(DATE '1996-11-01', DATE '1998-02-02', INTERVAL 1 MONTH) t(d)) m LEFT JOIN {entries} e ON e.country = c.country AND e.month = m.month")
@@ -71,12 +71,12 @@ def _(v):
     return i.direct_arrivals(v.arrivals).withColumn("years", years)
 
 
-_RATES = "(SELECT e.country, CAST(e.entries AS BIGINT) AS denominator, CASE WHEN k % 5 = 0 THEN 0 ELSE r.n END AS n FROM (SELECT country, sum(n) AS entries, CAST(substring(country, 8) AS INT) AS k FROM {entries} GROUP BY 1) e JOIN (SELECT country, CAST(sum(n) AS BIGINT) AS n FROM {imports} WHERE disease = '1-URGENT' GROUP BY 1) r ON e.country = r.country)"
+_RATES = "(SELECT e.country, CAST(e.entries AS BIGINT) AS denominator, CASE WHEN k % 5 = 0 THEN 0 ELSE r.n END AS n FROM (SELECT country, sum(n) AS entries, CAST(substring(country, 8) AS INT) AS k FROM {entries} GROUP BY 1) e JOIN (SELECT country, CAST(sum(n) AS BIGINT) AS n FROM {imports} WHERE condition = '1-URGENT' GROUP BY 1) r ON e.country = r.country)"
 
 
 def _rates(v):
     e = v.entries.groupBy("country").agg(F.sum("n").alias("denominator"))
-    r = v.imports.where("disease = '1-URGENT'").groupBy("country").agg(F.sum("n").alias("n"))
+    r = v.imports.where("condition = '1-URGENT'").groupBy("country").agg(F.sum("n").alias("n"))
     n = F.when(F.substring("country", 8, 9).cast("int") % 5 == 0, 0).otherwise(F.col("n"))
     df = e.join(r, "country").withColumn("n", n)
     rate, state = i.rate_per_million(F.col("n"), F.col("denominator"))
@@ -114,12 +114,12 @@ def _(v):
     return i.coverage_counts(rows, ["large", "done", "waiting"])
 
 
-@query("a31_designation_by_entity", "SELECT country, string_agg(disease, ',' ORDER BY disease) AS diseases FROM {designation} GROUP BY 1")
+@query("a31_designation_by_entity", "SELECT country, string_agg(condition, ',' ORDER BY condition) AS conditions FROM {designation} GROUP BY 1")
 def _(v):
-    diseases = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    wide = i.pairs_to_marks(v.designation, "country", "disease", diseases).na.fill("")
-    pairs = i.marks_to_pairs(wide, "country").withColumnRenamed("category", "disease")
-    return i.designation_by_entity(pairs).withColumn("diseases", F.array_join("diseases", ","))
+    conditions = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    wide = i.pairs_to_marks(v.designation, "country", "condition", conditions).na.fill("")
+    pairs = i.marks_to_pairs(wide, "country").withColumnRenamed("category", "condition")
+    return i.designation_by_entity(pairs).withColumn("conditions", F.array_join("conditions", ","))
 
 
 @query("d12_out_of_domain", "SELECT DISTINCT o_orderpriority FROM {orders} WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW')")
@@ -128,11 +128,11 @@ def _(v):
 
 
 _TOP = "(SELECT country FROM (SELECT country, sum(total - transit) AS direct FROM {arrivals} GROUP BY 1) ORDER BY direct DESC, country LIMIT 4)"
-_SETS = f"""(SELECT 'base' AS scenario, country, disease FROM {{designation}} UNION ALL
-SELECT 'flights', country, disease FROM {{designation}} WHERE country IN (SELECT country FROM {{arrivals}} WHERE year = 1997 AND total % 3 = 0) UNION ALL
-SELECT 'reported', d.country, d.disease FROM {{designation}} d WHERE EXISTS (SELECT 1 FROM {{imports}} i WHERE i.country = d.country AND i.disease = d.disease AND i.year = 1999) UNION ALL
-SELECT 'priority', country, disease FROM {{designation}} WHERE level = 'priority' UNION ALL SELECT 'without', country, disease FROM {{designation}} WHERE disease <> '2-HIGH' UNION ALL
-SELECT 'more', country, disease FROM (SELECT country, disease FROM {{designation}} UNION SELECT t.country, d.disease FROM {_TOP} t CROSS JOIN (SELECT DISTINCT disease FROM {{designation}}) d))"""
+_SETS = f"""(SELECT 'base' AS scenario, country, condition FROM {{designation}} UNION ALL
+SELECT 'flights', country, condition FROM {{designation}} WHERE country IN (SELECT country FROM {{arrivals}} WHERE year = 1997 AND total % 3 = 0) UNION ALL
+SELECT 'reported', d.country, d.condition FROM {{designation}} d WHERE EXISTS (SELECT 1 FROM {{imports}} i WHERE i.country = d.country AND i.condition = d.condition AND i.year = 1999) UNION ALL
+SELECT 'priority', country, condition FROM {{designation}} WHERE level = 'priority' UNION ALL SELECT 'without', country, condition FROM {{designation}} WHERE condition <> '2-HIGH' UNION ALL
+SELECT 'more', country, condition FROM (SELECT country, condition FROM {{designation}} UNION SELECT t.country, d.condition FROM {_TOP} t CROSS JOIN (SELECT DISTINCT condition FROM {{designation}}) d))"""
 
 
 def _entities(v):
@@ -141,7 +141,7 @@ def _entities(v):
 
 def _sets(v):
     direct = v.arrivals.groupBy("country").agg(F.sum(F.col("total") - F.col("transit")).alias("direct"))
-    return i.scenario_sets(v.designation, v.arrivals.where("year = 1997 AND total % 3 = 0").select("country"), v.imports.where("year = 1999").select("country", "disease"), "2-HIGH", i.top_entities(direct, "direct", "country", 4))
+    return i.scenario_sets(v.designation, v.arrivals.where("year = 1997 AND total % 3 = 0").select("country"), v.imports.where("year = 1999").select("country", "condition"), "2-HIGH", i.top_entities(direct, "direct", "country", 4))
 
 
 @query("e1_scenario_sets", f"SELECT * FROM {_SETS}")
@@ -149,25 +149,25 @@ def _(v):
     return _sets(v)
 
 
-@query("e2_scenario_diff", f"WITH s AS {_SETS} SELECT country, disease, 'added' AS change FROM (SELECT country, disease FROM s WHERE scenario = 'more' EXCEPT SELECT country, disease FROM s WHERE scenario = 'without') UNION ALL SELECT country, disease, 'removed' FROM (SELECT country, disease FROM s WHERE scenario = 'without' EXCEPT SELECT country, disease FROM s WHERE scenario = 'more')")
+@query("e2_scenario_diff", f"WITH s AS {_SETS} SELECT country, condition, 'added' AS change FROM (SELECT country, condition FROM s WHERE scenario = 'more' EXCEPT SELECT country, condition FROM s WHERE scenario = 'without') UNION ALL SELECT country, condition, 'removed' FROM (SELECT country, condition FROM s WHERE scenario = 'without' EXCEPT SELECT country, condition FROM s WHERE scenario = 'more')")
 def _(v):
     s = _sets(v)
     return i.scenario_diff(s.where("scenario = 'without'"), s.where("scenario = 'more'"))
 
 
-@query("a32_scenario_metrics", f"""WITH s AS {_SETS}, c AS (SELECT country, disease, sum(n) AS n FROM {{imports}} WHERE year = 1999 GROUP BY 1, 2), e AS (SELECT country, sum(total - transit) AS direct FROM {{arrivals}} WHERE year < 1999 AND total % 2 = 0 GROUP BY 1),
-p AS (SELECT scenario, count(*) AS pairs, CAST(coalesce(sum(n), 0) AS BIGINT) AS covered_n, count(n) AS covered_pairs FROM s LEFT JOIN c USING (country, disease) GROUP BY 1),
+@query("a32_scenario_metrics", f"""WITH s AS {_SETS}, c AS (SELECT country, condition, sum(n) AS n FROM {{imports}} WHERE year = 1999 GROUP BY 1, 2), e AS (SELECT country, sum(total - transit) AS direct FROM {{arrivals}} WHERE year < 1999 AND total % 2 = 0 GROUP BY 1),
+p AS (SELECT scenario, count(*) AS pairs, CAST(coalesce(sum(n), 0) AS BIGINT) AS covered_n, count(n) AS covered_pairs FROM s LEFT JOIN c USING (country, condition) GROUP BY 1),
 k AS (SELECT scenario, count(*) AS countries, CAST(coalesce(sum(direct), 0) AS BIGINT) AS direct, count(*) FILTER (direct IS NULL) AS without_flights FROM (SELECT DISTINCT scenario, country FROM s) LEFT JOIN e USING (country) GROUP BY 1)
 SELECT *, round(100.0 * covered_n / (SELECT sum(n) FROM c), 2) AS covered_share, round(CASE WHEN direct <> 0 THEN covered_n * 1000000.0 / direct END, 2) AS covered_per_million FROM p JOIN k USING (scenario)""")
 def _(v):
     return i.scenario_metrics(_sets(v), v.imports.where("year = 1999"), _entities(v))
 
 
-@query("a38_scenario_by_disease", f"""WITH s AS {_SETS}, c AS (SELECT country, disease, sum(n) AS n FROM {{imports}} GROUP BY 1, 2)
-SELECT s.scenario, s.disease, count(*) AS designated, (SELECT count(*) FROM s b WHERE b.scenario = 'base' AND b.disease = s.disease) AS in_base, CAST(coalesce((SELECT sum(n) FROM c WHERE c.disease = s.disease), 0) AS BIGINT) AS reported_n, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS covered_n
-FROM s LEFT JOIN c ON s.country = c.country AND s.disease = c.disease GROUP BY 1, 2""")
+@query("a38_scenario_by_condition", f"""WITH s AS {_SETS}, c AS (SELECT country, condition, sum(n) AS n FROM {{imports}} GROUP BY 1, 2)
+SELECT s.scenario, s.condition, count(*) AS designated, (SELECT count(*) FROM s b WHERE b.scenario = 'base' AND b.condition = s.condition) AS in_base, CAST(coalesce((SELECT sum(n) FROM c WHERE c.condition = s.condition), 0) AS BIGINT) AS reported_n, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS covered_n
+FROM s LEFT JOIN c ON s.country = c.country AND s.condition = c.condition GROUP BY 1, 2""")
 def _(v):
-    return i.scenario_by_disease(_sets(v), v.designation, v.imports)
+    return i.scenario_by_condition(_sets(v), v.designation, v.imports)
 
 
 @query("t2_top_entities", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 20")

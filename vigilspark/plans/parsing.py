@@ -119,7 +119,7 @@ def _(v):
 
 
 def _report(v):
-    pages = F.array(F.concat(F.lit("Weekly report Vol. "), _s("s_suppkey"), F.lit(" No. 7, 2024-03-01")), F.lit("contents: weekly status of notified diseases"), F.when(F.col("s_suppkey") % 2 == 0, "weekly status of notified diseases").otherwise("Part: Annex A"), F.lit("Part: Tables weekly status notified"))
+    pages = F.array(F.concat(F.lit("Weekly report Vol. "), _s("s_suppkey"), F.lit(" No. 7, 2024-03-01")), F.lit("contents: weekly status of notified conditions"), F.when(F.col("s_suppkey") % 2 == 0, "weekly status of notified conditions").otherwise("Part: Annex A"), F.lit("Part: Tables weekly status notified"))
     return v.supplier.select(F.col("s_suppkey").alias("doc"), F.posexplode(pages).alias("i", "text")).select("doc", (F.col("i") + 1).alias("page_no"), "text")
 
 

@@ -15,10 +15,10 @@ STAND_INS = {
     "notif": "SELECT o_orderpriority AS entity, {isoyear:o_orderdate} AS year, {week:o_orderdate} AS week, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY 1, 2, 3",
     "cust_weekly": "SELECT o_custkey AS entity, {isoyear:o_orderdate} AS year, {week:o_orderdate} AS week, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY 1, 2, 3",
     "lab": "SELECT concat(l_returnflag, '/', l_linestatus) AS agent, {isoyear:l_shipdate} AS year, {week:l_shipdate} AS week, CAST(count(*) AS BIGINT) AS specimens, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS positives FROM {lineitem} GROUP BY 1, 2, 3",
-    "imports": "SELECT {isoyear:o_orderdate} AS year, {week:o_orderdate} AS week, o_orderpriority AS disease, n_name AS country, CAST(count(*) AS BIGINT) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4",
+    "imports": "SELECT {isoyear:o_orderdate} AS year, {week:o_orderdate} AS week, o_orderpriority AS condition, n_name AS country, CAST(count(*) AS BIGINT) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4",
     "entries": "SELECT {month:o_orderdate} AS month, n_name AS country, CAST(count(*) AS BIGINT) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2",
     "arrivals": "SELECT CAST({year:l_shipdate} AS INT) AS year, n_name AS country, CAST(count(*) AS BIGINT) AS flights, CAST(sum(l_quantity) AS BIGINT) AS total, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS transit FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey GROUP BY 1, 2",
-    "designation": "SELECT n_name AS country, disease, CASE WHEN (n_nationkey + k) % 6 = 0 THEN 'priority' ELSE 'general' END AS level FROM {nation} JOIN (SELECT o_orderpriority AS disease, CAST(substring(o_orderpriority, 1, 1) AS INT) AS k FROM {orders} GROUP BY 1, 2) d ON (n_nationkey * 7 + k * 3) % 4 = 0",
+    "designation": "SELECT n_name AS country, condition, CASE WHEN (n_nationkey + k) % 6 = 0 THEN 'priority' ELSE 'general' END AS level FROM {nation} JOIN (SELECT o_orderpriority AS condition, CAST(substring(o_orderpriority, 1, 1) AS INT) AS k FROM {orders} GROUP BY 1, 2) d ON (n_nationkey * 7 + k * 3) % 4 = 0",
     "annual": "SELECT o_orderpriority AS entity, CAST({year:o_orderdate} AS INT) AS year, CAST(count(*) AS BIGINT) AS value FROM {orders} GROUP BY 1, 2",
     "brand_annual": "SELECT p_brand AS entity, CAST({year:l_shipdate} AS INT) AS year, CAST(count(*) AS BIGINT) AS value FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2",
     "catalogue": "SELECT p_partkey AS doc, CAST(2002 + p_partkey % 24 AS INT) AS year, concat(CAST(2002 + p_partkey % 24 AS {string}), ' ', p_name, ' guideline (', p_brand, ')') AS title, p_name AS name, concat(CAST(2002 + p_partkey % 24 AS {string}), '-', lpad(CAST(1 + p_partkey % 12 AS {string}), 2, '0'), '-15') AS posted, p_brand AS board, CASE WHEN p_size % 3 = 0 THEN 'manual' WHEN p_size % 3 = 1 THEN 'guide' ELSE 'notice' END AS kind, CASE WHEN p_size % 5 < 3 THEN 'infection' ELSE 'chronic' END AS field, concat('https://example.org/doc?id=', CAST(p_partkey AS {string})) AS url FROM {part}",

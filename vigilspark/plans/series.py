@@ -95,15 +95,15 @@ def _(v):
     return s.immunity_threshold(df.withColumn("r0_hi", F.col("r0_lo") + 2)).select("vaccine", "low", "high", "actual", "verdict")
 
 
-@query("a28_align_rate_and_cases", """WITH l AS (SELECT DISTINCT vaccine, '1-URGENT' AS disease FROM {coverage} WHERE vaccine < 'Brand#2' UNION SELECT DISTINCT vaccine, '2-HIGH' FROM {coverage} WHERE vaccine > 'Brand#4'),
+@query("a28_align_rate_and_cases", """WITH l AS (SELECT DISTINCT vaccine, '1-URGENT' AS condition FROM {coverage} WHERE vaccine < 'Brand#2' UNION SELECT DISTINCT vaccine, '2-HIGH' FROM {coverage} WHERE vaccine > 'Brand#4'),
 r AS (SELECT vaccine, year, value AS rate FROM {coverage} WHERE age = 1 AND (year + CAST(substring(vaccine, 7) AS INT)) % 3 > 0), n AS (SELECT vaccine, count(DISTINCT year) AS y FROM r GROUP BY 1),
-c AS (SELECT disease, arg_min(vaccine, printf('%03d', CAST(100 - y AS INT)) || vaccine) AS vaccine FROM l JOIN n USING (vaccine) GROUP BY 1), j AS (SELECT a.entity AS disease, c.vaccine, a.year, a.value, r.rate FROM {annual} a JOIN c ON c.disease = a.entity LEFT JOIN r ON r.vaccine = c.vaccine AND r.year = a.year)
-SELECT disease, vaccine, count(*) AS years, count(rate) AS with_rate, arg_min(year, year - value * 10000) AS peak_year, max(rate) FILTER (year = (SELECT arg_min(year, year - value * 10000) FROM j z WHERE z.disease = j.disease)) AS peak_rate FROM j GROUP BY 1, 2""")
+c AS (SELECT condition, arg_min(vaccine, printf('%03d', CAST(100 - y AS INT)) || vaccine) AS vaccine FROM l JOIN n USING (vaccine) GROUP BY 1), j AS (SELECT a.entity AS condition, c.vaccine, a.year, a.value, r.rate FROM {annual} a JOIN c ON c.condition = a.entity LEFT JOIN r ON r.vaccine = c.vaccine AND r.year = a.year)
+SELECT condition, vaccine, count(*) AS years, count(rate) AS with_rate, arg_min(year, year - value * 10000) AS peak_year, max(rate) FILTER (year = (SELECT arg_min(year, year - value * 10000) FROM j z WHERE z.condition = j.condition)) AS peak_rate FROM j GROUP BY 1, 2""")
 def _(v):
     c = v.coverage
-    links = c.where("vaccine < 'Brand#2'").select("vaccine", F.lit("1-URGENT").alias("disease")).union(c.where("vaccine > 'Brand#4'").select("vaccine", F.lit("2-HIGH"))).distinct()
+    links = c.where("vaccine < 'Brand#2'").select("vaccine", F.lit("1-URGENT").alias("condition")).union(c.where("vaccine > 'Brand#4'").select("vaccine", F.lit("2-HIGH"))).distinct()
     rates = c.where((F.col("age") == 1) & ((F.col("year") + F.substring("vaccine", 7, 9).cast("int")) % 3 > 0)).select("vaccine", "year", F.col("value").alias("rate"))
-    return s.align_rate_and_cases(links, rates, v.annual.select(F.col("entity").alias("disease"), "year", F.col("value").alias("n")))
+    return s.align_rate_and_cases(links, rates, v.annual.select(F.col("entity").alias("condition"), "year", F.col("value").alias("n")))
 
 
 @query("a29_lowest_per_year", "SELECT year, age, value FROM (SELECT year, age, value, row_number() OVER (PARTITION BY year ORDER BY value, age) AS k FROM {coverage} WHERE vaccine = 'Brand#11') WHERE k = 1")

@@ -113,9 +113,9 @@ def _(v):
     return v.part.select("p_partkey", F.array_join(t.split_outside_parens(F.concat("p_name", F.lit(" (x,y), "), "p_type")), "|").alias("parts"))
 
 
-@query("x18_expand_keys", "SELECT c_custkey, 'marburg (mvd) disease|marburg disease|marburg|mvd|' || lower(c_mktsegment) AS keys FROM {customer}")
+@query("x18_expand_keys", "SELECT c_custkey, 'marburg (mvd) condition|marburg condition|marburg|mvd|' || lower(c_mktsegment) AS keys FROM {customer}")
 def _(v):
-    return v.customer.select("c_custkey", F.array_join(t.expand_keys(F.lit("Marburg (MVD) disease"), F.array("c_mktsegment", F.lit("x"))), "|").alias("keys"))
+    return v.customer.select("c_custkey", F.array_join(t.expand_keys(F.lit("Marburg (MVD) condition"), F.array("c_mktsegment", F.lit("x"))), "|").alias("keys"))
 
 
 @query("x19_glossary_gaps", """WITH w AS (SELECT unnest(['zoonosis', 'the', 'que', 'vector']) AS word), d AS (SELECT unnest(['the', 'vector']) AS word), u AS (SELECT word, count(DISTINCT doc_id) AS pages FROM {documents} JOIN (SELECT * FROM w UNION SELECT * FROM d) ON contains(lower(text), word) GROUP BY 1)
