@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
 import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,120 @@ def test_html_articles_keep_their_parts():
     assert html_text.main_text(page) == "word " * 60 + "We discuss it. Mind this. Others did so."
 
 
+class _Slow(HTMLParser):
+    """The page as nested lists [tag, children...]; texts are strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["html"]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1].append([tag])
+        self.open.append(self.open[-1][-1])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+
+def slow_main_text(page):
+    """The definition, node by node, counting anew for each."""
+    root = _Slow(page).root
+    nodes, up = [], {}
+
+    def walk(node):
+        nodes.append(node)
+        for child in node[1:]:
+            if isinstance(child, list):
+                up[id(child)] = node
+                walk(child)
+    walk(root)
+    below = lambda node: [x for c in node[1:] if isinstance(c, list) for x in (c, *below(c))]
+    size = lambda node, linked: sum(len("".join(c.split())) * linked if isinstance(c, str) else size(c, linked or c[0] == "a") for c in node[1:])
+    in_link = lambda node: node[0] == "a" or id(node) in up and in_link(up[id(node)])
+    share = size(root, False) / size(root, True) if size(root, True) else 0
+
+    def density(node):
+        c = size(node, True)
+        if not c:
+            return 0.0
+        links, t, lt = size(node, in_link(node)), max(len(below(node)), 1), max(sum(x[0] == "a" for x in below(node)), 1)
+        lc = max(links, 1)
+        base = math.log(c / max(c - links, 1) * lc + share * c + math.e)
+        return max(c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(base), 0.0), 1e-9)
+    kids = lambda node: [c for c in node[1:] if isinstance(c, list)]
+    value = lambda node: sum(map(density, kids(node))) if kids(node) else density(node)
+    best = lambda node: max([node, *below(node)], key=value)  # noqa: E731  the first of equals: outer, then earlier
+    body = next(x for x in nodes if x[0] == "body")
+    at, threshold = best(body), density(best(body))
+    while at is not body:
+        at = up[id(at)]
+        threshold = min(threshold, density(at))
+    chosen = set()
+
+    def select(node):
+        if density(node) >= threshold and density(node) > 0:
+            chosen.add(id(best(node)))
+            if best(node) is node:
+                return
+        for child in kids(node):
+            if id(child) not in chosen:
+                select(child)
+    select(body)
+    out = [""]
+
+    def render(node, taken):
+        taken = taken or id(node) in chosen
+        edge = node[0] not in html_text.INLINE
+        out.extend([""] * edge)
+        for child in node[1:]:
+            if isinstance(child, list):
+                render(child, taken)
+            elif taken:
+                out[-1] += child
+        out.extend([""] * edge)
+    render(root, False)
+    return " ".join(" ".join(x.split()) for x in out if x.split())
+
+
+def test_html_density_against_its_definition():
+    r = random.Random(12)
+
+    def block(depth):
+        kind = r.choice(("p", "p", "div", "ul", "links", "span"))
+        if depth and kind == "div":
+            return "<div>" + "".join(block(depth - 1) for _ in range(r.randrange(5))) + "</div>"
+        words = " ".join(r.choice(("word", "and", "longer", "x")) for _ in range(r.choice((1, 4, 30, 90))))
+        if kind == "links":
+            return "<div>" + "".join(f"<a>{words[:30]}</a> " for _ in range(r.randrange(1, 6))) + "</div>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words[:20]}{r.choice(('', '<b>bold</b>', '<a>link</a>'))}</li>" for _ in range(4)) + "</ul>"
+        return f"<{kind}>{words}{r.choice(('', '<a>some link</a>', '<i>it</i>'))} end</{kind}>".replace("<div", "<section").replace("</div", "</section")
+    for _ in range(250):
+        page = "<html><body>" + "".join(block(3) for _ in range(r.randrange(1, 6))) + "</body></html>"
+        assert html_text.main_text(page) == slow_main_text(page.removeprefix("<html>").removesuffix("</html>")), page
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<a " * 100_000, "<span><p>x" * 25_000, "<li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000, "<b>" * 20_000 + "<div>" + "<i>" * 20_000 + "</b>" * 20_000, "<![CDATA[" * 50_000 + ">", "<script>" + "</script" * 50_000])
+def test_html_time_is_in_proportion(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_html_link_lists_and_comments_in_articles():
+    text = " ".join(["word"] * 90)
+    links = "".join(f"<li><a href=/{i}>another story number {i}</a></li>" for i in range(6))
+    page = f"<body><article><p>{text}</p><div class=side-col><ul>{links}</ul></div><p>See <a>this</a>.</p></article><div class=commentlist><p>{'reader says ' * 60}</p></div></body>"
+    assert html_text.main_text(page) == text + " See this."
+    assert html_text.main_text(f"<body><article><ul>{links}</ul></article></body>").startswith("another story number 0")
+
+
 def test_html_query_shape(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
@@ -88,6 +204,77 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0 > one[0]["near_edited"] > 0.3
 
 
+def test_fingerprints_of_extreme_and_hot_ids(spark):
+    ends = [(-(1 << 63), prose(1, 40)), ((1 << 63) - 1, prose(2, 40)), (0, prose(3, 40)), (None, prose(4, 40))]
+    rows = ends + [(7, prose(100 + i, 12)) for i in range(200)] + [(None, prose(300 + i, 12)) for i in range(100)] + [(7, prose(100, 12))] * 3
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256(r[1].encode()).hexdigest()))
+    want = Counter()
+    for (d, t), (_, o) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[d, hashlib.sha256((t[:len(t) - half] + o[:half]).encode()).hexdigest()] += 1
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+
+
+def _slow_features(text, rarity):
+    """Selected windows of a text in order of place, by the definition."""
+    n, w = len(text), fingerprints.WINDOW
+    if n < 4 * w:
+        found = [text] if 0 < n < fingerprints.SHORT_WINDOW else [text[i:i + fingerprints.SHORT_WINDOW] for i in range(n - fingerprints.SHORT_WINDOW + 1)] if n else []
+    else:
+        windows = [text[i:i + w] for i in range(n - w + 1)]
+        steps = [int(fingerprints.window_entropy(np.frombuffer(x, np.uint8))[0]) for x in windows]
+        rank = [rarity[e] if e else max(rarity) + 1 for e in steps]
+        votes = Counter(min(range(i, i + w), key=lambda k: (rank[k], k)) for i in range(len(windows) - w + 1))
+        found = [windows[i] for i in sorted(votes) if votes[i] >= fingerprints.POPULAR and steps[i]]
+    return list(dict.fromkeys(found))
+
+
+def _slow_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def test_selection_chains_and_likeness_by_definition():
+    r = random.Random(8)
+    samples = [prose(900 + i, r.choice((2, 9, 40, 160))).encode() for i in range(24)] + [b"", b"abc", b"a" * 300, ("é漢" * 90).encode(), b"ab" * 400]
+    samples.append(samples[3][:-50] + b"z" * 50)
+    rarity = r.sample(range(fingerprints.LEVELS + 1), fingerprints.LEVELS + 1)
+    block = Block.of(pa.array(samples, pa.binary()))
+    h, owner = fingerprints.selected_features(block, np.array(rarity))
+    prints = fingerprints.bloom_chains(h, owner, len(samples))
+    sets = []
+    for i, text in enumerate(samples):
+        wanted = _slow_features(text, rarity)
+        hashes = [int(Block.of(pa.array([x], pa.binary())).span_hash(np.array([0]), np.array([len(x)]))[0]) for x in wanted]
+        assert h[owner == i].tolist() == hashes
+        chain = []
+        for at in range(0, len(hashes), fingerprints.PER_FILTER):
+            part = hashes[at:at + fingerprints.PER_FILTER]
+            chain.append(({_slow_mix((x + k * 0x632BE59BD9B4E019) % (1 << 64)) % fingerprints.FILTER_BITS for x in part for k in range(fingerprints.HASHES)}, len(part)))
+        bits, size = prints.of(i)
+        assert size.tolist() == [n for _, n in chain]
+        assert [set(np.flatnonzero(np.unpackbits(b.view(np.uint8))).tolist()) for b in bits] == [x for x, _ in chain]
+        sets.append(chain)
+
+    def slow_likeness(a, b):
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        a, b = (b, a) if len(a) > len(b) else (a, b)
+        total = 0.0
+        for x, n in a:
+            chance = lambda y: len(x) * len(y) / fingerprints.FILTER_BITS  # noqa: B023, E731
+            total += n * max(min(1, max(0, (len(x & y) - chance(y)) / max(min(len(x), len(y)) - chance(y), 1e-9))) for y, _ in b)
+        return total / max(sum(n for _, n in a), sum(n for _, n in b))
+    for i, j in itertools.product(range(len(samples)), repeat=2):
+        assert fingerprints.likeness(prints.of(i), prints.of(j)) == pytest.approx(slow_likeness(sets[i], sets[j]))
+
+
 def test_window_entropy():
     data = np.frombuffer(prose(9, 60).encode() + b"a" * 80, np.uint8)
     got = fingerprints.window_entropy(data)
@@ -342,6 +529,38 @@ def test_jaccard_large_cluster_is_not_tiled_against_itself(spark, monkeypatch):
     assert made and made[0][1].count() > 240 and made[0][0].count() < 3 * 20 * 260
 
 
+@pytest.mark.parametrize("percent", [40, 50, 60, 70, 80, 86, 87, 90])
+def test_jaccard_candidates_right_at_the_threshold(percent):
+    r = np.random.default_rng(percent)
+    cells = ngram_jaccard.cell_digests if percent >= ngram_jaccard.PIGEONHOLE else ngram_jaccard.sampled_cells
+    for size in (3, 10, 20, 31, 64, 127, 400):
+        for nested in (False, True):
+            sets = []
+            for _ in range(200):
+                if nested:  # the smaller set lies in the larger one
+                    a = r.integers(0, 1 << ngram_jaccard.BITS, size, dtype=np.uint64)
+                    b = a[:max(1, -(-size * percent // 100))]
+                else:
+                    common = -(-size * 2 * percent // (100 + percent))
+                    both = r.integers(0, 1 << ngram_jaccard.BITS, 2 * size - common, dtype=np.uint64)
+                    a, b = both[:size], both[size - common:]
+                sets += [np.sort(a), np.sort(b)]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            keys, owner = cells(np.concatenate(sets), off, percent)
+            mine = [set(keys[owner == i].tolist()) for i in range(len(sets))]
+            missed = sum(not mine[i] & mine[i + 1] for i in range(0, len(sets), 2))
+            assert missed <= (0 if percent >= 80 else 1), (size, nested)
+
+
+def test_jaccard_extreme_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, prose(1, 30)), (None, prose(2, 30)), (high, prose(2, 30)), (5, prose(1, 30)), (None, prose(3, 30)), (0, prose(4, 30))]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    by = {(r["doc_id"], r["component_id"]) for r in got}
+    assert len(got) == 6 and {(low, low), (5, low), (0, 0)} <= by and not any(c == low for d, c in by if d not in (low, 5))
+    assert {c for d, c in by if d in (None, high)} in ({None}, {high})
+
+
 def test_jaccard_empty_table(spark):
     assert ngram_jaccard.jaccard_components(empty(spark)).count() == 0
 

@@ -14,8 +14,9 @@ averaged by their features.  Equal fingerprints are 1 alike; texts without featu
 fingerprints are equal and 0 otherwise.
 
 Texts under four windows have too few to choose from: all their windows of ``SHORT_WINDOW`` bytes are
-features, or all their bytes if there are fewer.  Null and empty texts have none.  Rows are ordered by doc_id descending, nulls last, equal ids by text; the
-next of the last row is the first, of an only row itself.
+features, or all their bytes if there are fewer.  Null and empty texts have none.  Rows are ordered by doc_id
+descending, nulls last, equal ids by the SHA-256 of their text; the next of the last row is the first, of an
+only row itself.
 """
 
 from __future__ import annotations
@@ -203,20 +204,24 @@ def _prints(texts: list[bytes], rarity: np.ndarray) -> list[tuple[np.ndarray, np
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows (doc_id, text, bucket, n_rows, copy) so that a bucket, sorted, ends with the row that follows it.
+    """Rows (doc_id, text, bucket, copy) so that a bucket, sorted, ends with the row that follows it.
 
-    Buckets are ranges of doc_id from approximate quantiles; only each bucket's first row is copied to
-    the bucket before it, found by an aggregate of one row a bucket."""
+    Buckets are ranges of doc_id from approximate quantiles.  A doc_id that several quantiles hit, and a null
+    one, is dealt to as many buckets by the hash that orders its rows.  Only each bucket's first row is copied
+    to the bucket before it, found by an aggregate of one row a bucket."""
     spark = docs.sparkSession
-    tasks = partitions(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / (3 * tasks)) for i in range(3 * tasks - 1))), 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: (c >= F.col("doc_id")))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket)
+    parts = 3 * partitions(spark)
+    cuts = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))), 10_000)).first()[0] or []
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
+    held = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
+    equal = F.size(F.filter(held, lambda c: c == F.col("doc_id")))
+    bucket = F.size(F.filter(held, lambda c: c > F.col("doc_id"))) + F.when(equal > 1, F.floor(share * equal)).otherwise(0)
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + F.floor(share * parts)).otherwise(bucket)
     placed = docs.select("doc_id", "text", bucket.cast("int").alias("bucket"))
-    order = F.struct((-F.coalesce("doc_id", F.lit(0))).alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"))
+    order = F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("k"), digest.alias("s"))  # descending, without overflow
     heads = placed.groupBy("bucket").agg(F.min(order).alias("head"))
-    numbers = [r[0] for r in heads.select("bucket").collect()]  # at most one a task
+    numbers = [r[0] for r in heads.select("bucket").collect()]  # six a task at most
     before = {b: a for a, b in zip(sorted(numbers), sorted(numbers)[1:])} | ({min(numbers): max(numbers)} if numbers else {})
     steps = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
     own = placed.withColumn("copy", F.lit(0))

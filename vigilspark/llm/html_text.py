@@ -10,14 +10,18 @@ Elements that never hold an article's text are left out beforehand: scripts, sty
 headers, footers and sidebars by tag or role, adverts, notices and reader comments by class or id.
 What follows has-, no- or with- in a class name doesn't count, and inside an article only names made of
 such words alone do.  A form, or an element with such a name, stays if it holds an article, a main or
-most of the page's text outside links; a page that would have no text is read again without names.
+most of the page's text outside links; a page that would have no text is read again without names.  Inside
+an ``article`` or ``main`` taken whole, blocks that are lists of links by their densities are left out too:
+three links or more that hold three quarters of the characters (unless links are half of it all).
 Character references are decoded; white space in a block becomes one space; blocks are trimmed and
 joined in page order by one space.  Null, empty and text-less pages give an empty text.  Every page is
-handled whole and by itself; repeated rows give repeated results.
+handled whole and by itself, in time and memory in proportion to it however its tags nest or stay open;
+repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import column_name, extended, map_batches
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<[!?][^>]*>"
     r"|</([a-zA-Z][^\s/>]*)[^>]*>"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
     re.S,
@@ -87,47 +91,83 @@ class _Tree:
         self.why, self.content = [0], [False]
         self.linked = [False]
         self.pieces: list[tuple[int, str]] = []  # a None text is a block boundary
-        stack = [0]
-        at, n = 0, len(page)
-        article = 0
+        # Open elements; the places of each name and of all that aren't inline, so that no tag walks them.
+        self.stack, self.places, self.blocks = [0], {"html": [0]}, [0]
+        self._read(page)
+        self._spare(names)
+
+    def _read(self, page: str) -> None:
+        at, n, last = 0, len(page), page.rfind(">")
+        cdata = page.rfind("]]>")
         while at < n:
-            found = _TOKEN.search(page, at)
-            if found is None:
-                self._text(stack[-1], page[at:])
+            start = page.find("<", at)
+            while start >= 0 and start < last and (start + 1 >= n or not (page[start + 1].isalpha() or page[start + 1] in "/!?")):
+                start = page.find("<", start + 1)
+            if start >= 0 and page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                found, stop = None, n if end < 0 else end + 3
+            elif start < 0 or start > last:  # no tag ends after this
+                self._text(self.stack[-1], page[at:])
                 break
-            if found.start() > at:
-                self._text(stack[-1], page[at:found.start()])
-            at = found.end()
+            elif page.startswith("<![CDATA[", start) and start < cdata:
+                found, stop = None, page.find("]]>", start) + 3
+            else:
+                found = _TOKEN.match(page, start)
+                stop = found.end() if found else start + 1
+            if start > at:
+                self._text(self.stack[-1], page[at:start])
+            if found is None:
+                if stop == start + 1:  # a "<" that starts nothing
+                    self._text(self.stack[-1], "<")
+                at = stop
+                continue
+            at = stop
             closing, opening = found.group(1), found.group(2)
             if opening:
                 name = opening.lower()
-                self._implied(stack, name)
+                self._implied(name)
                 if name not in INLINE:
-                    self.pieces.append((stack[-1], None))
+                    self.pieces.append((self.stack[-1], None))
                 if name in VOID:
-                    self._node(name, stack[-1], 0)
+                    self._node(name, self.stack[-1], 0)
                     continue
-                article = any(self.tag[i] in ("article", "main") for i in stack)
-                node = self._node(name, stack[-1], self._left_out(name, found.group(3), article))
+                article = bool(self.places.get("article") or self.places.get("main"))
+                node = self._node(name, self.stack[-1], self._left_out(name, found.group(3), article))
                 if name == "main" or name == "article" and not _boilerplate(found.group(3), False):
                     self.content[node] = True
                 if name in RAW:
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at) if at <= last else None
                     at = end.end() if end else n
                     continue
                 if not found.group(0).endswith("/>") or name in INLINE or name in CLOSES_PARAGRAPH:
-                    stack.append(node)
+                    self._open(node, name)
             elif closing:
                 name = closing.lower()
                 if name not in INLINE:
-                    self.pieces.append((stack[-1], None))
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        del stack[depth:]
-                        break
-                    if name in INLINE and self.tag[stack[depth]] not in INLINE:
-                        break  # a stray inline end tag doesn't close blocks
-        self._spare(names)
+                    self.pieces.append((self.stack[-1], None))
+                place = self._place(name)
+                # A stray inline end tag doesn't close blocks.
+                if place > 0 and (name not in INLINE or place > self.blocks[-1]):
+                    self._close(place)
+
+    def _open(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def _close(self, place: int) -> None:
+        """Close the open element at this place, and all in it."""
+        while len(self.stack) > place:
+            name = self.tag[self.stack.pop()]
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def _place(self, name: str) -> int:
+        """Place of the innermost open element of this name, -1 without any."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
 
     def _spare(self, names: bool) -> None:
         """Leave out elements by name and forms, but those that hold the page's article."""
@@ -161,24 +201,13 @@ class _Tree:
         if not self.out[node]:
             self.pieces.append((node, html.unescape(text) if "&" in text else text))
 
-    def _implied(self, stack: list[int], name: str) -> None:
-        if name in CLOSES_PARAGRAPH:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[depth]]
-                if tag == "p":
-                    del stack[depth:]
-                    break
-                if tag not in INLINE:
-                    break
+    def _implied(self, name: str) -> None:
+        if name in CLOSES_PARAGRAPH and self.tag[self.stack[self.blocks[-1]]] == "p":
+            self._close(self.blocks[-1])
         if name in ENDS:
-            ended, limit = ENDS[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[depth]]
-                if tag in limit:
-                    break
-                if tag in ended:
-                    del stack[depth:]
-                    break
+            ended, limit = (max(map(self._place, names)) for names in ENDS[name])
+            if ended > max(limit, 0):
+                self._close(ended)
 
     @staticmethod
     def _left_out(name: str, attributes: str, in_article: bool) -> int:
@@ -195,6 +224,16 @@ class _Tree:
         return _boilerplate(attributes, in_article) or (BY_NAME if name == "form" else 0)
 
 
+@functools.lru_cache(maxsize=4096)
+def _parts(word: str) -> tuple[str, ...]:
+    """A compound such as "commentlist" as its two words."""
+    if word not in BOILERPLATE:
+        for cut in range(4, len(word) - 2):
+            if word[:cut] in BOILERPLATE and word[cut:] in FURNITURE:
+                return word[:cut], word[cut:]
+    return (word,)
+
+
 def _boilerplate(attributes: str, in_article: bool) -> int:
     """Whether class or id name an element that is left out."""
     found = 0
@@ -202,7 +241,7 @@ def _boilerplate(attributes: str, in_article: bool) -> int:
         if key.lower() not in ("class", "id"):
             continue
         for token in "".join(values).lower().split():
-            words = _WORDS.findall(token)
+            words = [part for w in _WORDS.findall(token) for part in _parts(w)]
             words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
             marks = [w for w in words if w in BOILERPLATE and not (in_article and w in OF_ARTICLES)]
             if not marks or in_article and any(w not in marks and w not in FURNITURE for w in words):
@@ -213,8 +252,8 @@ def _boilerplate(attributes: str, in_article: bool) -> int:
     return found
 
 
-def densities(tree: _Tree) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every node."""
+def densities(tree: _Tree) -> tuple[list[float], list[float], list[bool], list[float]]:
+    """Composite density and density sum of every node, which are lists of links, and the links' part of the characters."""
     n = len(tree.tag)
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.pieces:
@@ -245,7 +284,9 @@ def densities(tree: _Tree) -> tuple[list[float], list[float]]:
     for i in range(1, n):
         if not tree.out[i]:
             total[tree.parent[i]] += density[i]
-    return density, total
+    share_of_links = [links[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
+    lists = [link_tags[i] >= 3 and share_of_links[i] >= 0.75 and tree.tag[i] not in INLINE for i in range(n)]
+    return density, total, lists, share_of_links
 
 
 def main_text(page: str | None) -> str:
@@ -260,7 +301,7 @@ def main_text(page: str | None) -> str:
 
 
 def _chosen_text(tree: _Tree) -> str:
-    density, total = densities(tree)
+    density, total, lists, share_of_links = densities(tree)
     n = len(tree.tag)
     children: list[list[int]] = [[] for _ in range(n)]
     for i in range(1, n):
@@ -301,10 +342,13 @@ def _chosen_text(tree: _Tree) -> str:
         outer = home[p] if p >= 0 else 0
         home[i] = outer or (i if tree.tag[i] in ("article", "main") else 0)
     homes = {home[i] for i in range(n) if chosen[i]}
+    whole = [False] * n
     for i in homes - {0}:
-        chosen[i] = True
+        chosen[i], whole[i] = True, share_of_links[i] < 0.5
     for i in range(1, n):
-        chosen[i] = chosen[i] or chosen[tree.parent[i]]
+        above = tree.parent[i]
+        whole[i] = whole[i] or whole[above]
+        chosen[i] = chosen[above] and not (whole[above] and lists[i]) or chosen[i] and not (whole[above] and not chosen[above])
     blocks, run = [], []
     for node, text in tree.pieces:
         if text is None:

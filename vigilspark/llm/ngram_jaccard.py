@@ -7,8 +7,9 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of wor
    to K + 1 cells leaves one cell with equal contents (pigeonhole).  Each set sends one digest a cell;
    sets that share a digest get a candidate edge to the digest's smallest id.  Digests cover about ten
    shingles each, so words, lines or passages that are frequent don't make candidates.  Under a
-   threshold of 0.87 cells would become too small for that; then 128 larger cells are drawn, of which
-   two sets right at the threshold share each with a chance of 0.17 or more: all differ once in 10^10.
+   threshold of 0.87 cells would become too small for that; then 128 or more larger cells are drawn, so
+   many that two sets right at the threshold miss each other once in 10^4 at most (:func:`sample_size`;
+   once in 10^9 at 0.8).  What passes is verified exactly either way.
 2. *Clusters* of candidate edges are connected components.  Equal sets leave one representative.
 3. *Tiles.*  A cluster is one tile.  Beyond ``TILE`` members its candidate edges are verified first,
    one by one, and what they link is one component: a cluster of near copies mostly ends there.  If
@@ -20,11 +21,15 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of wor
 5. Links of all tiles are joined into components.
 
 Nulls, empty and word-less texts have an empty set and link with nothing.  Rows that share a doc_id
-are one node.  A null doc_id is a node of its own name (the smallest long), returned as null.
+are one node.  All rows without a doc_id are one node, too; it goes by a number that no row has, the
+smallest long if that is free, and is returned as null.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,7 +47,10 @@ FLUSH = 250_000
 #: shingles or fewer and tie most texts together, so a fixed number of larger cells is drawn.
 PIGEONHOLE = 87
 SAMPLED = 128
-NULL_ID = -(1 << 63)
+#: Chance that two sets right at the threshold share no cell, under PIGEONHOLE.
+MISSED = 1e-4
+#: Numbers for a missing doc_id, of which the first that no row has is taken.
+NULL_IDS = [-(1 << 63), (1 << 63) - 1, *(-(0x5DEECE66D << 20) - 7 * i for i in range(1, 30))]
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +131,47 @@ def cell_digests(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(digests), np.concatenate(owners)
 
 
+def _shingles_a_cell(percent: int) -> int:
+    return max(2, 1 << int(np.log2(0.9 * (100 + percent) / (2 * (100 - percent)))))
+
+
+@functools.lru_cache(maxsize=8)
+def sample_size(percent: int) -> int:
+    """Cells to draw so that sets right at the threshold share one of three shingles but for a chance of MISSED.
+
+    The shingles that fall into a cell are Poisson: none may be in one set only, three must be in both.  Cells
+    hold one to two times their usual number, as sets are cut at powers of two."""
+    t, least = percent / 100, 1.0
+    for held in np.linspace(1, 2, 9) * _shingles_a_cell(percent):
+        for one, both in ((held * 2 * (1 - t) / (1 + t), held * 2 * t / (1 + t)), (held * (1 - t), held * t)):  # equal sizes; nested
+            least = min(least, math.exp(-one) * (1 - math.exp(-both) * (1 + both + both * both / 2)))
+    return max(SAMPLED, math.ceil(math.log(MISSED) / math.log1p(-least)))
+
+
 def sampled_cells(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, text) of about ``SAMPLED`` cells a text, of 4 to 8 shingles each at 0.8, for lower thresholds.
+    """(digest, text) of about ``sample_size`` cells a text, of 4 to 8 shingles each at 0.8, for lower thresholds.
 
-    A text is cut at its size's power of two, and at the next one if a partner may be there.  Small texts are cut
+    A text is cut at its size's power of two, and at larger ones where a partner may be.  Small texts are cut
     several times by other hashes, of large ones only the first cells count.  Cells of under three shingles are
     left out (but for texts of under 16), so that a frequent line makes no candidates."""
     sizes = np.diff(off)
-    per_cell = max(1, 1 << int(np.log2(0.9 * (100 + percent) / (2 * (100 - percent)))))
+    per_cell, drawn = _shingles_a_cell(percent), sample_size(percent)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     level = np.zeros(len(sizes), dtype=np.int64)
     some = sizes > 0
     level[some] = np.floor(np.log2(sizes[some])).astype(np.int64)
     digests, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for up in (0, 1):
-        mine = some if not up else some & (sizes * 100 >= percent * (2 << level))
+    for up in range(1 + math.ceil(math.log2(100 / percent))):
+        mine = some & (sizes * 100 >= percent * (1 << (level + up))) if up else some
         cells = np.maximum(2, (1 << (level + up)) // per_cell)
-        rounds = np.where(mine, -(-SAMPLED // cells), 0)
+        rounds = np.where(mine, -(-drawn // cells), 0)
         for r in range(int(rounds.max(initial=0))):
             at = np.flatnonzero((rounds > r)[owner])
             doc = owner[at]
             h = mix(sets[at] + U64(1 + r))
             cell = ((h >> U64(32)) * cells[doc].astype(U64) >> U64(32)).astype(np.int64)
-            kept = cell < SAMPLED
-            doc, h, group = doc[kept], h[kept], (doc * SAMPLED + cell)[kept]
+            kept = cell < drawn
+            doc, h, group = doc[kept], h[kept], (doc * drawn + cell)[kept]
             if not len(group):
                 continue
             order = np.argsort(group, kind="stable")
@@ -154,9 +179,9 @@ def sampled_cells(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.n
             head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             held = np.diff(np.append(head, len(group)))
             digest = np.add.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), head)
-            doc, place = doc[head], group[head] % SAMPLED
+            doc, place = doc[head], group[head] % drawn
             heavy = (held >= 3) | (level[doc] + up < 4)
-            tag = (((level[doc] + up) << 20) + (r << 10) + place).astype(U64)
+            tag = (((level[doc] + up) << 40) + (r << 20) + place).astype(U64)
             digests.append(mix(mix(digest) + tag)[heavy])
             owners.append(doc[heavy])
     return np.concatenate(digests), np.concatenate(owners)
@@ -354,7 +379,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over links, the row's own included."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = F.col("doc_id").cast("long")
+    taken = {r[0] for r in docs.select(given.alias("doc_id")).where(F.col("doc_id").isin(NULL_IDS)).distinct().collect()}
+    null = F.lit(next(x for x in NULL_IDS if x not in taken))
+    docs = docs.select(F.coalesce(given, null).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches):
         for rows, block in blocks(batches):
@@ -368,15 +396,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
     rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # A shingle makes four bytes of digests or so at 0.9, and a small text SAMPLED digests under PIGEONHOLE.
-    shingles = described.agg(F.sum(F.greatest("n_shingles", F.lit(SAMPLED if percent < PIGEONHOLE else 1)))).first()[0] or 0
+    # A shingle makes four bytes of digests or so at 0.9, and a small text ``sample_size`` digests under PIGEONHOLE.
+    least = sample_size(percent) if percent < PIGEONHOLE else 1
+    shingles = described.agg(F.sum(F.greatest("n_shingles", F.lit(least)))).first()[0] or 0
     edges = materialise(candidate_edges(docs, n, percent, buckets(docs.sparkSession, 8 * shingles)).distinct(), "edges")
     clusters = connected_components(edges, "candidates")
     members = rep.where("doc_id = rep").join(clusters, F.col("d1") == F.col("id")).groupBy("doc_id").agg(F.min("component").alias("cluster"))
     found = connected_components(verified_links(docs, members, edges, n, percent).union(copies), "links")
     out = described.join(found, described.doc_id == found.id, "left").select(
         described.doc_id, "n_shingles", F.coalesce("component", described.doc_id).alias("component_id"))
-    null = F.lit(NULL_ID)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"))
 
 
