@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,18 +11,30 @@ from pyspark.sql import functions as F
 
 from vigilspark.operators.contain import contained
 
-#: Character references that feeds use.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def html_to_text(col: Column) -> Column:
     """Scripts and styles out, tags to spaces, entities decoded, spaces squeezed."""
     text = F.regexp_replace(col, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = unescape(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
+
+
+def unescape(col: Column) -> Column:
+    """Character references decoded, by number or by HTML 4 name; unknown ones stay as they are."""
+    names = F.create_map(*(F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))))
+
+    def character(ref: Column) -> Column:
+        digits = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 7), 16, 10)).otherwise(F.substring(ref, 2, 7))
+        code = digits.try_cast("int")
+        real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        number = F.when(ref.startswith("#") & real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(number, F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";")))
+    between, refs = F.split(col, REFERENCE), F.regexp_extract_all(col, F.lit(REFERENCE), 1)
+    parts = F.zip_with(between, F.transform(refs, character), lambda text, mark: F.concat(F.coalesce(text, F.lit("")), F.coalesce(mark, F.lit(""))))
+    return F.when(col.contains("&") & col.contains(";"), F.array_join(parts, "")).otherwise(col)
 
 
 def first_sentences(col: Column, n: int, cap: int) -> Column:

@@ -12,8 +12,8 @@ MAX_BROADCAST_BYTES = 8 << 20
 
 
 def _pieces(text: Column, n: int) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+    """Distinct pieces of n characters; the look-ahead reads a long text in one pass, as substrings by place wouldn't."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def _fitting(word: Column, *each: Column) -> Column:

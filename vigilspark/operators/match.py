@@ -25,7 +25,8 @@ def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:
     within = same & (F.col("_other") != F.col("entity")) & F.col("_long").contains(F.col("key")) & (F.length("_long") > F.length("key"))
     left = matches.join(held.withColumnRenamed("doc", "_doc"), within, "left")
     per = left.groupBy("doc", "entity", "key", "norm").agg(F.collect_set("_long").alias("_longs"))
-    masked = F.aggregate(F.reverse(F.array_sort("_longs", lambda a, b: F.length(a) - F.length(b))), F.col("norm"), lambda text, name: F.replace(text, name, F.lit("\x01")))
+    longest_first = F.transform(F.array_sort(F.transform("_longs", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("name")))), lambda x: x["name"])
+    masked = F.aggregate(longest_first, F.col("norm"), lambda text, name: F.replace(text, name, F.lit("\x01")))
     return per.withColumn("_free", masked.contains(F.col("key"))).groupBy("doc", "entity").agg(F.bool_or("_free").alias("_free"), F.array_sort(F.collect_set("key")).alias("keys")).where("_free").drop("_free")
 
 
@@ -119,7 +120,7 @@ def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> D
 
 def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFrame:
     """``items`` with ``labels``: keywords (place, word, label) that start a word, in order, distinct, capped."""
-    starts = F.rlike(F.col("_t"), F.concat(F.lit(r"\b\Q"), F.col("word"), F.lit(r"\E")))
+    starts = F.rlike(F.col("_t"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("word"), F.lit(r"\E")))
     hits = contained(items.select("id", F.lower("text").alias("_t")), keywords, "_t", "word").where(starts)
     first = hits.groupBy("id", "label").agg(F.min("place").alias("place")).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x.label), 1, cap).alias("labels"))
     return items.join(first, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))

@@ -22,22 +22,24 @@ def _(v):
     return m.match_entities_in_text(_docs(v), _keys(v)).select("doc", "entity")
 
 
-# Names X and Y X: a title with "y x" holds x only inside the longer name, unless it stands alone too.
-@query("j7_suppress_buried", "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 2 THEN 'pox' END AS short, CASE WHEN o_orderkey % 3 > 0 THEN 'cowpox' END AS long FROM {orders}")
+# Names are those of parts and their single words: a word that stands only inside a part's name is buried.
+@query("j7_suppress_buried", """WITH names AS (SELECT p_name AS n FROM {part} UNION SELECT split_part(p_name, ' ', 1) FROM {part} UNION SELECT split_part(p_name, ' ', 2) FROM {part}),
+d AS (SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN p_name || ' or a ' || split_part(p_name, ' ', 2) WHEN 1 THEN split_part(p_name, ' ', 1) || 'er ' || p_name WHEN 2 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || p_name END || ' ' || lower(p_type) AS norm FROM {part}),
+x AS (SELECT doc, m.n AS entity, norm, list(l.n ORDER BY length(l.n) DESC, l.n) FILTER (l.n IS NOT NULL) AS longs FROM d JOIN names m ON contains(norm, m.n) LEFT JOIN names l ON contains(l.n, m.n) AND length(l.n) > length(m.n) AND contains(norm, l.n) GROUP BY 1, 2, 3)
+SELECT doc, entity FROM x WHERE contains(list_reduce(list_concat([norm], coalesce(longs, CAST([] AS VARCHAR[]))), lambda a, b: replace(a, b, chr(1))), entity)""")
 def _(v):
-    third = F.col("o_orderkey") % 3
-    docs = v.orders.select(F.col("o_orderkey").alias("doc"), F.when(third == 0, "none here").when(third == 1, "on cowpox today").otherwise("on cowpox and pox").alias("norm"))
-    keys = v.spark.createDataFrame([("pox", "pox"), ("cowpox", "cowpox")], "entity string, key string")
-    found = m.suppress_buried(m.match_entities_in_text(docs, keys), keys).groupBy("doc").agg(F.max(F.when(F.col("entity") == "pox", "pox")).alias("short"), F.max(F.when(F.col("entity") == "cowpox", "cowpox")).alias("long"))
-    return docs.select("doc").join(found, "doc", "left")
+    words = F.split("p_name", " ")
+    k = F.col("p_partkey") % 4
+    title = F.when(k == 0, F.concat("p_name", F.lit(" or a "), words[1])).when(k == 1, F.concat(words[0], F.lit("er "), "p_name")).when(k == 2, F.col("p_name")).otherwise(F.concat(words[1], F.lit(" "), "p_name"))
+    docs = v.part.select(F.col("p_partkey").alias("doc"), F.concat(title, F.lit(" "), F.lower("p_type")).alias("norm"))
+    keys = v.part.select(F.explode(F.concat(F.array("p_name"), words)).alias("key")).distinct().select(F.col("key").alias("entity"), "key")
+    return m.suppress_buried(m.match_entities_in_text(docs, keys), keys).select("doc", "entity")
 
 
-@query("j8_suppress_mislisted", """SELECT p_partkey, entity FROM (SELECT p_partkey, p_brand AS entity, p_size % 4 + 1 AS grade, p_partkey % 4 AS k FROM {part})
-WHERE k = 0 OR (k = 1 AND grade = 2) OR (k = 2 AND entity IN ('Brand#11', 'Brand#12')) OR k = 3""")
+@query("j8_suppress_mislisted", f"""WITH t AS (SELECT *, regexp_extract(title, 'grade ([0-9]+)', 1) AS stated, list_transform(string_split(regexp_extract(title, '[(]([^)]*)[)]', 1), ','), lambda x: trim(x)) AS listed FROM {{titled}})
+SELECT p_partkey, entity FROM t WHERE stated = CAST(grade AS VARCHAR) OR NOT (stated <> '' AND NOT contains(title, entity) OR len(listed) >= 2 AND NOT list_contains(listed, entity))""")
 def _(v):
-    k = F.col("p_partkey") % 4
-    title = F.when(k == 0, "plain title").when(k == 1, "all of grade 2").when(k == 2, "handbook (Brand#11, Brand#12)").otherwise("handbook (Brand#11)")
-    return m.suppress_mislisted(v.part.select("p_partkey", F.col("p_brand").alias("entity"), (F.col("p_size") % 4 + 1).alias("grade"), title.alias("title"))).select("p_partkey", "entity")
+    return m.suppress_mislisted(v.titled.select("p_partkey", "entity", "grade", "title")).select("p_partkey", "entity")
 
 
 @query("j9_longest_match", "SELECT doc, name FROM (SELECT c.doc, t.n AS name, row_number() OVER (PARTITION BY c.doc ORDER BY length(t.n) DESC, t.n) AS k FROM {catalogue} c JOIN (SELECT DISTINCT p_name AS n FROM {part} UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM {part}) t ON contains(c.title, t.n)) WHERE k = 1")
@@ -119,30 +121,39 @@ def _(v):
 
 
 
-@query("j10_tag_keywords", """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'plague,ebola' WHEN 1 THEN 'ebola' WHEN 2 THEN '' ELSE 'plague' END AS labels FROM {customer}""")
+_KEYWORDS = [(0, "thatin", "one"), (1, "tion", "two"), (2, "of the", "three"), (3, "re", "two"), (4, "que", "four"), (5, "unter", "five"), (6, "la", "six"), (7, "hehely", "one"), (8, "inoran", "seven")]
+
+
+@query("j10_tag_keywords", f"""WITH k(place, word, label) AS (VALUES {', '.join(map(str, _KEYWORDS))}),
+h AS (SELECT doc_id, label, min(place) AS place FROM {{documents}} JOIN k ON regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || word) GROUP BY 1, 2)
+SELECT doc_id AS id, coalesce(array_to_string(labels, ','), '') AS labels FROM {{documents}} LEFT JOIN (SELECT doc_id, list(label ORDER BY place)[1:4] AS labels FROM h GROUP BY 1) USING (doc_id)""")
 def _(v):
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "Ebolavirus and Plagues seen").when(k == 1, "the EBOLA case; paraplague").when(k == 2, "antiplague team").otherwise("plague, black death again")
-    words = v.spark.createDataFrame([(0, "plague", "plague"), (1, "ebola", "ebola"), (2, "black death", "plague")], "place int, word string, label string")
-    return m.tag_keywords(v.customer.select(F.col("c_custkey").alias("id"), text.alias("text")), words).select("id", F.array_join("labels", ",").alias("labels"))
+    words = v.spark.createDataFrame(_KEYWORDS, "place int, word string, label string")
+    return m.tag_keywords(v.documents.select(F.col("doc_id").alias("id"), "text"), words).select("id", F.array_join("labels", ",").alias("labels"))
 
 
-@query("j11_tag_broader_groups", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'fever group' WHEN 1 THEN '' ELSE 'unknown' END AS maybe FROM {customer}")
+@query("j11_tag_broader_groups", """WITH t AS (SELECT doc_id, lower(text) AS text, list_filter(['tion', 'que', 'thatin'], lambda x: contains(text, x || ' ')) AS labels FROM {documents}),
+g(place, word, "group", candidates) AS (VALUES (0, 'ion', 'ions', ['tion', 'que']), (1, 'th', 'ths', ['thatin']), (2, 'der', 'ders', CAST([] AS VARCHAR[])), (3, 'le', 'les', ['que', 'thatin'])),
+h AS (SELECT doc_id, list("group" ORDER BY place)[1:2] AS maybe FROM t JOIN g ON contains(text, word) AND (CASE WHEN len(candidates) = 0 THEN len(labels) = 0 ELSE NOT list_has_any(labels, candidates) END) GROUP BY 1)
+SELECT doc_id AS id, coalesce(array_to_string(maybe, ','), '') AS maybe FROM {documents} LEFT JOIN h USING (doc_id)""")
 def _(v):
-    k = F.col("c_custkey") % 3
-    text = F.when(k == 0, "A fever again").when(k == 1, "dengue fever, unknown illness").otherwise("an unknown illness")
-    labels = F.when(k == 1, F.array(F.lit("dengue"))).otherwise(F.array().cast("array<string>"))
-    groups = v.spark.createDataFrame([(0, "fever", "fever group", ["dengue", "zika"]), (1, "unknown", "unknown", [])], "place int, word string, group string, candidates array<string>")
-    return m.tag_broader_groups(v.customer.select(F.col("c_custkey").alias("id"), text.alias("text"), labels.alias("labels")), groups).select("id", F.array_join("maybe", ",").alias("maybe"))
+    labels = F.filter(F.array(*map(F.lit, ("tion", "que", "thatin"))), lambda x: F.col("text").contains(F.concat(x, F.lit(" "))))
+    groups = v.spark.createDataFrame([(0, "ion", "ions", ["tion", "que"]), (1, "th", "ths", ["thatin"]), (2, "der", "ders", []), (3, "le", "les", ["que", "thatin"])], "place int, word string, group string, candidates array<string>")
+    return m.tag_broader_groups(v.documents.select(F.col("doc_id").alias("id"), "text", labels.alias("labels")), groups).select("id", F.array_join("maybe", ",").alias("maybe"))
+
+
+_PLACES = ["small ring", "ring gear", "gear", "ring", "red bolt", "bolt", "hot", "small", "cold", "cold gear", "bolt cutter"]
 
 
-@query("j12_tag_places_masked", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'CD' WHEN 1 THEN 'CD,CG' WHEN 2 THEN '' ELSE 'NE,NG' END AS places FROM {customer}")
+@query("j12_tag_places_masked", f"""WITH n AS (SELECT list(p ORDER BY length(p) DESC, p) AS names FROM (SELECT unnest({_PLACES}) AS p) WHERE length(p) >= 4),
+t AS (SELECT a.p_partkey AS id, lower(concat(a.p_name, CASE WHEN a.p_size % 3 = 0 THEN ', ' ELSE ' ' END, coalesce(b.p_name, ''), CASE WHEN a.p_size % 5 = 0 THEN 's of ' ELSE ' by ' END, split_part(a.p_name, ' ', 2))) AS text FROM {{part}} a LEFT JOIN {{part}} b ON b.p_partkey = a.p_partkey + 1),
+k AS (SELECT id, i, names[i] AS name, list_reduce(list_concat([text], names[1:i - 1]), lambda a, b: regexp_replace(a, '\\b' || b || '\\b', chr(1), 'g')) AS masked FROM t, n, range(1, {len([p for p in _PLACES if len(p) >= 4]) + 1}) r(i))
+SELECT id, coalesce(array_to_string(list_sort(list(name ORDER BY i) FILTER (regexp_matches(masked, '\\b' || name || '\\b'))[1:4]), ','), '') AS places FROM k GROUP BY 1""")
 def _(v):
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "in the Democratic Republic of Congo").when(k == 1, "Republic of Congo and Democratic Republic of Congo").when(k == 2, "Nigerian and Congolese").otherwise("Niger, Nigeria: Niger")
-    names = [("Republic of Congo", "CG"), ("Democratic Republic of Congo", "CD"), ("Niger", "NE"), ("Nigeria", "NG")]
-    found = m.tag_places_masked(v.customer.select(F.col("c_custkey").alias("id"), text.alias("text")), names)
-    return found.select("id", F.array_join(F.array_sort("places"), ",").alias("places"))
+    after = v.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.coalesce("next", F.lit("")), F.when(F.col("p_size") % 5 == 0, "s of ").otherwise(" by "), F.split("p_name", " ")[1])
+    items = v.part.join(after, "p_partkey", "left").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return m.tag_places_masked(items, [(p, p) for p in _PLACES]).select("id", F.array_join(F.array_sort("places"), ",").alias("places"))
 
 
 @query("j13_join_item_context", """WITH i AS (SELECT o_orderkey AS id, n_name AS country, o_orderpriority AS condition FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)

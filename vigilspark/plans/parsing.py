@@ -91,19 +91,40 @@ def _(v):
     return c.select("file", "entity", "alias", F.try_element_at("fields", F.lit("type")).alias("type"), F.try_element_at("fields", F.lit("size")).alias("size"), F.array_join("notes", "|").alias("notes"))
 
 
-@query("io8_parse_weekly_table_lines", """SELECT s_suppkey AS doc, grade, name, "values", n_values, partial FROM (SELECT s_suppkey, unnest(['1', '2', '2']) AS grade, unnest(['Plague', 'Long name part two', 'Cholera']) AS name,
-unnest([s_suppkey || ',1,2,3,4,5,6,1000', s_suppkey || ',7', '5,']) AS "values", unnest([8, 3, 4]) AS n_values, unnest([NULL, 3, 4]) AS partial FROM {supplier})""")
-def _(v):
-    text = F.concat(F.lit("Weekly table\nGrade 1\nPlague "), _s("s_suppkey"), F.lit(" 1 2 3 4 5 6 1,000\nTotal 1 2 3 4\nGrade 2\nLong name\npart two "), _s("s_suppkey"), F.lit(" 7 8\nCholera 5 - 3 2\nPlague 9 9 9 9 9 9 9 9"))
-    docs = v.supplier.select(F.col("s_suppkey").alias("doc"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), text.alias("text")), F.struct(F.lit(2).alias("page_no"), F.lit("By region\nTyphus 1 2 3").alias("text")))).alias("x")).select("doc", "x.*")
-    rows = p.parse_weekly_table_lines(docs, r"^Grade (\d)", ["Total"], "By region")
+def _letters():
+    return F.translate(_s("s_suppkey"), "0123456789", "abcdefghij")
+
+
+@query("io8_parse_weekly_table_lines", """WITH s AS (SELECT s_suppkey AS k, translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') AS w FROM {supplier})
+SELECT k AS doc, CAST(1 + k % 3 AS VARCHAR) AS grade, 'Pox ' || w AS name, array_to_string(list_transform(range(8), lambda i: CASE WHEN i = k % 8 THEN '' ELSE CAST(i * k * 1000 AS VARCHAR) END), ',') AS "values", 8 AS n_values, NULL AS partial FROM s
+UNION ALL SELECT k, CAST(CASE WHEN k % 4 = 0 THEN 1 + k % 3 ELSE 4 END AS VARCHAR), CASE WHEN k % 2 = 0 THEN 'Long ' ELSE '' END || 'Fever ' || w, (k + 3) || ',' || (k + 4), 3 + k % 5, 3 + k % 5 FROM s
+UNION ALL SELECT k, CAST(CASE WHEN k % 4 = 0 THEN 1 + k % 3 ELSE 4 END AS VARCHAR), 'Late', k || ',', 3, 3 FROM s WHERE k % 5 <> 0""")
+def _(v):
+    k, w = F.col("s_suppkey"), _letters()
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == k % 8, "-").otherwise(F.format_number(i * k * 1000, 0)))
+    fewer = F.transform(F.sequence(F.lit(3), (5 + k % 5).cast("int")), lambda i: (k + i).cast("string"))
+    line = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    lines = F.concat_ws("\n", F.lit("Weekly table"), line("Grade ", (1 + k % 3).cast("string")), line("Pox ", w, " ", F.array_join(numbers, " ")), F.lit("Total 1 2 3 4"),
+                        F.when(k % 4 != 0, "Grade 4"), F.when(k % 2 == 0, "Long"), line("Fever ", w, " ", F.array_join(fewer, " ")), line("Pox ", w, " 9 9 9"), line("Only two ", w, " 1 2"))
+    last = F.when(k % 5 == 0, line("By region\nLate ", k.cast("string"), " - 2")).otherwise(line("Late ", k.cast("string"), " - 2"))
+    pages = F.array(F.struct(F.lit(1).alias("page_no"), lines.alias("text")), F.struct(F.lit(2).alias("page_no"), last.alias("text")), F.struct(F.lit(3).alias("page_no"), F.lit("By region\nTyphus 1 2 3").alias("text")))
+    rows = p.parse_weekly_table_lines(v.supplier.select(k.alias("doc"), F.explode(pages).alias("x")).select("doc", "x.*"), r"^Grade (\d)", ["Total"], "By region")
     return rows.withColumn("values", F.array_join(F.transform("values", lambda x: F.coalesce(x.cast("long").cast("string"), F.lit(""))), ","))
 
 
-@query("io9_parse_weekly_pair_table", "SELECT s_suppkey AS doc, 2020 + CAST(s_suppkey % 3 AS INT) AS year, week, agent, n, pct FROM (SELECT s_suppkey, unnest([5, 5, 6, 6]) AS week, unnest(['a', 'b', 'a', 'b']) AS agent, unnest([s_suppkey, 1200, 3, 4]) AS n, unnest([1.5, 20, 3, 4.25]) AS pct FROM {supplier})")
+@query("io9_parse_weekly_pair_table", """WITH r AS (SELECT s_suppkey AS k, i, (s_suppkey * 7 + i * 5) % 60 AS week, CASE WHEN (s_suppkey + i) % 4 = 0 THEN 3 ELSE 2 END AS pairs, (s_suppkey * i) % 130 / 1.25 AS pct FROM {supplier}, range(1, 7) t(i)),
+y AS (SELECT *, max(CASE WHEN i IN (1, 4) THEN 2018 + k % 3 + i END) OVER (PARTITION BY k ORDER BY i) AS year FROM r)
+SELECT k AS doc, CAST(year AS INT) AS year, CAST(week AS INT) AS week, agent, CAST(CASE WHEN agent = 'a' THEN k * 1000 + i ELSE i END AS BIGINT) AS n, CAST(CASE WHEN agent = 'a' THEN pct ELSE 50 END AS DOUBLE) AS pct FROM y, (VALUES ('a'), ('b')) a(agent) WHERE pairs = 2 AND week BETWEEN 1 AND 53 AND pct <= 100""")
 def _(v):
-    text = F.concat(F.lit("year week a b\n"), (2020 + F.col("s_suppkey") % 3).cast("string"), F.lit(" 5 "), _s("s_suppkey"), F.lit(" (1.5) 1,200 (20)\n 6 3 (3.0) 4 (4.25)\n 7 1 (2)\n 54 1 (1) 2 (2)\n 8 1 (1) 2 (200)"))
-    return p.parse_weekly_pair_table(v.supplier.select(F.col("s_suppkey").alias("doc"), text.alias("text")), ["a", "b"]).withColumn("doc", F.col("doc"))
+    k = F.col("s_suppkey")
+
+    def line(i):
+        pct = (k * i) % 130 / 1.25
+        pairs = F.concat(F.format_number(k * 1000 + i, 0), F.lit(" ("), pct.cast("string"), F.lit(") "), i.cast("string"), F.lit(" (50)"), F.when((k + i) % 4 == 0, " 1 (1)").otherwise(""))
+        return F.concat(F.when(i.isin(1, 4), F.concat((2018 + k % 3 + i).cast("string"), F.lit(" "))).otherwise(" "), ((k * 7 + i * 5) % 60).cast("string"), F.lit(" "), pairs)
+    text = F.concat(F.lit("year week a b\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), line), "\n"))
+    found = p.parse_weekly_pair_table(v.supplier.select(k.alias("doc"), text.alias("text")), ["a", "b"])
+    return found.withColumn("n", F.col("n").cast("long"))
 
 
 @query("io10_parse_sentinel_indicators", "SELECT s_suppkey AS doc, s_suppkey / 10.0 AS ili, CAST(s_suppkey AS DOUBLE) AS clinics, CASE WHEN s_suppkey % 2 = 0 THEN 6.5 END AS threshold FROM {supplier}")
@@ -112,37 +133,51 @@ def _(v):
     return p.parse_sentinel_indicators(v.supplier.select(F.col("s_suppkey").alias("doc"), text.alias("text")), {"ili": r"illness was ([\d.]+)", "clinics": r"at ([\d,]+) clinics", "threshold": r"threshold ([\d.]+)"})
 
 
-@query("io17_parse_listing_with_hidden", "SELECT p_partkey AS page_id, hidden, label, cover, file FROM (SELECT p_partkey, unnest([false, true, false]) AS hidden, unnest([p_name, p_brand, 'x']) AS label, unnest(['a.png', '', 'c.png']) AS cover, unnest([p_partkey || '.pdf', 'b.pdf', NULL]) AS file FROM {part})")
+@query("io17_parse_listing_with_hidden", """SELECT p_partkey AS page_id, (p_partkey + i) % 3 = 0 AS hidden, p_name || ' ' || i AS label, CASE WHEN p_size % (i + 1) = 0 THEN p_brand || i || '.png' ELSE '' END AS cover,
+CASE WHEN (p_size + i) % 2 = 0 THEN p_partkey || '-' || i || '.pdf' END AS file FROM {part}, range(1, 6) t(i) WHERE i <= 1 + p_partkey % 5""")
 def _(v):
-    html = F.concat(F.lit('<ul><li><img src="a.png"><b>'), "p_name", F.lit('</b><a href="'), _s("p_partkey"), F.lit('.pdf">get</a></li><!-- <li><b>'), "p_brand", F.lit('</b><a href="b.pdf"></a></li> --><li><img src="c.png"><b>x</b><a href=""></a></li></ul>'))
+    def item(i):
+        n = i.cast("string")
+        image = F.when(F.col("p_size") % (i + 1) == 0, F.concat(F.lit('<img class="c" src="'), "p_brand", n, F.lit('.png">'))).otherwise("")
+        link = F.concat(F.lit('<a href="'), F.when((F.col("p_size") + i) % 2 == 0, F.concat(_s("p_partkey"), F.lit("-"), n, F.lit(".pdf"))).otherwise(""), F.lit('">get</a>'))
+        text = F.concat(F.lit("<li class=x>"), image, F.lit("<b>"), "p_name", F.lit(" <i>"), n, F.lit("</i></b>"), link, F.lit("</li>"))
+        return F.when((F.col("p_partkey") + i) % 3 == 0, F.concat(F.lit("<!-- "), text, F.lit(" -->"))).otherwise(text)
+    html = F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sequence(F.lit(1), (1 + F.col("p_partkey") % 5).cast("int")), item), "\n"), F.lit("</ul>"))
     return p.parse_listing_with_hidden(v.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
-def _report(v):
-    pages = F.array(F.concat(F.lit("Weekly report Vol. "), _s("s_suppkey"), F.lit(" No. 7, 2024-03-01")), F.lit("contents: weekly status of notified conditions"), F.when(F.col("s_suppkey") % 2 == 0, "weekly status of notified conditions").otherwise("Part: Annex A"), F.lit("Part: Tables weekly status notified"))
-    return v.supplier.select(F.col("s_suppkey").alias("doc"), F.posexplode(pages).alias("i", "text")).select("doc", (F.col("i") + 1).alias("page_no"), "text")
-
-
-@query("io18_report_header", "SELECT s_suppkey AS doc, CAST(s_suppkey AS INT) AS volume, 7 AS number, '2024-03-01' AS date, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 4 END AS page FROM {supplier}")
+@query("io18_report_header", """SELECT doc, CAST(regexp_extract(first(text ORDER BY page_no), 'Vol. ([0-9]+)', 1) AS INT) AS volume, CAST(regexp_extract(first(text ORDER BY page_no), 'No. ([0-9]+)', 1) AS INT) AS number,
+right(first(text ORDER BY page_no), 10) AS date, min(page_no) FILTER (contains(text, 'weekly status') AND contains(text, 'notified') AND NOT contains(text, 'contents')) AS page FROM {report} GROUP BY 1""")
 def _(v):
-    return p.report_header(_report(v), ["weekly status", "notified"], ["contents"])
+    return p.report_header(v.report, ["weekly status", "notified"], ["contents"])
 
 
-@query("io11_grep_pages", "SELECT s_suppkey AS doc, CASE WHEN k = 1 THEN 2 WHEN s_suppkey % 2 = 0 THEN 3 ELSE 4 END AS page_no FROM {supplier}, range(1, 3) t(k)")
+@query("io11_grep_pages", "SELECT doc, page_no FROM (SELECT doc, page_no, row_number() OVER (PARTITION BY doc ORDER BY page_no) AS k FROM {report} WHERE contains(text, 'weekly status')) WHERE k <= 2")
 def _(v):
-    return p.grep_pages(_report(v), "weekly status", 2)
+    return p.grep_pages(v.report, "weekly status", 2)
 
 
-@query("x16_parse_specimen_rows", "SELECT s_suppkey AS doc, method, name, \"when\", container, amount, temp FROM (SELECT s_suppkey, unnest(['PCR', 'PCR', 'Culture']) AS method, unnest(['Blood', 'Serum', 'Stool']) AS name, unnest(['acute phase', '', 'any']) AS \"when\", unnest(['EDTA tube', 'SST', 'cup']) AS container, unnest([(1 + s_suppkey % 9) || ' mL', '2 mL', '']) AS amount, unnest(['4°C', '-20°C', '-20°C']) AS temp FROM {supplier})")
+@query("x16_parse_specimen_rows", """WITH r AS (SELECT s_suppkey AS k, i, CASE WHEN i = 1 OR (s_suppkey + i) % 3 = 0 THEN ['PCR', 'Culture', 'ELISA'][1 + (s_suppkey + i) % 3] || (i % 2) END AS m, CASE WHEN (s_suppkey * i) % 3 = 0 THEN (i - s_suppkey % 20) || '°C' END AS t FROM {supplier}, range(1, 6) x(i) WHERE i <= 2 + s_suppkey % 4)
+SELECT k AS doc, last_value(m IGNORE NULLS) OVER w AS method, 'Sample' || i AS name, CASE WHEN k % 2 = 0 THEN 'day ' || i ELSE '' END AS "when", ['EDTA tube', 'SST', 'cup'][1 + (k * i) % 3] AS container, CASE WHEN (k + i) % 2 = 0 THEN (1 + (k + i) % 9) || ' mL' ELSE '' END AS amount, last_value(t IGNORE NULLS) OVER w AS temp
+FROM r WINDOW w AS (PARTITION BY k ORDER BY i)""")
 def _(v):
-    text = F.concat(F.lit("Method: PCR\nBlood acute phase EDTA tube "), (1 + F.col("s_suppkey") % 9).cast("string"), F.lit(" mL 4°C\nSerum SST 2 mL -20°C\nMethod: Culture\nStool any cup\nfree text"))
-    lines = v.supplier.select(F.col("s_suppkey").alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    return p.parse_specimen_rows(lines, ["EDTA tube", "SST", "cup"], r"^Method: (\w+)").drop("no")
+    k = F.col("s_suppkey")
+
+    def lines(i):
+        method = F.when((i == 1) | ((k + i) % 3 == 0), F.concat(F.lit("Method: "), F.array(*map(F.lit, ("PCR", "Culture", "ELISA")))[((k + i) % 3).cast("int")], (i % 2).cast("string"), F.lit("\n"))).otherwise("")
+        when = F.when(k % 2 == 0, F.concat(F.lit("day "), i.cast("string"), F.lit(" "))).otherwise("")
+        amount = F.when((k + i) % 2 == 0, F.concat(F.lit(" "), (1 + (k + i) % 9).cast("string"), F.lit(" mL"))).otherwise("")
+        temp = F.when((k * i) % 3 == 0, F.concat(F.lit(" "), (i - k % 20).cast("string"), F.lit("°C"))).otherwise("")
+        return F.concat(method, F.lit("Sample"), i.cast("string"), F.lit(" "), when, F.array(*map(F.lit, ("EDTA tube", "SST", "cup")))[((k * i) % 3).cast("int")], amount, temp)
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), (2 + k % 4).cast("int")), lines), "\n"), F.lit("\nfree text"))
+    rows = v.supplier.select(k.alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    return p.parse_specimen_rows(rows, ["EDTA tube", "SST", "cup"], r"^Method: (\w+)").drop("no")
 
 
-@query("x17_split_sections", "SELECT s_suppkey AS doc, k AS section, CASE WHEN k = 1 AND s_suppkey % 2 = 1 THEN 'Annex A' ELSE 'Tables weekly status notified' END AS title, CASE WHEN k = 1 AND s_suppkey % 2 = 1 THEN 3 ELSE 4 END AS first_page, CASE WHEN k = 1 AND s_suppkey % 2 = 1 THEN 3 ELSE 4 END AS last_page FROM {supplier}, range(1, 3) t(k) WHERE k = 1 OR s_suppkey % 2 = 1")
+@query("x17_split_sections", """WITH s AS (SELECT *, CASE WHEN starts_with(text, 'Part: ') THEN substring(text, 7) END AS t, sum(CASE WHEN starts_with(text, 'Part: ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page_no) AS section FROM {report})
+SELECT doc, CAST(section AS BIGINT) AS section, max(t) AS title, min(page_no) AS first_page, max(page_no) AS last_page FROM s WHERE section > 0 GROUP BY 1, 2""")
 def _(v):
-    return p.split_sections(_report(v), r"^Part: (.*)$")
+    return p.split_sections(v.report, r"^Part: (.*)$")
 
 
 @query("io15_emit_feed", "SELECT event_id AS id, {date:ts} AS date, CASE WHEN event_id % 2 = 0 THEN '[' || event_type || '] ' ELSE '' END || 'Item ' || event_id AS title FROM {events} ORDER BY {date:ts} DESC, event_id LIMIT 30")

@@ -6,7 +6,8 @@ from vigilspark.operators import search as s
 from vigilspark.plans.registry import query
 
 _CORPUS = "(SELECT n_nationkey AS id, n_name AS name, true AS hub, NULL AS year FROM {nation} UNION ALL SELECT 1000 + doc, title, false, year FROM {catalogue})"
-_QUERIES = "(SELECT * FROM (VALUES (1, 'NATION_1'), (2, ' guideline brand#12 '), (3, '2010'), (4, 'nation_3'), (5, 'nothing here')) t(query_id, q))"
+#: Every catalogue row whose id is divisible by 100, and every nation, against all rows.
+_QUERIES = "(SELECT doc AS query_id, concat(' ', board, ' ', split_part(name, ' ', 2), ' ') AS q FROM {catalogue} WHERE doc % 100 = 0 UNION ALL SELECT -1 - n_nationkey, lower(n_name) FROM {nation})"
 
 
 def _corpus(v):
@@ -15,7 +16,8 @@ def _corpus(v):
 
 
 def _queries(v):
-    return v.spark.createDataFrame([(1, "NATION_1"), (2, " guideline brand#12 "), (3, "2010"), (4, "nation_3"), (5, "nothing here")], "query_id int, q string")
+    words = F.concat(F.lit(" "), "board", F.lit(" "), F.split("name", " ")[1], F.lit(" "))
+    return v.catalogue.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), words.alias("q")).union(v.nation.select((-1 - F.col("n_nationkey")).cast("long"), F.lower("n_name")))
 
 
 @query("q1_build_search_records", "SELECT 'country' AS kind, n_name AS title, n_regionkey AS region, NULL AS year FROM {nation} UNION ALL SELECT 'guide', title, NULL, year FROM {catalogue} UNION ALL SELECT 'person', c_name, NULL, NULL FROM {customer}")
@@ -54,23 +56,28 @@ def _(v):
     return s.match_query_entities(rows.select(F.col("o_orderkey").alias("query_id"), q.alias("q")), v.nation.select(F.col("n_name").alias("name")))
 
 
-@query("q6_route_intents", "SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN 'cover,trend' WHEN 1 THEN 'trend' END AS urls FROM {customer}")
+_INTENTS = [(0, "tion", "trend"), (1, "que ", "cover"), (2, "the ", "index"), (3, "der ", "cover"), (4, "re", "map"), (5, "la", "trend")]
+
+
+@query("q6_route_intents", f"""WITH i(place, word, url) AS (VALUES {', '.join(map(str, _INTENTS))}),
+h AS (SELECT doc_id, url, min(place) AS place FROM {{documents}} JOIN i ON contains(lower(substring(text, 1, 40)), word) GROUP BY 1, 2)
+SELECT doc_id AS query_id, array_to_string(urls, ',') AS urls FROM {{documents}} LEFT JOIN (SELECT doc_id, list(url ORDER BY place)[1:3] AS urls FROM h GROUP BY 1) USING (doc_id)""")
 def _(v):
-    k = F.col("c_custkey") % 3
-    queries = v.customer.select(F.col("c_custkey").alias("query_id"), F.when(k == 0, "weekly vaccine rate").when(k == 1, "Trend by weekly count").otherwise("hello").alias("q"))
-    intents = v.spark.createDataFrame([(0, "vaccine", "cover"), (1, "weekly", "trend"), (2, "trend", "trend"), (3, "rate", "cover")], "place int, word string, url string")
-    return s.route_intents(queries, intents).withColumn("urls", F.array_join("urls", ","))
+    queries = v.documents.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("q"))
+    return s.route_intents(queries, v.spark.createDataFrame(_INTENTS, "place int, word string, url string")).withColumn("urls", F.array_join("urls", ","))
 
 
 @query("q7_autocomplete", f"""SELECT prefix, name, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY tier, length(name), name) AS place FROM (
-SELECT prefix, name, min(CASE WHEN hub AND starts_with(lower(name), lower(prefix)) THEN 0 WHEN hub THEN 1 ELSE 2 END) AS tier FROM {_CORPUS} JOIN (VALUES ('na'), ('2'), ('brand#1')) p(prefix) ON contains(lower(name), lower(prefix)) GROUP BY 1, 2)) WHERE place <= 8""")
+SELECT prefix, name, min(CASE WHEN hub AND starts_with(lower(name), lower(prefix)) THEN 0 WHEN hub THEN 1 ELSE 2 END) AS tier FROM {_CORPUS} JOIN (SELECT DISTINCT substring(board, 1, 7) AS prefix FROM {{catalogue}} WHERE doc % 100 = 0 UNION SELECT substring(n_name, 1, 7) FROM {{nation}}) p ON contains(lower(name), lower(prefix)) GROUP BY 1, 2)) WHERE place <= 8""")
 def _(v):
-    return s.autocomplete(v.spark.createDataFrame([("na",), ("2",), ("brand#1",)], "prefix string"), _corpus(v))
+    prefixes = v.catalogue.where("doc % 100 = 0").select(F.substring("board", 1, 7).alias("prefix")).union(v.nation.select(F.substring("n_name", 1, 7)))
+    return s.autocomplete(prefixes.distinct(), _corpus(v))
 
 
-@query("q8_suggest_similar", "SELECT query_id, name, place FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY name) AS place FROM (SELECT DISTINCT p_name AS name FROM {part}) JOIN (VALUES (1, 'almond'), (2, 'xx red'), (3, 'NAVY')) q(query_id, q) ON contains(lower(name), substring(lower(q), 1, 2)) OR contains(lower(q), substring(lower(name), 1, 2))) WHERE place <= 6")
+@query("q8_suggest_similar", "SELECT query_id, name, place FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY name) AS place FROM (SELECT DISTINCT p_name AS name FROM {part}) JOIN (SELECT doc AS query_id, upper(split_part(name, ' ', 2)) || CASE WHEN doc % 200 = 0 THEN ' ' || board ELSE '' END AS q FROM {catalogue} WHERE doc % 100 = 0) q ON contains(lower(name), substring(lower(q), 1, 2)) OR contains(lower(q), substring(lower(name), 1, 2))) WHERE place <= 6")
 def _(v):
-    return s.suggest_similar(v.spark.createDataFrame([(1, "almond"), (2, "xx red"), (3, "NAVY")], "query_id int, q string"), v.part.select(F.col("p_name").alias("name")).distinct())
+    q = F.concat(F.upper(F.split("name", " ")[1]), F.when(F.col("doc") % 200 == 0, F.concat(F.lit(" "), "board")).otherwise(""))
+    return s.suggest_similar(v.catalogue.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), q.alias("q")), v.part.select(F.col("p_name").alias("name")).distinct())
 
 
 @query("q9_facet_results", """SELECT query_id, kind, id, score, n, place, CASE kind WHEN 'hub' THEN 0 WHEN 'guide' THEN 1 ELSE 2 END AS kind_rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id, kind) AS n, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS place FROM (

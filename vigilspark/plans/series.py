@@ -40,9 +40,9 @@ def _(v):
     return s.totals_with_exclusion(long, "year", "Brand#11")
 
 
-@query("a21_unstable_denominators", "SELECT entity, min(value) AS least, max(value) AS most FROM {brand_annual} WHERE value > 0 GROUP BY 1 HAVING max(value) >= 2 * min(value)")
+@query("a21_unstable_denominators", "SELECT entity, min(value) AS least, max(value) AS most FROM {part_annual} WHERE value > 0 GROUP BY 1 HAVING max(value) >= 2 * min(value)")
 def _(v):
-    return s.unstable_denominators(v.brand_annual)
+    return s.unstable_denominators(v.part_annual)
 
 
 _SURGE = "(SELECT entity, year, value, previous, value * 1.0 / previous AS r FROM (SELECT a.entity, a.year, a.value, b.value AS previous FROM {brand_annual} a JOIN {brand_annual} b ON a.entity = b.entity AND b.year = a.year - 1) WHERE previous >= 5 AND value >= 10 AND value * 1.0 / previous >= 1.02)"

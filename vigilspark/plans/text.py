@@ -16,6 +16,11 @@ def _(v):
     return v.part.select("p_partkey", t.html_to_text(html).alias("text"))
 
 
+@query("x1_pages_to_text", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM {pages}""")
+def _(v):
+    return v.pages.select("page_id", t.html_to_text(F.col("html")).alias("text"))
+
+
 @query("x2_first_sentences", "SELECT p_partkey, CASE WHEN length(s) > 40 THEN rtrim(substring(s, 1, 39)) || '…' ELSE s END AS text FROM (SELECT p_partkey, 'A ' || p_name || ' v.2 is. B ' || p_type || '!' AS s FROM {part})")
 def _(v):
     text = F.concat(F.lit(" A "), "p_name", F.lit(" v.2 is. B "), "p_type", F.lit("! And more. Yes."))
@@ -48,17 +53,25 @@ def _(v):
     return v.customer.select("c_custkey", F.try_element_at(risk, F.lit("global")).alias("global"), F.try_element_at(risk, F.lit("regional")).alias("regional"))
 
 
-@query("x6_extract_travel_advice", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'against' WHEN 1 THEN 'advises' END AS advice FROM {customer}")
+@query("x6_extract_travel_advice", """WITH t AS (SELECT p_partkey AS k, lower(p_name || ': ' || ['WHO advises ', 'The office recommends ', 'It warns ', 'Nobody advises '][1 + p_partkey % 4] || ['against ', '', 'against any ', 'the '][1 + p_size % 4] || ['travel or trade', 'application of travel', 'trade', 'application of any travel'][1 + (p_partkey + p_size) % 4] || ' restrictions') AS s FROM {part})
+SELECT k AS p_partkey, CASE WHEN regexp_matches(s, '(advises|recommends) against (any |the )?(application of )?(any )?travel') THEN 'against' WHEN regexp_matches(s, '(advises|recommends) (any |the )?travel') THEN 'advises' END AS advice FROM t""")
 def _(v):
-    k = F.col("c_custkey") % 3
-    return v.customer.select("c_custkey", t.extract_travel_advice(F.when(k == 0, "The office advises against any travel or trade restrictions").when(k == 1, "It recommends travel restrictions").otherwise("Travel goes on")).alias("advice"))
+    pick = lambda place, *words: F.array(*map(F.lit, words))[(place % 4).cast("int")]
+    text = F.concat("p_name", F.lit(": "), pick(F.col("p_partkey"), "WHO advises ", "The office recommends ", "It warns ", "Nobody advises "), pick(F.col("p_size"), "against ", "", "against any ", "the "),
+                    pick(F.col("p_partkey") + F.col("p_size"), "travel or trade", "application of travel", "trade", "application of any travel"), F.lit(" restrictions"))
+    return v.part.select("p_partkey", t.extract_travel_advice(text).alias("advice"))
 
 
-@query("x7_find_terms", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Herd Immunity' WHEN 1 THEN 'herd immunity|immunity' ELSE '' END AS terms FROM {part}")
+_GLOSSARY = sorted(["of the", "the", "of", "thatin", "la", "the orantion", "rewh", "and the", "re", "hehely"], key=lambda x: (-len(x), x))
+_EDGE = "[^\\p{L}\\p{N}_]"
+
+
+@query("x7_find_terms", f"""WITH RECURSIVE g AS (SELECT {_GLOSSARY} AS terms), f(doc_id, i, text, found) AS (SELECT doc_id, 0, text, CAST([] AS VARCHAR[]) FROM {{documents}} UNION ALL
+SELECT doc_id, i + 1, regexp_replace(text, '(?i)(^|{_EDGE})' || terms[i + 1] || '($|{_EDGE})', '\\1' || chr(1) || '\\2'),
+CASE WHEN regexp_matches(text, '(?i)(^|{_EDGE})' || terms[i + 1] || '($|{_EDGE})') THEN list_append(found, regexp_extract(text, '(?i)(^|{_EDGE})(' || terms[i + 1] || ')($|{_EDGE})', 2)) ELSE found END FROM f, g WHERE i < {len(_GLOSSARY)})
+SELECT doc_id, array_to_string(found[1:4], '|') AS terms FROM f WHERE i = {len(_GLOSSARY)}""")
 def _(v):
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, "On Herd Immunity, herds").when(k == 1, "herd immunity is immunity").otherwise("shepherd immunitys")
-    return t.find_terms(v.part.select("p_partkey", text.alias("text")), "text", ["immunity", "herd immunity", "herd"]).select("p_partkey", F.array_join("terms", "|").alias("terms"))
+    return t.find_terms(v.documents.select("doc_id", "text"), "text", _GLOSSARY, 4).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query("x8_extract_figures", "SELECT p_partkey, 'http://x.org/' || p_partkey || '.png=' || p_name || ';https://x.org/b.png=' || p_type AS figures FROM {part}")
@@ -113,9 +126,13 @@ def _(v):
     return v.part.select("p_partkey", F.array_join(t.split_outside_parens(F.concat("p_name", F.lit(" (x,y), "), "p_type")), "|").alias("parts"))
 
 
-@query("x18_expand_keys", "SELECT c_custkey, 'marburg (mvd) condition|marburg condition|marburg|mvd|' || lower(c_mktsegment) AS keys FROM {customer}")
+@query("x18_expand_keys", """WITH n AS (SELECT p_partkey AS k, lower(p_name) AS base, ['', ' syndrome', ' fever', ' virus infection', ' INFECTION'][1 + p_partkey % 5] AS tail, CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (' || upper(substring(p_name, 1, 1 + p_size % 4)) || ')' END AS inner_, lower(p_type) AS alias FROM {part})
+SELECT k AS p_partkey, array_to_string(list_sort(list_distinct(list_filter([lower(base || inner_ || tail), lower(base || tail), base, CASE WHEN contains(inner_, ' )') OR contains(trim(inner_), ' ') THEN '' ELSE lower(trim(inner_, ' ()')) END, alias, 'x', base], lambda x: length(x) >= 2))), '|') AS keys FROM n""")
 def _(v):
-    return v.customer.select("c_custkey", F.array_join(t.expand_keys(F.lit("Marburg (MVD) condition"), F.array("c_mktsegment", F.lit("x"))), "|").alias("keys"))
+    inner = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit(" ("), F.upper(F.expr("substring(p_name, 1, 1 + p_size % 4)")), F.lit(")")))
+    tail = F.array(*map(F.lit, ("", " syndrome", " fever", " virus infection", " INFECTION")))[(F.col("p_partkey") % 5).cast("int")]
+    keys = t.expand_keys(F.concat("p_name", inner, tail), F.array("p_type", F.lit("x"), F.col("p_name")))
+    return v.part.select("p_partkey", F.array_join(F.array_sort(keys), "|").alias("keys"))
 
 
 @query("x19_glossary_gaps", """WITH w AS (SELECT unnest(['zoonosis', 'the', 'que', 'vector']) AS word), d AS (SELECT unnest(['the', 'vector']) AS word), u AS (SELECT word, count(DISTINCT doc_id) AS pages FROM {documents} JOIN (SELECT * FROM w UNION SELECT * FROM d) ON contains(lower(text), word) GROUP BY 1)
