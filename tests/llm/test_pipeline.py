@@ -1,5 +1,9 @@
 """The pipeline's stages on a small table, each against what it must keep."""
 
+import random
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -24,6 +28,90 @@ def test_stages(spark):
     assert pipeline.byte_level_bpe(spark, mixed, "").where("n_tokens > 0").count() == mixed.count()
 
 
+def brute_run(rows):
+    """What the four text stages leave of (doc_id, text, lang, source, n_chars), and the tokens of each row."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from tests.llm.test_operators import FOLD, WORD
+    from vigilspark.llm import bpe, quality
+    from vigilspark.llm.blocks import Block
+
+    counts = quality.measure(Block.of(pa.array([r[1] for r in rows], pa.string())))
+    kept = []
+    for i, r in enumerate(rows):
+        c = {k: int(v[i]) for k, v in counts.items()}
+        base = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        if not base and 100 * c["n_covered_words"] <= 30 * c["n_words"] and 100 * c["longest_repeat"] <= 20 * c["n_words"]:
+            kept.append(r)
+    sets = []
+    for r in kept:
+        w = WORD.findall(r[1].translate(FOLD))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)})
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    place = lambda i: (kept[i][0] is None, kept[i][0] or 0)
+    single = [kept[min((i for i in range(len(kept)) if group[i] == g), key=place)] for g in sorted(set(group))]
+    seen = Counter(d[i:i + 200] for r in single for d in [r[1].encode()] for i in range(len(d) - 199))
+    cut = []
+    for r in single:
+        data = r[1].encode()
+        gone = set()
+        for i in range(len(data) - 199):
+            if seen[data[i:i + 200]] > 1:
+                gone.update(range(i, i + 200))
+        left = bytes(x for i, x in enumerate(data) if i not in gone).decode("utf-8", "ignore")
+        if len(gone) < len(data):
+            cut.append((r[0], left, r[3]))
+    codec = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    return {(d, hashlib.sha256(str(codec.encode_ordinary(t)).encode()).hexdigest()): (s, len(WORD.findall(t))) for d, t, s in cut}
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    import hashlib
+
+    from tests.llm.test_operators import water
+
+    r = random.Random(6)
+    shared = prose(77, 50)
+    rows = []
+    for i in range(260):
+        text = prose(1000 + i, r.choice((20, 60, 90, 150)))
+        if i % 7 == 0 and rows:  # near copies
+            w = (rows[r.randrange(len(rows))][1] or "none").split()
+            w[len(w) // 2] = "changed"
+            text = " ".join(w)
+        if i % 9 == 0:
+            text = f"{text}\n{shared}"
+        if i % 13 == 0:
+            text = "the same line\n" * 40
+        rows.append((i, text, "en", [None, "a", "b", "c"][min(3, int(r.expovariate(1)))], len(text)))
+    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "ÄÖ 漢字 " * 30, "de", "b", 180), (303, prose(5, 3000), "en", "c", 9), rows[3], (None, prose(8, 80), "en", "a", 1), (None, prose(9, 80), "en", "b", 1), (1, prose(10, 80), "en", "zz", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_run(rows)
+    got = Counter()
+    for x in pipeline.run(spark, str(tmp_path)).collect():
+        assert x["n_tokens"] == len(x["ids"])
+        got[x["doc_id"], hashlib.sha256(str(list(x["ids"])).encode()).hexdigest()] += 1
+    # The mix takes each of the rows 0 to 3 times and comes near its target.
+    assert set(got) <= set(want) and max(got.values()) <= 3
+    sizes, taken = Counter(), Counter()
+    for key, (source, n) in want.items():
+        sizes[source] += n
+        taken[source] += n * got[key]
+    target = water(sizes)
+    most = max(n for _, n in want.values())
+    assert all(abs(taken[s] - target[s]) <= most for s in sizes)
+    assert pipeline.run(spark, str(tmp_path)).count() == sum(got.values())
+
+
 def test_stages_take_empty_and_awkward_tables(spark):
     awkward = documents(spark, clash=False)
     for _, stage in pipeline.STAGES:

@@ -15,7 +15,8 @@ A passage's bigrams are among the text's, so only texts with enough of a templat
 Whole licence texts (``license_texts``) are templates of passages; the whole text is tried first.
 
 Null and empty texts have no match.  On equal dice the first unit, then the first template in order wins.
-Templates are a driver-side list whose bigrams travel in the plan; ``MAX_TEMPLATE_GRAMS`` bounds them.
+Templates are a driver-side list whose bigrams travel in the plan, a batch of ``MAX_TEMPLATE_GRAMS`` after
+another, each a projection of its own; their number changes the time, not the results.
 """
 
 from __future__ import annotations
@@ -96,14 +97,32 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def passage_matches(matches: Column, templates: list[tuple[str, str]], percent: int) -> Column:
-    """The best passage of each licence that ``matches`` doesn't have, as matches."""
+def batches_of(templates: list[tuple[int, str, str]]) -> list[list[tuple[int, str, str]]]:
+    """Templates (place, name, text) in batches of MAX_TEMPLATE_GRAMS bigrams; a larger one is a batch of its own."""
+    out, size = [], MAX_TEMPLATE_GRAMS
+    for one in templates:
+        grams = len(template_grams(one[2]))
+        if not out or size + grams > MAX_TEMPLATE_GRAMS:
+            out.append([])
+            size = 0
+        out[-1].append(one)
+        size += grams
+    return out
+
+
+def best_of_each(found: Column) -> Column:
+    """One match a licence: the best, then the first template's."""
+    return _let(found, lambda every: F.filter(every, lambda m: ~F.exists(every, lambda o: (o.license == m.license) & ((o.dice > m.dice) | (o.dice == m.dice) & (o.order < m.order)))))
+
+
+def passage_matches(matches: Column, templates: list[tuple[int, str, str]], percent: int) -> Column:
+    """The best passage of each licence that ``matches`` doesn't have, as matches; templates with their places."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words_of = lambda part: F.filter(F.split(F.regexp_replace(part, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     none = F.array().cast("array<struct<unit:int,order:int,license:string,dice:double>>")
     first = F.size(F.split(text, "\n")) + 1
     by_kind: dict[bool, list] = {False: [], True: []}
-    for i, (name, template) in enumerate(templates):
+    for i, name, template in templates:
         if own := template_grams(template):
             by_kind[len(own) > LONG_GRAMS].append((i, name, own))
 
@@ -142,18 +161,12 @@ def passage_matches(matches: Column, templates: list[tuple[str, str]], percent:
     full = lambda parts: F.filter(F.transform(parts, words_of), lambda ws: F.size(ws) > 0)
     fine = full(F.split(text, r"(?<=[.!?;:])\s+|\n"))
     coarse = full(F.when(text.rlike(r"\n\s*\n"), F.split(text, r"\n\s*\n")).otherwise(F.split(text, "\n")))
-    found = F.concat(*(among(known, parts) for known, parts in ((by_kind[False], fine), (by_kind[True], coarse)) if known))
-    # One passage a licence: the best, then the first template's.
-    return _let(found, lambda every: F.filter(every, lambda m: ~F.exists(every, lambda o: (o.license == m.license) & ((o.dice > m.dice) | (o.dice == m.dice) & (o.order < m.order)))))
+    return best_of_each(F.concat(*(among(known, parts) for known, parts in ((by_kind[False], fine), (by_kind[True], coarse)) if known)))
 
 
-def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """``docs`` (text, ...) with matches: array of (unit, license, dice), units counted from 1 by line, 0 the whole text, passages after the lines."""
-    long = full_texts() if templates is None else []
-    grams = [(i, name, template_grams(text)) for i, (name, text) in enumerate(templates or TEMPLATES)]
-    grams = [g for g in grams if g[2]]
-    if not grams or sum(len(template_grams(text)) for _, text in [*(templates or TEMPLATES), *long]) > MAX_TEMPLATE_GRAMS:
-        raise ValueError(f"templates need 1 to {MAX_TEMPLATE_GRAMS} word bigrams")
+def unit_matches(templates: list[tuple[int, str, str]], percent: int) -> Column:
+    """Matches of the lines and of the whole text; templates with their places, each of a bigram at least."""
+    grams = [(i, name, template_grams(text)) for i, name, text in templates]
     sizes = [len(g[2]) for g in grams]
     least, most = min(sizes), max(sizes)
     array = lambda items: F.array(*(F.lit(x) for x in items))
@@ -174,10 +187,26 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
         F.filter(known, lambda k: (F.size(u.grams) * (200 - percent) >= F.size(k.grams) * percent) & (F.size(u.grams) * percent <= F.size(k.grams) * (200 - percent))),
         lambda k: F.struct(u.unit.alias("unit"), k.order.alias("order"), k.license.alias("license"),
                            (2.0 * F.size(F.array_intersect(u.grams, k.grams)) / (F.size(u.grams) + F.size(k.grams))).alias("dice")))))
-    mark = column_name(docs, "matches")
-    # A column of its own, so that the passages don't compute it again.
-    found = docs.withColumn(mark, F.filter(scored, lambda m: 100 * m.dice >= percent))
-    return found.withColumn(mark, F.concat(mark, passage_matches(F.col(mark), [*(templates or TEMPLATES), *long], percent)))
+    return F.filter(scored, lambda m: 100 * m.dice >= percent)
+
+
+def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """``docs`` (text, ...) with matches: array of (unit, license, dice), units counted from 1 by line, 0 the whole text, passages after the lines."""
+    given = [(i, name, text) for i, (name, text) in enumerate([*(templates or TEMPLATES), *(full_texts() if templates is None else [])]) if template_grams(text)]
+    # Whole licence texts are templates of passages only.
+    lines, passages = batches_of([g for g in given if g[0] < len(templates or TEMPLATES)]), batches_of(given)
+    if not lines:
+        raise ValueError("no template has two words")
+    mark, more = column_name(docs, "matches"), column_name(docs, "passages")
+    # Columns of their own, so that nothing is computed twice.
+    found = docs.withColumn(mark, unit_matches(lines[0], percent))
+    for batch in lines[1:]:
+        found = found.withColumn(mark, F.concat(mark, unit_matches(batch, percent)))
+    found = found.withColumn(more, passage_matches(F.col(mark), passages[0], percent))
+    for batch in passages[1:]:
+        found = found.withColumn(more, F.concat(more, passage_matches(F.col(mark), batch, percent)))
+    best = F.col(more) if len(passages) == 1 else best_of_each(F.col(more))
+    return found.withColumn(mark, F.concat(mark, best)).drop(more)
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
