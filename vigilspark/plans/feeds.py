@@ -1,8 +1,5 @@
 """Queries for vigilspark.streaming.feed."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vigilspark.plans.registry import query
@@ -31,8 +28,7 @@ def _(v):
 
 
 def _checkpoint(v):
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilspark-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return v.folder("streams")
 
 
 @query("r1_item_stream", f"""SELECT i.id, i.source, i.level, i.first_seen, i.last_seen, c.updated, coalesce(c.changes, '') AS changes FROM

@@ -1,8 +1,5 @@
 """Queries for vigilspark.sources: files and pages are composed from columns and parsed back."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vigilspark.plans.registry import query
@@ -10,9 +7,7 @@ from vigilspark.sources import files, pages as p
 
 
 def _folder(v) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilspark-")
-    return f"{base.rstrip('/')}/ledgers/{uuid.uuid4().hex}"
+    return v.folder("ledgers")
 
 
 def _s(col):

@@ -33,7 +33,10 @@ def write_ledger(df: DataFrame, path: str, fmt: str = "parquet", keys: list[str]
 
 def guarded_overwrite(new: DataFrame, path: str, min_rows: int) -> int:
     """Write ``new`` beside ``path`` and check it before it replaces what is there: at least ``min_rows`` rows,
-    or TooFewRows and the old ledger stays.  Returns the rows written."""
+    or TooFewRows and the old ledger stays.  Returns the rows written.
+
+    The old ledger is moved aside (``.old``) before the new one takes its place, and only then deleted, so a
+    crash leaves one of them whole."""
     beside = f"{path}.next"
     new.write.mode("overwrite").parquet(beside)
     spark = new.sparkSession
@@ -44,6 +47,10 @@ def guarded_overwrite(new: DataFrame, path: str, min_rows: int) -> int:
     if rows < min_rows:
         fs.delete(source, True)
         raise TooFewRows(f"{rows} rows, fewer than {min_rows}; {path} stays as it is")
-    fs.delete(target, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    if fs.exists(target):
+        fs.delete(old, True)
+        fs.rename(target, old)
     fs.rename(source, target)
+    fs.delete(old, True)
     return rows
