@@ -29,7 +29,7 @@ from .shared import column_name, extended, map_batches
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded words, and token pairs, that a worker keeps.  Words are kept in two generations: when the younger one is full
 #: it replaces the older.  All stores are emptied when a task ends; what is forgotten only costs time.
-WORDS, PAIRS = 80_000, 200_000
+WORDS, PAIRS = 120_000, 200_000
 STORED_BYTES = 64
 
 
