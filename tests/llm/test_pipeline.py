@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.compare import assert_same
+from tests.conftest import SF
 from tests.llm.fixtures import documents, prose
 from vigilspark.llm.queries import ORACLES, QUERIES
 
@@ -119,7 +121,6 @@ def test_stages_take_empty_and_awkward_tables(spark):
         assert stage(spark, awkward.limit(0), "").count() == 0
 
 
-def test_license_query_against_its_oracle(spark, duck):
-    from tests.conftest import SF
-
-    assert_same(QUERIES["op10_license_scan"](spark, SF), duck, ORACLES["op10_license_scan"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_its_oracle(spark, duck, name):
+    assert_same(QUERIES[name](spark, SF), duck, ORACLES[name])

@@ -9,6 +9,7 @@ from .licenses import ORACLE_SQL as LICENSE_SQL
 from .licenses import op10_license_scan
 from .mixing import op5_source_mixing
 from .ngram_jaccard import op6_ngram_jaccard
+from .oracles import JACCARD, QUALITY, SUFFIX_DEDUP, WARC
 from .quality import op9_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op8_token_counts
@@ -28,5 +29,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": SUFFIX_DEDUP,
+    "op4_warc_zstd": WARC,
+    "op6_ngram_jaccard": JACCARD,
+    "op9_quality_rules": QUALITY,
     "op10_license_scan": LICENSE_SQL,
 }
