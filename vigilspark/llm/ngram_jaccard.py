@@ -12,9 +12,11 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of wor
    once in 10^9 at 0.8).  What passes is verified exactly either way.
 2. *Clusters* of candidate edges are connected components.  Equal sets leave one representative.
 3. *Tiles.*  A cluster is one tile.  Beyond ``TILE`` members its candidate edges are verified first,
-   one by one, and what they link is one component: a cluster of near copies mostly ends there.  If
-   components are still apart, pairs of blocks of compatible size bands are tiles, but for blocks of
-   one component: a task holds two blocks at most, whatever the cluster's size.
+   one by one, and what they link is one component.  While components are still apart, the members
+   are dealt into tiles at random, each to one, for ``DEALS`` rounds at most: a cluster of near copies
+   ends there, at a cost in proportion to it.  For what is apart even then, pairs of blocks of
+   compatible size bands are tiles, but for blocks of one component: a task holds two blocks at most,
+   whatever the cluster's size.
 4. In a tile parity bitmaps bound the overlap from above (their Hamming distance never exceeds the
    sets' difference); what passes is decided by exact intersection.  Pairs already connected in the
    tile are skipped, and each tile returns a spanning forest, never all pairs.
@@ -41,6 +43,8 @@ from .shared import buckets, connected_components, map_batches, materialise, par
 BITS = 50  # of a shingle's hash; the rest of 64 bits hold the document's place in its block
 MASK = U64((1 << BITS) - 1)
 TILE = 1024
+#: Rounds in which a large cluster's members are dealt into random tiles; their number changes the time, not the results.
+DEALS = 3
 SIGNATURE_BITS = 1024
 FLUSH = 250_000
 #: From this threshold on the cells are as many as differing shingles, plus one; below, such cells would hold three
@@ -349,13 +353,28 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
     small = sets.join(whole.where(F.col("all_rows") <= TILE), "cluster").select(
         "cluster", F.lit(0).alias("x"), F.lit(0).alias("y"), "doc_id", F.lit(-1).alias("side"), "n", "shingles", F.col("doc_id").alias("comp"))
     large = whole.where(F.col("all_rows") > TILE)
-    tiles, first = small, None
-    if not large.isEmpty():
-        big = sets.join(large, "cluster")
-        first = materialise(edge_links(big, edges, percent), "first")
+    if large.isEmpty():
+        return tile_links(small, percent)
+    big = sets.join(large, "cluster")
+    first = materialise(edge_links(big, edges, percent), "first")
+    for deal in range(DEALS + 1):
         found = connected_components(first, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"))
-        big = materialise(big.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
-        tiles = small.unionByName(_tiles(big, percent))
+        placed = materialise(big.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
+        apart = placed.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cluster")
+        placed = placed.join(apart, "cluster")
+        if deal == DEALS:
+            break
+        part = F.pmod(F.xxhash64("doc_id", F.lit(deal)), F.ceil(F.col("all_rows") / TILE)).cast("int")
+        dealt = materialise(tile_links(placed.select(
+            "cluster", part.alias("x"), part.alias("y"), "doc_id", F.lit(-1).alias("side"), "n", "shingles", "comp"), percent), "dealt")
+        if dealt.isEmpty():
+            break
+        first = first.union(dealt)
+    return tile_links(small.unionByName(_tiles(placed, percent)), percent).union(first)
+
+
+def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links in each tile."""
 
     def link(batches):
         for table in complete_groups(batches, ["cluster", "x", "y"]):
@@ -370,9 +389,8 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     tiles = tiles.withColumn("tile", F.xxhash64("cluster", "x", "y"))
-    links = map_batches(
-        tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile"), link, "a long, b long")
-    return links if first is None else links.union(first)
+    return map_batches(
+        tiles.repartition(partitions(tiles.sparkSession), "tile").sortWithinPartitions("tile", "cluster", "x", "y").drop("tile"), link, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
