@@ -43,8 +43,9 @@ from .shared import buckets, connected_components, map_batches, materialise, par
 BITS = 50  # of a shingle's hash; the rest of 64 bits hold the document's place in its block
 MASK = U64((1 << BITS) - 1)
 TILE = 1024
-#: Rounds in which a large cluster's members are dealt into random tiles; their number changes the time, not the results.
-DEALS = 3
+#: Rounds, each with one more run of components, in which a large cluster's members are dealt into random tiles.
+#: Their number changes the time, not the results.
+DEALS = 1
 SIGNATURE_BITS = 1024
 FLUSH = 250_000
 #: From this threshold on the cells are as many as differing shingles, plus one; below, such cells would hold three
