@@ -83,3 +83,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
        NOT base_failed AND 100 * n_covered_words <= {MAX_COVERED_PERCENT} * n_words AND 100 * longest_repeat <= {MAX_LONGEST_PERCENT} * n_words AS kept
 FROM documents JOIN judged ON judged.t = coalesce(text, '')
 """
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
