@@ -84,7 +84,7 @@ def _sorted_units(h, u, rid, tid, start):
     return order, new_h, new_u
 
 
-_FOUND = "rid long, tid int, lo int, hi int"
+_FOUND = "rid long, tid long, lo int, hi int"
 _SPANS = _FOUND + ", lead long, gram long, skip int"
 
 
@@ -99,10 +99,10 @@ def _spans(rid, tid, lo, hi, lead=None, gram=None, skip=None):
 
 
 def _row_hash(rid: np.ndarray, tid: np.ndarray) -> np.ndarray:
-    return mix(mix(rid.view(U64)) ^ tid.astype(np.int64).view(U64))
+    return mix(mix(rid.view(U64)) ^ tid.view(U64))
 
 
-_UNITS = {"h": U64, "u": U64, "rid": np.int64, "tid": np.int32, "start": np.int32, "run": np.int16, "skip": np.int16, "lead": np.int64}
+_UNITS = {"h": U64, "u": U64, "rid": np.int64, "tid": np.int64, "start": np.int32, "run": np.int16, "skip": np.int16, "lead": np.int64}
 
 
 def settle_units(docs: DataFrame, length: int, gram: int, wide: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _runs(rid: np.ndarray, tid: np.ndarray, lo: np.ndarray, length: int) -> pa.R
         [pa.array(rid[head]), pa.array(tid[head]), pa.array(lo[head].astype(np.int32)), pa.array((lo[tail] + length).astype(np.int32))], names=["rid", "tid", "lo", "hi"])
 
 
-_WINDOWS = {"h": U64, "g": U64, "at": np.int64, "of": np.int32, "low": np.int32, "many": np.int8}
+_WINDOWS = {"h": U64, "g": U64, "at": np.int64, "of": np.int64, "low": np.int32, "many": np.int8}
 
 
 def match_windows(units: DataFrame, length: int, wide: int = 1024) -> DataFrame:
@@ -249,7 +249,7 @@ def match_windows(units: DataFrame, length: int, wide: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(pa.nulls(len(spans), pa.binary()) for _ in _WINDOWS), *spans.columns], names=names)
             one = order[new]
             batch = scatter((h[one] % U64(wide)).astype(np.int64), {"h": h[one], "g": g[one], "at": rid[one], "of": tid[one], "low": lo[one], "many": many.astype(np.int8)})
-            none = [pa.nulls(len(batch), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            none = [pa.nulls(len(batch), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *none], names=names)
 
         for rows, block in blocks(batches, "bytes"):
@@ -289,7 +289,7 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, wide: int,
     spark = docs.sparkSession
     row = ["rid", "tid"]
     ask = ["lo", "hi", "lead", "gram", "skip"]
-    sent = {"lead": pa.int64(), "gram": pa.int64(), "skip": pa.int32(), "rid": pa.int64(), "tid": pa.int32(), "lo": pa.int32(), "bytes": pa.binary()}
+    sent = {"lead": pa.int64(), "gram": pa.int64(), "skip": pa.int32(), "rid": pa.int64(), "tid": pa.int64(), "lo": pa.int32(), "bytes": pa.binary()}
 
     def fetch(batches):
         for batch in batches:
@@ -314,7 +314,7 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, wide: int,
     def fetched(asked: DataFrame) -> DataFrame:
         # Units of rows that occur twice are settled, so each row here is one of its kind and asks once for a unit.
         asks = asked.groupBy(*row).agg(F.collect_list(F.struct(*ask)).alias("asks"))
-        return map_batches(docs.select(*row, "text").join(asks, row), fetch, "lead long, gram long, skip int, rid long, tid int, lo int, bytes binary")
+        return map_batches(docs.select(*row, "text").join(asks, row), fetch, "lead long, gram long, skip int, rid long, tid long, lo int, bytes binary")
 
     # Leads of many units: at most one row for each ``hot`` units, so Spark chooses how to join them.
     leads = materialise(wanted.groupBy("lead").count().where(F.col("count") > hot).select("lead"), "hot")
@@ -325,12 +325,12 @@ def compare_suffixes(docs: DataFrame, wanted: DataFrame, length: int, wide: int,
 
 
 def _row_keys(docs: DataFrame) -> tuple:
-    """Two columns that name a row: its doc_id and a hash of its text, so rows share them only if both agree.
+    """Two longs that name a row: its doc_id and a 64-bit hash of its text, so rows share them only if both agree.
 
-    Rows without a doc_id go by a longer hash of the text, ids that aren't whole numbers by their hash."""
+    Rows without a doc_id go by two such hashes of the text, ids that aren't whole numbers by their hash."""
     number = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
     by_id = F.col("doc_id").cast("long") if number else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
-    return F.coalesce(by_id, F.xxhash64("text")), F.hash("text")
+    return F.coalesce(by_id, F.xxhash64("text")), F.xxhash64(F.lit(1), "text")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, decode: bool = False) -> DataFrame:
