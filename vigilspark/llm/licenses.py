@@ -129,15 +129,29 @@ def passage_matches(matches: Column, templates: list[tuple[int, str, str]], perc
     def best_passage(k, grams, parts):
         dice = lambda own: 2.0 * F.size(F.array_intersect(own, k.grams)) / (F.size(own) + F.size(k.grams))
 
+        least = F.ceil(F.size(k.grams) * percent / F.lit(200 - percent)).cast("int")
+        most = F.floor(F.size(k.grams) * (200 - percent) / F.lit(percent)).cast("int")
+
+        def best_run(d):
+            # Of the runs with dice enough the best begins with a segment that has one of the bigrams: without a
+            # first segment that has none it would be better, and still long enough.  It ends within the size bounds.
+            starts = F.filter(F.transform(d.cuts, lambda a, s: F.struct(a.alias("a"), F.get(d.cuts, s + 1).alias("next"))),
+                              lambda x: F.arrays_overlap(F.slice(d.pairs, x.a + 1, x.next - x.a), k.grams))
+
+            def ends(a):
+                low, high = a + 1 + least, a + 1 + most
+                first = F.when(low == d.n, F.size(d.cuts) - 1).otherwise(F.get(d.of, low) + (F.get(d.cuts, F.get(d.of, low)) < low).cast("int"))
+                last = F.when(high >= d.n, F.size(d.cuts) - 1).otherwise(F.get(d.of, high))
+                return F.when(low <= d.n, F.slice(d.cuts, first + 1, F.greatest(last - first + 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+            return F.array_max(F.flatten(F.transform(starts, lambda x: F.transform(ends(x.a), lambda b: dice(F.array_distinct(F.slice(d.pairs, x.a + 1, b - x.a - 1)))))))
+
         def runs(segments):
-            # Words with a mark at each segment's first; runs lie between two marks, or a mark and the end.
-            marked = F.flatten(F.transform(segments, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i == 0).alias("head")))))
+            # Words with their segment; cuts are the segments' first words and the end, and runs lie between two cuts.
+            marked = F.flatten(F.transform(segments, lambda ws, s: F.transform(ws, lambda w, i: F.struct(w.alias("w"), s.alias("s"), (i == 0).alias("head")))))
             return _let(marked, lambda m: _let(F.struct(
-                _pairs(F.transform(m, lambda x: x.w)).alias("pairs"),
-                F.concat(F.filter(F.transform(m, lambda x, i: F.when(x.head, i)), lambda i: i.isNotNull()), F.array(F.size(m))).alias("cuts")), lambda d: F.array_max(F.flatten(
-                    F.transform(d.cuts, lambda a: F.transform(
-                        F.filter(d.cuts, lambda b: ((b - a - 1) * (200 - percent) >= F.size(k.grams) * percent) & ((b - a - 1) * percent <= F.size(k.grams) * (200 - percent))),
-                        lambda b: dice(F.array_distinct(F.slice(d.pairs, a + 1, b - a - 1)))))))))
+                _pairs(F.transform(m, lambda x: x.w)).alias("pairs"), F.transform(m, lambda x: x.s).alias("of"), F.size(m).alias("n"),
+                F.concat(F.filter(F.transform(m, lambda x, i: F.when(x.head, i)), lambda i: i.isNotNull()), F.array(F.size(m))).alias("cuts")), best_run))
 
         whole = dice(grams)
         return F.when(100 * whole >= percent, whole).otherwise(runs(parts))
