@@ -332,6 +332,20 @@ def test_suffix_dedup_hot_leads(spark, monkeypatch):
     assert len(held) == 2 and held[0] > 40
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    # Two texts of one id whose 32-bit hashes agree, of which one repeats elsewhere; then many texts under one id.
+    text = F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2(F.concat(F.lit("x"), "id"), 512))
+    many = spark.range(300_000).select("id", text.alias("text"))
+    twins = many.groupBy(F.hash("text").alias("h")).agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where("n = 2").first()
+    rows = [(1, twins.a), (1, twins.b), (2, twins.a)]
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute_removed(rows, 200)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    one = many.where("id < 60000").select(F.lit(5).cast("long").alias("doc_id"), "text").union(many.where("id < 30").select("id", "text"))
+    found = suffix_dedup.remove_repeats(one).where("n_removed > 0").select("doc_id", "n_removed").collect()
+    assert Counter(map(tuple, found)) == Counter({(5, 256): 30} | {(i, 256): 1 for i in range(30) if i != 5}) + Counter({(5, 256): 1})
+
+
 def test_suffix_dedup_many_equal_rows(spark):
     # Rows equal in doc_id and text, equal texts under other ids, one id with many texts, ids that are strings.
     text, other = prose(60, 120), prose(61, 120)
@@ -730,3 +744,14 @@ def test_licenses_in_passages(spark):
     assert [(i, n, got[i]) for i, (n, _) in enumerate(rows) if (n or "") not in got[i] or not n and got[i] != [""]] == []
     one = licenses.license_scan(spark.createDataFrame([(1, rows[-4][1])], "doc_id long, text string")).first()
     assert tuple(one) == (1, "MIT", 1.0, 1, "MIT")
+
+
+def test_licenses_in_long_texts(spark):
+    full = dict(licenses.full_texts())
+    lines = [prose(1000 + i, 7) for i in range(10_000)]
+    common = "subject to the terms of the license and to the following conditions of use"
+    text = "\n".join([*lines, full["MIT"], *lines, *[common] * 50])
+    started = time.time()
+    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.license == "MIT" and got.dice == 1.0
+    assert time.time() - started < 30
