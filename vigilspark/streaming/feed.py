@@ -1,17 +1,11 @@
 """The daily feed board: item state, changes, source health, windows; batch and streaming forms.
 
-Batch forms work on all deliveries (id, day, watched fields) and are what the streaming forms converge to."""
+Batch forms work on all deliveries (id, day, watched fields); the stateful streams in state.py give the same."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-STATE = "id long, source string, level int, first_seen string, last_seen string, updated string, changes array<string>"
 
 
 def upsert_items(deliveries: DataFrame) -> DataFrame:
@@ -32,41 +26,6 @@ def detect_changes(deliveries: DataFrame, watched: list[str]) -> DataFrame:
     return pair.select("id", "day", changed.alias("changes")).where(F.size("changes") > 0)
 
 
-class ItemState(StatefulProcessor):
-    """State of one item across micro-batches; rows that carry an update mark it with the day and the fields."""
-
-    def __init__(self, watched: tuple[str, ...] = ("source", "level")):
-        self.watched = watched
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.item = handle.getValueState("item", "source string, level int, first_seen string, last_seen string, updated string, changes array<string>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state = list(self.item.get()) if self.item.exists() else None
-        for _, row in pd.concat(rows).sort_values(["day", "seq"]).drop_duplicates("day", keep="last").iterrows():
-            source, level, day = row["source"], int(row["level"]), row["day"]
-            if state is None:
-                state = [source, level, day, day, None, []]
-                continue
-            if day < state[3]:  # a late delivery only moves the first day
-                state[2] = min(state[2], day)
-                continue
-            new = {"source": source, "level": level}
-            old = {"source": state[0], "level": state[1]}
-            changes = [c for c in self.watched if new[c] not in (None, "") and old[c] not in (None, "") and new[c] != old[c]]
-            state = [source, level, state[2], day, day if changes else state[4], changes or list(state[5] or [])]
-        self.item.update(tuple(state))
-        yield pd.DataFrame([[int(key[0]), *state]], columns=["id", "source", "level", "first_seen", "last_seen", "updated", "changes"])
-
-    def close(self) -> None:
-        pass
-
-
-def item_stream(stream: DataFrame) -> DataFrame:
-    """Streaming form of upsert and change detection; needs the RocksDB state store."""
-    return stream.groupBy("id").transformWithStateInPandas(statefulProcessor=ItemState(), outputStructType=STATE, outputMode="Update", timeMode="None")
-
-
 def enrich_once(items: DataFrame, version: int, enrich, ok: str = "ok") -> DataFrame:
     """Apply ``enrich`` (DataFrame with a new summary and ``ok``) to the rows of an older version; a failed one keeps its summary."""
     old = items.where(F.coalesce("enrich_v", F.lit(0)) < version)
