@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from vigilspark.operators import index
 from vigilspark.operators import search as s
-from vigilspark.plans.registry import query
+from vigilspark.plans.registry import ORACLES, query
 
 _CORPUS = "(SELECT n_nationkey AS id, n_name AS name, true AS hub, NULL AS year FROM {nation} UNION ALL SELECT 1000 + doc, title, false, year FROM {catalogue})"
 #: Every catalogue row whose id is divisible by 100, and every nation, against all rows.
@@ -74,6 +75,26 @@ def _(v):
     return s.autocomplete(prefixes.distinct(), _corpus(v))
 
 
+def _index(v):
+    """The corpus as a stored index, in two deliveries."""
+    path = v.folder("index")
+    corpus = _corpus(v)
+    index.create_index(corpus.where("id % 3 > 0"), path, 16)
+    index.add_delivery(corpus.where("id % 3 = 0"), path, 1)
+    return path
+
+
+@query("q4_index_search", ORACLES["q4_score_search"])
+def _(v):
+    return index.search_index(_queries(v), _index(v), v.folder("search"))
+
+
+@query("q7_index_complete", ORACLES["q7_autocomplete"])
+def _(v):
+    prefixes = v.catalogue.where("doc % 100 = 0").select(F.substring("board", 1, 7).alias("prefix")).union(v.nation.select(F.substring("n_name", 1, 7)))
+    return index.complete_index(prefixes.distinct(), _index(v), v.folder("search"))
+
+
 @query("q8_suggest_similar", "SELECT query_id, name, place FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY name) AS place FROM (SELECT DISTINCT p_name AS name FROM {part}) JOIN (SELECT doc AS query_id, upper(split_part(name, ' ', 2)) || CASE WHEN doc % 200 = 0 THEN ' ' || board ELSE '' END AS q FROM {catalogue} WHERE doc % 100 = 0) q ON contains(lower(name), substring(lower(q), 1, 2)) OR contains(lower(q), substring(lower(name), 1, 2))) WHERE place <= 6")
 def _(v):
     q = F.concat(F.upper(F.split("name", " ")[1]), F.when(F.col("doc") % 200 == 0, F.concat(F.lit(" "), "board")).otherwise(""))
