@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.operators.contain import contained
+from vigilspark.operators.spans import allocated, longest_first, occurrences
 
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -86,30 +86,19 @@ def extract_travel_advice(col: Column) -> Column:
     return F.when(text.rlike(r"(?:advises|recommends) against (?:any |the )?(?:application of )?(?:any )?travel"), "against").when(text.rlike(r"(?:advises|recommends) (?:any |the )?travel"), "advises")
 
 
-def find_terms(df: DataFrame, column: str, glossary: list[str], cap: int = 14, name: str = "terms") -> DataFrame:
-    """Glossary terms in the text, longest first, whole words, no overlap, one hit each, as spelled there.
+def find_terms(df: DataFrame, column: str, glossary: DataFrame, cap: int = 14, name: str = "terms") -> DataFrame:
+    """Terms of the glossary (term) in the text, longest first, whole words, no overlap, one hit each, as spelled there.
 
-    A vectorised helper: what a longer term has taken isn't free for a shorter one."""
-    ordered = sorted({t for t in glossary if t}, key=lambda t: (-len(t), t))
+    What a longer term has taken isn't free for a shorter one; case doesn't count."""
+    known = glossary.select(F.lower("term").alias("word")).distinct()
+    found = occurrences(df.withColumn("_low", _lower_in_place(F.col(column))), "_low", known, "_spans")
+    terms = F.transform(allocated(F.col("_spans"), longest_first, lambda s: s.word, cap), lambda s: F.substring(F.col(column), s.start + 1, s.end - s.start))
+    return found.withColumn(name, terms).drop("_low", "_spans")
 
-    @F.pandas_udf("array<string>")
-    def terms(texts: pd.Series) -> pd.Series:
-        patterns = [re.compile(rf"(?<!\w){re.escape(t)}(?!\w)", re.I) for t in ordered]
 
-        def one(text):
-            found, taken = [], []
-            for p in patterns:
-                if len(found) == cap:
-                    break
-                for m in p.finditer(text or ""):
-                    if all(m.end() <= a or b <= m.start() for a, b in taken):
-                        taken.append(m.span())
-                        found.append(m.group())
-                        break
-            return found
-        return texts.map(one)
-
-    return df.withColumn(name, terms(column))
+def _lower_in_place(text: Column) -> Column:
+    """Lower case, but for the one letter that gets longer by it, so that places stay."""
+    return F.lower(F.translate(text, "\u0130", "I"))
 
 
 def extract_figures(col: Column, cap: int = 4) -> Column:

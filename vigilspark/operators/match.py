@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.operators.contain import contained
+from vigilspark.operators.spans import allocated, longest_first, occurrences
 
 
 def match_entities_in_text(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -118,12 +119,20 @@ def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> D
     return names.select("name").distinct().join(best, "name", "left").select("name", F.when(F.col("_b._c") == 1, F.col("_b.match")).alias("match"))
 
 
-def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFrame:
-    """``items`` with ``labels``: keywords (place, word, label) that start a word, in order, distinct, capped."""
-    starts = F.rlike(F.col("_t"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("word"), F.lit(r"\E")))
-    hits = contained(items.select("id", F.lower("text").alias("_t")), keywords, "_t", "word").where(starts)
-    first = hits.groupBy("id", "label").agg(F.min("place").alias("place")).groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x.label), 1, cap).alias("labels"))
-    return items.join(first, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4, names: DataFrame | None = None) -> DataFrame:
+    """``items`` (id, text) with ``labels``: of the keywords (place, word, label) that start a word, in order, distinct, then
+    of the full ``names`` (place, word, label) that the column ``title`` holds as they are spelled, capped."""
+    lowered = occurrences(items.withColumn("_t", F.lower("text")), "_t", keywords.select("word", "place", "label"), "_k", right=False)
+    hits = _in_order("_k")
+    if names is not None:
+        lowered = occurrences(lowered, "title", names.select("word", "place", "label"), "_n", left=False, right=False)
+        hits = F.concat(hits, _in_order("_n"))
+    return lowered.withColumn("labels", F.coalesce(F.slice(F.array_distinct(hits), 1, cap), F.array().cast("array<string>"))).select(*items.columns, "labels")
+
+
+def _in_order(spans: str) -> Column:
+    placed = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(s.place.alias("place"), s.label.alias("label")))))
+    return F.transform(placed, lambda x: x.label)
 
 
 def tag_broader_groups(tagged: DataFrame, groups: DataFrame, cap: int = 2) -> DataFrame:
@@ -135,20 +144,30 @@ def tag_broader_groups(tagged: DataFrame, groups: DataFrame, cap: int = 2) -> Da
     return tagged.join(maybe, "id", "left").withColumn("maybe", F.coalesce("maybe", F.array().cast("array<string>")))
 
 
-def tag_places_masked(items: DataFrame, names: list[tuple[str, str]], least: int = 4, cap: int = 4) -> DataFrame:
-    """``places``: codes of the names in the text, longest name first, each match blanked out before the next name.
-
-    The names (name, code) are a dictionary on the driver; they become one expression, so nothing is joined."""
-    ordered = sorted((n for n in names if len(n[0]) >= least), key=lambda n: (-len(n[0]), n[0]))
-    table = F.array(*(F.struct(F.lit(n.lower()).alias("name"), F.lit(c).alias("code")) for n, c in ordered))
-    start = F.struct(F.lower("text").alias("text"), F.array().cast("array<string>").alias("codes"))
-
-    def step(acc, n):
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), n["name"], F.lit(r"\E(?![\p{L}\p{N}_])"))
-        hit = acc["text"].contains(n["name"]) & F.rlike(acc["text"], pattern)
-        return F.struct(F.when(hit, F.regexp_replace(acc["text"], pattern, F.lit("\x01"))).otherwise(acc["text"]).alias("text"),
-                        F.when(hit, F.array_union(acc["codes"], F.array(n["code"]))).otherwise(acc["codes"]).alias("codes"))
-    return items.withColumn("places", F.slice(F.aggregate(table, start, step, lambda a: a["codes"]), 1, cap))
+def tag_places_masked(items: DataFrame, names: DataFrame, regions: DataFrame | None = None, least: tuple[int, int] = (4, 5), caps: tuple[int, int] = (4, 3)) -> DataFrame:
+    """``items`` (title, summary) with ``places``: codes of the ``names`` (name, code) in the title, the longest name first,
+    whose place isn't free for the next ones; if the title has none, those in title and summary.  ``least`` characters of a name and
+    ``caps`` on different codes are for either.  ``multi``: the title holds one of the ``regions`` (name).
+
+    A name takes its first free occurrence, with no letter, digit or underscore beside it; case doesn't count."""
+    known = names.select(F.lower("name").alias("word"), "code").distinct()
+    lowered = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    # One pass over both: a title ends at a space, so what ends within it stands in the title by itself.
+    found = items.withColumn("_title", lowered("title"))
+    found = occurrences(found.withColumn("_text", F.concat("_title", F.lit(" "), lowered("summary"))), "_text", known, "_spans")
+    titled = lambda spans: F.filter(spans, lambda s: s.end <= F.length("_title"))
+    multi = F.lit(False)
+    if regions is not None:
+        found = occurrences(found, "_text", regions.select(F.lower("name").alias("word")).distinct(), "_regions", left=False, right=False)
+        multi = F.size(titled(F.col("_regions"))) > 0
+    found = found.withColumn("places", _codes(titled(F.col("_spans")), least[0], caps[0])).withColumn("multi", multi)
+    places = F.when(F.size("places") == 0, _codes(F.col("_spans"), least[1], caps[1])).otherwise(F.col("places"))
+    return found.withColumn("places", places).select(*items.columns, "places", "multi")
+
+
+def _codes(spans: Column, least: int, cap: int) -> Column:
+    long = F.filter(spans, lambda s: F.length(s.word) >= least)
+    return F.array_distinct(F.transform(allocated(long, longest_first, lambda s: s.code, cap), lambda s: s.code))
 
 
 def join_item_context(items: DataFrame, designations: DataFrame) -> DataFrame:

@@ -123,13 +123,20 @@ def _(v):
 
 _KEYWORDS = [(0, "thatin", "one"), (1, "tion", "two"), (2, "of the", "three"), (3, "re", "two"), (4, "que", "four"), (5, "unter", "five"), (6, "la", "six"), (7, "hehely", "one"), (8, "inoran", "seven")]
 
+_FULL_NAMES = [(0, "The", "eight"), (1, "Is", "nine"), (2, "le", "two"), (3, "an", "ten")]
+
 
 @query("j10_tag_keywords", f"""WITH k(place, word, label) AS (VALUES {', '.join(map(str, _KEYWORDS))}),
-h AS (SELECT doc_id, label, min(place) AS place FROM {{documents}} JOIN k ON regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || word) GROUP BY 1, 2)
-SELECT doc_id AS id, coalesce(array_to_string(labels, ','), '') AS labels FROM {{documents}} LEFT JOIN (SELECT doc_id, list(label ORDER BY place)[1:4] AS labels FROM h GROUP BY 1) USING (doc_id)""")
+h AS (SELECT doc_id, label, min(place) AS place FROM {{documents}} JOIN k ON regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || word) GROUP BY 1, 2),
+n(place, word, label) AS (VALUES {', '.join(map(str, _FULL_NAMES))}),
+f AS (SELECT doc_id, min(place) AS place, label FROM {{documents}} JOIN n ON contains(string_split(text, chr(10))[1], word) GROUP BY 1, 3),
+u AS (SELECT doc_id, label, min(place) AS place FROM (SELECT doc_id, label, place FROM h UNION ALL SELECT doc_id, label, place + 100 FROM f) GROUP BY 1, 2)
+SELECT doc_id AS id, coalesce(array_to_string(labels, ','), '') AS labels FROM {{documents}} LEFT JOIN (SELECT doc_id, list(label ORDER BY place)[1:4] AS labels FROM u GROUP BY 1) USING (doc_id)""")
 def _(v):
     words = v.spark.createDataFrame(_KEYWORDS, "place int, word string, label string")
-    return m.tag_keywords(v.documents.select(F.col("doc_id").alias("id"), "text"), words).select("id", F.array_join("labels", ",").alias("labels"))
+    names = v.spark.createDataFrame(_FULL_NAMES, "place int, word string, label string")
+    items = v.documents.select(F.col("doc_id").alias("id"), "text", F.split("text", "\n")[0].alias("title"))
+    return m.tag_keywords(items, words, names=names).select("id", F.array_join("labels", ",").alias("labels"))
 
 
 @query("j11_tag_broader_groups", """WITH t AS (SELECT doc_id, lower(text) AS text, list_filter(['tion', 'que', 'thatin'], lambda x: contains(text, x || ' ')) AS labels FROM {documents}),
@@ -143,17 +150,31 @@ def _(v):
 
 
 _PLACES = ["small ring", "ring gear", "gear", "ring", "red bolt", "bolt", "hot", "small", "cold", "cold gear", "bolt cutter"]
+_REGIONS = ["hot", "red r"]
+
+
+def _tier(text, least, cap):
+    """Names of at least so many characters in a text, each blanked out once, longest first; by id."""
+    count = len([p for p in _PLACES if len(p) >= least])
+    return f"""(WITH n AS (SELECT list(p ORDER BY length(p) DESC, p) AS names FROM (SELECT unnest({_PLACES}) AS p) WHERE length(p) >= {least}),
+k AS (SELECT id, i, names[i] AS name, list_reduce(list_concat([lower({text})], names[1:i - 1]), lambda a, b: regexp_replace(a, '\\b' || b || '\\b', repeat(' ', CAST(length(b) AS INT)))) AS masked FROM t, n, range(1, {count + 1}) r(i))
+SELECT id, list(name ORDER BY i) FILTER (regexp_matches(masked, '\\b' || name || '\\b'))[1:{cap}] AS found FROM k GROUP BY 1)"""
 
 
-@query("j12_tag_places_masked", f"""WITH n AS (SELECT list(p ORDER BY length(p) DESC, p) AS names FROM (SELECT unnest({_PLACES}) AS p) WHERE length(p) >= 4),
-t AS (SELECT a.p_partkey AS id, lower(concat(a.p_name, CASE WHEN a.p_size % 3 = 0 THEN ', ' ELSE ' ' END, coalesce(b.p_name, ''), CASE WHEN a.p_size % 5 = 0 THEN 's of ' ELSE ' by ' END, split_part(a.p_name, ' ', 2))) AS text FROM {{part}} a LEFT JOIN {{part}} b ON b.p_partkey = a.p_partkey + 1),
-k AS (SELECT id, i, names[i] AS name, list_reduce(list_concat([text], names[1:i - 1]), lambda a, b: regexp_replace(a, '\\b' || b || '\\b', chr(1), 'g')) AS masked FROM t, n, range(1, {len([p for p in _PLACES if len(p) >= 4]) + 1}) r(i))
-SELECT id, coalesce(array_to_string(list_sort(list(name ORDER BY i) FILTER (regexp_matches(masked, '\\b' || name || '\\b'))[1:4]), ','), '') AS places FROM k GROUP BY 1""")
+@query("j12_tag_places_masked", f"""WITH t AS (SELECT a.p_partkey AS id, concat(CASE WHEN a.p_size % 4 = 0 THEN 'Rings and Bolts of ' || a.p_brand ELSE a.p_name END, CASE WHEN a.p_size % 3 = 0 THEN ', ' ELSE ' ' END, CASE WHEN a.p_size % 4 > 0 THEN upper(coalesce(b.p_name, '')) ELSE '' END) AS title,
+concat(coalesce(b.p_name, ''), CASE WHEN a.p_size % 5 = 0 THEN 's of ' ELSE ' by ' END, a.p_name) AS summary FROM {{part}} a LEFT JOIN {{part}} b ON b.p_partkey = a.p_partkey + 1)
+SELECT t.id, array_to_string(list_sort(coalesce(a.found, b.found, CAST([] AS VARCHAR[]))), ',') AS places, contains(lower(title), '{_REGIONS[0]}') OR contains(lower(title), '{_REGIONS[1]}') AS multi
+FROM t JOIN {_tier('title', 4, 4)} a USING (id) JOIN {_tier("title || ' ' || summary", 5, 3)} b USING (id)""")
 def _(v):
     after = v.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
-    text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.coalesce("next", F.lit("")), F.when(F.col("p_size") % 5 == 0, "s of ").otherwise(" by "), F.split("p_name", " ")[1])
-    items = v.part.join(after, "p_partkey", "left").select(F.col("p_partkey").alias("id"), text.alias("text"))
-    return m.tag_places_masked(items, [(p, p) for p in _PLACES]).select("id", F.array_join(F.array_sort("places"), ",").alias("places"))
+    plain = F.col("p_size") % 4 > 0
+    following = F.coalesce("next", F.lit(""))
+    title = F.concat(F.when(plain, F.col("p_name")).otherwise(F.concat(F.lit("Rings and Bolts of "), "p_brand")), F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.when(plain, F.upper(following)).otherwise(""))
+    summary = F.concat(following, F.when(F.col("p_size") % 5 == 0, "s of ").otherwise(" by "), "p_name")
+    items = v.part.join(after, "p_partkey", "left").select(F.col("p_partkey").alias("id"), title.alias("title"), summary.alias("summary"))
+    names = v.spark.createDataFrame([(p, p) for p in _PLACES], "name string, code string")
+    found = m.tag_places_masked(items, names, v.spark.createDataFrame([(r,) for r in _REGIONS], "name string"))
+    return found.select("id", F.array_join(F.array_sort("places"), ",").alias("places"), "multi")
 
 
 @query("j13_join_item_context", """WITH i AS (SELECT o_orderkey AS id, n_name AS country, o_orderpriority AS condition FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)

@@ -71,7 +71,8 @@ SELECT doc_id, i + 1, regexp_replace(text, '(?i)(^|{_EDGE})' || terms[i + 1] ||
 CASE WHEN regexp_matches(text, '(?i)(^|{_EDGE})' || terms[i + 1] || '($|{_EDGE})') THEN list_append(found, regexp_extract(text, '(?i)(^|{_EDGE})(' || terms[i + 1] || ')($|{_EDGE})', 2)) ELSE found END FROM f, g WHERE i < {len(_GLOSSARY)})
 SELECT doc_id, array_to_string(found[1:4], '|') AS terms FROM f WHERE i = {len(_GLOSSARY)}""")
 def _(v):
-    return t.find_terms(v.documents.select("doc_id", "text"), "text", _GLOSSARY, 4).select("doc_id", F.array_join("terms", "|").alias("terms"))
+    terms = v.spark.createDataFrame([(x,) for x in _GLOSSARY], "term string")
+    return t.find_terms(v.documents.select("doc_id", "text"), "text", terms, 4).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query("x8_extract_figures", "SELECT p_partkey, 'http://x.org/' || p_partkey || '.png=' || p_name || ';https://x.org/b.png=' || p_type AS figures FROM {part}")
