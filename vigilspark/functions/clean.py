@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.operators.order import leading_number, numbered
+from vigilspark.operators.order import numbered
 
 #: Cell texts that mean "nothing reported".
 MISSING = r"^[\s\-‐-―−]*$"
@@ -120,7 +120,7 @@ def unpack_code(code: Column, prefix: str, mark: str) -> Column:
 def dictionary_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """The place of each value in the sorted list of distinct values, from 0."""
     words = df.where(F.col(column).isNotNull()).select(column).distinct()
-    coded = numbered(words, name, [F.col(column)], leading_number(F.col(column))).withColumn(name, F.col(name) - 1)
+    coded = numbered(words, name, [F.col(column)]).withColumn(name, F.col(name) - 1)
     return df.join(coded, column, "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilspark.operators.contain import contained
 from vigilspark.operators.order import numbered
@@ -98,19 +99,36 @@ def rate_per_million(n: Column, denominator: Column) -> tuple[Column, Column]:
     return rate, state
 
 
+#: Buckets that a histogram of nearest_rank_bins cuts a bracket into.
+_CUTS = 1024
+
+
 def nearest_rank_bins(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """(p, bound): values at index min(n - 1, int(p * n)) of the ascending non-zero values."""
-    seen = df.where(F.col(column) > 0).select(F.col(column).alias("bound"))
-    ranked = numbered(seen, "i", [F.col("bound")], F.col("bound"))
-    at = [F.struct(F.lit(p).alias("p"), F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))).alias("at")) for p in probs]
-    wanted = seen.agg(F.count("*").alias("n")).select(F.explode(F.array(*at)).alias("_p"))  # a row for each of ``probs``
-    return ranked.join(F.broadcast(wanted), F.col("i") - 1 == F.col("_p.at")).select("_p.p", "bound")
+    """(p, bound): values at index min(n - 1, int(p * n)) of the ascending non-zero values.
+
+    Nothing is sorted: a histogram over the values' range tells which bucket holds a wanted index, and the next one cuts that
+    bucket, from its smallest to its largest value, until they are equal.  A pass counts for all ``probs`` at once."""
+    seen = df.where(F.col(column) > 0).select(F.col(column).alias("v"))
+    n, low, high = seen.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    # Brackets: (p, index within the bracket, its lowest value, its highest); a row for each of ``probs``.
+    open_ = [(p, min(n - 1, int(p * n)), low, high) for p in probs] if n else []
+    found = []
+    while open_ := [b for b in open_ if b[2] != b[3] or found.append((b[0], b[2]))]:
+        ends = sorted({(b[2], b[3]) for b in open_})
+        share = lambda a, b: (F.col("v").cast("double") - F.lit(float(a))) / F.lit(float(b) - float(a)) * _CUTS
+        cell = F.array_compact(F.array(*(F.when(F.col("v").between(F.lit(a), F.lit(b)), F.struct(F.lit(i).alias("i"), F.floor(share(a, b)).cast("int").alias("cut"))) for i, (a, b) in enumerate(ends))))
+        cells = seen.select("v", F.explode(cell).alias("c")).groupBy("c.i", "c.cut").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cells = cells.withColumn("below", F.sum("n").over(Window.partitionBy("i").orderBy("cut")) - F.col("n"))  # _CUTS + 1 rows
+        wanted = [((F.col("i") == ends.index((b[2], b[3]))) & F.lit(b[1]).between(F.col("below"), F.col("below") + F.col("n") - 1), k) for k, b in enumerate(open_)]
+        hits = cells.select("low", "high", "below", F.explode(F.array_compact(F.array(*(F.when(hit, F.lit(k)) for hit, k in wanted)))).alias("k")).collect()
+        open_ = [(open_[h.k][0], open_[h.k][1] - h.below, h.low, h.high) for h in hits]
+    return df.sparkSession.createDataFrame(found, T.StructType([T.StructField("p", T.DoubleType()), T.StructField("bound", df.schema[column].dataType)]))
 
 
 def rank_flips(df: DataFrame, key: str, count: str, rate: str) -> DataFrame:
     """Rank by count, rank by rate, and their difference, largest first."""
-    a = numbered(df, "by_count", [F.col(count).desc(), F.col(key)], -F.col(count))
-    b = numbered(a, "by_rate", [F.col(rate).desc_nulls_last(), F.col(key)], -F.col(rate))
+    a = numbered(df, "by_count", [F.col(count).desc(), F.col(key)])
+    b = numbered(a, "by_rate", [F.col(rate).desc_nulls_last(), F.col(key)])
     return b.withColumn("flip", F.abs(F.col("by_count") - F.col("by_rate"))).orderBy(F.col("flip").desc(), key)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.operators.contain import contained
+from vigilspark.operators.order import carried
 from vigilspark.operators.spans import allocated, longest_first, occurrences
 
 
@@ -72,14 +73,23 @@ def multi_key_match(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataF
     return pairs, left.join(pairs, left.id == pairs.left_id, "left_anti").select(F.col("id").alias("left_id"))
 
 
-def as_of_version(versions: DataFrame, dates: DataFrame, key: str) -> DataFrame:
-    """``dates`` (key, day) with the version in force: the last one effective on or before the day.
+def as_of_version(versions: DataFrame, dates: DataFrame, key: str, table_day: str | None = None) -> DataFrame:
+    """``dates`` (key, day) with the version in force: the last one effective on or before the day.  With ``table_day``, a
+    column of ``dates``, also ``stale``: the version in force is newer than that day's table.
 
-    Versions and days are united and sorted once; no range join."""
-    both = versions.select(key, F.col("effective").alias("_t"), F.col("version"), F.lit(0).alias("_o"), F.lit(None).cast("string").alias("day")).unionByName(
-        dates.select(key, F.col("day").alias("_t"), F.lit(None).cast(versions.schema["version"].dataType).alias("version"), F.lit(1).alias("_o"), F.col("day").cast("string").alias("day")))
-    window = Window.partitionBy(key).orderBy("_t", "_o", "version").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("version", F.last("version", ignorenulls=True).over(window)).where("_o = 1").select(key, "day", "version")
+    Versions and days are united and sorted once; no range join.  The last version is carried from range to range,
+    so a key of all rows is in many tasks."""
+    empty = lambda c, of: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    rest = [c for c in dates.columns if c not in (key, "day")]
+    both = versions.select(key, F.col("effective").alias("_t"), "version", F.lit(0).alias("_o"), empty("day", dates), *(empty(c, dates) for c in rest)).unionByName(
+        dates.select(key, F.col("day").cast(versions.schema["effective"].dataType).alias("_t"), empty("version", versions), F.lit(1).alias("_o"), "day", *rest))
+    own = F.when(F.col("_o") == 0, F.struct(F.col(key).alias("key"), "version", F.col("_t").alias("effective")))
+    order = [F.col(key), F.col("_t"), F.col("_o"), F.col("version"), F.col("_tie")]  # the last one parts equal days
+    found = carried(both.withColumn("_tie", F.monotonically_increasing_id()), order, {"_v": own}).where("_o = 1")
+    mine = F.col("_v.key").eqNullSafe(F.col(key))
+    out = found.select(key, "day", F.when(mine, F.col("_v.version")).alias("version"), *rest, F.when(mine, F.col("_v.effective")).alias("_since"))
+    stale = [] if table_day is None else [F.coalesce(F.col("_since") > F.col(table_day), F.lit(False)).alias("stale")]
+    return out.select(key, "day", "version", *rest, *stale)
 
 
 def current_phase(phases: Column, formal: list[str]) -> Column:
@@ -110,13 +120,21 @@ def attach_corrections(matches: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> DataFrame:
-    """(name, match): the canonical name with the longest common prefix; a tie at the top is no match."""
-    a = names.select("name").distinct().withColumn("_p", F.substring("name", 1, least))
-    b = canon.select(F.col("name").alias("match")).distinct().withColumn("_p", F.substring("match", 1, least))
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("name"), F.length("match"))), lambda i: F.substring(F.col("name"), F.lit(1), i) == F.substring(F.col("match"), F.lit(1), i)))
-    scored = a.join(b, "_p").withColumn("_n", shared)
-    best = scored.groupBy("name", "_n").agg(F.count("*").alias("_c"), F.min("match").alias("match")).groupBy("name").agg(F.max_by(F.struct("_c", "match"), "_n").alias("_b"))
-    return names.select("name").distinct().join(best, "name", "left").select("name", F.when(F.col("_b._c") == 1, F.col("_b.match")).alias("match"))
+    """(name, match): the canonical name with the longest common prefix, of ``least`` characters; a tie at the top is no match.
+
+    In one sorted order the best is next to the name, and so is what ties with it: two neighbours on
+    either side are compared, carried over the ends of ranges."""
+    known = canon.select(F.col("name").alias("_c")).where("_c IS NOT NULL").distinct()
+    beside = carried(known, [F.col("_c")], {"_p": F.col("_c")}, {"_n": F.col("_c")}, itself=False)
+    both = beside.select(F.col("_c").alias("_s"), F.lit(0).alias("_o"), F.struct("_c", "_p").alias("_down"), F.struct("_c", "_n").alias("_up")).unionByName(
+        names.select(F.col("name").alias("_s")).where("_s IS NOT NULL").distinct().withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    found = carried(both, [F.col("_s"), F.col("_o")], {"_a": F.col("_down")}, {"_b": F.col("_up")}).where("_o = 1")
+    shared = lambda c: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length("_s"), F.length(c))), lambda i: F.substring("_s", F.lit(1), i) == F.substring(c, F.lit(1), i))), F.lit(0))
+    near = F.array(*(F.struct(shared(F.col(c)).alias("n"), F.col(c).alias("name")) for c in ("_a._c", "_a._p", "_b._c", "_b._n")))
+    top = F.filter(near, lambda x: x.n == F.array_max(F.transform(near, lambda y: y.n)))
+    best = F.when((F.size(top) == 1) & (top[0].n >= least), top[0]["name"])
+    return found.select(F.col("_s").alias("name"), best.alias("match")).unionByName(
+        names.where("name IS NULL").select("name", F.lit(None).cast("string").alias("match")).distinct())
 
 
 def tag_keywords(items: DataFrame, keywords: DataFrame, cap: int = 4, names: DataFrame | None = None) -> DataFrame:

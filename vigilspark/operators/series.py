@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.order import numbered
+from vigilspark.operators.order import numbered, stored
 
 
 def series_rollup(docs: DataFrame, default_field: str) -> DataFrame:
@@ -158,31 +158,32 @@ def quota_top_k(df: DataFrame, group: str, theme: str, k: int = 10, caps: tuple[
 def fuzzy_dedup_by_weight(df: DataFrame, width: int = 24) -> DataFrame:
     """Per year keep the heaviest of titles of which one's normalised beginning contains the other's; greedy.
 
-    Equal beginnings leave their heaviest before the shuffle.  The greedy pass over a year's distinct beginnings
-    is sequential by nature, but linear: a beginning has at most width * (width + 1) / 2 substrings, which are
-    looked up among the kept ones and theirs.  A null title counts as an empty one, which every title contains."""
+    Equal beginnings leave their heaviest.  A beginning meets those that it contains at its substrings, width * (width +
+    1) / 2 at most, by an equi-join, so links are no more than that a beginning.  What the pass from the heaviest
+    down keeps is found in rounds: a beginning without a heavier one beside it stays, and those beside it go.
+    A null title counts as an empty one, which every title contains."""
     base = F.coalesce(F.substring(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), 1, width), F.lit(""))
     order = F.struct((-F.col("weight")).alias("w"), "id")
-    row = F.struct(*(F.col(c) for c in df.columns))
-    heads = df.withColumn("_base", base).groupBy("year", "_base").agg(F.min_by(row, order).alias("_row"), F.min(order).alias("_order"))
-
-    def greedy(rows):
-        rows = rows.assign(_w=[o["w"] for o in rows["_order"]], _i=[o["id"] for o in rows["_order"]]).sort_values(["_w", "_i"])
-        kept: set[str] = set()
-        inside: set[str] = set()  # every substring of the kept ones
-        keep = []
-        for text in rows["_base"]:
-            parts = {text[i:j] for i in range(len(text) + 1) for j in range(i, len(text) + 1)}
-            fresh = text not in inside and kept.isdisjoint(parts)
-            keep.append(fresh)
-            if fresh:
-                kept.add(text)
-                inside |= parts
-        return rows.loc[keep, ["year", "_base"]]
-
-    found = heads.select("year", "_base", "_order").groupBy("year").applyInPandas(greedy, heads.select("year", "_base").schema)
-    same = heads["year"].eqNullSafe(F.col("_y")) & (heads["_base"] == F.col("_b"))
-    return heads.join(found.select(F.col("year").alias("_y"), F.col("_base").alias("_b")), same, "left_semi").select("_row.*")
+    heads = stored(df.withColumn("_base", base).groupBy("year", "_base").agg(
+        F.min_by(F.struct(*(F.col(c) for c in df.columns)), order).alias("_row"), F.min(order).alias("_order")), "heads")
+    node = F.struct("year", "_order", F.col("_base").alias("base"))  # in this order the heavier one is the smaller struct
+    size = F.length("_base")
+    inner = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.greatest(size - i + 1, F.lit(1))), lambda n: F.substring(F.col("_base"), i, n))))))
+    long = heads.select("year", node.alias("a"), F.explode(F.filter(inner, lambda s: F.length(s) < size)).alias("_part"))
+    short = heads.select(F.col("year").alias("_year"), node.alias("b"), F.col("_base").alias("_part"))
+    links = stored(long.join(short, (long["_part"] == short["_part"]) & F.col("year").eqNullSafe(F.col("_year"))).select(
+        F.least("a", "b").alias("heavy"), F.greatest("a", "b").alias("light")), "links")
+    gone = None
+    while not links.isEmpty():
+        # Of what is still linked, those that are nobody's lighter one stay.
+        stay = links.select("heavy").join(links.select("light"), F.col("heavy") == F.col("light"), "left_anti").distinct()
+        lost = stored(links.join(stay.withColumnRenamed("heavy", "_s"), F.col("heavy") == F.col("_s"), "left_semi").select("light").distinct(), "lost")
+        gone = lost if gone is None else gone.union(lost)
+        out = lost.withColumnRenamed("light", "_l")
+        links = stored(links.join(out, F.col("light") == F.col("_l"), "left_anti").join(out, F.col("heavy") == F.col("_l"), "left_anti"), "links")
+    kept = heads if gone is None else heads.join(gone, node == F.col("light"), "left_anti")
+    return kept.select("_row.*")
 
 
 def primary_document(df: DataFrame) -> DataFrame:
@@ -198,9 +199,9 @@ def retain_newest(items: DataFrame, keep: int = 400) -> DataFrame:
 
 
 def severity_order(df: DataFrame, column: str, order: list[str], then: list[Column]) -> DataFrame:
-    """Sorted by the place of ``column`` in ``order`` (others last), then by ``then``, whose first is a number."""
+    """Sorted by the place of ``column`` in ``order`` (others last), then by ``then``."""
     place = F.coalesce(*(F.when(F.col(column) == x, F.lit(i)) for i, x in enumerate(order)), F.lit(len(order)))
-    return numbered(df, "place", [place, *then], then[0], place)
+    return numbered(df, "place", [place, *then])
 
 
 def signature_twins(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

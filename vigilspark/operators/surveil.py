@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators.order import numbered
+from vigilspark.operators.order import numbered, running_sum
 
 
 def weekly_baseline_ratio(df: DataFrame) -> DataFrame:
@@ -26,22 +26,44 @@ def anomaly_rank(df: DataFrame, min_base: float = 3) -> DataFrame:
     key = F.struct("ratio", (-F.col("year")).alias("y"), (-F.col("week")).alias("w"))
     cell = F.struct("year", "week", "n", "ratio")
     peaks = rows.groupBy("entity").agg(F.max_by(F.struct("year", "week", "n", "base", "ratio"), key).alias("peak"), F.sort_array(F.collect_list(cell)).alias("series"))
-    ranked = numbered(peaks, "rank", [F.col("peak.ratio").desc(), F.col("entity")], -F.col("peak.ratio"))
+    ranked = numbered(peaks, "rank", [F.col("peak.ratio").desc(), F.col("entity")])
     return ranked.select("entity", "peak.*", "rank", "series")
 
 
 def average_rank(df: DataFrame, group: list[str], column: str, name: str) -> DataFrame:
-    """Rank from 1 with the mean rank for ties."""
-    ranked = F.rank().over(Window.partitionBy(*group).orderBy(column))
-    ties = F.count("*").over(Window.partitionBy(*group, column))
-    return df.withColumn(name, ranked + (ties - 1) / 2.0)
+    """Rank from 1 with the mean rank for ties.
+
+    Equal values are counted first; the counts of all groups add up in one order over ranges, less what stood before the group.
+    So a group of all rows, or a value of all rows, is spread over tasks like any other."""
+    cells = df.groupBy(*group, column).agg(F.count("*").alias("_ties"))
+    summed = running_sum(cells, "_ties", "_below", [*(F.col(c).asc_nulls_first() for c in group), F.col(column).asc_nulls_first()])
+    start = summed.groupBy(*group).agg(F.min("_below").alias("_start"))
+    ranks = _rejoin(summed, start, group).withColumn(name, F.col("_below") - F.col("_start") + (F.col("_ties") + 1) / 2.0)
+    return _rejoin(df, ranks.select(*group, column, name), [*group, column])
+
+
+def _rejoin(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``found``, by keys that may be null."""
+    named = found.select(*(F.col(c).alias(f"_key_{c}") for c in keys), *(c for c in found.columns if c not in keys))
+    same = F.lit(True)
+    for c in keys:
+        same = same & df[c].eqNullSafe(F.col(f"_key_{c}"))
+    return df.join(named, same).drop(*(f"_key_{c}" for c in keys))
 
 
 def grouped_spearman(df: DataFrame, group: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
-    """(group, n, rho): rank correlation with mid-ranks, three places; null under ``min_n`` pairs or without variance."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(rows, group, x, "_rx"), group, y, "_ry")
-    sums = ranked.groupBy(*group).agg(F.count("*").alias("n"), *(F.sum(e).alias(a) for a, e in (
+    """(group, n, rho): rank correlation with mid-ranks, three places; null under ``min_n`` pairs or without variance.
+
+    Equal pairs of values are one weighted row."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, x, y).agg(F.count("*").alias("_w"))
+    ranks = {}
+    for column, name in ((x, "_rx"), (y, "_ry")):
+        by_value = cells.groupBy(*group, column).agg(F.sum("_w").alias("_ties"))
+        summed = running_sum(by_value, "_ties", "_below", [*(F.col(c).asc_nulls_first() for c in group), F.col(column)])
+        start = summed.groupBy(*group).agg(F.min("_below").alias("_start"))
+        ranks[column] = _rejoin(summed, start, group).select(*group, column, (F.col("_below") - F.col("_start") + (F.col("_ties") + 1) / 2.0).alias(name))
+    ranked = _rejoin(_rejoin(cells, ranks[x], [*group, x]), ranks[y], [*group, y])
+    sums = ranked.groupBy(*group).agg(F.sum("_w").alias("n"), *(F.sum(F.col("_w") * e).alias(a) for a, e in (
         ("sx", F.col("_rx")), ("sy", F.col("_ry")), ("sxx", F.col("_rx") ** 2), ("syy", F.col("_ry") ** 2), ("sxy", F.col("_rx") * F.col("_ry")))))
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.col("n") * F.col("syy") - F.col("sy") ** 2
     rho = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)
@@ -70,6 +92,11 @@ def tolerance_join(left: DataFrame, right: DataFrame, key: str, tolerance: int =
     return left.join(best, [key, "year", "week"]).select(key, "year", "week", "left_value", F.col("_m.right_week").alias("right_week"), F.col("_m.offset").alias("offset"), F.col("_m.right_value").alias("right_value"))
 
 
+def tolerance_counts(paired: DataFrame, key: str) -> DataFrame:
+    """(key, pairs, by_tolerance): how many weeks tolerance_join paired, and how many of them with another week."""
+    return paired.groupBy(key).agg(F.count("*").alias("pairs"), F.count_if(F.col("offset") != 0).alias("by_tolerance"))
+
+
 def latest_revision(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of one key the one of the latest issue; partial aggregation, no sort."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilspark.operators.order import folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,14 +57,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def folder(self, kind: str) -> str:
-        """A new folder under spark.checkpoint.dir.  Only a local run may do without that setting: executors of a
-        cluster don't share their disks."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.match(r"local(\[|$)", self.spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="vigilspark-")
-        return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+        return folder(self.spark, kind)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
