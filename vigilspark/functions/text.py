@@ -102,10 +102,17 @@ def _lower_in_place(text: Column) -> Column:
 
 
 def extract_figures(col: Column, cap: int = 4) -> Column:
-    """Distinct http images as (url, caption): the caption is the figcaption's text, else alt."""
-    images = F.transform(F.regexp_extract_all(col, F.lit(r"(?is)(<img\b[^>]*>(?:\s*<figcaption>.*?</figcaption>)?)"), 1), lambda x: F.struct(
-        F.regexp_extract(x, r'(?i)src="(https?://[^"]+)"', 1).alias("url"),
-        F.coalesce(F.nullif(html_to_text(F.regexp_extract(x, r"(?is)<figcaption>(.*?)</figcaption>", 1)), F.lit("")), F.regexp_extract(x, r'(?i)alt="([^"]*)"', 1)).alias("caption")))
+    """Distinct http images as (url, caption): the caption is what the text before the image says from "Figure 1." or the
+    like on, else the figcaption's text, else alt.  The text before are 420 characters at most, since the last image."""
+    parts = F.split(col, r"(?i)<img\b")
+    def read(i):  # part i begins within an image's tag
+        tag = F.regexp_extract(parts[i], r"^([^>]*)>", 1)
+        before = html_to_text(F.right(F.when(i > 1, F.regexp_replace(parts[i - 1], r"^[^>]*>", "")).otherwise(parts[i - 1]), F.lit(420)))
+        below = html_to_text(F.regexp_extract(parts[i], r"(?is)^[^>]*>\s*<figcaption>(.*?)</figcaption>", 1))
+        caption = F.trim(F.regexp_extract(before, r"((?:Figure|Fig\.|Map|Table)\s*\d+[.:].*)$", 1))
+        return F.struct(F.regexp_extract(tag, r'(?i)src="(https?://[^"]+)"', 1).alias("url"),
+                        F.coalesce(F.nullif(caption, F.lit("")), F.nullif(below, F.lit("")), F.regexp_extract(tag, r'(?i)alt="([^"]*)"', 1)).alias("caption"))
+    images = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), read)
     kept = F.filter(images, lambda i: i.url != "")
     first = F.filter(kept, lambda f, i: ~F.exists(F.slice(F.transform(kept, lambda k: k.url), F.lit(1), i), lambda u: u == f.url))
     return F.slice(first, 1, cap)
@@ -125,6 +132,11 @@ def extract_key_points(col: Column, heading: str, cap: int = 5) -> Column:
     return F.slice(F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), html_to_text), 1, cap)
 
 
+def extract_level(title: Column) -> Column:
+    """The number of the level that a title states, else null."""
+    return F.regexp_extract(title, r"(?i)\blevel\s*(\d)", 1).try_cast("int")
+
+
 def extract_article_meta(col: Column, cap: int = 4) -> Column:
     """Struct of department, date, summary (two sentences) and attachment names."""
     return F.struct(

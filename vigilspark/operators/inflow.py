@@ -17,9 +17,10 @@ class Unresolved(ValueError):
 def resolve_names(df: DataFrame, column: str, names: DataFrame, aliases: DataFrame, ignored: list[str], key) -> DataFrame:
     """``code`` by normalised name, then by alias; ignored labels get null and ``ignored`` true.
 
-    ``names`` and ``aliases`` have (name, code); ``key`` normalises a column.  See require_resolved."""
-    by_name = names.select(key(F.col("name")).alias("_k"), F.col("code").alias("_by_name")).dropDuplicates(["_k"])
-    by_alias = aliases.select(key(F.col("name")).alias("_k"), F.col("code").alias("_by_alias")).dropDuplicates(["_k"])
+    ``names`` and ``aliases`` have (name, code); ``key`` normalises a column.  Of several codes of one
+    normalised name the smallest is taken.  See require_resolved."""
+    by_name = names.groupBy(key(F.col("name")).alias("_k")).agg(F.min("code").alias("_by_name"))
+    by_alias = aliases.groupBy(key(F.col("name")).alias("_k")).agg(F.min("code").alias("_by_alias"))
     out = df.withColumn("_k", key(F.col(column))).join(by_name, "_k", "left").join(by_alias, "_k", "left")
     skip = F.col(column).isin(ignored) if ignored else F.lit(False)
     return out.withColumn("code", F.when(~skip, F.coalesce("_by_name", "_by_alias"))).withColumn("ignored", skip).drop("_k", "_by_name", "_by_alias")
@@ -37,8 +38,15 @@ def require_resolved(df: DataFrame, column: str) -> DataFrame:
     return df
 
 
+def display_names(df: DataFrame, key: str, names: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``df`` with ``name``: the override (key, name) of an entity, else its usual name, else the key itself."""
+    named = lambda of, c: of.groupBy(key).agg(F.min("name").alias(c))
+    both = df.join(named(names, "_usual"), key, "left").join(named(overrides, "_override"), key, "left")
+    return both.withColumn("name", F.coalesce("_override", "_usual", F.col(key).cast("string"))).drop("_usual", "_override")
+
+
 def assemble_entity_table(sources: dict[str, DataFrame], key: str, home: str | None = None) -> DataFrame:
-    """Full outer join of sources on ``key`` without the home entity, with a has_<source> flag each."""
+    """Full outer join of sources on ``key`` without the home entity, with a has_<source> flag each; see display_names."""
     out = None
     for name, df in sources.items():
         df = df.withColumn(f"has_{name}", F.lit(True))
@@ -85,6 +93,14 @@ def monthly_entries(df: DataFrame, low: str, high: str) -> DataFrame:
     return by.withColumn("month", F.explode(months)).select("country", "month", F.coalesce(F.try_element_at("m", F.col("month")), F.lit(0)).alias("n"))
 
 
+def entry_totals(df: DataFrame, low: str, high: str) -> DataFrame:
+    """(total, unmapped): entries within the period with a country, and those whose label has none; one row."""
+    inside = F.when(F.col("month").between(low, high), F.col("n")).otherwise(0)
+    known = F.col("country").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return df.agg(total(F.when(known, inside)).alias("total"), total(F.when(~known, inside)).alias("unmapped"))
+
+
 def direct_arrivals(df: DataFrame) -> DataFrame:
     """Per country: flights, total, transit, direct = total - transit, and direct by year."""
     by = df.groupBy("country", "year").agg(*(F.sum(c).alias(c) for c in ("flights", "total", "transit")))
@@ -192,6 +208,31 @@ def scenario_diff(base: DataFrame, other: DataFrame) -> DataFrame:
     return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def scenario_gains(scenarios: DataFrame, base: DataFrame, entities: DataFrame) -> DataFrame:
+    """(scenario, added, removed, new_countries, new_direct): pairs against the base, and the countries that the base has
+    under no condition with their passengers, each country once."""
+    keys = ["country", "condition"]
+    pairs = scenarios.select("scenario", *keys).distinct()
+    in_base = base.select(*keys).distinct()
+    size = in_base.agg(F.count("*").alias("_size"))  # one row
+    marked = pairs.join(in_base.withColumn("_in", F.lit(True)), keys, "left").join(in_base.select("country").distinct().withColumn("_known", F.lit(True)), "country", "left")
+    by_country = marked.groupBy("scenario", "country").agg(F.count("*").alias("pairs"), F.count("_in").alias("common"), F.bool_or(F.col("_known").isNull()).alias("new"))
+    direct = F.sum(F.when(F.col("new"), F.col("direct")))
+    per = by_country.join(entities.select("country", "direct"), "country", "left").groupBy("scenario").agg(
+        F.sum(F.col("pairs") - F.col("common")).alias("added"), F.sum("common").alias("_common"), F.count_if("new").alias("new_countries"), F.coalesce(direct, F.lit(0)).alias("new_direct"))
+    return per.join(F.broadcast(size)).select("scenario", "added", (F.col("_size") - F.col("_common")).alias("removed"), "new_countries", "new_direct")
+
+
+def entity_list(scenarios: DataFrame, entities: DataFrame) -> DataFrame:
+    """(scenario, condition, countries): all countries of ``entities`` (country, direct, entries), the designated ones first,
+    then by passengers and by entries.  ``entities`` is a table of countries and goes to every task as one row."""
+    order = F.struct((-F.coalesce("direct", F.lit(0))).alias("d"), (-F.coalesce("entries", F.lit(0))).alias("e"), "country")
+    every = entities.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.country).alias("_all"))
+    per = scenarios.groupBy("scenario", "condition").agg(F.collect_set("country").alias("_on"))
+    first = F.filter("_all", lambda c: F.array_contains("_on", c))
+    return per.join(F.broadcast(every)).select("scenario", "condition", F.concat(first, F.array_except("_all", "_on")).alias("countries"))
+
+
 def scenario_metrics(scenarios: DataFrame, reports: DataFrame, entities: DataFrame) -> DataFrame:
     """One row a scenario; each country's passengers count once in it."""
     covered = reports.groupBy("country", "condition").agg(F.sum("n").alias("n"))

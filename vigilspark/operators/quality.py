@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,33 @@ def finding(severity: str, check: str, subject: Column, detail: Column) -> list[
     return [F.lit(severity).alias("severity"), F.lit(check).alias("check"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail")]
 
 
-def profile_table(df: DataFrame, year: str | None = None) -> DataFrame:
-    """(column, rows, filled, distinct, least, most) in one pass; ``year`` adds nothing to it but its own row's bounds."""
+def profile_table(df: DataFrame) -> DataFrame:
+    """(column, rows, filled, distinct, least, most) in one pass."""
     measures = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("filled"), F.countDistinct(c).alias("distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in df.columns]
     return df.agg(F.array(*measures).alias("_m")).select(F.explode("_m").alias("_m")).select("_m.*")
 
 
+def year_columns(df: DataFrame) -> list[str]:
+    """Columns whose name is a year."""
+    return [c for c in df.columns if re.fullmatch(r"(19|20)\d{2}", c.strip())]
+
+
+def year_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, cols, first_year, last_year): the first year in each value of ``columns``, and the columns named by a year."""
+    years = [F.regexp_extract(F.col(c).cast("string"), r"((?:19|20)\d{2})", 1).try_cast("int") for c in columns]
+    named = [int(c.strip()) for c in year_columns(df)]
+    ends = lambda f, pick: pick(*([f(y) for y in years] + [F.lit(n) for n in (min(named), max(named))] if named else [f(y) for y in years] + [F.lit(None).cast("int")] * 2))
+    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("cols"), ends(F.min, F.least).alias("first_year"), ends(F.max, F.greatest).alias("last_year"))
+
+
+def year_cover(df: DataFrame) -> DataFrame:
+    """(year, filled): rows with a value, not blank and no dash, in each column named by a year."""
+    full = lambda c: ~F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).isin("", "-")
+    counts = [F.struct(F.lit(int(c.strip())).alias("year"), F.count_if(full(c)).alias("filled")) for c in year_columns(df)]
+    none = F.array().cast("array<struct<year:int,filled:bigint>>")
+    return df.agg((F.array(*counts) if counts else none).alias("_y")).select(F.explode("_y").alias("_y")).select("_y.*")
+
+
 def preview(df: DataFrame, order: list[str], rows: int = 4, columns: int = 8, width: int = 60) -> DataFrame:
     """The first rows and columns as texts."""
     return df.orderBy(*order).limit(rows).select(*(F.substring(F.col(c).cast("string"), 1, width).alias(c) for c in df.columns[:columns]))

@@ -51,6 +51,13 @@ def match_query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.min_by(F.struct("name", "_s"), F.struct((-F.col("_s")).alias("k"), "name")).alias("_b")).select("query_id", F.col("_b.name").alias("name"), F.col("_b._s").alias("score"))
 
 
+def parse_queries(queries: DataFrame, names: DataFrame, countries: DataFrame) -> DataFrame:
+    """(query_id, name, country, year): the entity and the country that a query names best, and its first year."""
+    best = lambda known, c: match_query_entities(queries, known).select("query_id", F.col("name").alias(c))
+    year = F.regexp_extract("q", r"((?:19|20)\d{2})", 1).try_cast("int")
+    return queries.select("query_id", year.alias("year")).join(best(names, "name"), "query_id", "left").join(best(countries, "country"), "query_id", "left").select("query_id", "name", "country", "year")
+
+
 def route_intents(queries: DataFrame, intents: DataFrame, k: int = 3) -> DataFrame:
     """The first k distinct destinations whose words (place, word, url) the query holds; null without any."""
     hits = contained(queries.withColumn("_q", F.lower("q")), intents, "_q", "word")
@@ -84,9 +91,15 @@ def suggest_similar(queries: DataFrame, names: DataFrame, k: int = 6) -> DataFra
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where(F.col("place") <= k).select("query_id", "name", "place")
 
 
-def facet_results(hits: DataFrame, kinds: list[str], cap: int = 5, hub_cap: int = 4) -> DataFrame:
-    """Hits a query and kind with their counts, kinds in the given order, the first ``cap`` of each (hubs ``hub_cap``)."""
-    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.col("score").desc(), "id"))
+def facet_results(hits: DataFrame, kinds: list[str], cap: int = 5, hub_cap: int = 4, recognised: DataFrame | None = None) -> DataFrame:
+    """Hits a query and kind with their counts, kinds in the given order, the first ``cap`` of each (hubs ``hub_cap``).
+
+    A hub that is ``recognised`` (query_id, id, score) in a query but isn't among its hits is put before the others."""
+    hits = hits.withColumn("_missed", F.lit(0))
+    if recognised is not None:
+        missed = recognised.join(hits.where("kind = 'hub'").select("query_id", "id"), ["query_id", "id"], "left_anti")
+        hits = hits.unionByName(missed.withColumn("kind", F.lit("hub")).withColumn("_missed", F.lit(1)), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.col("_missed").desc(), F.col("score").desc(), "id"))
     count = F.count("*").over(Window.partitionBy("query_id", "kind"))
     rank = F.coalesce(*(F.when(F.col("kind") == x, F.lit(i)) for i, x in enumerate(kinds)), F.lit(len(kinds)))
-    return hits.withColumn("n", count).withColumn("place", place).withColumn("kind_rank", rank).where(F.col("place") <= F.when(F.col("kind") == "hub", hub_cap).otherwise(cap))
+    return hits.withColumn("n", count).withColumn("place", place).withColumn("kind_rank", rank).where(F.col("place") <= F.when(F.col("kind") == "hub", hub_cap).otherwise(cap)).drop("_missed")

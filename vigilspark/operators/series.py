@@ -82,6 +82,19 @@ def coverage_matrix(df: DataFrame, years: list[int]) -> DataFrame:
     return df.where("anomaly IS NULL").groupBy("vaccine", "age").pivot("year", years).agg(F.max("value"))
 
 
+def latest_coverage(cells: DataFrame, done: DataFrame) -> DataFrame:
+    """(vaccine, actual, actual_age, actual_year): the latest year's value at the age (``done``: vaccine, age) at which the
+    vaccine's course is complete; null where that age was never measured."""
+    at = cells.join(done.select("vaccine", "age"), ["vaccine", "age"]).where("value IS NOT NULL")
+    latest = at.groupBy("vaccine").agg(F.max_by(F.struct("value", "year"), "year").alias("_l"))
+    return done.join(latest, "vaccine", "left").select("vaccine", F.col("_l.value").alias("actual"), F.col("age").alias("actual_age"), F.col("_l.year").alias("actual_year"))
+
+
+def threshold_order(df: DataFrame) -> DataFrame:
+    """``df`` with ``place``: by verdict, impossible first, then the higher need first, then by vaccine."""
+    return severity_order(df, "verdict", ["impossible", "under", "edge", "over", "none"], [-F.col("high"), F.col("vaccine")])
+
+
 def immunity_threshold(df: DataFrame) -> DataFrame:
     """Needed coverage 100 (1 - 1/R0) / VE for both ends of R0, and the verdict on the actual one, in this order:
     impossible (the low need exceeds 100), none (nothing measured), over, edge, under."""
@@ -123,13 +136,16 @@ def break_aware_compare(series: DataFrame, breaks: DataFrame, pairs: DataFrame)
     return rows.select("entity", "y1", "y2", "v1", "v2", verdict.alias("verdict"))
 
 
-def edition_files(labels: DataFrame) -> DataFrame:
-    """File labels to editions: year or span, kind and body from the label; files, hidden and downloadable counts."""
+def edition_files(labels: DataFrame, bodies: list[tuple[int, str]] = ()) -> DataFrame:
+    """File labels to editions: year or span and kind from the label; files, hidden and downloadable counts, the files that
+    can be downloaded as (kind, file), and the issuing body: the last of ``bodies`` (first year, name) that had begun."""
     lower = F.lower("label")
     rows = labels.select("*", F.regexp_extract("label", r"((?:19|20)\d\d)", 1).try_cast("int").alias("year"),
                          F.regexp_extract("label", r"(?:19|20)\d\d\s*[-~]\s*((?:19|20)\d\d)", 1).try_cast("int").alias("until"),
                          F.when(lower.contains("english"), "english").when(lower.contains("text"), "text").otherwise("main").alias("kind"))
-    return rows.groupBy("year", "until").agg(F.count("*").alias("files"), F.count_if("hidden").alias("hidden"), F.count_if(F.col("file") != "").alias("downloadable"),
+    body = F.coalesce(*(F.when(F.col("year") >= since, F.lit(name)) for since, name in sorted(bodies, reverse=True)), F.lit(None).cast("string"))
+    links = F.array_sort(F.collect_list(F.when(F.col("file") != "", F.struct("kind", "file"))))
+    return rows.groupBy("year", "until").agg(body.alias("body"), links.alias("links"), F.count("*").alias("files"), F.count_if("hidden").alias("hidden"), F.count_if(F.col("file") != "").alias("downloadable"),
                                              F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 

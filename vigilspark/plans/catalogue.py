@@ -71,12 +71,12 @@ def _(v):
     return pairs.unionByName(rest.withColumn("right_id", F.lit(None).cast("int")))
 
 
-@query("j17_as_of_version", "SELECT l_orderkey, l_linenumber, (SELECT max(version) FROM (VALUES (1, '1995-01-01'), (2, '1996-07-01'), (3, '1998-02-15'), (4, '2000-12-31')) t(version, effective) WHERE effective <= {date:l_shipdate}) AS version FROM {lineitem}")
+@query("j17_as_of_version", "SELECT l_orderkey, l_linenumber, version, CASE version WHEN 1 THEN '1995-01-01' WHEN 2 THEN '1996-07-01' WHEN 3 THEN '1998-02-15' WHEN 4 THEN '2000-12-31' ELSE '' END > made AS stale FROM (SELECT l_orderkey, l_linenumber, (SELECT max(version) FROM (VALUES (1, '1995-01-01'), (2, '1996-07-01'), (3, '1998-02-15'), (4, '2000-12-31')) t(version, effective) WHERE effective <= {date:l_shipdate}) AS version, CASE WHEN l_linenumber % 2 = 0 THEN '1996-12-31' ELSE '1994-12-31' END AS made FROM {lineitem})")
 def _(v):
     versions = v.spark.createDataFrame([(1, "1995-01-01"), (2, "1996-07-01"), (3, "1998-02-15"), (4, "2000-12-31")], "version int, effective string").withColumn("flag", F.explode(F.array(*map(F.lit, "ANR"))))
-    days = v.lineitem.select(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).distinct()
-    found = m.as_of_version(versions, days, "flag")
-    return v.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).join(found, ["flag", "day"]).drop("flag", "day")
+    made = F.when(F.col("l_linenumber") % 2 == 0, "1996-12-31").otherwise("1994-12-31")
+    days = v.lineitem.select(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), made.alias("made"), "l_orderkey", "l_linenumber")
+    return m.as_of_version(versions, days, "flag", "made").drop("flag", "day", "made")
 
 
 @query("j18_current_phase", "SELECT o_custkey, CAST(max_by(o_orderpriority, o_orderkey) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS VARCHAR) AS status FROM {orders} GROUP BY 1")

@@ -27,6 +27,13 @@ def _(v):
     }, "country", "NATION_3")
 
 
+@query("j3_display_names", "SELECT n_name AS country, CASE WHEN n_nationkey % 5 = 0 THEN 'Rep. ' || n_nationkey WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS name FROM {nation}")
+def _(v):
+    usual = v.nation.where("n_nationkey % 3 > 0").select(F.col("n_name").alias("country"), F.lower("n_name").alias("name"))
+    other = v.nation.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("country"), F.concat(F.lit("Rep. "), F.col("n_nationkey").cast("string")).alias("name"))
+    return i.display_names(v.nation.select(F.col("n_name").alias("country")), "country", usual, other)
+
+
 @query("j4_designation_match", "SELECT r.country, r.condition, r.n, d.country IS NOT NULL AS hit FROM (SELECT country, condition, CAST(sum(n) AS BIGINT) AS n FROM {imports} WHERE condition <> '5-LOW' GROUP BY 1, 2) r LEFT JOIN {designation} d ON r.country = d.country AND r.condition = d.condition")
 def _(v):
     return i.designation_match(v.imports, v.designation, v.designation.where("condition <> '5-LOW'").select("condition").distinct())
@@ -65,6 +72,11 @@ def _(v):
     return i.monthly_entries(v.entries, "1996-11", "1998-02")
 
 
+@query("a8_entry_totals", "SELECT CAST(sum(n) FILTER (country NOT LIKE '%1') AS BIGINT) AS total, CAST(sum(n) FILTER (country LIKE '%1') AS BIGINT) AS unmapped FROM {entries} WHERE month BETWEEN '1996-11' AND '1998-02'")
+def _(v):
+    return i.entry_totals(v.entries.withColumn("country", F.when(~F.endswith("country", F.lit("1")), F.col("country"))), "1996-11", "1998-02")
+
+
 @query("a9_direct_arrivals", "SELECT country, CAST(sum(flights) AS BIGINT) AS flights, CAST(sum(total) AS BIGINT) AS total, CAST(sum(transit) AS BIGINT) AS transit, CAST(sum(total - transit) AS BIGINT) AS direct, string_agg(year || ':' || (total - transit), ' ' ORDER BY year) AS years FROM {arrivals} GROUP BY 1")
 def _(v):
     years = F.array_join(F.transform("years", lambda y: F.concat(y.year.cast("string"), F.lit(":"), y.direct.cast("string"))), " ")
@@ -155,6 +167,24 @@ def _(v):
     return i.scenario_diff(s.where("scenario = 'without'"), s.where("scenario = 'more'"))
 
 
+@query("e2_scenario_gains", f"""WITH s AS {_SETS}, b AS (SELECT country, condition FROM {{designation}} WHERE level = 'priority'), e AS (SELECT country, sum(total - transit) AS direct FROM {{arrivals}} WHERE year < 1999 AND total % 2 = 0 GROUP BY 1),
+c AS (SELECT scenario, country FROM s WHERE country NOT IN (SELECT country FROM b) GROUP BY 1, 2)
+SELECT scenario, count(*) FILTER (b.country IS NULL) AS added, (SELECT count(*) FROM b) - count(b.country) AS removed, (SELECT count(*) FROM c WHERE c.scenario = s.scenario) AS new_countries,
+CAST(coalesce((SELECT sum(direct) FROM c JOIN e USING (country) WHERE c.scenario = s.scenario), 0) AS BIGINT) AS new_direct FROM s LEFT JOIN b ON s.country = b.country AND s.condition = b.condition GROUP BY 1""")
+def _(v):
+    return i.scenario_gains(_sets(v), v.designation.where("level = 'priority'"), _entities(v))
+
+
+@query("a38_entity_list", f"""WITH s AS {_SETS}, e AS (SELECT n_name AS country, coalesce(direct, 0) AS direct, coalesce(entries, 0) AS entries FROM {{nation}} LEFT JOIN (SELECT country, sum(total - transit) AS direct FROM {{arrivals}} WHERE year < 1999 AND total % 2 = 0 GROUP BY 1) a ON a.country = n_name
+LEFT JOIN (SELECT country, sum(n) AS entries FROM {{entries}} WHERE month < '1997' GROUP BY 1) m ON m.country = n_name)
+SELECT k.scenario, k.condition, string_agg(e.country, ',' ORDER BY s.country IS NULL, direct DESC, entries DESC, e.country) AS countries FROM (SELECT DISTINCT scenario, condition FROM s) k CROSS JOIN e
+LEFT JOIN s ON s.scenario = k.scenario AND s.condition = k.condition AND s.country = e.country GROUP BY 1, 2""")
+def _(v):
+    entered = v.entries.where("month < '1997'").groupBy("country").agg(F.sum("n").alias("entries"))
+    entities = v.nation.select(F.col("n_name").alias("country")).join(_entities(v), "country", "left").join(entered, "country", "left")
+    return i.entity_list(_sets(v), entities).withColumn("countries", F.array_join("countries", ","))
+
+
 @query("a32_scenario_metrics", f"""WITH s AS {_SETS}, c AS (SELECT country, condition, sum(n) AS n FROM {{imports}} WHERE year = 1999 GROUP BY 1, 2), e AS (SELECT country, sum(total - transit) AS direct FROM {{arrivals}} WHERE year < 1999 AND total % 2 = 0 GROUP BY 1),
 p AS (SELECT scenario, count(*) AS pairs, CAST(coalesce(sum(n), 0) AS BIGINT) AS covered_n, count(n) AS covered_pairs FROM s LEFT JOIN c USING (country, condition) GROUP BY 1),
 k AS (SELECT scenario, count(*) AS countries, CAST(coalesce(sum(direct), 0) AS BIGINT) AS direct, count(*) FILTER (direct IS NULL) AS without_flights FROM (SELECT DISTINCT scenario, country FROM s) LEFT JOIN e USING (country) GROUP BY 1)

@@ -24,8 +24,8 @@ def _(v):
 @query("io2_read_ledger_json", "SELECT s_suppkey, s_name FROM {supplier}")
 def _(v):
     path = _folder(v)
-    ledgers = v.supplier.groupBy("s_nationkey").agg(F.collect_list(F.struct("s_suppkey", "s_name")).alias("records"))
-    ledgers.write.partitionBy("s_nationkey").json(path)  # one document a file
+    ledgers = v.supplier.groupBy(F.floor(F.col("s_suppkey") / 200).alias("part")).agg(F.collect_list(F.struct("s_suppkey", "s_name")).alias("records"))
+    ledgers.write.partitionBy("part").json(path)  # one document a file
     return files.read_ledger_json(v.spark, path, "records array<struct<s_suppkey:long,s_name:string>>", "records")
 
 
@@ -52,7 +52,7 @@ def _(v):
     k = F.col("o_orderkey")
     day = F.when(k % 5 == 0, "soon").when(k % 5 < 3, F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     item = F.concat(F.lit("<item><title><![CDATA["), "o_orderpriority", F.lit(" &amp; "), _s("o_orderkey"), F.lit("]]></title>\n<link>http://x.org/"), _s("o_orderkey"), F.lit("</link><pubDate>"), day, F.lit("</pubDate><description><p>On <b>"), _s("o_custkey"), F.lit("</b></p></description></item>"))
-    feeds = v.orders.select(F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), (k % 97).alias("batch"), item.alias("i")).groupBy("source", "batch").agg(F.concat(F.lit("<rss><title>feed</title>"), F.array_join(F.collect_list("i"), " "), F.lit("</rss>")).alias("body"))
+    feeds = v.orders.select(F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), F.floor(k / 200).alias("batch"), item.alias("i")).groupBy("source", "batch").agg(F.concat(F.lit("<rss><title>feed</title>"), F.array_join(F.collect_list("i"), " "), F.lit("</rss>")).alias("body"))
     return p.parse_rss(feeds)
 
 
@@ -67,7 +67,7 @@ def _(v):
 @query("io5_parse_board_listing", "SELECT CAST(o_orderkey AS VARCHAR) AS article_id, o_orderpriority || ' notice' AS title, {date:o_orderdate} AS date FROM {orders}")
 def _(v):
     row = F.concat(F.lit("<tr><td><a href=\"/view?id="), _s("o_orderkey"), F.lit("\">"), "o_orderpriority", F.lit(" notice <span>NEW</span></a></td><td>"), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit("</td></tr>"))
-    pages = v.orders.groupBy(F.col("o_orderkey") % 50).agg(F.concat(F.lit("<table><tr><th>title</th></tr>"), F.array_join(F.collect_list(row), "\n")).alias("html"))
+    pages = v.orders.groupBy(F.floor(F.col("o_orderkey") / 200)).agg(F.concat(F.lit("<table><tr><th>title</th></tr>"), F.array_join(F.collect_list(row), "\n")).alias("html"))
     return p.parse_board_listing(pages.union(pages))  # every id is delivered twice
 
 

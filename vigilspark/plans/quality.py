@@ -11,6 +11,18 @@ def _(v):
     return q.profile_table(v.part.select("p_partkey", "p_name", "p_brand", "p_size"))
 
 
+@query("d1_year_bounds", "SELECT count(*) AS rows, 3 AS cols, CAST(min(least(year(o_orderdate), CASE WHEN o_orderkey % 2 = 0 THEN 1988 END)) AS INT) AS first_year, 2031 AS last_year FROM {orders}")
+def _(v):
+    note = F.when(F.col("o_orderkey") % 2 == 0, "seen in 1988 or 1987").otherwise("no year: 12345")
+    return q.year_bounds(v.orders.select("o_orderdate", note.alias("note"), F.col("o_orderpriority").alias("2031")), ["o_orderdate", "note"])
+
+
+@query("d1_year_cover", "SELECT * FROM (SELECT 2019 AS year, count(*) FILTER (p_size % 3 > 0) AS filled FROM {part} UNION ALL SELECT 2020, count(*) FILTER (p_size % 4 > 1) FROM {part})")
+def _(v):
+    wide = v.part.select("p_name", F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("2019"), F.when(F.col("p_size") % 4 == 0, " ").when(F.col("p_size") % 4 == 1, "-").otherwise("7").alias("2020"))
+    return q.year_cover(wide)
+
+
 @query("d1_preview", "SELECT substring(CAST(p_partkey AS VARCHAR), 1, 5) AS p_partkey, substring(p_name, 1, 5) AS p_name FROM {part} ORDER BY {part}.p_partkey LIMIT 4")
 def _(v):
     return q.preview(v.part.select("p_partkey", "p_name", "p_brand"), ["p_partkey"], 4, 2, 5)

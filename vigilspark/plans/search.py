@@ -60,11 +60,21 @@ def _(v):
 _INTENTS = [(0, "tion", "trend"), (1, "que ", "cover"), (2, "the ", "index"), (3, "der ", "cover"), (4, "re", "map"), (5, "la", "trend")]
 
 
+@query("q5_parse_queries", """SELECT o_orderkey AS query_id, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '5' THEN 'low' END AS name, CASE WHEN o_orderkey % 4 > 0 THEN n_name END AS country, CASE WHEN o_orderkey % 3 > 0 THEN CAST(year(o_orderdate) AS INT) END AS year
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""")
+def _(v):
+    rows = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey")).join(v.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("o_orderkey")
+    q = F.concat(F.lower(F.regexp_replace("o_orderpriority", r"^\d-", "")), F.lit("? "), F.when(k % 4 > 0, F.lower("n_name")).otherwise(""), F.when(k % 3 > 0, F.date_format("o_orderdate", " yyyy-MM")).otherwise(" 123"))
+    names = v.spark.createDataFrame([("urgent",), ("high",), ("low",)], "name string")
+    return s.parse_queries(rows.select(k.alias("query_id"), q.alias("q")), names, v.nation.select(F.col("n_name").alias("name")))
+
+
 @query("q6_route_intents", f"""WITH i(place, word, url) AS (VALUES {', '.join(map(str, _INTENTS))}),
-h AS (SELECT doc_id, url, min(place) AS place FROM {{documents}} JOIN i ON contains(lower(substring(text, 1, 40)), word) GROUP BY 1, 2)
+h AS (SELECT doc_id, url, min(place) AS place FROM {{documents}} JOIN i ON contains(lower(text), word) GROUP BY 1, 2)
 SELECT doc_id AS query_id, array_to_string(urls, ',') AS urls FROM {{documents}} LEFT JOIN (SELECT doc_id, list(url ORDER BY place)[1:3] AS urls FROM h GROUP BY 1) USING (doc_id)""")
 def _(v):
-    queries = v.documents.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("q"))
+    queries = v.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
     return s.route_intents(queries, v.spark.createDataFrame(_INTENTS, "place int, word string, url string")).withColumn("urls", F.array_join("urls", ","))
 
 
@@ -101,8 +111,11 @@ def _(v):
     return s.suggest_similar(v.catalogue.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), q.alias("q")), v.part.select(F.col("p_name").alias("name")).distinct())
 
 
-@query("q9_facet_results", """SELECT query_id, kind, id, score, n, place, CASE kind WHEN 'hub' THEN 0 WHEN 'guide' THEN 1 ELSE 2 END AS kind_rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id, kind) AS n, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS place FROM (
-SELECT doc % 7 AS query_id, CASE WHEN doc % 11 = 0 THEN 'hub' ELSE kind END AS kind, doc AS id, doc * 31 % 17 AS score FROM {catalogue})) WHERE place <= CASE WHEN kind = 'hub' THEN 4 ELSE 5 END""")
+@query("q9_facet_results", """WITH h AS (SELECT doc % 7 AS query_id, CASE WHEN doc % 11 = 0 THEN 'hub' ELSE kind END AS kind, doc AS id, doc * 31 % 17 AS score FROM {catalogue}),
+m AS (SELECT * FROM h UNION ALL SELECT query_id, 'hub', id, 9 FROM (SELECT DISTINCT doc % 7 AS query_id, 11 * (1 + doc % 7) AS id FROM {catalogue}) r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.kind = 'hub' AND h.query_id = r.query_id AND h.id = r.id))
+SELECT query_id, kind, id, score, n, place, CASE kind WHEN 'hub' THEN 0 WHEN 'guide' THEN 1 ELSE 2 END AS kind_rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id, kind) AS n,
+row_number() OVER (PARTITION BY query_id, kind ORDER BY kind = 'hub' AND query_id <> id % 7 DESC, score DESC, id) AS place FROM m) WHERE place <= CASE WHEN kind = 'hub' THEN 4 ELSE 5 END""")
 def _(v):
     d = F.col("doc")
-    return s.facet_results(v.catalogue.select((d % 7).alias("query_id"), F.when(d % 11 == 0, "hub").otherwise(F.col("kind")).alias("kind"), d.alias("id"), (d * 31 % 17).alias("score")), ["hub", "guide"])
+    known = v.catalogue.select((d % 7).alias("query_id"), (11 * (1 + d % 7)).alias("id"), F.lit(9).cast("long").alias("score")).distinct()
+    return s.facet_results(v.catalogue.select((d % 7).alias("query_id"), F.when(d % 11 == 0, "hub").otherwise(F.col("kind")).alias("kind"), d.alias("id"), (d * 31 % 17).alias("score")), ["hub", "guide"], recognised=known)

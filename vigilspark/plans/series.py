@@ -85,14 +85,16 @@ def _(v):
     return s.coverage_matrix(rows, [1996, 1997, 2005]).select("vaccine", "age", *(F.col(str(y)).alias(f"y{y}") for y in (1996, 1997, 2005)))
 
 
-@query("a27_immunity_threshold", """SELECT vaccine, low, high, actual, CASE WHEN low > 100 THEN 'impossible' WHEN actual IS NULL THEN 'none' WHEN actual >= high THEN 'over' WHEN actual >= low THEN 'edge' ELSE 'under' END AS verdict FROM (
-SELECT vaccine, round(100 * (1 - 1 / lo) / ve, 2) AS low, round(100 * (1 - 1 / (lo + 2)) / ve, 2) AS high, actual FROM (
-SELECT vaccine, CAST(2 + k % 9 AS DOUBLE) AS lo, CASE WHEN k % 4 = 0 THEN 0.5 ELSE 0.95 END AS ve, CASE WHEN k % 5 <> 4 THEN a END AS actual FROM (SELECT vaccine, CAST(substring(vaccine, 7) AS INT) AS k, arg_max(value, year) AS a FROM {coverage} WHERE age = 2 GROUP BY 1)))""")
+@query("a27_immunity_threshold", """SELECT *, CAST(row_number() OVER (ORDER BY CASE verdict WHEN 'impossible' THEN 0 WHEN 'under' THEN 1 WHEN 'edge' THEN 2 WHEN 'over' THEN 3 ELSE 4 END, high DESC, vaccine) AS INT) AS place FROM (
+SELECT vaccine, low, high, actual, actual_year, CASE WHEN low > 100 THEN 'impossible' WHEN actual IS NULL THEN 'none' WHEN actual >= high THEN 'over' WHEN actual >= low THEN 'edge' ELSE 'under' END AS verdict FROM (
+SELECT vaccine, round(100 * (1 - 1 / lo) / ve, 2) AS low, round(100 * (1 - 1 / (lo + 2)) / ve, 2) AS high, actual, actual_year FROM (
+SELECT vaccine, CAST(2 + k % 9 AS DOUBLE) AS lo, CASE WHEN k % 4 = 0 THEN 0.5 ELSE 0.95 END AS ve, a AS actual, y AS actual_year FROM
+(SELECT vaccine, CAST(substring(vaccine, 7) AS INT) AS k, arg_max(value, year) FILTER (age = CASE WHEN CAST(substring(vaccine, 7) AS INT) % 5 = 4 THEN 9 ELSE 1 + CAST(substring(vaccine, 7) AS INT) % 2 END) AS a, max(year) FILTER (age = CASE WHEN CAST(substring(vaccine, 7) AS INT) % 5 = 4 THEN 9 ELSE 1 + CAST(substring(vaccine, 7) AS INT) % 2 END) AS y FROM {coverage} GROUP BY 1))))""")
 def _(v):
     k = F.substring("vaccine", 7, 9).cast("int")
-    latest = v.coverage.where("age = 2").groupBy("vaccine").agg(F.max_by("value", "year").alias("a"))
-    df = latest.select("vaccine", (2 + k % 9).cast("double").alias("r0_lo"), F.when(k % 4 == 0, 0.5).otherwise(0.95).alias("ve"), F.when(k % 5 != 4, F.col("a")).alias("actual"))
-    return s.immunity_threshold(df.withColumn("r0_hi", F.col("r0_lo") + 2)).select("vaccine", "low", "high", "actual", "verdict")
+    done = v.coverage.select("vaccine").distinct().withColumn("age", F.when(k % 5 == 4, 9).otherwise(1 + k % 2))
+    df = s.latest_coverage(v.coverage, done).select("vaccine", (2 + k % 9).cast("double").alias("r0_lo"), F.when(k % 4 == 0, 0.5).otherwise(0.95).alias("ve"), "actual", "actual_year")
+    return s.threshold_order(s.immunity_threshold(df.withColumn("r0_hi", F.col("r0_lo") + 2))).select("vaccine", "low", "high", "actual", "actual_year", "verdict", "place")
 
 
 @query("a28_align_rate_and_cases", """WITH l AS (SELECT DISTINCT vaccine, '1-URGENT' AS condition FROM {coverage} WHERE vaccine < 'Brand#2' UNION SELECT DISTINCT vaccine, '2-HIGH' FROM {coverage} WHERE vaccine > 'Brand#4'),
@@ -127,12 +129,13 @@ def _(v):
     return s.break_aware_compare(v.annual.withColumn("partial", F.col("year") == 2001), breaks, pairs)
 
 
-@query("a36_edition_files", "SELECT year, until, count(*) AS files, count(*) FILTER (p % 4 = 0) AS hidden, count(*) FILTER (p % 3 > 0) AS downloadable, array_to_string(list_sort(list(DISTINCT CASE p % 3 WHEN 0 THEN 'english' WHEN 1 THEN 'text' ELSE 'main' END)), ',') AS kinds FROM (SELECT doc AS p, year, CASE WHEN doc % 2 = 0 THEN year + 1 END AS until FROM {catalogue}) GROUP BY 1, 2")
+@query("a36_edition_files", "SELECT year, until, CASE WHEN year >= 2020 THEN 'agency' WHEN year >= 2005 THEN 'centre' END AS body, coalesce(string_agg(CASE p % 3 WHEN 1 THEN 'text' ELSE 'main' END || '=' || 'f' || p || '.pdf', ',' ORDER BY CASE p % 3 WHEN 1 THEN 'text' ELSE 'main' END, 'f' || p || '.pdf') FILTER (p % 3 > 0), '') AS links, count(*) AS files, count(*) FILTER (p % 4 = 0) AS hidden, count(*) FILTER (p % 3 > 0) AS downloadable, array_to_string(list_sort(list(DISTINCT CASE p % 3 WHEN 0 THEN 'english' WHEN 1 THEN 'text' ELSE 'main' END)), ',') AS kinds FROM (SELECT doc AS p, year, CASE WHEN doc % 2 = 0 THEN year + 1 END AS until FROM {catalogue}) GROUP BY 1, 2")
 def _(v):
     d = F.col("doc")
     span = F.when(d % 2 == 0, F.concat(F.col("year").cast("string"), F.lit("~"), (F.col("year") + 1).cast("string"))).otherwise(F.col("year").cast("string"))
     label = F.concat(span, F.lit(" white paper "), F.when(d % 3 == 0, "(English)").when(d % 3 == 1, "Text").otherwise(""))
-    return s.edition_files(v.catalogue.select(label.alias("label"), (d % 4 == 0).alias("hidden"), F.when(d % 3 > 0, "f.pdf").otherwise("").alias("file")))
+    return s.edition_files(v.catalogue.select(label.alias("label"), (d % 4 == 0).alias("hidden"), F.when(d % 3 > 0, F.concat(F.lit("f"), d.cast("string"), F.lit(".pdf"))).otherwise("").alias("file")), [(2005, "centre"), (2020, "agency")]).withColumn(
+        "links", F.array_join(F.transform("links", lambda x: F.concat(x.kind, F.lit("="), x.file)), ","))
 
 
 @query("a37_coalesce_same_stem", """SELECT 'part' || k AS stem, min(p_partkey) AS place, arg_min(CASE WHEN p_size % 2 = 0 THEN p_size END, p_partkey) FILTER (p_size % 2 = 0) AS rows, arg_max(p_type, length(p_type) * 1000000 + 0) AS x, string_agg(CASE WHEN p_partkey % 2 = 0 THEN 'csv' ELSE 'json' END, ',' ORDER BY p_partkey) AS formats FROM (SELECT *, p_partkey % 50 AS k FROM {part}) GROUP BY k""".replace(" arg_max(p_type, length(p_type) * 1000000 + 0) AS x,", " max(length(p_type)) AS note_length,"))

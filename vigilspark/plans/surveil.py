@@ -70,6 +70,13 @@ def _(v):
     return s.tolerance_join(v.notif.withColumnRenamed("n", "left_value"), _lab_pairs(v).where("week % 3 <> 0"), "entity")
 
 
+@query("j1_tolerance_counts", "WITH r AS (SELECT * FROM " + _PAIRS + """ WHERE week % 3 <> 0)
+SELECT entity, count(*) AS pairs, count(*) FILTER (NOT exact) AS by_tolerance FROM (SELECT a.entity, bool_or(r.week = a.week) AS exact
+FROM {notif} a JOIN r ON a.entity = r.entity AND a.year = r.year AND abs(r.week - a.week) <= 1 GROUP BY a.entity, a.year, a.week) GROUP BY 1""")
+def _(v):
+    return s.tolerance_counts(s.tolerance_join(v.notif.withColumnRenamed("n", "left_value"), _lab_pairs(v).where("week % 3 <> 0"), "entity"), "entity")
+
+
 @query("a15_latest_revision", "SELECT l_partkey, l_suppkey, l_linenumber, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_linenumber DESC, l_orderkey DESC, l_quantity DESC) AS k FROM {lineitem}) WHERE k = 1")
 def _(v):
     rows = v.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_quantity")

@@ -75,10 +75,10 @@ def _(v):
     return t.find_terms(v.documents.select("doc_id", "text"), "text", terms, 4).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
-@query("x8_extract_figures", "SELECT p_partkey, 'http://x.org/' || p_partkey || '.png=' || p_name || ';https://x.org/b.png=' || p_type AS figures FROM {part}")
+@query("x8_extract_figures", "SELECT p_partkey, 'http://x.org/' || p_partkey || '.png=' || p_name || ';https://x.org/b.png=' || p_type || ';http://x.org/c.png=' || CASE WHEN p_size % 2 = 0 THEN 'Figure 2. Cases of ' || p_brand ELSE 'map' END AS figures FROM {part}")
 def _(v):
     url = F.concat(F.lit('<img src="http://x.org/'), _s("p_partkey"), F.lit('.png" alt="'))
-    html = F.concat(url, F.lit('no"> <figcaption><b>'), "p_name", F.lit('</b></figcaption><img src="/local.png" alt="l"><img alt="'), "p_type", F.lit('" src="https://x.org/b.png">'), url, F.lit('again">'))
+    html = F.concat(url, F.lit('no"> <figcaption><b>'), "p_name", F.lit('</b></figcaption><img src="/local.png" alt="l"><img alt="'), "p_type", F.lit('" src="https://x.org/b.png"><p>'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("See Figure 2. Cases of <b>"), "p_brand", F.lit("</b></p>"))).otherwise("Figures differ</p>"), F.lit('<img src="http://x.org/c.png" alt="map">'), url, F.lit('again">'))
     return v.part.select("p_partkey", F.array_join(F.transform(t.extract_figures(html), lambda f: F.concat(f.url, F.lit("="), f.caption)), ";").alias("figures"))
 
 
@@ -88,10 +88,11 @@ def _(v):
     return v.part.select("p_partkey", F.array_join(F.transform(t.extract_tables(html)[0], lambda r: F.array_join(r, ",")), ";").alias("cells"))
 
 
-@query("x10_extract_key_points", "SELECT p_partkey, p_name || '|' || p_brand AS points FROM {part}")
+@query("x10_extract_key_points", "SELECT p_partkey, p_name || '|' || p_brand AS points, CASE WHEN p_size % 5 > 0 THEN CAST(p_size % 5 AS INT) END AS level FROM {part}")
 def _(v):
+    title = F.concat(F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("Level "), (F.col("p_size") % 5).cast("string"), F.lit(" - "))).otherwise("Sea level - "), "p_name")
     html = F.concat(F.lit("<ul><li>menu</li></ul><h2 id=k> Key Points </h2>\n<ul class=y><li>"), "p_name", F.lit("</li><li><a href=x>"), "p_brand", F.lit("</a></li></ul><ul><li>z</li></ul>"))
-    return v.part.select("p_partkey", F.array_join(t.extract_key_points(html, "key points"), "|").alias("points"))
+    return v.part.select("p_partkey", F.array_join(t.extract_key_points(html, "key points"), "|").alias("points"), t.extract_level(title).alias("level"))
 
 
 @query("x11_extract_article_meta", "SELECT o_orderkey, o_orderpriority AS department, {date:o_orderdate} AS date, 'It is ' || o_orderstatus || '. It stays.' AS summary, 'a.pdf|' || o_orderkey || '.hwp' AS files FROM {orders}")
