@@ -8,6 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.functions.tables import table_grids
 from vigilspark.operators.contain import contained
 from vigilspark.operators.spans import allocated, longest_first, occurrences
 
@@ -118,12 +119,13 @@ def extract_figures(col: Column, cap: int = 4) -> Column:
     return F.slice(first, 1, cap)
 
 
-def extract_tables(col: Column, tables: int = 2, rows: int = 14, columns: int = 8, width: int = 60) -> Column:
-    """The first tables of at least two rows as arrays of rows of cell texts."""
-    def cells(row):
-        return F.slice(F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1), lambda c: F.substring(html_to_text(c), 1, width)), 1, columns)
-    parsed = F.transform(F.regexp_extract_all(col, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1), lambda t: F.slice(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), cells), 1, rows))
-    return F.slice(F.filter(parsed, lambda t: F.size(t) >= 2), 1, tables)
+def extract_tables(col: Column, tables: int = 2, rows: int = 14, columns: int = 8, width: int = 60, caption: int = 160) -> Column:
+    """The first tables of at least two rows as (caption, rows), each row its cells' texts; spanned cells are repeated."""
+    kept = F.filter(F.transform(table_grids(col), lambda t: F.struct(
+        F.substring(F.coalesce(t.caption, F.lit("")), 1, caption).alias("caption"),
+        F.slice(F.transform(F.filter(t.rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.slice(F.transform(r, lambda c: F.substring(c, 1, width)), 1, columns)), 1, rows).alias("rows"))),
+        lambda t: F.size(t["rows"]) >= 2)
+    return F.slice(kept, 1, tables)
 
 
 def extract_key_points(col: Column, heading: str, cap: int = 5) -> Column:

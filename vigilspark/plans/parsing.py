@@ -74,8 +74,8 @@ def _(v):
 @query("io6_parse_html_table_long", "SELECT p_partkey AS page_id, label, kind, \"column\", value FROM (SELECT p_partkey, p_size, unnest(['A', 'A', 'B', 'B']) AS label, unnest(['rate', 'rate', 'count', 'count']) AS kind, unnest(['2019', '2020', '2019', '2020']) AS \"column\", unnest([p_size + 0.5, NULL, 1000.0 + p_size, p_size * 1.0]) AS value FROM {part})")
 def _(v):
     size = lambda f: (F.col("p_size") + f).cast("string")
-    html = F.concat(F.lit("<table><caption>other</caption><tr><td>rate</td><td>9</td></tr></table><table id=t><caption> Uptake </caption><tr><th>group</th><th>kind</th><th>2019</th><th>2020</th></tr><tr><td class=\"group\" rowspan=2>A</td><td>rate</td><td>"), size(0.5),
-                    F.lit("</td><td>-</td></tr><tr><td>note</td><td>x</td><td>y</td></tr><tr><td class=\"group\">B</td><td>other</td><td>1</td><td>1</td></tr><tr><td>count</td><td>"), F.format_number(F.col("p_size") + 1000, 0), F.lit("</td><td>"), size(0), F.lit("</td></tr></table>"))
+    html = F.concat(F.lit("<table><caption>other</caption><tr><td>rate</td><td>9</td></tr></table><table><tr><td>layout<table id=t><caption> Uptake </caption><tr><th>group</th><th>kind</th><th>2019</th><th>2020</th></tr><tr><td class=\"group\" rowspan=2>A</td><td>rate</td><td>"), size(0.5),
+                    F.lit("</td><td>-</td></tr><tr><td>note</td><td>x</td><td>y</td></tr><tr><td class=\"group\">B</td><td>other</td><td>1</td><td>1</td></tr><tr><td>count</td><td>"), F.format_number(F.col("p_size") + 1000, 0), F.lit("</td><td>"), size(0), F.lit("</td></tr></table></td></tr></table>"))
     return p.parse_html_table_long(v.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")), "Uptake", ["rate", "count"])
 
 

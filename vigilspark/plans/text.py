@@ -82,10 +82,12 @@ def _(v):
     return v.part.select("p_partkey", F.array_join(F.transform(t.extract_figures(html), lambda f: F.concat(f.url, F.lit("="), f.caption)), ";").alias("figures"))
 
 
-@query("x9_extract_tables", "SELECT p_partkey, 'name,size;' || p_name || ',' || p_size AS cells FROM {part}")
+@query("x9_extract_tables", "SELECT p_partkey, 'Sizes of ' || p_brand AS caption, 'name,size,size;' || p_name || ',' || p_size || ',x;' || p_name || ',y,z' AS cells FROM {part}")
 def _(v):
-    html = F.concat(F.lit("<table><tr><td>one row</td></tr></table><table class=x><tr><th>name</th><th>size</th></tr><tr><td><b>"), "p_name", F.lit("</b></td>\n<td> "), _s("p_size"), F.lit("</td></tr></table>"))
-    return v.part.select("p_partkey", F.array_join(F.transform(t.extract_tables(html)[0], lambda r: F.array_join(r, ",")), ";").alias("cells"))
+    html = F.concat(F.lit("<table><tr><td>one row</td></tr></table><table><tr><td><table class=x><caption>Sizes of <i>"), "p_brand", F.lit("</i></caption><tr><th>name</th><th colspan='2'>size</th></tr><tr><td rowspan=\"2\"><b>"), "p_name", F.lit("</b></td>\n<td> "), _s("p_size"),
+                    F.lit("</td><td>x<tr><td>y<td>z</table></td></tr></table>"))
+    found = t.extract_tables(html)[0]
+    return v.part.select("p_partkey", found.caption.alias("caption"), F.array_join(F.transform(found["rows"], lambda r: F.array_join(r, ",")), ";").alias("cells"))
 
 
 @query("x10_extract_key_points", "SELECT p_partkey, p_name || '|' || p_brand AS points, CASE WHEN p_size % 5 > 0 THEN CAST(p_size % 5 AS INT) END AS level FROM {part}")

@@ -1,4 +1,4 @@
-"""Feeds, listings, tables and report pages to rows; built-in functions only.
+"""Feeds, listings, tables and report pages to rows; built-in functions, but for the grids of tables.
 
 Pages have (page_id or doc, page_no, text); patterns are arguments, so layouts aren't fixed here."""
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions.clean import clean_number
+from vigilspark.functions.tables import table_grids
 from vigilspark.functions.text import html_to_text
 from vigilspark.operators.surveil import carry_down
 
@@ -46,13 +47,12 @@ def parse_board_listing(pages: DataFrame, badge: str = "NEW") -> DataFrame:
 def parse_html_table_long(pages: DataFrame, caption: str, kinds: list[str]) -> DataFrame:
     """The captioned table of each page (page_id, html) as cells (page_id, label, kind, column, value).
 
-    The first header cells name the columns; a row label in ``td class="group"`` carries down over its row span;
-    only rows of the given kinds are measures."""
-    table = F.regexp_extract("html", rf"(?is)<table\b[^>]*>\s*<caption>\s*{caption}\s*</caption>(.*?)</table>", 1)
-    head = F.transform(F.regexp_extract_all(F.col("_t"), F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), 1), html_to_text)
-    rows = pages.select("page_id", table.alias("_t")).where("_t <> ''").select("page_id", head.alias("_h"), F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("_n", "_r"))
-    rows = rows.select("page_id", "_h", "_n", F.nullif(html_to_text(F.regexp_extract("_r", r'(?is)<td class="group"[^>]*>(.*?)</td>', 1)), F.lit("")).alias("label"),
-                       F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<td(?! class=\"group\")\b[^>]*>(.*?)</td>"), 1), html_to_text).alias("_c"))
+    The first row names the columns.  A row as long as it begins with its label, also by a cell that spans rows; a
+    shorter one takes the label of the row above.  Only rows of the given kinds are measures.  Tables may be nested."""
+    tables = pages.select("page_id", F.explode(table_grids(F.col("html"))).alias("_t")).where(F.rlike("_t.caption", F.lit(rf"^(?is)\s*{caption}\s*$")))
+    rows = tables.select("page_id", F.get("_t.rows", F.lit(0)).alias("_h"), F.posexplode(F.slice("_t.rows", 2, 1 << 20)).alias("_n", "_r"))
+    whole = F.size("_r") == F.size("_h")
+    rows = rows.withColumn("label", F.when(whole, F.nullif(F.get("_r", F.lit(0)), F.lit("")))).withColumn("_c", F.when(whole, F.slice("_r", 2, 1 << 20)).otherwise(F.col("_r")))
     rows = carry_down(rows, "label", ["page_id"], ["_n"]).where(F.get("_c", F.lit(0)).isin(kinds))
     cells = F.explode(F.arrays_zip(F.slice("_h", 3, 1 << 20).alias("h"), F.slice("_c", 2, 1 << 20).alias("c")))
     return rows.select("page_id", "label", F.get("_c", F.lit(0)).alias("kind"), cells.alias("_z")).select("page_id", "label", "kind", F.col("_z.h").alias("column"), clean_number(F.col("_z.c")).alias("value"))
