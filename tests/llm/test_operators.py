@@ -62,6 +62,32 @@ def test_html_articles_keep_their_parts():
     assert html_text.main_text(page) == "word " * 60 + "We discuss it. Mind this. Others did so."
 
 
+ADVERTS_AND_COMMENTS = [
+    '<div class="google-ad-slot"><p>Buy this now</p></div>', '<ins class="adsbygoogle">Buy this now</ins>', '<div class="outbrain"><a href=1>one</a> <a href=2>two</a></div>',
+    '<div id="responses"><p>A reader says so, at some length.</p></div>', '<div class="user-thread"><p>A reader says so, at some length.</p></div>',
+    '<div class="kommentare"><p>Ein Leser schreibt hier etwas mehr.</p></div>', '<div role="status">We use cookies on this site.</div>', '<div class="anzeige">Jetzt kaufen, bitte.</div>',
+    '<section class="réactions"><p>Un lecteur écrit ceci, longuement.</p></section>', '<div class="publicidad">Compre esto ahora.</div>',
+]
+
+
+@pytest.mark.parametrize("extra", ADVERTS_AND_COMMENTS)
+def test_html_adverts_and_comments_in_and_beside_articles(extra):
+    article = f"<p>{'word ' * 60}</p><p>{'more ' * 50}</p>"
+    text = " ".join(["word"] * 60 + ["more"] * 50)
+    assert html_text.main_text(f"<body><article>{article}{extra}</article></body>") == text
+    assert html_text.main_text(f"<body><article>{article}</article>{extra}</body>") == text
+    assert html_text.main_text(f"<body><div class=content>{article}{extra}</div></body>") == text
+
+
+def test_html_side_columns_and_names_that_only_look_alike():
+    article = f"<p>{'word ' * 60}</p><p>{'more ' * 50}</p>"
+    text = " ".join(["word"] * 60 + ["more"] * 50)
+    for rail in ("<div class=rail><p>Short lines of a rail.</p><p>And more of them.</p></div>", "<div class=extra><p>Short lines here.</p><p>And more of them.</p></div>"):
+        assert html_text.main_text(f"<body><div><article>{article}</article>{rail}</div></body>") == text
+    for name in ("adsorption-study", "reading", "threads-of-silk", "shadow"):
+        assert html_text.main_text(f"<body><article>{article}<div class='{name}'><p>It stays.</p></div></article></body>") == text + " It stays."
+
+
 class _Slow(HTMLParser):
     """The page as nested lists [tag, children...]; texts are strings."""
 

@@ -12,7 +12,8 @@ What follows has-, no- or with- in a class name doesn't count, and inside an art
 such words alone do.  A form, or an element with such a name, stays if it holds an article, a main or
 most of the page's text outside links; a page that would have no text is read again without names.  Inside
 an ``article`` or ``main`` taken whole, blocks that are lists of links by their densities are left out too:
-three links or more that hold three quarters of the characters (unless links are half of it all).
+three links or more that hold three quarters of the characters (unless links are half of it all); what was
+selected beside one that has most of it goes, but for a first heading.
 Character references are decoded; white space in a block becomes one space; blocks are trimmed and
 joined in page order by one space.  Null, empty and text-less pages give an empty text.  Every page is
 handled whole and by itself, in time and memory in proportion to it however its tags nest or stay open;
@@ -38,7 +39,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,18 +50,28 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "script style noscript template iframe object embed svg canvas audio video map head title nav footer aside button select textarea input dialog menu".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert status note menu menubar toolbar".split())
 #: Words of class names and ids that mark adverts, notices, page furniture and reader comments.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted "
-    "promotion related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager popup promo promoted "
+    "promotion rail related recommended replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget "
+    "anzeige anzeigen werbung publicité publicite publicidad anuncio anuncios hinweis aviso kommentar kommentare commentaire commentaires comentario "
+    "comentarios réactions reactions leserbriefe".split()
 )
+#: Beginnings of names written as one word, and words, that mark an advert whatever stands beside them.
+ADVERT_NAMES = ("adsby", "adsense", "adserver", "adslot", "adspace", "adspot", "adbox", "adunit", "adwrap")
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising outbrain taboola anzeige anzeigen werbung publicité publicite publicidad anuncio anuncios".split())
 #: In a class name, what follows says how the page is laid out, not what the element is.
 MODIFIERS = frozenset("has is no non not with without".split())
 #: Of these, the names of an article's own parts, and those of readers' words, which may be longer than the article.
 OF_ARTICLES = frozenset("banner discussion header notice notices".split())
-OF_READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+OF_READERS = frozenset(
+    "comment comments discussion disqus replies reply respond responses kommentar kommentare commentaire commentaires comentario comentarios réactions reactions "
+    "leserbriefe".split()
+)
+#: A thread is the readers' own if one of these words stands beside it.
+READERS = frozenset("user users reader readers visitor visitors".split())
 #: Words that may stand beside them in a name that marks an article's boilerplate: "related-posts", not "related-work".
 FURNITURE = frozenset(
     "area articles bar block bottom box btn button buttons container content desktop group icons inline inner item items left link links list media mobile "
@@ -243,7 +254,12 @@ def _boilerplate(attributes: str, in_article: bool) -> int:
         for token in "".join(values).lower().split():
             words = [part for w in _WORDS.findall(token) for part in _parts(w)]
             words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
-            marks = [w for w in words if w in BOILERPLATE and not (in_article and w in OF_ARTICLES)]
+            if READERS.intersection(words) and {"thread", "threads"}.intersection(words):
+                return BY_READERS
+            marks = [w for w in words if (w in BOILERPLATE or w.startswith(ADVERT_NAMES)) and not (in_article and w in OF_ARTICLES)]
+            if any(w in ADVERTS or w.startswith(ADVERT_NAMES) for w in marks):
+                found = BY_NAME
+                continue
             if not marks or in_article and any(w not in marks and w not in FURNITURE for w in words):
                 continue
             if OF_READERS.intersection(marks):
@@ -342,6 +358,16 @@ def _chosen_text(tree: _Tree) -> str:
         outer = home[p] if p >= 0 else 0
         home[i] = outer or (i if tree.tag[i] in ("article", "main") else 0)
     homes = {home[i] for i in range(n) if chosen[i]}
+    if homes - {0}:
+        # What stands beside an article that has most of it isn't part of it, but for a heading of the page.
+        size, below = [0, 0], chosen.copy()
+        for i in range(1, n):
+            below[i] = below[i] or below[tree.parent[i]]
+        for node, text in tree.pieces:
+            if text and (below[node] or home[node] and home[node] in homes):
+                size[home[node] > 0] += len("".join(text.split()))
+        if size[1] >= size[0]:
+            chosen = [below[i] and tree.tag[i] == "h1" or chosen[i] and home[i] > 0 for i in range(n)]
     whole = [False] * n
     for i in homes - {0}:
         chosen[i], whole[i] = True, share_of_links[i] < 0.5
