@@ -360,6 +360,8 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
     first = materialise(edge_links(big, edges, percent), "first")
     for deal in range(DEALS + 1):
         found = connected_components(first, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"))
+        # The links so far as stars, which the next runs of components needn't find again.
+        first = found.where("doc_id <> comp").select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
         placed = materialise(big.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
         apart = placed.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cluster")
         placed = placed.join(apart, "cluster")

@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,28 +156,26 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     round is a table in the shared folder, which replaces the round before.  Ids without an edge
     have no row.
     """
-    edges, path = _written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    def counted(df):
+        """The written edges, their path, and their number and sum, which the write itself counts."""
+        seen = Observation()
+        kept, path = _written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+        return kept, path, (seen.get["n"], seen.get["h"])
 
-    def state(df):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
-
-    before = state(edges)
+    edges, path, before = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if not before[0]:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
         old = path
-        edges, path = _written(small, name)
+        edges, path, after = counted(small)
         _delete(edges.sparkSession, old)
-        after = state(edges)
         if after == before:
             break
         before = after
