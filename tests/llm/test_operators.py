@@ -242,6 +242,18 @@ def test_fingerprints_of_extreme_and_hot_ids(spark):
     assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
 
 
+def test_fingerprints_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "_REPEAT", 50)
+    rows = [(7, prose(1, 20))] * 400 + [(None, "")] * 120 + [(None, None)] * 90 + [(i, prose(i, 12)) for i in range(40)] + [(7, prose(2, 20))] * 3
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = Counter()
+    for (d, t), (_, o) in zip(order, order[1:] + order[:1]):
+        t, half = t or "", len(t or "") // 2
+        want[d, hashlib.sha256((t[:len(t) - half] + (o or "")[:half]).encode()).hexdigest(), (o or "") == t] += 1
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter((r["doc_id"], r["edited_sha256"], r["near_next"] == 1.0) for r in got.collect()) == want
+
+
 def _slow_features(text, rarity):
     """Selected windows of a text in order of place, by the definition."""
     n, w = len(text), fingerprints.WINDOW

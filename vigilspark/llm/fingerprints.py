@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, mix
-from .shared import map_batches, partitions
+from .shared import map_batches, materialise, partitions
 
 WINDOW = 32
 SHORT_WINDOW = 8
@@ -203,22 +204,31 @@ def _prints(texts: list[bytes], rarity: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows (doc_id, text, bucket, copy) so that a bucket, sorted, ends with the row that follows it.
+def with_next(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows (doc_id, text, bucket, copy, times) so that a bucket, sorted, ends with the row that follows it; and whether
+    some rows stand for several.
 
     Buckets are ranges of doc_id from approximate quantiles.  A doc_id that several quantiles hit, and a null
-    one, is dealt to as many buckets by the hash that orders its rows.  Only each bucket's first row is copied
-    to the bucket before it, found by an aggregate of one row a bucket."""
+    one, is dealt to as many buckets by the hash that orders its rows; its equal rows become one, with their number,
+    in each task first.  One row is copied to each bucket, the first one of the next bucket."""
     spark = docs.sparkSession
     parts = 3 * partitions(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))), 10_000)).first()[0] or []
+    seen = docs.select(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))), 10_000), F.count_if(F.col("doc_id").isNull())).first()
+    cuts, some = seen[0] or [], [c for c, n in Counter(seen[0] or []).items() if n > 1]
+    grouped = bool(some) or seen[1] > 1
+    if grouped:
+        often = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id").isin(some), F.lit(False))
+        one = docs.where(often).groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_d")).agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        docs = docs.where(~often).withColumn("times", F.lit(1).cast("long")).unionByName(materialise(one.drop("_d"), "equal"))
+    else:
+        docs = docs.withColumn("times", F.lit(1).cast("long"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
     held = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
     equal = F.size(F.filter(held, lambda c: c == F.col("doc_id")))
     bucket = F.size(F.filter(held, lambda c: c > F.col("doc_id"))) + F.when(equal > 1, F.floor(share * equal)).otherwise(0)
     bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + F.floor(share * parts)).otherwise(bucket)
-    placed = docs.select("doc_id", "text", bucket.cast("int").alias("bucket"))
+    placed = docs.select("doc_id", "text", bucket.cast("int").alias("bucket"), "times")
     order = F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("k"), digest.alias("s"))  # descending, without overflow
     heads = placed.groupBy("bucket").agg(F.min(order).alias("head"))
     numbers = [r[0] for r in heads.select("bucket").collect()]  # six a task at most
@@ -226,13 +236,16 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     steps = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
     own = placed.withColumn("copy", F.lit(0))
     if steps is None:
-        return own, ["bucket"]
-    first = placed.join(F.broadcast(heads.select("bucket", "head")), "bucket").where(order == F.col("head")).select(
-        "doc_id", "text", F.element_at(steps, F.col("bucket")).alias("bucket"), F.lit(1).alias("copy"))
-    return own.unionByName(first), ["bucket"]
+        return own, grouped
+    first = placed.join(F.broadcast(heads.select("bucket", "head")), "bucket").where(order == F.col("head")).groupBy("bucket").agg(
+        F.first(F.struct("doc_id", "text")).alias("r")).select(
+        "r.*", F.element_at(steps, F.col("bucket")).alias("bucket"), F.lit(1).cast("long").alias("times"), F.lit(1).alias("copy"))
+    return own.unionByName(first), grouped
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, features long"
+#: Equal rows that a task makes of one at most.
+_REPEAT = 10_000
 
 
 def fingerprint(docs: DataFrame, rarity: list[int] | None = None) -> DataFrame:
@@ -240,42 +253,52 @@ def fingerprint(docs: DataFrame, rarity: list[int] | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = spark.sparkContext.broadcast(np.array(rarity if rarity is not None else entropy_rarity(docs), dtype=np.int64))
-    rows, _ = with_next(docs)
+    rows, grouped = with_next(docs)
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     placed = rows.repartition(partitions(spark), "bucket").sortWithinPartitions(
         "bucket", "copy", F.col("doc_id").desc_nulls_last(), key)
 
     def finish(rank, rows_, nexts):
-        """Result rows for (doc_id, text, print) and each one's next (text, print)."""
+        """Result rows for (doc_id, text, print, times) and each one's next (text, print)."""
         edited = []
-        for (_, text, _), (other, _) in zip(rows_, nexts):
+        for (_, text, *_), (other, _) in zip(rows_, nexts):
             half = len(text) // 2
             edited.append((text[:len(text) - half] + other[:half]).encode())
         prints = _prints(edited, rank)
         out = list(zip(*((
-            doc_id, len(text), hashlib.sha256(e).hexdigest(), encode(own), encode(p), likeness(own, p), likeness(own, follow), int(own[1].sum()))
-            for (doc_id, text, own), (_, follow), e, p in zip(rows_, nexts, edited, prints))))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+            doc_id, len(text), hashlib.sha256(e).hexdigest(), encode(own), encode(p), likeness(own, p), likeness(own, follow), int(own[1].sum()), times)
+            for (doc_id, text, own, times), (_, follow), e, p in zip(rows_, nexts, edited, prints))))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[*(x.split()[0] for x in _SCHEMA.split(", ")), "times"])
 
     def run(batches):
         rank = held.value
         last, at = None, None  # the row that waits for its next, and its bucket
         for batch in batches:
             ready, nexts = [], []
-            ids, texts, buckets, copies = (batch.column(i).to_pylist() for i in range(4))
+            ids, texts, buckets, repeats, copies = (batch.column(i).to_pylist() for i in range(5))
             texts = [t or "" for t in texts]
-            for doc_id, text, bucket, copy, own in zip(ids, texts, buckets, copies, _prints([t.encode() for t in texts], rank)):
+            for doc_id, text, bucket, times, copy, own in zip(ids, texts, buckets, repeats, copies, _prints([t.encode() for t in texts], rank)):
                 if last is not None and bucket == at:
-                    ready.append(last)
+                    ready.append((*last[:3], 1))
                     nexts.append((text, own))
+                    if last[3] > 1:  # the others are followed by one like them
+                        ready.append((*last[:3], last[3] - 1))
+                        nexts.append((last[1], last[2]))
                     last = None
                 if not copy:
-                    last, at = (doc_id, text, own), bucket
+                    last, at = (doc_id, text, own, times), bucket
             if ready:
                 yield finish(rank, ready, nexts)
 
-    return map_batches(placed, run, _SCHEMA)
+    done = map_batches(placed, run, _SCHEMA + ", times long")
+    if not grouped:
+        return done.drop("times")
+    # Rows that stand for many are told out in pieces, which go to different tasks.
+    done = materialise(done, "prints")
+    piece = done.where("times > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / _REPEAT)))).repartition(partitions(spark))
+    many = piece.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_REPEAT), F.col("times") - F.col("piece") * _REPEAT)))).drop("piece", "one")
+    return done.where("times = 1").unionByName(many).drop("times")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
