@@ -15,13 +15,17 @@ def _(v):
     return v.part.select("p_partkey", c.clean_number(cell).alias("value"), c.clean_number(F.when(F.col("p_size") % 5 == 0, F.lit("n/a")).otherwise(cell), True).alias("whole"))
 
 
-@query("p2_valid_ranges", "SELECT l_orderkey, l_linenumber, week, pct FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) + 5 AS week, l_discount * 1200 AS pct FROM {lineitem}) WHERE week BETWEEN 1 AND 53 AND pct BETWEEN 0 AND 100")
+@query("p2_valid_ranges", """SELECT l_orderkey, l_linenumber, week, pct FROM (SELECT l_orderkey, l_linenumber,
+CAST(l_quantity AS INT) + 5 AS week, l_discount * 1200 AS pct FROM {lineitem}) WHERE week BETWEEN 1 AND 53 AND pct BETWEEN 0 AND 100""")
 def _(v):
     rows = v.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") + 5).alias("week"), (F.col("l_discount") * 1200).alias("pct"))
     return c.valid_ranges(rows, {"week": (1, 53), "pct": (0, 100)})
 
 
-@query("p3_flag_impossible", "SELECT o_orderkey, measure, value, CASE WHEN measure = 'rate' AND value > 100 THEN 'rate over 100' WHEN measure = 'count' AND value > 200000 THEN 'count too large' END AS anomaly FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'rate' ELSE 'count' END AS measure, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 3000 ELSE o_totalprice END AS value FROM {orders})")
+@query("p3_flag_impossible", """SELECT o_orderkey, measure, value, CASE WHEN measure = 'rate' AND value > 100 THEN 'rate over 100' WHEN measure = 'count'
+AND value > 200000 THEN 'count too large' END AS anomaly FROM (SELECT o_orderkey, CASE
+WHEN o_orderkey % 2 = 0 THEN 'rate' ELSE 'count' END AS measure, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 3000 ELSE o_totalprice END AS value
+FROM {orders})""")
 def _(v):
     even = F.col("o_orderkey") % 2 == 0
     rows = v.orders.select("o_orderkey", F.when(even, "rate").otherwise("count").alias("measure"), F.when(even, F.col("o_totalprice") / 3000).otherwise(F.col("o_totalprice")).alias("value"))
@@ -33,29 +37,34 @@ def _(v):
     return c.keep_drop(v.part.select("p_partkey", "p_name"), "p_name", "a", "e.*o")
 
 
-@query("p5_classify_first", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL|BRASS') THEN 'alloy' WHEN regexp_matches(p_type, '^S') THEN 'standard' WHEN regexp_matches(p_type, 'TIN') THEN 'tin' ELSE 'other' END AS class FROM {part}")
+@query("p5_classify_first", """SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL|BRASS') THEN 'alloy'
+WHEN regexp_matches(p_type, '^S') THEN 'standard' WHEN regexp_matches(p_type, 'TIN') THEN 'tin' ELSE 'other' END AS class FROM {part}""")
 def _(v):
     return v.part.select("p_partkey", c.classify_first(F.col("p_type"), [("alloy", "STEEL|BRASS"), ("standard", "^S"), ("tin", "TIN")], "other").alias("class"))
 
 
-@query("p6_classify_multi", "SELECT p_partkey, g.grp AS \"group\" FROM {part}, (VALUES ('first', '^[A-M]'), ('last', '[N-Z]$'), ('vowel', '[AEIOU]')) g(grp, pat) WHERE regexp_matches(p_type, g.pat)")
+@query("p6_classify_multi", """SELECT p_partkey, g.grp AS \"group\"
+FROM {part}, (VALUES ('first', '^[A-M]'), ('last', '[N-Z]$'), ('vowel', '[AEIOU]')) g(grp, pat) WHERE regexp_matches(p_type, g.pat)""")
 def _(v):
     return c.classify_multi(v.part.select("p_partkey", "p_type"), "p_type", [("first", "^[A-M]"), ("last", "[N-Z]$"), ("vowel", "[AEIOU]")]).drop("p_type")
 
 
-@query("p7_classify_keywords", "SELECT doc_id, CASE WHEN contains(text, 'whst') OR contains(text, 'inor') THEN 'strong' WHEN contains(text, 'the') THEN 'weak' ELSE 'none' END AS class FROM {documents}")
+@query("p7_classify_keywords", """SELECT doc_id, CASE WHEN contains(text, 'whst') OR contains(text, 'inor') THEN 'strong'
+WHEN contains(text, 'the') THEN 'weak' ELSE 'none' END AS class FROM {documents}""")
 def _(v):
     return v.documents.select("doc_id", c.classify_keywords(F.col("text"), ["whst", "inor"], ["the"], "strong", "weak", "none").alias("class"))
 
 
-@query("p8_norm_key", "SELECT n_nationkey, lower(replace(n_name, '_', '')) AS marks, lower(n_name) AS spaces, lower(n_name) AS brackets, lower(replace(n_name, '_', '')) AS alnum FROM {nation}")
+@query("p8_norm_key", """SELECT n_nationkey, lower(replace(n_name, '_', '')) AS marks, lower(n_name) AS spaces, lower(n_name) AS brackets, lower(replace(n_name, '_', '')) AS alnum
+FROM {nation}""")
 def _(v):
     shapes = F.element_at(F.array(F.regexp_replace("n_name", "_", " "), F.regexp_replace("n_name", "_(.*)", " ($1)"), F.regexp_replace("n_name", "_", " · ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return v.nation.select("n_nationkey", c.norm_key(shapes, "marks").alias("marks"), c.norm_key(F.concat(F.lit(" "), "n_name"), "spaces").alias("spaces"),
                            c.norm_key(F.concat(F.lit("("), "n_name", F.lit(") ")), "brackets").alias("brackets"), c.norm_key(shapes, "alnum").alias("alnum"))
 
 
-@query("p9_series_key", "SELECT doc, lower(regexp_replace(name, '[^A-Za-z0-9]+', '', 'g')) || 'guideline' AS series_key, name || ' guideline (' || board || ')' AS series_title FROM {catalogue}")
+@query("p9_series_key", """SELECT doc, lower(regexp_replace(name, '[^A-Za-z0-9]+', '', 'g')) || 'guideline' AS series_key, name || ' guideline (' || board || ')' AS series_title
+FROM {catalogue}""")
 def _(v):
     return v.catalogue.select("doc", c.series_key(F.col("title")).alias("series_key"), c.series_title(F.col("title")).alias("series_title"))
 
@@ -72,7 +81,8 @@ def _(v):
     return v.notif.select("week").distinct().select("week", c.infer_week_year(F.col("week"), F.lit(2), F.lit(2001)).alias("year"))
 
 
-@query("p12_canonical_name", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A', 'R') THEN 'settled' ELSE l_returnflag END AS flag, l_returnflag AS flag_raw FROM {lineitem}")
+@query("p12_canonical_name", """SELECT l_orderkey, l_linenumber, CASE
+WHEN l_returnflag IN ('A', 'R') THEN 'settled' ELSE l_returnflag END AS flag, l_returnflag AS flag_raw FROM {lineitem}""")
 def _(v):
     variants = v.spark.createDataFrame([("A", "settled"), ("R", "settled")], "variant string, canonical string")
     return c.canonical_name(v.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag")), "flag", variants)
@@ -83,7 +93,8 @@ def _(v):
     return c.period_filter(v.entries, "month", "1996-03", "1998-02")
 
 
-@query("p14_pack_code", "SELECT doc, CASE WHEN doc % 4 = 0 THEN 'https://other.example/' || doc ELSE 'd' || doc END AS code, CASE WHEN doc % 4 = 0 THEN 'https://other.example/' || doc ELSE url END AS url FROM {catalogue}")
+@query("p14_pack_code", """SELECT doc, CASE WHEN doc % 4 = 0 THEN 'https://other.example/' || doc ELSE 'd' || doc END AS code, CASE
+WHEN doc % 4 = 0 THEN 'https://other.example/' || doc ELSE url END AS url FROM {catalogue}""")
 def _(v):
     prefix = "https://example.org/doc?id="
     url = F.when(F.col("doc") % 4 == 0, F.concat(F.lit("https://other.example/"), F.col("doc").cast("string"))).otherwise(F.col("url"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from vigilspark.operators import surveil as s
 from vigilspark.plans.registry import query
 
-_BASED = "(SELECT a.entity, a.year, a.week, a.n, avg(b.n) AS base FROM {notif} a LEFT JOIN {notif} b ON a.entity = b.entity AND a.week = b.week AND b.year BETWEEN a.year - 5 AND a.year - 1 GROUP BY 1, 2, 3, 4)"
+_BASED = """(SELECT a.entity, a.year, a.week, a.n, avg(b.n) AS base FROM {notif} a LEFT JOIN {notif} b ON a.entity = b.entity AND a.week = b.week
+AND b.year BETWEEN a.year - 5 AND a.year - 1 GROUP BY 1, 2, 3, 4)"""
 _RATIO = "round(CASE WHEN base > 0 THEN n / base END, 2)"
 
 
@@ -14,20 +15,24 @@ def _(v):
     return s.weekly_baseline_ratio(s.five_year_weekly_mean(v.notif)).withColumn("base", F.round("base", 6))
 
 
-@query("a2_five_year_weekly_mean", "SELECT a.entity, a.year, a.week, a.n, round(avg(b.n), 6) AS base FROM {cust_weekly} a LEFT JOIN {cust_weekly} b ON a.entity = b.entity AND a.week = b.week AND b.year BETWEEN a.year - 5 AND a.year - 1 GROUP BY 1, 2, 3, 4")
+@query("a2_five_year_weekly_mean", """SELECT a.entity, a.year, a.week, a.n, round(avg(b.n), 6) AS base FROM {cust_weekly} a LEFT
+JOIN {cust_weekly} b ON a.entity = b.entity AND a.week = b.week AND b.year BETWEEN a.year - 5 AND a.year - 1 GROUP BY 1, 2, 3, 4""")
 def _(v):
     return s.five_year_weekly_mean(v.cust_weekly).withColumn("base", F.round("base", 6))
 
 
 @query("a3_anomaly_rank", f"""
 SELECT entity, year, week, n, round(base, 6) AS base, ratio, row_number() OVER (ORDER BY ratio DESC, entity) AS rank, weeks FROM (
-SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ratio DESC, year, week) AS k, count(*) OVER (PARTITION BY entity) AS weeks FROM (SELECT *, {_RATIO} AS ratio FROM {_BASED} WHERE base >= 3)) WHERE k = 1""")
+SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ratio DESC, year, week) AS k, count(*) OVER (PARTITION BY entity) AS weeks
+FROM (SELECT *, {_RATIO} AS ratio FROM {_BASED} WHERE base >= 3)) WHERE k = 1""")
 def _(v):
     ranked = s.anomaly_rank(s.five_year_weekly_mean(v.notif))
     return ranked.select("entity", "year", "week", "n", F.round("base", 6).alias("base"), "ratio", F.col("rank").cast("long").alias("rank"), F.size("series").cast("long").alias("weeks"))
 
 
-_PAIRS = "(SELECT CASE a.agent WHEN 'A/F' THEN '1-URGENT' WHEN 'R/F' THEN '2-HIGH' WHEN 'N/O' THEN '3-MEDIUM' WHEN 'N/F' THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS entity, a.year, a.week, CAST(sum(a.positives) AS BIGINT) AS right_value FROM {lab} a GROUP BY 1, 2, 3)"
+_PAIRS = """(SELECT CASE a.agent WHEN 'A/F' THEN '1-URGENT' WHEN 'R/F' THEN '2-HIGH' WHEN 'N/O' THEN '3-MEDIUM'
+WHEN 'N/F' THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS entity, a.year, a.week, CAST(sum(a.positives) AS BIGINT) AS right_value FROM {lab} a
+GROUP BY 1, 2, 3)"""
 
 
 def _lab_pairs(v):
@@ -52,12 +57,14 @@ def _(v):
     return s.grouped_spearman(_paired(v), ["entity"], "x", "y")
 
 
-@query("a5_concordance_verdict", f"SELECT entity, CASE WHEN n < 8 OR rho IS NULL THEN 'hold' WHEN rho >= 0.5 THEN 'agree' WHEN rho >= 0.2 THEN 'weak' WHEN rho <= -0.2 THEN 'oppose' ELSE 'none' END AS verdict FROM (SELECT entity, n, {_RHO} AS rho FROM {_SPEARMAN})")
+@query("a5_concordance_verdict", f"""SELECT entity, CASE WHEN n < 8 OR rho IS NULL THEN 'hold' WHEN rho >= 0.5 THEN 'agree' WHEN rho >= 0.2 THEN 'weak'
+WHEN rho <= -0.2 THEN 'oppose' ELSE 'none' END AS verdict FROM (SELECT entity, n, {_RHO} AS rho FROM {_SPEARMAN})""")
 def _(v):
     return s.grouped_spearman(_paired(v), ["entity"], "x", "y").select("entity", s.concordance_verdict(F.col("n"), F.col("rho")).alias("verdict"))
 
 
-@query("a6_sum_series", "SELECT * FROM {notif} UNION ALL SELECT 'acute', year, week, CAST(sum(n) AS BIGINT) FROM {notif} WHERE entity IN ('1-URGENT', '2-HIGH') GROUP BY 2, 3")
+@query("a6_sum_series", """SELECT * FROM {notif} UNION ALL SELECT 'acute', year, week, CAST(sum(n) AS BIGINT) FROM {notif}
+WHERE entity IN ('1-URGENT', '2-HIGH') GROUP BY 2, 3""")
 def _(v):
     return s.sum_series(v.notif, "1-URGENT", "2-HIGH", "acute")
 
@@ -77,7 +84,8 @@ def _(v):
     return s.tolerance_counts(s.tolerance_join(v.notif.withColumnRenamed("n", "left_value"), _lab_pairs(v).where("week % 3 <> 0"), "entity"), "entity")
 
 
-@query("a15_latest_revision", "SELECT l_partkey, l_suppkey, l_linenumber, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_linenumber DESC, l_orderkey DESC, l_quantity DESC) AS k FROM {lineitem}) WHERE k = 1")
+@query("a15_latest_revision", """SELECT l_partkey, l_suppkey, l_linenumber, l_orderkey, l_quantity FROM (SELECT *,
+row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_linenumber DESC, l_orderkey DESC, l_quantity DESC) AS k FROM {lineitem}) WHERE k = 1""")
 def _(v):
     rows = v.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_quantity")
     return s.latest_revision(rows, ["l_partkey", "l_suppkey"], ["l_linenumber", "l_orderkey", "l_quantity"])
@@ -89,28 +97,35 @@ def _(v):
     return s.week_gaps(v.cust_weekly, ["entity", "year"]).withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
 
-@query("a33_panel_summary", "SELECT agent, latest, year, week, most FROM (SELECT agent, positives AS latest, year, week, max(positives) OVER (PARTITION BY agent) AS most, row_number() OVER (PARTITION BY agent ORDER BY year DESC, week DESC) AS k FROM {lab}) WHERE k = 1")
+@query("a33_panel_summary", """SELECT agent, latest, year, week, most
+FROM (SELECT agent, positives AS latest, year, week, max(positives) OVER (PARTITION BY agent) AS most, row_number() OVER (PARTITION BY agent
+ORDER BY year DESC, week DESC) AS k FROM {lab}) WHERE k = 1""")
 def _(v):
     return s.panel_summary(v.lab, "agent", "positives")
 
 
-@query("a33b_dominant_column", "SELECT l_orderkey, l_linenumber, CASE WHEN greatest(l_discount, l_tax) IS NULL THEN NULL WHEN l_discount >= l_tax THEN 'l_discount' ELSE 'l_tax' END AS dominant FROM {lineitem}")
+@query("a33b_dominant_column", """SELECT l_orderkey, l_linenumber, CASE WHEN greatest(l_discount, l_tax) IS NULL THEN NULL
+WHEN l_discount >= l_tax THEN 'l_discount' ELSE 'l_tax' END AS dominant FROM {lineitem}""")
 def _(v):
     return v.lineitem.select("l_orderkey", "l_linenumber", s.dominant_column(["l_discount", "l_tax"]).alias("dominant"))
 
 
-@query("w1_average_rank", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2.0 AS mid FROM {lineitem}")
+@query("w1_average_rank", """SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey
+ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2.0 AS mid FROM {lineitem}""")
 def _(v):
     return s.average_rank(v.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_quantity", "mid").drop("l_quantity")
 
 
-@query("w5_carry_down", "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS label FROM {events}")
+@query("w5_carry_down", """SELECT event_id, last_value(CASE
+WHEN event_id % 3 = 0 THEN event_type || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS label
+FROM {events}""")
 def _(v):
     rows = v.events.select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.col("event_id").cast("string"))).alias("label"))
     return s.carry_down(rows, "label", ["user_id"], ["event_id"]).drop("user_id")
 
 
-@query("io14_collection_ledger", "SELECT l_suppkey AS issue, count(*) AS n_rows, count(DISTINCT l_returnflag) AS n_blocks, bool_or(l_returnflag = 'R') AS has_imports FROM {lineitem} GROUP BY 1")
+@query("io14_collection_ledger", """SELECT l_suppkey AS issue, count(*) AS n_rows,
+count(DISTINCT l_returnflag) AS n_blocks, bool_or(l_returnflag = 'R') AS has_imports FROM {lineitem} GROUP BY 1""")
 def _(v):
     block = F.when(F.col("l_returnflag") == "R", "imports").otherwise(F.col("l_returnflag"))
     return s.collection_ledger(v.lineitem.select(F.col("l_suppkey").alias("issue"), block.alias("block")))
