@@ -81,7 +81,8 @@ def test_buried_keys(spark):
 
 
 def test_bracket_lists_and_grades(spark):
-    df = spark.createDataFrame([("Guide (A, B)", "C", 4), ("Guide (A)", "C", 4), ("Guide (A, B)", "A", 4), ("All of grade 1", "C", 4), ("All of grade 4 (A, B)", "C", 4)], "title string, entity string, grade int")
+    df = spark.createDataFrame([("Guide (A, B)", "C", 4), ("Guide (A)", "C", 4), ("Guide (A, B)", "A", 4), ("All of grade 1", "C", 4),
+        ("All of grade 4 (A, B)", "C", 4)], "title string, entity string, grade int")
     assert rows(match.suppress_mislisted(df).select("title", "entity"), "title") == [("All of grade 4 (A, B)", "C"), ("Guide (A)", "C"), ("Guide (A, B)", "A")]
 
 

@@ -62,7 +62,8 @@ def slow_dedup(rows):
 
 def test_one_year_of_titles(spark):
     r = random.Random(3)
-    rows = [(r.choice([2020] * 9 + [None]), r.choice(["", "the ", "x"]) + "".join(r.choice("abc -") for _ in range(r.randrange(30))), r.randrange(6), i) for i in range(500)] + [(2021, None, 1, 900), (2021, "q", 2, 901)]
+    rows = [(r.choice([2020] * 9 + [None]), r.choice(["", "the ", "x"]) + "".join(r.choice("abc -") for _ in range(r.randrange(30))), r.randrange(6),
+        i) for i in range(500)] + [(2021, None, 1, 900), (2021, "q", 2, 901)]
     df = spark.createDataFrame(rows, "year int, title string, weight int, id int")
     assert sorted(x.id for x in series.fuzzy_dedup_by_weight(df).collect()) == sorted(slow_dedup(rows))
     assert series.fuzzy_dedup_by_weight(df.limit(0)).count() == 0
@@ -90,7 +91,8 @@ def test_versions_of_one_key(spark):
     day = lambda: f"2020-{r.randrange(1, 13):02d}-{r.randrange(1, 28):02d}"
     versions = [(k, i, day()) for i, k in enumerate(["a", "a", "a", "b", None])]
     dates = [(r.choice(["a"] * 8 + ["b", "c", None]), day(), "2020-06-15", i) for i in range(400)] + [("a", "2020-01-01", "2020-06-15", 1000 + i) for i in range(200)]
-    got = match.as_of_version(spark.createDataFrame(versions, "k string, version int, effective string"), spark.createDataFrame(dates, "k string, day string, made string, id int"), "k", "made")
+    got = match.as_of_version(spark.createDataFrame(versions, "k string, version int, effective string"),
+        spark.createDataFrame(dates, "k string, day string, made string, id int"), "k", "made")
 
     def slow(k, on):
         known = [(e, v) for key, v, e in versions if key == k and e <= on]

@@ -25,7 +25,8 @@ def slow_places(text, names, least, cap):
 
 def test_places_by_title_then_summary(spark):
     r = random.Random(2)
-    names = [("new guinea", "B"), ("guinea", "A"), ("papua new guinea", "C"), ("west papua", "D"), ("niger", "E"), ("nigeria", "F"), ("the niger", "E"), ("mali", "G"), ("old x", "H"), ("x old x", "I")]
+    names = [("new guinea", "B"), ("guinea", "A"), ("papua new guinea", "C"), ("west papua", "D"), ("niger", "E"), ("nigeria", "F"),
+        ("the niger", "E"), ("mali", "G"), ("old x", "H"), ("x old x", "I")]
     words = ["Papua", "new", "Guinea", "guinea", "west", "niger", "nigeria", "the", "Mali", "mali.", "old", "x", "-", "region", "ünd"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 6))), " ".join(r.choice(words) for _ in range(r.randrange(0, 9)))) for i in range(300)]
     rows += [(900, None, "mali"), (901, "mali", None), (902, None, None)]

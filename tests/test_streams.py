@@ -35,7 +35,8 @@ def test_items_in_any_split(spark, tmp_path, seed):
     rows = deliveries(seed)
     stream = micro_batches(spark, rows, SCHEMA, tmp_path, 5, seed)
     state.write_available(state.item_stream(stream), "update", f"file://{tmp_path}/out", f"file://{tmp_path}/log", idle=False)
-    got = spark.read.parquet(f"file://{tmp_path}/out").groupBy("id").agg(F.max_by(F.struct("source", "level", "first_seen", "last_seen", "updated", "changes"), "batch").alias("r")).select("id", "r.*")
+    got = spark.read.parquet(f"file://{tmp_path}/out").groupBy("id").agg(F.max_by(F.struct("source", "level", "first_seen", "last_seen", "updated",
+        "changes"), "batch").alias("r")).select("id", "r.*")
     batch = spark.createDataFrame(rows, SCHEMA)
     changes = feed.detect_changes(batch, ["source", "level"]).groupBy("id").agg(F.max("day").alias("updated"), F.max_by("changes", "day").alias("changes"))
     want = feed.upsert_items(batch).join(changes, "id", "left").select(
@@ -66,7 +67,8 @@ def test_a_failing_source_stops_only_itself(spark, tmp_path):
     for name in ("good", "bad", "other"):
         spark.createDataFrame([(i, name) for i in range(5)], "n int, name string").write.parquet(f"file://{tmp_path}/{name}")
     read = lambda name, column: spark.readStream.schema("n int, name string").parquet(f"file://{tmp_path}/{name}").select(column.alias("n"))
-    streams = {"good": read("good", F.col("n")), "bad": read("bad", F.when(F.col("n") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("n")).cast("int")), "other": read("other", F.col("n"))}
+    streams = {"good": read("good", F.col("n")), "bad": read("bad", F.when(F.col("n") == 3,
+        F.raise_error(F.lit("no"))).otherwise(F.col("n")).cast("int")), "other": read("other", F.col("n"))}
     health = state.collect_sources(streams, f"file://{tmp_path}/out", f"file://{tmp_path}/log")
     assert [(r["source"], r["ok"], r["count"]) for r in health.collect()] == [("good", True, 5), ("bad", False, 0), ("other", True, 5)]
     got = spark.read.schema("n int, source string").parquet(f"file://{tmp_path}/out").groupBy("source").count().collect()

@@ -7,7 +7,8 @@ from vigilspark.functions.tables import table_grids
 PAGES = {
     "plain": ("<table><caption>A &amp; b</caption><tr><th>x<th>y<tr><td>1<td>2</table>", [("A & b", 0, [["x", "y"], ["1", "2"]])]),
     "nested": ("<table><tr><td>a<table><tr><td>i</td></tr></table>b</td><td>c</td></tr></table>", [(None, 0, [["a b", "c"]]), (None, 1, [["i"]])]),
-    "spans": ("<table><tr><td rowspan=3>r<td colspan=2>c<td>d<tr><td>1<td rowspan=2>s<td>2<tr><td>3<td>4</table>", [(None, 0, [["r", "c", "c", "d"], ["r", "1", "s", "2"], ["r", "3", "s", "4"]])]),
+    "spans": ("<table><tr><td rowspan=3>r<td colspan=2>c<td>d<tr><td>1<td rowspan=2>s<td>2<tr><td>3<td>4</table>",
+        [(None, 0, [["r", "c", "c", "d"], ["r", "1", "s", "2"], ["r", "3", "s", "4"]])]),
     "gap": ("<table><tr><td>a<td>b<td rowspan=3>z<tr><td>c<tr><td>d<td>e</table>", [(None, 0, [["a", "b", "z"], ["c"], ["d", "e", "z"]])]),
     "broken": ("<tr><td>no table</td></tr><table><td>first</td><tr>", [(None, 0, [["first"], []])]),
     "hidden": ("<table><tr><td>a<!-- <td>no --><script>'</td>'</script>b&nbsp; c</td></tr></table></table>", [(None, 0, [["a b c"]])]),

@@ -74,7 +74,8 @@ def extract_risk(col: Column) -> Column:
     """Map of scope -> level from clauses of sentences with 'risk'; the first level of a scope wins."""
     clauses = F.flatten(F.transform(F.filter(F.split(col, r"(?<=[.!?])\s+"), lambda s: F.lower(s).contains("risk")), lambda s: F.split(s, r"[,;]| and ")))
     read = F.transform(clauses, lambda c: F.struct(
-        F.coalesce(F.nullif(F.regexp_extract(F.lower(c), r"\b(global|regional|national|local)\b", 1), F.lit("")), F.nullif(F.regexp_replace(F.regexp_extract(F.lower(c), r"\b(globally|regionally|nationally|locally)\b", 1), "ly$", ""), F.lit(""))).alias("scope"),
+        F.coalesce(F.nullif(F.regexp_extract(F.lower(c), r"\b(global|regional|national|local)\b", 1), F.lit("")),
+            F.nullif(F.regexp_replace(F.regexp_extract(F.lower(c), r"\b(globally|regionally|nationally|locally)\b", 1), "ly$", ""), F.lit(""))).alias("scope"),
         F.regexp_extract(F.lower(c), r"\b(very high|high|moderate|low)\b", 1).alias("level")))
     kept = F.filter(read, lambda r: r.scope.isNotNull() & (r.level != ""))
     first = F.filter(kept, lambda r, i: ~F.exists(F.slice(F.transform(kept, lambda k: k.scope), F.lit(1), i), lambda s: s == r.scope))
@@ -84,7 +85,8 @@ def extract_risk(col: Column) -> Column:
 def extract_travel_advice(col: Column) -> Column:
     """'against' if travel or trade restrictions are advised against, 'advises' if restrictions are advised, else null."""
     text = F.lower(col)
-    return F.when(text.rlike(r"(?:advises|recommends) against (?:any |the )?(?:application of )?(?:any )?travel"), "against").when(text.rlike(r"(?:advises|recommends) (?:any |the )?travel"), "advises")
+    return F.when(text.rlike(r"(?:advises|recommends) against (?:any |the )?(?:application of )?(?:any )?travel"),
+        "against").when(text.rlike(r"(?:advises|recommends) (?:any |the )?travel"), "advises")
 
 
 def find_terms(df: DataFrame, column: str, glossary: DataFrame, cap: int = 14, name: str = "terms") -> DataFrame:
@@ -123,7 +125,8 @@ def extract_tables(col: Column, tables: int = 2, rows: int = 14, columns: int =
     """The first tables of at least two rows as (caption, rows), each row its cells' texts; spanned cells are repeated."""
     kept = F.filter(F.transform(table_grids(col), lambda t: F.struct(
         F.substring(F.coalesce(t.caption, F.lit("")), 1, caption).alias("caption"),
-        F.slice(F.transform(F.filter(t.rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.slice(F.transform(r, lambda c: F.substring(c, 1, width)), 1, columns)), 1, rows).alias("rows"))),
+        F.slice(F.transform(F.filter(t.rows, lambda r: F.exists(r, lambda c: c != "")),
+            lambda r: F.slice(F.transform(r, lambda c: F.substring(c, 1, width)), 1, columns)), 1, rows).alias("rows"))),
         lambda t: F.size(t["rows"]) >= 2)
     return F.slice(kept, 1, tables)
 
@@ -153,7 +156,8 @@ def compose_summary(confirmed: Column, deaths: Column, as_of: Column, place: Col
     count = F.when(confirmed.isNotNull(), F.concat(F.format_number(confirmed, 0), F.lit(" confirmed cases")))
     dead = F.when(deaths.isNotNull(), F.concat(F.format_number(deaths, 0), F.lit(" deaths")))
     body = F.nullif(F.concat_ws(" and ", count, dead), F.lit(""))
-    return F.when(body.isNotNull(), F.concat(F.concat_ws(" ", body, F.when(place != "", F.concat(F.lit("in "), place)), F.when(as_of != "", F.concat(F.lit("as of "), as_of))), F.lit(".")))
+    return F.when(body.isNotNull(), F.concat(F.concat_ws(" ", body, F.when(place != "", F.concat(F.lit("in "), place)),
+        F.when(as_of != "", F.concat(F.lit("as of "), as_of))), F.lit(".")))
 
 
 def parse_duration_range(col: Column) -> Column:

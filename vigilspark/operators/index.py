@@ -76,11 +76,13 @@ def add_delivery(records: DataFrame, path: str, delivery: int) -> None:
     slice_ = _slice(_lead(F.col("term")), cuts)
     docs = F.sort_array(F.collect_list(F.struct("length", "id", "year", "name"))).alias("docs")
     blocks = placed.withColumn("block", block).groupBy("term", "first", "hub", "block").agg(docs).withColumn("tier", tier).withColumn("slice", slice_)
-    blocks.repartition("slice", "tier").sortWithinPartitions("slice", "tier", "term").write.mode("overwrite").partitionBy("slice", "tier").parquet(f"{path}/postings/delivery={delivery}")
+    blocks.repartition("slice", "tier").sortWithinPartitions("slice", "tier", "term").write.mode("overwrite").partitionBy("slice",
+        "tier").parquet(f"{path}/postings/delivery={delivery}")
     tiers = placed.withColumn("block", block).groupBy("term", "first", "hub", tier.alias("tier")).agg(F.count("*").alias("n"), F.min("length").alias("shortest"))
     lists = tiers.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("first", "hub", "tier", "n", "shortest"))).alias("lists"))
     rows = lists.select("term", "lists", F.explode(_suffixes(F.col("term"))).alias("s")).select("s.suffix", "term", "s.start", "lists")
-    rows.withColumn("slice", _slice(_lead(F.col("suffix")), cuts)).repartition("slice").sortWithinPartitions("slice", "suffix").write.mode("overwrite").partitionBy("slice").parquet(
+    rows.withColumn("slice", _slice(_lead(F.col("suffix")), cuts)).repartition("slice").sortWithinPartitions("slice",
+        "suffix").write.mode("overwrite").partitionBy("slice").parquet(
         f"{path}/dictionary/delivery={delivery}")
 
 
@@ -95,7 +97,8 @@ def matching_terms(words: DataFrame, path: str) -> DataFrame:
     spark = words.sparkSession
     cuts = _cuts(spark, path)
     words = words.where(F.length("word") > 0).select("word").distinct().withColumn("size", F.octet_length("word"))
-    spans = words.select("size", _head(F.col("word"), F.lit).alias("n"), F.explode(F.sequence(_slice(_lead(F.col("word")), cuts), _slice(_lead(F.col("word"), "F"), cuts))).alias("slice"))
+    spans = words.select("size", _head(F.col("word"), F.lit).alias("n"), F.explode(F.sequence(_slice(_lead(F.col("word")), cuts),
+        _slice(_lead(F.col("word"), "F"), cuts))).alias("slice"))
     seen = spans.agg(F.collect_set("slice"), F.collect_set("n"), F.coalesce(F.sum("size"), F.lit(0))).first()  # slices, lengths of heads, bytes
     entries = spark.read.parquet(f"{path}/dictionary").where(F.col("slice").isin(seen[0]))
     heads = F.array(*(F.when(F.length("suffix") >= n, F.struct(F.lit(n).alias("n"), F.substring("suffix", 1, n).alias("head"))) for n in (seen[1] or [1])))
@@ -148,7 +151,8 @@ def _answers(queries: DataFrame, path: str, scratch: str, k: int, score: Column,
         found = hits.select("query_id", "score", *dict.fromkeys(columns))
         found = found if best is None else found.unionByName(best.drop("place"))
         # Equal answers count once, with their best score.
-        once = found.groupBy("query_id", same).agg(F.min_by(F.struct(*(c for c in found.columns if c not in ("query_id", same))), F.struct((-F.col("score")).alias("s"), "length", "id")).alias("r")).select("query_id", same, "r.*")
+        once = found.groupBy("query_id", same).agg(F.min_by(F.struct(*(c for c in found.columns if c not in ("query_id", same))),
+            F.struct((-F.col("score")).alias("s"), "length", "id")).alias("r")).select("query_id", same, "r.*")
         once.withColumn("place", place).where(F.col("place") <= k).write.parquet(f"{scratch}/best{tier}")
         best = spark.read.parquet(f"{scratch}/best{tier}")
     return best

@@ -59,7 +59,8 @@ def assemble_entity_table(sources: dict[str, DataFrame], key: str, home: str | N
 def designation_match(reports: DataFrame, designations: DataFrame, scope: DataFrame) -> DataFrame:
     """(condition, country, n, hit) of the conditions in scope, misses by n first."""
     marked = designations.select("country", "condition").distinct().withColumn("hit", F.lit(True))
-    return reports.join(scope, "condition", "left_semi").groupBy("country", "condition").agg(F.sum("n").alias("n")).join(marked, ["country", "condition"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return reports.join(scope, "condition", "left_semi").groupBy("country", "condition").agg(F.sum("n").alias("n")).join(marked,
+        ["country", "condition"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def list_membership_flags(df: DataFrame, key: str, lists: dict[str, DataFrame]) -> DataFrame:
@@ -132,7 +133,8 @@ def nearest_rank_bins(df: DataFrame, column: str, probs: list[float]) -> DataFra
     while open_ := [b for b in open_ if b[2] != b[3] or found.append((b[0], b[2]))]:
         ends = sorted({(b[2], b[3]) for b in open_})
         share = lambda a, b: (F.col("v").cast("double") - F.lit(float(a))) / F.lit(float(b) - float(a)) * _CUTS
-        cell = F.array_compact(F.array(*(F.when(F.col("v").between(F.lit(a), F.lit(b)), F.struct(F.lit(i).alias("i"), F.floor(share(a, b)).cast("int").alias("cut"))) for i, (a, b) in enumerate(ends))))
+        cell = F.array_compact(F.array(*(F.when(F.col("v").between(F.lit(a), F.lit(b)),
+            F.struct(F.lit(i).alias("i"), F.floor(share(a, b)).cast("int").alias("cut"))) for i, (a, b) in enumerate(ends))))
         cells = seen.select("v", F.explode(cell).alias("c")).groupBy("c.i", "c.cut").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         cells = cells.withColumn("below", F.sum("n").over(Window.partitionBy("i").orderBy("cut")) - F.col("n"))  # _CUTS + 1 rows
         wanted = [((F.col("i") == ends.index((b[2], b[3]))) & F.lit(b[1]).between(F.col("below"), F.col("below") + F.col("n") - 1), k) for k, b in enumerate(open_)]
@@ -219,7 +221,8 @@ def scenario_gains(scenarios: DataFrame, base: DataFrame, entities: DataFrame) -
     by_country = marked.groupBy("scenario", "country").agg(F.count("*").alias("pairs"), F.count("_in").alias("common"), F.bool_or(F.col("_known").isNull()).alias("new"))
     direct = F.sum(F.when(F.col("new"), F.col("direct")))
     per = by_country.join(entities.select("country", "direct"), "country", "left").groupBy("scenario").agg(
-        F.sum(F.col("pairs") - F.col("common")).alias("added"), F.sum("common").alias("_common"), F.count_if("new").alias("new_countries"), F.coalesce(direct, F.lit(0)).alias("new_direct"))
+        F.sum(F.col("pairs") - F.col("common")).alias("added"), F.sum("common").alias("_common"), F.count_if("new").alias("new_countries"),
+            F.coalesce(direct, F.lit(0)).alias("new_direct"))
     return per.join(F.broadcast(size)).select("scenario", "added", (F.col("_size") - F.col("_common")).alias("removed"), "new_countries", "new_direct")
 
 
@@ -255,7 +258,8 @@ def scenario_by_condition(scenarios: DataFrame, base: DataFrame, reports: DataFr
     n = reports.groupBy("country", "condition").agg(F.sum("n").alias("n"))
     reported = n.groupBy("condition").agg(F.sum("n").alias("reported_n"))
     covered = scenarios.join(n, ["country", "condition"]).groupBy("scenario", "condition").agg(F.sum("n").alias("covered_n"))
-    return pairs.join(in_base, "condition", "left").join(reported, "condition", "left").join(covered, ["scenario", "condition"], "left").na.fill(0, ["in_base", "reported_n", "covered_n"])
+    return pairs.join(in_base, "condition", "left").join(reported, "condition", "left").join(covered, ["scenario", "condition"], "left").na.fill(0,
+        ["in_base", "reported_n", "covered_n"])
 
 
 def top_entities(df: DataFrame, metric: str, key: str, k: int) -> DataFrame:

@@ -29,7 +29,8 @@ def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:
     per = left.groupBy("doc", "entity", "key", "norm").agg(F.collect_set("_long").alias("_longs"))
     longest_first = F.transform(F.array_sort(F.transform("_longs", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("name")))), lambda x: x["name"])
     masked = F.aggregate(longest_first, F.col("norm"), lambda text, name: F.replace(text, name, F.lit("\x01")))
-    return per.withColumn("_free", masked.contains(F.col("key"))).groupBy("doc", "entity").agg(F.bool_or("_free").alias("_free"), F.array_sort(F.collect_set("key")).alias("keys")).where("_free").drop("_free")
+    return per.withColumn("_free", masked.contains(F.col("key"))).groupBy("doc", "entity").agg(F.bool_or("_free").alias("_free"),
+        F.array_sort(F.collect_set("key")).alias("keys")).where("_free").drop("_free")
 
 
 def suppress_mislisted(matches: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def prefix_fallback_join(left: DataFrame, right: DataFrame, n: int) -> DataFrame
     near = right.where(F.length("key") >= n).groupBy(F.substring("key", 1, n).alias("_p")).agg(F.min_by("value", "place").alias("_near"))
     prefix = F.when(F.length("key") >= n, F.substring("key", 1, n))
     out = left.join(exact, "key", "left").withColumn("_p", prefix).join(near, "_p", "left")
-    return out.select("id", "key", F.coalesce("_exact", "_near").alias("value"), F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_near").isNotNull(), "prefix").alias("how"))
+    return out.select("id", "key", F.coalesce("_exact", "_near").alias("value"), F.when(F.col("_exact").isNotNull(),
+        "exact").when(F.col("_near").isNotNull(), "prefix").alias("how"))
 
 
 def superseded_by(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,14 +104,16 @@ def evidence_gate(entities: DataFrame, ledger: DataFrame, absent: DataFrame) ->
     """``entities`` with a struct: the value and its citation, or a gap with its reason; nothing is inferred."""
     out = entities.join(ledger.select("entity", "value", "doc_id"), "entity", "left").join(absent.select("entity").distinct().withColumn("_absent", F.lit(True)), "entity", "left")
     there = F.col("value").isNotNull()
-    return out.select(*entities.columns, F.struct(there.alias("ok"), "value", F.when(there, F.col("doc_id")).alias("doc_id"), F.when(there, "cited").when(F.col("_absent"), "confirmed absent").otherwise("not yet checked").alias("status")).alias("evidence"))
+    return out.select(*entities.columns, F.struct(there.alias("ok"), "value", F.when(there, F.col("doc_id")).alias("doc_id"),
+        F.when(there, "cited").when(F.col("_absent"), "confirmed absent").otherwise("not yet checked").alias("status")).alias("evidence"))
 
 
 def merge_catalogues(first: DataFrame, second: DataFrame) -> DataFrame:
     """Full merge on (series, year): the first catalogue's fields win, sources are listed, a second URL is kept."""
     both = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1)))
     order = F.struct("_p", "url")
-    return both.groupBy("series", "year").agg(F.min_by("title", order).alias("title"), F.min_by("url", order).alias("url"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"),
+    return both.groupBy("series", "year").agg(F.min_by("title", order).alias("title"), F.min_by("url", order).alias("url"),
+        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"),
                                               F.min(F.when(F.col("_p") == 1, F.col("url"))).alias("_second")).withColumn("url2", F.nullif("_second", "url")).drop("_second")
 
 
@@ -129,7 +133,8 @@ def match_common_prefix(names: DataFrame, canon: DataFrame, least: int = 2) -> D
     both = beside.select(F.col("_c").alias("_s"), F.lit(0).alias("_o"), F.struct("_c", "_p").alias("_down"), F.struct("_c", "_n").alias("_up")).unionByName(
         names.select(F.col("name").alias("_s")).where("_s IS NOT NULL").distinct().withColumn("_o", F.lit(1)), allowMissingColumns=True)
     found = carried(both, [F.col("_s"), F.col("_o")], {"_a": F.col("_down")}, {"_b": F.col("_up")}).where("_o = 1")
-    shared = lambda c: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length("_s"), F.length(c))), lambda i: F.substring("_s", F.lit(1), i) == F.substring(c, F.lit(1), i))), F.lit(0))
+    shared = lambda c: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length("_s"), F.length(c))),
+        lambda i: F.substring("_s", F.lit(1), i) == F.substring(c, F.lit(1), i))), F.lit(0))
     near = F.array(*(F.struct(shared(F.col(c)).alias("n"), F.col(c).alias("name")) for c in ("_a._c", "_a._p", "_b._c", "_b._n")))
     top = F.filter(near, lambda x: x.n == F.array_max(F.transform(near, lambda y: y.n)))
     best = F.when((F.size(top) == 1) & (top[0].n >= least), top[0]["name"])

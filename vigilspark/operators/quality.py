@@ -16,7 +16,8 @@ def finding(severity: str, check: str, subject: Column, detail: Column) -> list[
 
 def profile_table(df: DataFrame) -> DataFrame:
     """(column, rows, filled, distinct, least, most) in one pass."""
-    measures = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("filled"), F.countDistinct(c).alias("distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in df.columns]
+    measures = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("filled"), F.countDistinct(c).alias("distinct"),
+        F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in df.columns]
     return df.agg(F.array(*measures).alias("_m")).select(F.explode("_m").alias("_m")).select("_m.*")
 
 
@@ -29,7 +30,8 @@ def year_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, cols, first_year, last_year): the first year in each value of ``columns``, and the columns named by a year."""
     years = [F.regexp_extract(F.col(c).cast("string"), r"((?:19|20)\d{2})", 1).try_cast("int") for c in columns]
     named = [int(c.strip()) for c in year_columns(df)]
-    ends = lambda f, pick: pick(*([f(y) for y in years] + [F.lit(n) for n in (min(named), max(named))] if named else [f(y) for y in years] + [F.lit(None).cast("int")] * 2))
+    ends = lambda f, pick: pick(*([f(y) for y in years] + [F.lit(n) for n in (min(named),
+        max(named))] if named else [f(y) for y in years] + [F.lit(None).cast("int")] * 2))
     return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("cols"), ends(F.min, F.least).alias("first_year"), ends(F.max, F.greatest).alias("last_year"))
 
 
@@ -99,11 +101,14 @@ def check_pages(pages: DataFrame, relative_only: bool = True) -> DataFrame:
     problems = F.array(
         F.when(~h.rlike(r'(?i)<meta[^>]*charset="?utf-8'), F.struct(F.lit("error").alias("s"), F.lit("charset").alias("c"), F.lit(None).cast("string").alias("d"))),
         F.when(~h.rlike(r"(?i)<html[^>]*\slang="), F.struct(F.lit("error").alias("s"), F.lit("lang").alias("c"), F.lit(None).cast("string").alias("d"))),
-        F.when(F.trim(F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1)) == "", F.struct(F.lit("error").alias("s"), F.lit("title").alias("c"), F.lit(None).cast("string").alias("d"))),
+        F.when(F.trim(F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1)) == "", F.struct(F.lit("error").alias("s"), F.lit("title").alias("c"),
+            F.lit(None).cast("string").alias("d"))),
         F.when(~h.rlike(r'(?i)<meta[^>]*name="description"'), F.struct(F.lit("warn").alias("s"), F.lit("description").alias("c"), F.lit(None).cast("string").alias("d"))),
-        F.when(F.lit(relative_only) & h.rlike(r'(?i)(?:href|src)="/(?!/)'), F.struct(F.lit("error").alias("s"), F.lit("absolute link").alias("c"), F.regexp_extract(h, r'(?i)(?:href|src)="(/[^"]*)"', 1).alias("d"))),
+        F.when(F.lit(relative_only) & h.rlike(r'(?i)(?:href|src)="/(?!/)'), F.struct(F.lit("error").alias("s"), F.lit("absolute link").alias("c"),
+            F.regexp_extract(h, r'(?i)(?:href|src)="(/[^"]*)"', 1).alias("d"))),
         F.when(F.size(ids) > F.size(F.array_distinct(ids)), F.struct(F.lit("error").alias("s"), F.lit("repeated id").alias("c"), F.lit(None).cast("string").alias("d"))))
-    return pages.select(F.col("page_id").cast("string").alias("subject"), F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("_p")).select(F.col("_p.s").alias("severity"), F.col("_p.c").alias("check"), "subject", F.col("_p.d").alias("detail"))
+    return pages.select(F.col("page_id").cast("string").alias("subject"), F.explode(F.filter(problems,
+        lambda p: p.isNotNull())).alias("_p")).select(F.col("_p.s").alias("severity"), F.col("_p.c").alias("check"), "subject", F.col("_p.d").alias("detail"))
 
 
 def shared_target(df: DataFrame) -> DataFrame:
@@ -118,7 +123,8 @@ def unsupported_values(values: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def blanket_values(values: DataFrame, least: int = 3) -> DataFrame:
     """A class of ``least`` or more entities that all have one and the same value."""
-    return values.groupBy("class").agg(F.countDistinct("entity").alias("n"), F.countDistinct("value").alias("_v"), F.min("value").alias("value")).where((F.col("n") >= least) & (F.col("_v") == 1)).select(*finding("warn", "blanket value", F.col("class"), F.col("value")))
+    return values.groupBy("class").agg(F.countDistinct("entity").alias("n"), F.countDistinct("value").alias("_v"),
+        F.min("value").alias("value")).where((F.col("n") >= least) & (F.col("_v") == 1)).select(*finding("warn", "blanket value", F.col("class"), F.col("value")))
 
 
 def contradicting_links(df: DataFrame) -> DataFrame:

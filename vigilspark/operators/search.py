@@ -20,7 +20,8 @@ def build_search_records(axes: dict[str, DataFrame]) -> DataFrame:
 def build_hubs(entities: DataFrame, links: DataFrame) -> DataFrame:
     """One row an entity: its links in order of rank, and the text to search."""
     by = links.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x.label).alias("links"))
-    return entities.join(by, "entity", "left").select("entity", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.lower(F.concat_ws(" ", "entity", "alias")).alias("q"))
+    return entities.join(by, "entity", "left").select("entity", F.coalesce("links", F.array().cast("array<string>")).alias("links"),
+        F.lower(F.concat_ws(" ", "entity", "alias")).alias("q"))
 
 
 def expand_entry_terms(terms: DataFrame) -> DataFrame:
@@ -48,20 +49,24 @@ def match_query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     n = F.col("_n")
     score = F.when(F.col("_t") == n, F.length(n) + 10).when(F.startswith(F.col("_t"), n), F.length(n) + 5).when((F.length(n) >= 4) & F.contains(F.col("_t"), n), F.length(n))
     hits = contained(tokens, names.select("name", F.lower("name").alias("_n")).distinct(), "_t", "_n").withColumn("_s", score).where("_s IS NOT NULL")
-    return hits.groupBy("query_id").agg(F.min_by(F.struct("name", "_s"), F.struct((-F.col("_s")).alias("k"), "name")).alias("_b")).select("query_id", F.col("_b.name").alias("name"), F.col("_b._s").alias("score"))
+    return hits.groupBy("query_id").agg(F.min_by(F.struct("name", "_s"), F.struct((-F.col("_s")).alias("k"), "name")).alias("_b")).select("query_id",
+        F.col("_b.name").alias("name"), F.col("_b._s").alias("score"))
 
 
 def parse_queries(queries: DataFrame, names: DataFrame, countries: DataFrame) -> DataFrame:
     """(query_id, name, country, year): the entity and the country that a query names best, and its first year."""
     best = lambda known, c: match_query_entities(queries, known).select("query_id", F.col("name").alias(c))
     year = F.regexp_extract("q", r"((?:19|20)\d{2})", 1).try_cast("int")
-    return queries.select("query_id", year.alias("year")).join(best(names, "name"), "query_id", "left").join(best(countries, "country"), "query_id", "left").select("query_id", "name", "country", "year")
+    return queries.select("query_id", year.alias("year")).join(best(names, "name"), "query_id", "left").join(best(countries, "country"), "query_id",
+        "left").select("query_id", "name", "country", "year")
 
 
 def route_intents(queries: DataFrame, intents: DataFrame, k: int = 3) -> DataFrame:
     """The first k distinct destinations whose words (place, word, url) the query holds; null without any."""
     hits = contained(queries.withColumn("_q", F.lower("q")), intents, "_q", "word")
-    first = hits.groupBy("query_id", "url").agg(F.min("place").alias("place")).groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url), 1, k).alias("urls"))
+    first = hits.groupBy("query_id",
+        "url").agg(F.min("place").alias("place")).groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))),
+            lambda x: x.url), 1, k).alias("urls"))
     return queries.select("query_id").join(first, "query_id", "left")
 
 
@@ -69,7 +74,8 @@ def autocomplete(prefixes: DataFrame, corpus: DataFrame, k: int = 8) -> DataFram
     """Distinct names a prefix: hubs that start with it, hubs that contain it, then other records that contain it."""
     p, text = F.col("_p"), F.col("_t")
     tier = F.when(F.col("hub") & text.startswith(p), 0).when(F.col("hub"), 1).otherwise(2)
-    hits = contained(corpus.withColumn("_t", F.lower("name")), prefixes.select("prefix", F.lower("prefix").alias("_p")).distinct(), "_t", "_p").groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
+    hits = contained(corpus.withColumn("_t", F.lower("name")), prefixes.select("prefix", F.lower("prefix").alias("_p")).distinct(), "_t",
+        "_p").groupBy("prefix", "name").agg(F.min(tier).alias("tier"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("tier", F.length("name"), "name"))).where(F.col("place") <= k)
 
 
@@ -102,4 +108,5 @@ def facet_results(hits: DataFrame, kinds: list[str], cap: int = 5, hub_cap: int
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.col("_missed").desc(), F.col("score").desc(), "id"))
     count = F.count("*").over(Window.partitionBy("query_id", "kind"))
     rank = F.coalesce(*(F.when(F.col("kind") == x, F.lit(i)) for i, x in enumerate(kinds)), F.lit(len(kinds)))
-    return hits.withColumn("n", count).withColumn("place", place).withColumn("kind_rank", rank).where(F.col("place") <= F.when(F.col("kind") == "hub", hub_cap).otherwise(cap)).drop("_missed")
+    return hits.withColumn("n", count).withColumn("place", place).withColumn("kind_rank",
+        rank).where(F.col("place") <= F.when(F.col("kind") == "hub", hub_cap).otherwise(cap)).drop("_missed")

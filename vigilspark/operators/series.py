@@ -62,7 +62,8 @@ def year_leader(df: DataFrame, surges: DataFrame) -> DataFrame:
 
 def first_appearances(docs: DataFrame, min_editions: int = 3) -> DataFrame:
     """First edition of each long series, with an exhibit weight."""
-    rows = docs.groupBy("series").agg(F.count("*").alias("editions"), F.min_by(F.struct("doc", "year"), F.struct("year", "doc")).alias("_d")).where(F.col("editions") >= min_editions)
+    rows = docs.groupBy("series").agg(F.count("*").alias("editions"), F.min_by(F.struct("doc", "year"),
+        F.struct("year", "doc")).alias("_d")).where(F.col("editions") >= min_editions)
     return rows.select("series", "editions", "_d.*", F.least(F.lit(84), 52 + 2 * F.col("editions")).alias("weight"))
 
 
@@ -100,7 +101,8 @@ def immunity_threshold(df: DataFrame) -> DataFrame:
     impossible (the low need exceeds 100), none (nothing measured), over, edge, under."""
     need = lambda r0: F.round(100 * (1 - 1 / F.col(r0)) / F.col("ve"), 2)
     df = df.withColumn("low", need("r0_lo")).withColumn("high", need("r0_hi"))
-    verdict = F.when(F.col("low") > 100, "impossible").when(F.col("actual").isNull(), "none").when(F.col("actual") >= F.col("high"), "over").when(F.col("actual") >= F.col("low"), "edge").otherwise("under")
+    verdict = F.when(F.col("low") > 100, "impossible").when(F.col("actual").isNull(), "none").when(F.col("actual") >= F.col("high"),
+        "over").when(F.col("actual") >= F.col("low"), "edge").otherwise("under")
     return df.withColumn("verdict", verdict)
 
 
@@ -109,7 +111,8 @@ def align_rate_and_cases(links: DataFrame, rates: DataFrame, cases: DataFrame) -
     length = rates.groupBy("vaccine").agg(F.countDistinct("year").alias("_y"))
     chosen = links.join(length, "vaccine").groupBy("condition").agg(F.min_by("vaccine", F.struct((-F.col("_y")).alias("k"), "vaccine")).alias("vaccine"))
     rows = cases.join(chosen, "condition").join(rates, ["vaccine", "year"], "left")
-    return rows.groupBy("condition", "vaccine").agg(F.count("*").alias("years"), F.count("rate").alias("with_rate"), F.min_by(F.struct("year", "rate"), F.struct((-F.col("n")).alias("k"), "year")).alias("_p")).select(
+    return rows.groupBy("condition", "vaccine").agg(F.count("*").alias("years"), F.count("rate").alias("with_rate"),
+        F.min_by(F.struct("year", "rate"), F.struct((-F.col("n")).alias("k"), "year")).alias("_p")).select(
         "condition", "vaccine", "years", "with_rate", F.col("_p.year").alias("peak_year"), F.col("_p.rate").alias("peak_rate"))
 
 
@@ -145,7 +148,8 @@ def edition_files(labels: DataFrame, bodies: list[tuple[int, str]] = ()) -> Data
                          F.when(lower.contains("english"), "english").when(lower.contains("text"), "text").otherwise("main").alias("kind"))
     body = F.coalesce(*(F.when(F.col("year") >= since, F.lit(name)) for since, name in sorted(bodies, reverse=True)), F.lit(None).cast("string"))
     links = F.array_sort(F.collect_list(F.when(F.col("file") != "", F.struct("kind", "file"))))
-    return rows.groupBy("year", "until").agg(body.alias("body"), links.alias("links"), F.count("*").alias("files"), F.count_if("hidden").alias("hidden"), F.count_if(F.col("file") != "").alias("downloadable"),
+    return rows.groupBy("year", "until").agg(body.alias("body"), links.alias("links"), F.count("*").alias("files"),
+        F.count_if("hidden").alias("hidden"), F.count_if(F.col("file") != "").alias("downloadable"),
                                              F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 

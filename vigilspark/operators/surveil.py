@@ -89,7 +89,8 @@ def tolerance_join(left: DataFrame, right: DataFrame, key: str, tolerance: int =
     offered = right.withColumn("_o", F.explode(offsets)).withColumn("_right_week", F.col("week")).withColumn("week", F.col("week") - F.col("_o.offset"))
     value = F.struct(F.col("_o.priority").alias("p"), F.col("_o.offset").alias("offset"), F.col("_right_week").alias("right_week"), F.col("right_value"))
     best = offered.groupBy(key, "year", "week").agg(F.min(value).alias("_m"))
-    return left.join(best, [key, "year", "week"]).select(key, "year", "week", "left_value", F.col("_m.right_week").alias("right_week"), F.col("_m.offset").alias("offset"), F.col("_m.right_value").alias("right_value"))
+    return left.join(best, [key, "year", "week"]).select(key, "year", "week", "left_value", F.col("_m.right_week").alias("right_week"),
+        F.col("_m.offset").alias("offset"), F.col("_m.right_value").alias("right_value"))
 
 
 def tolerance_counts(paired: DataFrame, key: str) -> DataFrame:
@@ -113,7 +114,8 @@ def panel_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Latest reported value with its week, and the maximum."""
     when = F.struct("year", "week")
     return df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.max_by(value, when).alias("latest"), F.max(when).alias("_w"), F.max(value).alias("most")).select(group, "latest", F.col("_w.year").alias("year"), F.col("_w.week").alias("week"), "most")
+        F.max_by(value, when).alias("latest"), F.max(when).alias("_w"), F.max(value).alias("most")).select(group, "latest",
+            F.col("_w.year").alias("year"), F.col("_w.week").alias("week"), "most")
 
 
 def dominant_column(columns: list[str]) -> Column:

@@ -35,13 +35,15 @@ CAST([] AS VARCHAR[]))), lambda a, b: replace(a, b, chr(1))), entity)""")
 def _(v):
     words = F.split("p_name", " ")
     k = F.col("p_partkey") % 4
-    title = F.when(k == 0, F.concat("p_name", F.lit(" or a "), words[1])).when(k == 1, F.concat(words[0], F.lit("er "), "p_name")).when(k == 2, F.col("p_name")).otherwise(F.concat(words[1], F.lit(" "), "p_name"))
+    title = F.when(k == 0, F.concat("p_name", F.lit(" or a "), words[1])).when(k == 1, F.concat(words[0], F.lit("er "), "p_name")).when(k == 2,
+        F.col("p_name")).otherwise(F.concat(words[1], F.lit(" "), "p_name"))
     docs = v.part.select(F.col("p_partkey").alias("doc"), F.concat(title, F.lit(" "), F.lower("p_type")).alias("norm"))
     keys = v.part.select(F.explode(F.concat(F.array("p_name"), words)).alias("key")).distinct().select(F.col("key").alias("entity"), "key")
     return m.suppress_buried(m.match_entities_in_text(docs, keys), keys).select("doc", "entity")
 
 
-@query("j8_suppress_mislisted", f"""WITH t AS (SELECT *, regexp_extract(title, 'grade ([0-9]+)', 1) AS stated, list_transform(string_split(regexp_extract(title, '[(]([^)]*)[)]', 1), ','), lambda x: trim(x)) AS listed
+@query("j8_suppress_mislisted",
+    f"""WITH t AS (SELECT *, regexp_extract(title, 'grade ([0-9]+)', 1) AS stated, list_transform(string_split(regexp_extract(title, '[(]([^)]*)[)]', 1), ','), lambda x: trim(x)) AS listed
 FROM {{titled}})
 SELECT p_partkey, entity FROM t WHERE stated = CAST(grade AS VARCHAR) OR NOT (stated <> '' AND NOT contains(title, entity) OR len(listed) >= 2
 AND NOT list_contains(listed, entity))""")
@@ -62,7 +64,8 @@ WHEN s_suppkey % 2 = 0 THEN n_nationkey ELSE (SELECT min(n_nationkey) FROM {nati
 WHERE substring(b.n_name, 1, 8) = substring(n.n_name, 1, 8)) END AS value FROM {supplier} JOIN {nation} n ON s_nationkey = n_nationkey""")
 def _(v):
     n = v.nation
-    left = v.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.substring("n_name", 1, 8), F.lit("*"))).alias("key"))
+    left = v.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.substring("n_name", 1, 8), F.lit("*"))).alias("key"))
     right = n.select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("value"), F.col("n_nationkey").alias("place"))
     return m.prefix_fallback_join(left, right, 8).select("id", (F.col("how") == "exact").alias("exact"), "value")
 
@@ -70,14 +73,16 @@ def _(v):
 @query("j15_superseded_by", """SELECT doc, CASE WHEN contains(title, 'Brand#1') AND year < 2015 THEN 'A'
 WHEN contains(title, 'Brand#12') OR contains(title, 'Brand#3') AND year < 2020 THEN 'B' END AS by FROM {catalogue}""")
 def _(v):
-    rules = v.spark.createDataFrame([(0, "Brand#1", "A", 2015, "old"), (1, "Brand#12", "B", None, "merged"), (2, "Brand#3", "B", 2020, "new")], "place int, key string, by string, since int, why string")
+    rules = v.spark.createDataFrame([(0, "Brand#1", "A", 2015, "old"), (1, "Brand#12", "B", None, "merged"), (2, "Brand#3", "B", 2020, "new")],
+        "place int, key string, by string, since int, why string")
     return m.superseded_by(v.catalogue.select("doc", "title", "year"), rules).select("doc", "by")
 
 
 @query("j16_multi_key_match", "SELECT n_nationkey AS left_id, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey END AS right_id FROM {nation}")
 def _(v):
     name = F.lower("n_name")
-    left = v.nation.select(F.col("n_nationkey").alias("id"), F.array(F.lit(""), F.when(F.col("n_nationkey") % 5 == 0, "unknown").otherwise(F.regexp_replace(name, "_", " ")), F.lit("x")).alias("keys"))
+    left = v.nation.select(F.col("n_nationkey").alias("id"), F.array(F.lit(""), F.when(F.col("n_nationkey") % 5 == 0,
+        "unknown").otherwise(F.regexp_replace(name, "_", " ")), F.lit("x")).alias("keys"))
     right = v.nation.select(F.col("n_nationkey").alias("id"), F.array(name, F.regexp_replace(name, "_", " "), F.lit("")).alias("keys"))
     pairs, rest = m.multi_key_match(left, right)
     return pairs.unionByName(rest.withColumn("right_id", F.lit(None).cast("int")))
@@ -88,7 +93,8 @@ WHEN 3 THEN '1998-02-15' WHEN 4 THEN '2000-12-31' ELSE '' END > made AS stale FR
 FROM (VALUES (1, '1995-01-01'), (2, '1996-07-01'), (3, '1998-02-15'), (4, '2000-12-31')) t(version, effective)
 WHERE effective <= {date:l_shipdate}) AS version, CASE WHEN l_linenumber % 2 = 0 THEN '1996-12-31' ELSE '1994-12-31' END AS made FROM {lineitem})""")
 def _(v):
-    versions = v.spark.createDataFrame([(1, "1995-01-01"), (2, "1996-07-01"), (3, "1998-02-15"), (4, "2000-12-31")], "version int, effective string").withColumn("flag", F.explode(F.array(*map(F.lit, "ANR"))))
+    versions = v.spark.createDataFrame([(1, "1995-01-01"), (2, "1996-07-01"), (3, "1998-02-15"), (4, "2000-12-31")],
+        "version int, effective string").withColumn("flag", F.explode(F.array(*map(F.lit, "ANR"))))
     made = F.when(F.col("l_linenumber") % 2 == 0, "1996-12-31").otherwise("1994-12-31")
     days = v.lineitem.select(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), made.alias("made"), "l_orderkey", "l_linenumber")
     return m.as_of_version(versions, days, "flag", "made").drop("flag", "day", "made")
@@ -127,7 +133,8 @@ def _(v):
 SELECT doc, unnest([name, board]), 'manual' FROM {catalogue} WHERE doc % 11 = 0""")
 def _(v):
     c = v.catalogue
-    manual = c.where("doc % 11 = 0").select("doc", F.when(F.col("doc") % 2 == 0, F.concat("name", F.lit("; "), "board")).otherwise(F.concat("name", F.lit(","), "board")).alias("covers"))
+    manual = c.where("doc % 11 = 0").select("doc", F.when(F.col("doc") % 2 == 0, F.concat("name", F.lit("; "), "board")).otherwise(F.concat("name",
+        F.lit(","), "board")).alias("covers"))
     return m.attach_corrections(c.where("doc % 2 = 0").select("doc", F.col("name").alias("entity")), manual)
 
 
@@ -144,7 +151,8 @@ def _(v):
 
 
 
-_KEYWORDS = [(0, "thatin", "one"), (1, "tion", "two"), (2, "of the", "three"), (3, "re", "two"), (4, "que", "four"), (5, "unter", "five"), (6, "la", "six"), (7, "hehely", "one"), (8, "inoran", "seven")]
+_KEYWORDS = [(0, "thatin", "one"), (1, "tion", "two"), (2, "of the", "three"), (3, "re", "two"), (4, "que", "four"), (5, "unter", "five"),
+    (6, "la", "six"), (7, "hehely", "one"), (8, "inoran", "seven")]
 
 _FULL_NAMES = [(0, "The", "eight"), (1, "Is", "nine"), (2, "le", "two"), (3, "an", "ten")]
 
@@ -174,7 +182,8 @@ WHEN len(candidates) = 0 THEN len(labels) = 0 ELSE NOT list_has_any(labels, cand
 SELECT doc_id AS id, coalesce(array_to_string(maybe, ','), '') AS maybe FROM {documents} LEFT JOIN h USING (doc_id)""")
 def _(v):
     labels = F.filter(F.array(*map(F.lit, ("tion", "que", "thatin"))), lambda x: F.col("text").contains(F.concat(x, F.lit(" "))))
-    groups = v.spark.createDataFrame([(0, "ion", "ions", ["tion", "que"]), (1, "th", "ths", ["thatin"]), (2, "der", "ders", []), (3, "le", "les", ["que", "thatin"])], "place int, word string, group string, candidates array<string>")
+    groups = v.spark.createDataFrame([(0, "ion", "ions", ["tion", "que"]), (1, "th", "ths", ["thatin"]), (2, "der", "ders", []),
+        (3, "le", "les", ["que", "thatin"])], "place int, word string, group string, candidates array<string>")
     return m.tag_broader_groups(v.documents.select(F.col("doc_id").alias("id"), "text", labels.alias("labels")), groups).select("id", F.array_join("maybe", ",").alias("maybe"))
 
 
@@ -203,7 +212,8 @@ def _(v):
     after = v.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
     plain = F.col("p_size") % 4 > 0
     following = F.coalesce("next", F.lit(""))
-    title = F.concat(F.when(plain, F.col("p_name")).otherwise(F.concat(F.lit("Rings and Bolts of "), "p_brand")), F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.when(plain, F.upper(following)).otherwise(""))
+    title = F.concat(F.when(plain, F.col("p_name")).otherwise(F.concat(F.lit("Rings and Bolts of "), "p_brand")),
+        F.when(F.col("p_size") % 3 == 0, ", ").otherwise(" "), F.when(plain, F.upper(following)).otherwise(""))
     summary = F.concat(following, F.when(F.col("p_size") % 5 == 0, "s of ").otherwise(" by "), "p_name")
     items = v.part.join(after, "p_partkey", "left").select(F.col("p_partkey").alias("id"), title.alias("title"), summary.alias("summary"))
     names = v.spark.createDataFrame([(p, p) for p in _PLACES], "name string, code string")

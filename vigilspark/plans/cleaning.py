@@ -28,7 +28,8 @@ WHEN o_orderkey % 2 = 0 THEN 'rate' ELSE 'count' END AS measure, CASE WHEN o_ord
 FROM {orders})""")
 def _(v):
     even = F.col("o_orderkey") % 2 == 0
-    rows = v.orders.select("o_orderkey", F.when(even, "rate").otherwise("count").alias("measure"), F.when(even, F.col("o_totalprice") / 3000).otherwise(F.col("o_totalprice")).alias("value"))
+    rows = v.orders.select("o_orderkey", F.when(even, "rate").otherwise("count").alias("measure"),
+        F.when(even, F.col("o_totalprice") / 3000).otherwise(F.col("o_totalprice")).alias("value"))
     return c.flag_impossible(rows, [("rate", "rate over 100", 100), ("count", "count too large", 200_000)])
 
 
@@ -58,7 +59,8 @@ def _(v):
 @query("p8_norm_key", """SELECT n_nationkey, lower(replace(n_name, '_', '')) AS marks, lower(n_name) AS spaces, lower(n_name) AS brackets, lower(replace(n_name, '_', '')) AS alnum
 FROM {nation}""")
 def _(v):
-    shapes = F.element_at(F.array(F.regexp_replace("n_name", "_", " "), F.regexp_replace("n_name", "_(.*)", " ($1)"), F.regexp_replace("n_name", "_", " · ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    shapes = F.element_at(F.array(F.regexp_replace("n_name", "_", " "), F.regexp_replace("n_name", "_(.*)", " ($1)"),
+        F.regexp_replace("n_name", "_", " · ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return v.nation.select("n_nationkey", c.norm_key(shapes, "marks").alias("marks"), c.norm_key(F.concat(F.lit(" "), "n_name"), "spaces").alias("spaces"),
                            c.norm_key(F.concat(F.lit("("), "n_name", F.lit(") ")), "brackets").alias("brackets"), c.norm_key(shapes, "alnum").alias("alnum"))
 

@@ -65,7 +65,8 @@ LEFT JOIN (SELECT id, max(day) AS updated, arg_max(changes, day) AS changes FROM
 def _(v):
     """The stateful stream in micro-batches that bring late days, same days again and missing fields."""
     seq = F.col("event_id")
-    rows = v.feed.select("id", "day", seq.alias("seq"), F.when(seq % 13 > 0, F.col("source")).alias("source"), F.when(seq % 17 > 0, F.col("level")).alias("level"), (seq * 7 % _FILES).alias("file"))
+    rows = v.feed.select("id", "day", seq.alias("seq"), F.when(seq % 13 > 0, F.col("source")).alias("source"),
+        F.when(seq % 17 > 0, F.col("level")).alias("level"), (seq * 7 % _FILES).alias("file"))
     items = _output(v, state.item_stream(_stream(v, rows, _FILES)), "update")
     newest = items.groupBy("id").agg(F.max_by(F.struct(*(c for c in items.columns if c not in ("id", "batch"))), "batch").alias("r"))
     return newest.select("id", "r.source", "r.level", "r.first_seen", "r.last_seen", "r.updated", F.array_join("r.changes", ",").alias("changes"))
@@ -119,7 +120,8 @@ _RUNS = "(SELECT event_type AS source, {date:ts} AS day, CAST(count(*) AS BIGINT
 WHEN NOT arg_max(ok, day) THEN 'failed' END AS error, coalesce(arg_max(n, day), 0) AS count FROM (SELECT DISTINCT event_type AS source
 FROM {{events}} WHERE event_type <> 'click' UNION SELECT 'silent') s LEFT JOIN {_RUNS} r ON s.source = r.source GROUP BY 1""")
 def _(v):
-    runs = v.events.groupBy(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("count"), (F.count("*") % 3 > 0).alias("ok")).withColumn("error", F.lit("failed"))
+    runs = v.events.groupBy(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("count"),
+        (F.count("*") % 3 > 0).alias("ok")).withColumn("error", F.lit("failed"))
     sources = v.events.select(F.col("event_type").alias("source")).distinct().where("source <> 'click'").union(v.spark.createDataFrame([("silent",)], "source string"))
     return f.source_health(runs, sources)
 
@@ -134,7 +136,8 @@ def _(v):
 def _(v):
     stream = v.spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/events.parquet*").select("ts", F.col("event_type").alias("key"))
     out = _checkpoint(v)
-    q = f.tumbling_counts(stream, "1 day").writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", out + "-log").trigger(availableNow=True).start()
+    q = f.tumbling_counts(stream, "1 day").writeStream.outputMode("update").foreachBatch(lambda df,
+        n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", out + "-log").trigger(availableNow=True).start()
     q.awaitTermination()
     return v.spark.read.parquet(out).groupBy("start", "key").agg(F.max_by("n", "batch").alias("n"))
 
@@ -156,7 +159,8 @@ def _(v):
 @query("r7_first_run_guard", """SELECT bool_and(d = '2024-01-03') AS first_load, count(*) AS items, CAST(CASE WHEN bool_and(d = '2024-01-03') THEN 0 ELSE
 count(*) FILTER (d = '2024-01-03') END AS BIGINT) AS new FROM (SELECT user_id, min({date:ts}) AS d FROM {events} GROUP BY 1)""")
 def _(v):
-    return f.first_run_guard(v.events.groupBy("user_id").agg(F.min(F.date_format("ts", "yyyy-MM-dd")).alias("first_seen")), "2024-01-03").withColumn("new", F.col("new").cast("long"))
+    return f.first_run_guard(v.events.groupBy("user_id").agg(F.min(F.date_format("ts", "yyyy-MM-dd")).alias("first_seen")),
+        "2024-01-03").withColumn("new", F.col("new").cast("long"))
 
 
 @query("a34_source_freshness", """SELECT s.source, s.cadence, max(d) AS latest, CAST(date_diff('day',

@@ -10,7 +10,9 @@ from vigilspark.plans.registry import query
 @query("j2_resolve_names", """SELECT n_nationkey, CASE WHEN n_nationkey % 9 = 8 THEN NULL ELSE n_nationkey END AS code, n_nationkey % 9 = 8 AS ignored
 FROM {nation}""")
 def _(v):
-    shape = F.when(F.col("n_nationkey") % 9 == 8, "Stateless").when(F.col("n_nationkey") % 3 == 0, F.regexp_replace(F.lower("n_name"), "_", " ")).when(F.col("n_nationkey") % 3 == 1, F.regexp_replace("n_name", "_(.*)", "($1)")).otherwise(F.concat(F.lit("Rep. of "), "n_name"))
+    shape = F.when(F.col("n_nationkey") % 9 == 8, "Stateless").when(F.col("n_nationkey") % 3 == 0,
+        F.regexp_replace(F.lower("n_name"), "_", " ")).when(F.col("n_nationkey") % 3 == 1,
+            F.regexp_replace("n_name", "_(.*)", "($1)")).otherwise(F.concat(F.lit("Rep. of "), "n_name"))
     names = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("code"))
     aliases = v.nation.select(F.concat(F.lit("Rep of "), "n_name").alias("name"), F.col("n_nationkey").alias("code"))
     return i.require_resolved(i.resolve_names(v.nation.select("n_nationkey", shape.alias("label")), "label", names, aliases, ["Stateless"], norm_key), "label").drop("label")
@@ -62,7 +64,8 @@ def _(v):
 FROM (SELECT o_orderkey, {date:o_orderdate} AS effective, 'notice on NATION_' || o_custkey % 30 || '.' AS note FROM {orders}) o
 JOIN {nation} ON contains(note, n_name || '.') WHERE effective > '2001-01-01'""")
 def _(v):
-    notices = v.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective"), F.concat(F.lit("notice on NATION_"), (F.col("o_custkey") % 30).cast("string"), F.lit(". key "), F.col("o_orderkey").cast("string")).alias("note"))
+    notices = v.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective"),
+        F.concat(F.lit("notice on NATION_"), (F.col("o_custkey") % 30).cast("string"), F.lit(". key "), F.col("o_orderkey").cast("string")).alias("note"))
     hits = i.notices_mentioning(v.nation.select(F.concat("n_name", F.lit(".")).alias("entity")), notices, "2001-01-01")
     return hits.select(F.rtrim(F.col("entity"), F.lit(".")).alias("entity"), F.regexp_extract("note", r"key (\d+)", 1).cast("long").alias("o_orderkey"), "effective")
 
@@ -145,7 +148,8 @@ def _(v):
 @query("a14_coverage_counts", """SELECT count(*) AS rows, count(*) FILTER (o_totalprice > 200000) AS large,
 count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS waiting FROM {orders}""")
 def _(v):
-    rows = v.orders.select((F.col("o_totalprice") > 200_000).alias("large"), (F.col("o_orderstatus") == "F").alias("done"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F")).alias("waiting"))
+    rows = v.orders.select((F.col("o_totalprice") > 200_000).alias("large"), (F.col("o_orderstatus") == "F").alias("done"),
+        ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F")).alias("waiting"))
     return i.coverage_counts(rows, ["large", "done", "waiting"])
 
 
@@ -180,7 +184,8 @@ def _entities(v):
 
 def _sets(v):
     direct = v.arrivals.groupBy("country").agg(F.sum(F.col("total") - F.col("transit")).alias("direct"))
-    return i.scenario_sets(v.designation, v.arrivals.where("year = 1997 AND total % 3 = 0").select("country"), v.imports.where("year = 1999").select("country", "condition"), "2-HIGH", i.top_entities(direct, "direct", "country", 4))
+    return i.scenario_sets(v.designation, v.arrivals.where("year = 1997 AND total % 3 = 0").select("country"),
+        v.imports.where("year = 1999").select("country", "condition"), "2-HIGH", i.top_entities(direct, "direct", "country", 4))
 
 
 @query("e1_scenario_sets", f"SELECT * FROM {_SETS}")

@@ -18,7 +18,8 @@ def _s(col):
 def _(v):
     path = _folder(v)
     v.customer.select("c_custkey", F.concat("c_name", F.lit("é")).alias("c_name"), "c_acctbal").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return files.read_ledger_csv(v.spark, path, "c_custkey long, c_name string, c_acctbal double", "ISO-8859-1").select("c_custkey", F.replace("c_name", F.lit("é"), F.lit("")).alias("c_name"), F.round("c_acctbal", 2).alias("c_acctbal"))
+    return files.read_ledger_csv(v.spark, path, "c_custkey long, c_name string, c_acctbal double", "ISO-8859-1").select("c_custkey",
+        F.replace("c_name", F.lit("é"), F.lit("")).alias("c_name"), F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 @query("io2_read_ledger_json", "SELECT s_suppkey, s_name FROM {supplier}")
@@ -52,8 +53,10 @@ CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE {date:o_orderdate} END AS date, 'On '
 def _(v):
     k = F.col("o_orderkey")
     day = F.when(k % 5 == 0, "soon").when(k % 5 < 3, F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    item = F.concat(F.lit("<item><title><![CDATA["), "o_orderpriority", F.lit(" &amp; "), _s("o_orderkey"), F.lit("]]></title>\n<link>http://x.org/"), _s("o_orderkey"), F.lit("</link><pubDate>"), day, F.lit("</pubDate><description><p>On <b>"), _s("o_custkey"), F.lit("</b></p></description></item>"))
-    feeds = v.orders.select(F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), F.floor(k / 200).alias("batch"), item.alias("i")).groupBy("source", "batch").agg(F.concat(F.lit("<rss><title>feed</title>"), F.array_join(F.collect_list("i"), " "), F.lit("</rss>")).alias("body"))
+    item = F.concat(F.lit("<item><title><![CDATA["), "o_orderpriority", F.lit(" &amp; "), _s("o_orderkey"), F.lit("]]></title>\n<link>http://x.org/"),
+        _s("o_orderkey"), F.lit("</link><pubDate>"), day, F.lit("</pubDate><description><p>On <b>"), _s("o_custkey"), F.lit("</b></p></description></item>"))
+    feeds = v.orders.select(F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), F.floor(k / 200).alias("batch"),
+        item.alias("i")).groupBy("source", "batch").agg(F.concat(F.lit("<rss><title>feed</title>"), F.array_join(F.collect_list("i"), " "), F.lit("</rss>")).alias("body"))
     return p.parse_rss(feeds)
 
 
@@ -69,7 +72,8 @@ def _(v):
 @query("io5_parse_board_listing", """SELECT CAST(o_orderkey AS VARCHAR) AS article_id, o_orderpriority || ' notice' AS title, {date:o_orderdate} AS date
 FROM {orders}""")
 def _(v):
-    row = F.concat(F.lit("<tr><td><a href=\"/view?id="), _s("o_orderkey"), F.lit("\">"), "o_orderpriority", F.lit(" notice <span>NEW</span></a></td><td>"), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td><a href=\"/view?id="), _s("o_orderkey"), F.lit("\">"), "o_orderpriority",
+        F.lit(" notice <span>NEW</span></a></td><td>"), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit("</td></tr>"))
     pages = v.orders.groupBy(F.floor(F.col("o_orderkey") / 200)).agg(F.concat(F.lit("<table><tr><th>title</th></tr>"), F.array_join(F.collect_list(row), "\n")).alias("html"))
     return p.parse_board_listing(pages.union(pages))  # every id is delivered twice
 
@@ -87,9 +91,11 @@ def _(v):
 @query("io7_parse_markdown_cards", """SELECT p_partkey AS file, p_name AS entity, p_brand AS alias, p_type AS type,
 CAST(p_size AS VARCHAR) AS size, 'first|second' AS notes FROM {part}""")
 def _(v):
-    text = F.concat(F.lit("# Title\n- stray\n### Contents\n- **type**: none\n## Section\n### "), "p_name", F.lit(" ("), "p_brand", F.lit(")\n- **type**: "), "p_type", F.lit("\n- first\n\n- **size** : "), _s("p_size"), F.lit("\n- second\n- **type**: again\n## End\n- third"))
+    text = F.concat(F.lit("# Title\n- stray\n### Contents\n- **type**: none\n## Section\n### "), "p_name", F.lit(" ("), "p_brand",
+        F.lit(")\n- **type**: "), "p_type", F.lit("\n- first\n\n- **size** : "), _s("p_size"), F.lit("\n- second\n- **type**: again\n## End\n- third"))
     c = p.parse_markdown_cards(v.part.select(F.col("p_partkey").alias("file"), text.alias("text")))
-    return c.select("file", "entity", "alias", F.try_element_at("fields", F.lit("type")).alias("type"), F.try_element_at("fields", F.lit("size")).alias("size"), F.array_join("notes", "|").alias("notes"))
+    return c.select("file", "entity", "alias", F.try_element_at("fields", F.lit("type")).alias("type"),
+        F.try_element_at("fields", F.lit("size")).alias("size"), F.array_join("notes", "|").alias("notes"))
 
 
 def _letters():
@@ -109,9 +115,11 @@ def _(v):
     fewer = F.transform(F.sequence(F.lit(3), (5 + k % 5).cast("int")), lambda i: (k + i).cast("string"))
     line = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
     lines = F.concat_ws("\n", F.lit("Weekly table"), line("Grade ", (1 + k % 3).cast("string")), line("Pox ", w, " ", F.array_join(numbers, " ")), F.lit("Total 1 2 3 4"),
-                        F.when(k % 4 != 0, "Grade 4"), F.when(k % 2 == 0, "Long"), line("Fever ", w, " ", F.array_join(fewer, " ")), line("Pox ", w, " 9 9 9"), line("Only two ", w, " 1 2"))
+                        F.when(k % 4 != 0, "Grade 4"), F.when(k % 2 == 0, "Long"), line("Fever ", w, " ", F.array_join(fewer, " ")),
+                            line("Pox ", w, " 9 9 9"), line("Only two ", w, " 1 2"))
     last = F.when(k % 5 == 0, line("By region\nLate ", k.cast("string"), " - 2")).otherwise(line("Late ", k.cast("string"), " - 2"))
-    pages = F.array(F.struct(F.lit(1).alias("page_no"), lines.alias("text")), F.struct(F.lit(2).alias("page_no"), last.alias("text")), F.struct(F.lit(3).alias("page_no"), F.lit("By region\nTyphus 1 2 3").alias("text")))
+    pages = F.array(F.struct(F.lit(1).alias("page_no"), lines.alias("text")), F.struct(F.lit(2).alias("page_no"), last.alias("text")),
+        F.struct(F.lit(3).alias("page_no"), F.lit("By region\nTyphus 1 2 3").alias("text")))
     rows = p.parse_weekly_table_lines(v.supplier.select(k.alias("doc"), F.explode(pages).alias("x")).select("doc", "x.*"), r"^Grade (\d)", ["Total"], "By region")
     return rows.withColumn("values", F.array_join(F.transform("values", lambda x: F.coalesce(x.cast("long").cast("string"), F.lit(""))), ","))
 
@@ -127,7 +135,8 @@ def _(v):
 
     def line(i):
         pct = (k * i) % 130 / 1.25
-        pairs = F.concat(F.format_number(k * 1000 + i, 0), F.lit(" ("), pct.cast("string"), F.lit(") "), i.cast("string"), F.lit(" (50)"), F.when((k + i) % 4 == 0, " 1 (1)").otherwise(""))
+        pairs = F.concat(F.format_number(k * 1000 + i, 0), F.lit(" ("), pct.cast("string"), F.lit(") "), i.cast("string"), F.lit(" (50)"),
+            F.when((k + i) % 4 == 0, " 1 (1)").otherwise(""))
         return F.concat(F.when(i.isin(1, 4), F.concat((2018 + k % 3 + i).cast("string"), F.lit(" "))).otherwise(" "), ((k * 7 + i * 5) % 60).cast("string"), F.lit(" "), pairs)
     text = F.concat(F.lit("year week a b\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), line), "\n"))
     found = p.parse_weekly_pair_table(v.supplier.select(k.alias("doc"), text.alias("text")), ["a", "b"])
@@ -137,8 +146,10 @@ def _(v):
 @query("io10_parse_sentinel_indicators", """SELECT s_suppkey AS doc, s_suppkey / 10.0 AS ili, CAST(s_suppkey AS DOUBLE) AS clinics, CASE
 WHEN s_suppkey % 2 = 0 THEN 6.5 END AS threshold FROM {supplier}""")
 def _(v):
-    text = F.concat(F.lit("The rate of influenza-like illness was "), (F.col("s_suppkey") / 10).cast("string"), F.lit(" per 1,000 at "), F.format_number("s_suppkey", 0), F.lit(" clinics"), F.when(F.col("s_suppkey") % 2 == 0, " (threshold 6.5)").otherwise(""), F.lit("."))
-    return p.parse_sentinel_indicators(v.supplier.select(F.col("s_suppkey").alias("doc"), text.alias("text")), {"ili": r"illness was ([\d.]+)", "clinics": r"at ([\d,]+) clinics", "threshold": r"threshold ([\d.]+)"})
+    text = F.concat(F.lit("The rate of influenza-like illness was "), (F.col("s_suppkey") / 10).cast("string"), F.lit(" per 1,000 at "),
+        F.format_number("s_suppkey", 0), F.lit(" clinics"), F.when(F.col("s_suppkey") % 2 == 0, " (threshold 6.5)").otherwise(""), F.lit("."))
+    return p.parse_sentinel_indicators(v.supplier.select(F.col("s_suppkey").alias("doc"), text.alias("text")),
+        {"ili": r"illness was ([\d.]+)", "clinics": r"at ([\d,]+) clinics", "threshold": r"threshold ([\d.]+)"})
 
 
 @query("io17_parse_listing_with_hidden", """SELECT p_partkey AS page_id, (p_partkey + i) % 3 = 0 AS hidden, p_name || ' ' || i AS label, CASE
@@ -180,7 +191,8 @@ def _(v):
     k = F.col("s_suppkey")
 
     def lines(i):
-        method = F.when((i == 1) | ((k + i) % 3 == 0), F.concat(F.lit("Method: "), F.array(*map(F.lit, ("PCR", "Culture", "ELISA")))[((k + i) % 3).cast("int")], (i % 2).cast("string"), F.lit("\n"))).otherwise("")
+        method = F.when((i == 1) | ((k + i) % 3 == 0), F.concat(F.lit("Method: "), F.array(*map(F.lit,
+            ("PCR", "Culture", "ELISA")))[((k + i) % 3).cast("int")], (i % 2).cast("string"), F.lit("\n"))).otherwise("")
         when = F.when(k % 2 == 0, F.concat(F.lit("day "), i.cast("string"), F.lit(" "))).otherwise("")
         amount = F.when((k + i) % 2 == 0, F.concat(F.lit(" "), (1 + (k + i) % 9).cast("string"), F.lit(" mL"))).otherwise("")
         temp = F.when((k * i) % 3 == 0, F.concat(F.lit(" "), (i - k % 20).cast("string"), F.lit("°C"))).otherwise("")
@@ -203,7 +215,8 @@ WHEN event_id % 2 = 0 THEN '[' || event_type || '] ' ELSE '' END || 'Item ' || e
 ORDER BY {date:ts} DESC, event_id LIMIT 30""")
 def _(v):
     even = F.col("event_id") % 2 == 0
-    items = v.events.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(even, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("labels"), F.concat(F.lit("Item "), _s("event_id")).alias("title"))
+    items = v.events.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.when(even, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("labels"), F.concat(F.lit("Item "), _s("event_id")).alias("title"))
     return p.emit_feed(items, 30).drop("xml")
 
 

@@ -22,7 +22,8 @@ def _(v):
 @query("d1_year_cover", """SELECT * FROM (SELECT 2019 AS year, count(*) FILTER (p_size % 3 > 0) AS filled FROM {part} UNION ALL SELECT 2020,
 count(*) FILTER (p_size % 4 > 1) FROM {part})""")
 def _(v):
-    wide = v.part.select("p_name", F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("2019"), F.when(F.col("p_size") % 4 == 0, " ").when(F.col("p_size") % 4 == 1, "-").otherwise("7").alias("2020"))
+    wide = v.part.select("p_name", F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("2019"),
+        F.when(F.col("p_size") % 4 == 0, " ").when(F.col("p_size") % 4 == 1, "-").otherwise("7").alias("2020"))
     return q.year_cover(wide)
 
 
@@ -32,7 +33,8 @@ def _(v):
     return q.preview(v.part.select("p_partkey", "p_name", "p_brand"), ["p_partkey"], 4, 2, 5)
 
 
-@query("d2_check_year_columns", """SELECT * FROM (VALUES ('error', 'future year', '2003', NULL), ('warn', 'missing year', '1998', NULL), ('warn', 'missing year', '2002', NULL), ('warn', 'empty year', '2003', NULL), ('warn', 'empty year', '1994', NULL)) t(severity, \"check\", subject, detail)
+@query("d2_check_year_columns",
+    """SELECT * FROM (VALUES ('error', 'future year', '2003', NULL), ('warn', 'missing year', '1998', NULL), ('warn', 'missing year', '2002', NULL), ('warn', 'empty year', '2003', NULL), ('warn', 'empty year', '1994', NULL)) t(severity, \"check\", subject, detail)
 WHERE (SELECT count(*) FROM {brand_annual}) > 0""")
 def _(v):
     years = [1994, 1995, 1996, 1997, 1999, 2000, 2001, 2003]
@@ -43,7 +45,8 @@ def _(v):
 @query("d3_check_required", """SELECT 'error' AS severity, 'required' AS \"check\", CAST(p_partkey AS VARCHAR) AS subject, c AS detail
 FROM {part}, (VALUES ('a'), ('b')) t(c) WHERE c = 'a' AND p_size % 4 = 0 OR c = 'b' AND p_size % 5 = 0""")
 def _(v):
-    return q.check_required(v.part.select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_name")).alias("a"), F.when(F.col("p_size") % 5 == 0, " ").otherwise("x").alias("b")), "p_partkey", ["a", "b"])
+    return q.check_required(v.part.select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_name")).alias("a"),
+        F.when(F.col("p_size") % 5 == 0, " ").otherwise("x").alias("b")), "p_partkey", ["a", "b"])
 
 
 @query("d3_check_foreign_key", """SELECT 'error' AS severity, 'unknown reference' AS \"check\", CAST(o_orderkey AS VARCHAR) AS subject,
@@ -76,7 +79,8 @@ def _(v):
 @query("d5_self_consistency", """SELECT l_orderkey AS doc, count(*) FILTER (l_returnflag IN ('A', 'N')) AS kept,
 count(*) FILTER (l_returnflag = 'R') AS dropped, count(*) FILTER (l_returnflag = 'R') > 0 AS needs_review FROM {lineitem} GROUP BY 1""")
 def _(v):
-    return q.self_consistency(v.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("name")), v.orders.select(F.col("o_orderkey").alias("doc"), F.lit("a , N").alias("declared")))
+    return q.self_consistency(v.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("name")),
+        v.orders.select(F.col("o_orderkey").alias("doc"), F.lit("a , N").alias("declared")))
 
 
 @query("d6_check_pages", """SELECT s AS severity, c AS "check", CAST(page_id AS VARCHAR) AS subject, CASE
@@ -97,7 +101,8 @@ def _(v):
 FROM {customer} WHERE c_custkey % 7 = 0 UNION ALL SELECT 'warn', 'blanket value', 'all', 'same' FROM {region} WHERE r_regionkey = 0""")
 def _(v):
     values = v.customer.select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("value"))
-    blanket = v.customer.select(F.col("c_custkey").alias("entity"), F.lit("same").alias("value"), F.lit("all").alias("class")).union(v.customer.select("c_custkey", "c_name", F.lit("mixed")))
+    blanket = v.customer.select(F.col("c_custkey").alias("entity"), F.lit("same").alias("value"),
+        F.lit("all").alias("class")).union(v.customer.select("c_custkey", "c_name", F.lit("mixed")))
     return q.unsupported_values(values, values.where("entity % 7 > 0")).unionByName(q.blanket_values(blanket))
 
 
@@ -117,5 +122,6 @@ def _(v):
 @query("d11_severity_report", """SELECT severity, \"check\", count(*) AS n FROM (SELECT CASE
 WHEN p_size % 2 = 0 THEN 'error' ELSE 'warn' END AS severity, 'c' || p_size % 3 AS \"check\" FROM {part}) GROUP BY ROLLUP (severity, \"check\")""")
 def _(v):
-    findings = v.part.select(F.when(F.col("p_size") % 2 == 0, "error").otherwise("warn").alias("severity"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("check"))
+    findings = v.part.select(F.when(F.col("p_size") % 2 == 0, "error").otherwise("warn").alias("severity"),
+        F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("check"))
     return q.severity_report(findings)

@@ -58,8 +58,10 @@ WHERE r_regionkey < 2) p ON page_no <= 5 + s_suppkey % 3""",
 WHEN l_discount >= 0.02 THEN 1 ELSE 0 END) / count(*), 2) AS value FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
     "feed": "SELECT user_id AS id, event_type AS source, {date:ts} AS day, CAST(floor(value) AS INT) % 5 AS level, event_id FROM {events}",
 }
-_SPARK = {"isoyear": "CAST(extract(YEAROFWEEK FROM {0}) AS INT)", "week": "CAST(weekofyear({0}) AS INT)", "month": "date_format({0}, 'yyyy-MM')", "year": "year({0})", "date": "date_format({0}, 'yyyy-MM-dd')"}
-_DUCK = {"isoyear": "CAST(isoyear({0}) AS INT)", "week": "CAST(weekofyear({0}) AS INT)", "month": "strftime({0}, '%Y-%m')", "year": "year({0})", "date": "strftime({0}, '%Y-%m-%d')"}
+_SPARK = {"isoyear": "CAST(extract(YEAROFWEEK FROM {0}) AS INT)", "week": "CAST(weekofyear({0}) AS INT)", "month": "date_format({0}, 'yyyy-MM')",
+    "year": "year({0})", "date": "date_format({0}, 'yyyy-MM-dd')"}
+_DUCK = {"isoyear": "CAST(isoyear({0}) AS INT)", "week": "CAST(weekofyear({0}) AS INT)", "month": "strftime({0}, '%Y-%m')", "year": "year({0})",
+    "date": "strftime({0}, '%Y-%m-%d')"}
 
 
 def _render(sql: str, functions: dict[str, str], tables: dict[str, str], string: str) -> str:

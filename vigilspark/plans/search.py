@@ -19,20 +19,23 @@ def _corpus(v):
 
 def _queries(v):
     words = F.concat(F.lit(" "), "board", F.lit(" "), F.split("name", " ")[1], F.lit(" "))
-    return v.catalogue.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), words.alias("q")).union(v.nation.select((-1 - F.col("n_nationkey")).cast("long"), F.lower("n_name")))
+    return v.catalogue.where("doc % 100 = 0").select(F.col("doc").alias("query_id"),
+        words.alias("q")).union(v.nation.select((-1 - F.col("n_nationkey")).cast("long"), F.lower("n_name")))
 
 
 @query("q1_build_search_records", """SELECT 'country' AS kind, n_name AS title, n_regionkey AS region, NULL AS year FROM {nation} UNION ALL
 SELECT 'guide', title, NULL, year FROM {catalogue} UNION ALL SELECT 'person', c_name, NULL, NULL FROM {customer}""")
 def _(v):
-    return s.build_search_records({"country": v.nation.select(F.col("n_name").alias("title"), F.col("n_regionkey").alias("region")), "guide": v.catalogue.select("title", "year"), "person": v.customer.select(F.col("c_name").alias("title"))})
+    return s.build_search_records({"country": v.nation.select(F.col("n_name").alias("title"), F.col("n_regionkey").alias("region")),
+        "guide": v.catalogue.select("title", "year"), "person": v.customer.select(F.col("c_name").alias("title"))})
 
 
 @query("q2_build_hubs", """SELECT n_name AS entity, coalesce((SELECT string_agg(p_brand || p_partkey, ',' ORDER BY p_size, p_brand || p_partkey)
 FROM {part} WHERE p_partkey % 30 = n_nationkey), '') AS links, lower(n_name) || ' alias' || n_regionkey AS q FROM {nation}""")
 def _(v):
     entities = v.nation.select(F.col("n_name").alias("entity"), F.concat(F.lit("alias"), F.col("n_regionkey").cast("string")).alias("alias"))
-    links = v.part.select(F.concat(F.lit("NATION_"), (F.col("p_partkey") % 30).cast("string")).alias("entity"), F.col("p_size").alias("rank"), F.concat("p_brand", F.col("p_partkey").cast("string")).alias("label"))
+    links = v.part.select(F.concat(F.lit("NATION_"), (F.col("p_partkey") % 30).cast("string")).alias("entity"), F.col("p_size").alias("rank"),
+        F.concat("p_brand", F.col("p_partkey").cast("string")).alias("label"))
     return s.build_hubs(entities, links).withColumn("links", F.array_join("links", ","))
 
 
@@ -76,7 +79,8 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
 def _(v):
     rows = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey")).join(v.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("o_orderkey")
-    q = F.concat(F.lower(F.regexp_replace("o_orderpriority", r"^\d-", "")), F.lit("? "), F.when(k % 4 > 0, F.lower("n_name")).otherwise(""), F.when(k % 3 > 0, F.date_format("o_orderdate", " yyyy-MM")).otherwise(" 123"))
+    q = F.concat(F.lower(F.regexp_replace("o_orderpriority", r"^\d-", "")), F.lit("? "), F.when(k % 4 > 0, F.lower("n_name")).otherwise(""),
+        F.when(k % 3 > 0, F.date_format("o_orderdate", " yyyy-MM")).otherwise(" 123"))
     names = v.spark.createDataFrame([("urgent",), ("high",), ("low",)], "name string")
     return s.parse_queries(rows.select(k.alias("query_id"), q.alias("q")), names, v.nation.select(F.col("n_name").alias("name")))
 
@@ -140,4 +144,5 @@ WHEN kind = 'hub' THEN 4 ELSE 5 END""")
 def _(v):
     d = F.col("doc")
     known = v.catalogue.select((d % 7).alias("query_id"), (11 * (1 + d % 7)).alias("id"), F.lit(9).cast("long").alias("score")).distinct()
-    return s.facet_results(v.catalogue.select((d % 7).alias("query_id"), F.when(d % 11 == 0, "hub").otherwise(F.col("kind")).alias("kind"), d.alias("id"), (d * 31 % 17).alias("score")), ["hub", "guide"], recognised=known)
+    return s.facet_results(v.catalogue.select((d % 7).alias("query_id"), F.when(d % 11 == 0, "hub").otherwise(F.col("kind")).alias("kind"),
+        d.alias("id"), (d * 31 % 17).alias("score")), ["hub", "guide"], recognised=known)

@@ -113,7 +113,8 @@ CAST(substring(vaccine, 7) AS INT) % 5 = 4 THEN 9 ELSE 1 + CAST(substring(vaccin
 def _(v):
     k = F.substring("vaccine", 7, 9).cast("int")
     done = v.coverage.select("vaccine").distinct().withColumn("age", F.when(k % 5 == 4, 9).otherwise(1 + k % 2))
-    df = s.latest_coverage(v.coverage, done).select("vaccine", (2 + k % 9).cast("double").alias("r0_lo"), F.when(k % 4 == 0, 0.5).otherwise(0.95).alias("ve"), "actual", "actual_year")
+    df = s.latest_coverage(v.coverage, done).select("vaccine", (2 + k % 9).cast("double").alias("r0_lo"),
+        F.when(k % 4 == 0, 0.5).otherwise(0.95).alias("ve"), "actual", "actual_year")
     return s.threshold_order(s.immunity_threshold(df.withColumn("r0_hi", F.col("r0_lo") + 2))).select("vaccine", "low", "high", "actual", "actual_year", "verdict", "place")
 
 
@@ -129,7 +130,8 @@ count(rate) AS with_rate, arg_min(year, year - value * 10000) AS peak_year, max(
 FROM j z WHERE z.condition = j.condition)) AS peak_rate FROM j GROUP BY 1, 2""")
 def _(v):
     c = v.coverage
-    links = c.where("vaccine < 'Brand#2'").select("vaccine", F.lit("1-URGENT").alias("condition")).union(c.where("vaccine > 'Brand#4'").select("vaccine", F.lit("2-HIGH"))).distinct()
+    links = c.where("vaccine < 'Brand#2'").select("vaccine",
+        F.lit("1-URGENT").alias("condition")).union(c.where("vaccine > 'Brand#4'").select("vaccine", F.lit("2-HIGH"))).distinct()
     rates = c.where((F.col("age") == 1) & ((F.col("year") + F.substring("vaccine", 7, 9).cast("int")) % 3 > 0)).select("vaccine", "year", F.col("value").alias("rate"))
     return s.align_rate_and_cases(links, rates, v.annual.select(F.col("entity").alias("condition"), "year", F.col("value").alias("n")))
 
@@ -144,7 +146,8 @@ def _(v):
 CAST(NULL AS BIGINT) AS doc FROM {_SURGE} UNION ALL SELECT 'guide', name, min(year), CAST(least(84, 52 + 2 * count(*)) AS DOUBLE), arg_min(doc,
 CAST(year AS BIGINT) * 10000000 + doc) FROM {{catalogue}} GROUP BY name HAVING count(*) >= 3""")
 def _(v):
-    guides = s.first_appearances(v.catalogue.withColumnRenamed("name", "series")).select(F.col("series").alias("title"), "year", F.col("weight").cast("double").alias("weight"), "doc")
+    guides = s.first_appearances(v.catalogue.withColumnRenamed("name", "series")).select(F.col("series").alias("title"), "year",
+        F.col("weight").cast("double").alias("weight"), "doc")
     return s.event_history({"surge": _surges(v).select(F.col("entity").alias("title"), "year", "weight"), "guide": guides})
 
 
@@ -168,7 +171,8 @@ def _(v):
     d = F.col("doc")
     span = F.when(d % 2 == 0, F.concat(F.col("year").cast("string"), F.lit("~"), (F.col("year") + 1).cast("string"))).otherwise(F.col("year").cast("string"))
     label = F.concat(span, F.lit(" white paper "), F.when(d % 3 == 0, "(English)").when(d % 3 == 1, "Text").otherwise(""))
-    return s.edition_files(v.catalogue.select(label.alias("label"), (d % 4 == 0).alias("hidden"), F.when(d % 3 > 0, F.concat(F.lit("f"), d.cast("string"), F.lit(".pdf"))).otherwise("").alias("file")), [(2005, "centre"), (2020, "agency")]).withColumn(
+    return s.edition_files(v.catalogue.select(label.alias("label"), (d % 4 == 0).alias("hidden"),
+        F.when(d % 3 > 0, F.concat(F.lit("f"), d.cast("string"), F.lit(".pdf"))).otherwise("").alias("file")), [(2005, "centre"), (2020, "agency")]).withColumn(
         "links", F.array_join(F.transform("links", lambda x: F.concat(x.kind, F.lit("="), x.file)), ","))
 
 
@@ -177,7 +181,8 @@ WHEN p_size % 2 = 0 THEN p_size END, p_partkey) FILTER (p_size % 2 = 0) AS rows,
 WHEN p_partkey % 2 = 0 THEN 'csv' ELSE 'json' END, ',' ORDER BY p_partkey) AS formats FROM (SELECT *, p_partkey % 50 AS k FROM {part}) GROUP BY k""".replace(" arg_max(p_type, length(p_type) * 1000000 + 0) AS x,", " max(length(p_type)) AS note_length,"))
 def _(v):
     name = F.concat(F.lit("part"), (F.col("p_partkey") % 50).cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".csv").otherwise(".json"))
-    r = s.coalesce_same_stem(v.part.select(F.col("p_partkey").alias("place"), name.alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("rows"), F.col("p_type").alias("note")))
+    r = s.coalesce_same_stem(v.part.select(F.col("p_partkey").alias("place"), name.alias("name"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("rows"), F.col("p_type").alias("note")))
     return r.withColumn("note_length", F.length("note").cast("long")).drop("note")
 
 
@@ -202,7 +207,8 @@ WHEN year < 2006 THEN 1 ELSE 0 END, CASE WHEN kind = 'guide' THEN 0 ELSE 1 END,
 WHEN doc % 20 <= 9 THEN 1 ELSE 2 END, year DESC, doc % 20, doc) AS k FROM {catalogue}) WHERE k = 1""")
 def _(v):
     d = F.col("doc")
-    rows = v.catalogue.select(F.col("board").alias("entity"), "doc", "year", (F.col("year") < 2006).alias("old"), F.when(F.col("kind") == "guide", "direct").otherwise("group").alias("how"), (d % 3).alias("tier"), (d % 20).alias("scope"))
+    rows = v.catalogue.select(F.col("board").alias("entity"), "doc", "year", (F.col("year") < 2006).alias("old"),
+        F.when(F.col("kind") == "guide", "direct").otherwise("group").alias("how"), (d % 3).alias("tier"), (d % 20).alias("scope"))
     return s.primary_document(rows).select("entity", "doc")
 
 
@@ -215,7 +221,8 @@ def _(v):
 @query("t3_severity_order", """SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0
 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_acctbal, c_custkey) AS place FROM {customer}""")
 def _(v):
-    return s.severity_order(v.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", ["MACHINERY", "BUILDING"], [F.col("c_acctbal"), F.col("c_custkey")]).drop("c_acctbal")
+    return s.severity_order(v.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", ["MACHINERY", "BUILDING"],
+        [F.col("c_acctbal"), F.col("c_custkey")]).drop("c_acctbal")
 
 
 @query("e3_catalogue_reconcile", """SELECT l_orderkey AS k, CASE WHEN l_orderkey % 10 = 0 THEN 'orphan'

@@ -27,7 +27,8 @@ SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ratio DESC, year, week
 FROM (SELECT *, {_RATIO} AS ratio FROM {_BASED} WHERE base >= 3)) WHERE k = 1""")
 def _(v):
     ranked = s.anomaly_rank(s.five_year_weekly_mean(v.notif))
-    return ranked.select("entity", "year", "week", "n", F.round("base", 6).alias("base"), "ratio", F.col("rank").cast("long").alias("rank"), F.size("series").cast("long").alias("weeks"))
+    return ranked.select("entity", "year", "week", "n", F.round("base", 6).alias("base"), "ratio", F.col("rank").cast("long").alias("rank"),
+        F.size("series").cast("long").alias("weeks"))
 
 
 _PAIRS = """(SELECT CASE a.agent WHEN 'A/F' THEN '1-URGENT' WHEN 'R/F' THEN '2-HIGH' WHEN 'N/O' THEN '3-MEDIUM'
@@ -36,7 +37,8 @@ GROUP BY 1, 2, 3)"""
 
 
 def _lab_pairs(v):
-    name = F.when(F.col("agent") == "A/F", "1-URGENT").when(F.col("agent") == "R/F", "2-HIGH").when(F.col("agent") == "N/O", "3-MEDIUM").when(F.col("agent") == "N/F", "5-LOW").otherwise("4-NOT SPECIFIED")
+    name = F.when(F.col("agent") == "A/F", "1-URGENT").when(F.col("agent") == "R/F", "2-HIGH").when(F.col("agent") == "N/O",
+        "3-MEDIUM").when(F.col("agent") == "N/F", "5-LOW").otherwise("4-NOT SPECIFIED")
     return v.lab.groupBy(name.alias("entity"), "year", "week").agg(F.sum("positives").alias("right_value"))
 
 

@@ -12,7 +12,8 @@ def _s(col):
 
 @query("x1_html_to_text", "SELECT p_partkey, p_name || ' & ' || p_type || ' < ' || p_size AS text FROM {part}")
 def _(v):
-    html = F.concat(F.lit("<html><style>b{}</style><script>x='</b>'</script><b>"), "p_name", F.lit("</b>\n &amp; <i>"), "p_type", F.lit("</i>&nbsp;&lt;<br/> "), _s("p_size"), F.lit("</html>"))
+    html = F.concat(F.lit("<html><style>b{}</style><script>x='</b>'</script><b>"), "p_name", F.lit("</b>\n &amp; <i>"), "p_type",
+        F.lit("</i>&nbsp;&lt;<br/> "), _s("p_size"), F.lit("</html>"))
     return v.part.select("p_partkey", t.html_to_text(html).alias("text"))
 
 
@@ -32,7 +33,8 @@ def _(v):
 @query("x3_extract_as_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE {date:o_orderdate} END AS day FROM {orders}")
 def _(v):
     month = F.when(F.col("o_orderkey") % 7 == 0, "Brumaire").otherwise(F.date_format("o_orderdate", "MMMM"))
-    return v.orders.select("o_orderkey", t.extract_as_of(F.concat(F.lit("x. As of "), F.date_format("o_orderdate", "d"), F.lit(" "), month, F.date_format("o_orderdate", " yyyy"), F.lit(", y"))).alias("day"))
+    return v.orders.select("o_orderkey", t.extract_as_of(F.concat(F.lit("x. As of "), F.date_format("o_orderdate", "d"), F.lit(" "), month,
+        F.date_format("o_orderdate", " yyyy"), F.lit(", y"))).alias("day"))
 
 
 @query("x4_extract_counts", """SELECT o_orderkey, o_custkey * 7 AS confirmed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS deaths, CASE
@@ -40,11 +42,15 @@ WHEN o_orderkey % 2 = 0 THEN o_custkey % 100 / 10.0 END AS cfr, o_orderkey AS su
 def _(v):
     k = F.col("o_orderkey")
     n = lambda c: F.format_number(c, 0)
-    text = F.concat(F.lit("A total of "), n(F.col("o_custkey") * 7), F.lit(" confirmed cases"), F.when(k % 3 == 1, F.concat(F.lit(", including "), n(F.col("o_custkey")), F.lit(" deaths"))).when(k % 3 == 2, F.concat(F.lit(" with "), n(F.col("o_custkey")), F.lit(" related deaths"))).otherwise(""),
-                    F.when(k % 2 == 0, F.concat(F.lit(" (CFR: "), (F.col("o_custkey") % 100 / 10).cast("string"), F.lit("%)"))).otherwise(""), F.lit(" and "), n(k), F.lit(" suspected cases."))
+    text = F.concat(F.lit("A total of "), n(F.col("o_custkey") * 7), F.lit(" confirmed cases"),
+        F.when(k % 3 == 1, F.concat(F.lit(", including "), n(F.col("o_custkey")), F.lit(" deaths"))).when(k % 3 == 2,
+            F.concat(F.lit(" with "), n(F.col("o_custkey")), F.lit(" related deaths"))).otherwise(""),
+                    F.when(k % 2 == 0, F.concat(F.lit(" (CFR: "), (F.col("o_custkey") % 100 / 10).cast("string"), F.lit("%)"))).otherwise(""),
+                        F.lit(" and "), n(k), F.lit(" suspected cases."))
     notice = F.concat(F.lit("Cases: "), n(F.col("o_custkey")), F.lit(" States: "), n(k))
     c, m = t.extract_counts(text), t.extract_notice_counts(notice)
-    return v.orders.select("o_orderkey", c.confirmed.alias("confirmed"), c.deaths.alias("deaths"), c.cfr.alias("cfr"), c.suspected.alias("suspected"), m.cases.alias("cases"), m.states.alias("states"))
+    return v.orders.select("o_orderkey", c.confirmed.alias("confirmed"), c.deaths.alias("deaths"), c.cfr.alias("cfr"), c.suspected.alias("suspected"),
+        m.cases.alias("cases"), m.states.alias("states"))
 
 
 @query("x5_extract_risk", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'very high' END AS global, CASE
@@ -52,18 +58,21 @@ WHEN c_custkey % 2 = 0 THEN 'high' END AS regional FROM {customer}""")
 def _(v):
     k = F.col("c_custkey")
     level = F.when(k % 3 == 0, "low").when(k % 3 == 1, "moderate").otherwise("very high")
-    text = F.concat(F.lit("Nothing is high here. The risk is assessed as "), level, F.lit(" at the global level"), F.when(k % 2 == 0, ", and high at the regional level").otherwise(""), F.lit(". The risk globally stays low."))
+    text = F.concat(F.lit("Nothing is high here. The risk is assessed as "), level, F.lit(" at the global level"),
+        F.when(k % 2 == 0, ", and high at the regional level").otherwise(""), F.lit(". The risk globally stays low."))
     risk = t.extract_risk(text)
     return v.customer.select("c_custkey", F.try_element_at(risk, F.lit("global")).alias("global"), F.try_element_at(risk, F.lit("regional")).alias("regional"))
 
 
-@query("x6_extract_travel_advice", """WITH t AS (SELECT p_partkey AS k, lower(p_name || ': ' || ['WHO advises ', 'The office recommends ', 'It warns ', 'Nobody advises '][1 + p_partkey % 4] || ['against ', '', 'against any ', 'the '][1 + p_size % 4] || ['travel or trade', 'application of travel', 'trade', 'application of any travel'][1 + (p_partkey + p_size) % 4] || ' restrictions') AS s
+@query("x6_extract_travel_advice",
+    """WITH t AS (SELECT p_partkey AS k, lower(p_name || ': ' || ['WHO advises ', 'The office recommends ', 'It warns ', 'Nobody advises '][1 + p_partkey % 4] || ['against ', '', 'against any ', 'the '][1 + p_size % 4] || ['travel or trade', 'application of travel', 'trade', 'application of any travel'][1 + (p_partkey + p_size) % 4] || ' restrictions') AS s
 FROM {part})
 SELECT k AS p_partkey, CASE WHEN regexp_matches(s, '(advises|recommends) against (any |the )?(application of )?(any )?travel') THEN 'against'
 WHEN regexp_matches(s, '(advises|recommends) (any |the )?travel') THEN 'advises' END AS advice FROM t""")
 def _(v):
     pick = lambda place, *words: F.array(*map(F.lit, words))[(place % 4).cast("int")]
-    text = F.concat("p_name", F.lit(": "), pick(F.col("p_partkey"), "WHO advises ", "The office recommends ", "It warns ", "Nobody advises "), pick(F.col("p_size"), "against ", "", "against any ", "the "),
+    text = F.concat("p_name", F.lit(": "), pick(F.col("p_partkey"), "WHO advises ", "The office recommends ", "It warns ", "Nobody advises "),
+        pick(F.col("p_size"), "against ", "", "against any ", "the "),
                     pick(F.col("p_partkey") + F.col("p_size"), "travel or trade", "application of travel", "trade", "application of any travel"), F.lit(" restrictions"))
     return v.part.select("p_partkey", t.extract_travel_advice(text).alias("advice"))
 
@@ -87,14 +96,17 @@ def _(v):
 CASE WHEN p_size % 2 = 0 THEN 'Figure 2. Cases of ' || p_brand ELSE 'map' END AS figures FROM {part}""")
 def _(v):
     url = F.concat(F.lit('<img src="http://x.org/'), _s("p_partkey"), F.lit('.png" alt="'))
-    html = F.concat(url, F.lit('no"> <figcaption><b>'), "p_name", F.lit('</b></figcaption><img src="/local.png" alt="l"><img alt="'), "p_type", F.lit('" src="https://x.org/b.png"><p>'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("See Figure 2. Cases of <b>"), "p_brand", F.lit("</b></p>"))).otherwise("Figures differ</p>"), F.lit('<img src="http://x.org/c.png" alt="map">'), url, F.lit('again">'))
+    html = F.concat(url, F.lit('no"> <figcaption><b>'), "p_name", F.lit('</b></figcaption><img src="/local.png" alt="l"><img alt="'), "p_type",
+        F.lit('" src="https://x.org/b.png"><p>'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("See Figure 2. Cases of <b>"), "p_brand",
+            F.lit("</b></p>"))).otherwise("Figures differ</p>"), F.lit('<img src="http://x.org/c.png" alt="map">'), url, F.lit('again">'))
     return v.part.select("p_partkey", F.array_join(F.transform(t.extract_figures(html), lambda f: F.concat(f.url, F.lit("="), f.caption)), ";").alias("figures"))
 
 
 @query("x9_extract_tables", """SELECT p_partkey, 'Sizes of ' || p_brand AS caption, 'name,size,size;' || p_name || ',' || p_size || ',x;' || p_name || ',y,z' AS cells
 FROM {part}""")
 def _(v):
-    html = F.concat(F.lit("<table><tr><td>one row</td></tr></table><table><tr><td><table class=x><caption>Sizes of <i>"), "p_brand", F.lit("</i></caption><tr><th>name</th><th colspan='2'>size</th></tr><tr><td rowspan=\"2\"><b>"), "p_name", F.lit("</b></td>\n<td> "), _s("p_size"),
+    html = F.concat(F.lit("<table><tr><td>one row</td></tr></table><table><tr><td><table class=x><caption>Sizes of <i>"), "p_brand",
+        F.lit("</i></caption><tr><th>name</th><th colspan='2'>size</th></tr><tr><td rowspan=\"2\"><b>"), "p_name", F.lit("</b></td>\n<td> "), _s("p_size"),
                     F.lit("</td><td>x<tr><td>y<td>z</table></td></tr></table>"))
     found = t.extract_tables(html)[0]
     return v.part.select("p_partkey", found.caption.alias("caption"), F.array_join(F.transform(found["rows"], lambda r: F.array_join(r, ",")), ";").alias("cells"))
@@ -104,14 +116,18 @@ def _(v):
 CAST(p_size % 5 AS INT) END AS level FROM {part}""")
 def _(v):
     title = F.concat(F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("Level "), (F.col("p_size") % 5).cast("string"), F.lit(" - "))).otherwise("Sea level - "), "p_name")
-    html = F.concat(F.lit("<ul><li>menu</li></ul><h2 id=k> Key Points </h2>\n<ul class=y><li>"), "p_name", F.lit("</li><li><a href=x>"), "p_brand", F.lit("</a></li></ul><ul><li>z</li></ul>"))
+    html = F.concat(F.lit("<ul><li>menu</li></ul><h2 id=k> Key Points </h2>\n<ul class=y><li>"), "p_name", F.lit("</li><li><a href=x>"), "p_brand",
+        F.lit("</a></li></ul><ul><li>z</li></ul>"))
     return v.part.select("p_partkey", F.array_join(t.extract_key_points(html, "key points"), "|").alias("points"), t.extract_level(title).alias("level"))
 
 
-@query("x11_extract_article_meta", """SELECT o_orderkey, o_orderpriority AS department, {date:o_orderdate} AS date, 'It is ' || o_orderstatus || '. It stays.' AS summary, 'a.pdf|' || o_orderkey || '.hwp' AS files
+@query("x11_extract_article_meta",
+    """SELECT o_orderkey, o_orderpriority AS department, {date:o_orderdate} AS date, 'It is ' || o_orderstatus || '. It stays.' AS summary, 'a.pdf|' || o_orderkey || '.hwp' AS files
 FROM {orders}""")
 def _(v):
-    html = F.concat(F.lit("<dt>Department</dt> <dd> "), "o_orderpriority", F.lit("</dd><span>"), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit('</span><div class="body"><p>It is '), "o_orderstatus", F.lit('. It stays.</p> <p>More.</p></div><a class="file" href=1>a.pdf</a><a class="file">'), _s("o_orderkey"), F.lit('.hwp</a><a class="file">a.pdf</a>'))
+    html = F.concat(F.lit("<dt>Department</dt> <dd> "), "o_orderpriority", F.lit("</dd><span>"), F.date_format("o_orderdate", "yyyy.MM.dd"),
+        F.lit('</span><div class="body"><p>It is '), "o_orderstatus",
+            F.lit('. It stays.</p> <p>More.</p></div><a class="file" href=1>a.pdf</a><a class="file">'), _s("o_orderkey"), F.lit('.hwp</a><a class="file">a.pdf</a>'))
     m = t.extract_article_meta(html)
     return v.orders.select("o_orderkey", m.department.alias("department"), m.date.alias("date"), m.summary.alias("summary"), F.array_join(m.files, "|").alias("files"))
 
@@ -122,7 +138,8 @@ FROM {orders}""")
 def _(v):
     k = F.col("o_orderkey")
     one = k % 3 == 1
-    return v.orders.select("o_orderkey", t.compose_summary(F.when(k % 3 > 0, F.col("o_custkey") % 900), F.when(k % 3 == 2, k % 100), F.when(one, "2024-01-02").otherwise(""), F.when(one, "NATION").otherwise("")).alias("summary"))
+    return v.orders.select("o_orderkey", t.compose_summary(F.when(k % 3 > 0, F.col("o_custkey") % 900), F.when(k % 3 == 2, k % 100),
+        F.when(one, "2024-01-02").otherwise(""), F.when(one, "NATION").otherwise("")).alias("summary"))
 
 
 @query("x13_parse_duration_range", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN p_size / 24.0 ELSE CAST(p_size AS DOUBLE) END AS low, CASE
@@ -131,7 +148,8 @@ WHEN p_partkey % 3 = 0 THEN p_size + 4.0 END AS usual_high FROM {part}""")
 def _(v):
     n = lambda d: (F.col("p_size") + d).cast("string")
     k = F.col("p_partkey") % 3
-    text = F.when(k == 0, F.concat(n(0), F.lit("~"), n(10), F.lit(" days (usually "), n(2), F.lit("~"), n(4), F.lit(")"))).when(k == 1, F.concat(n(0), F.lit("-"), n(10), F.lit(" days"))).otherwise(F.concat(n(0), F.lit(" hours")))
+    text = F.when(k == 0, F.concat(n(0), F.lit("~"), n(10), F.lit(" days (usually "), n(2), F.lit("~"), n(4), F.lit(")"))).when(k == 1,
+        F.concat(n(0), F.lit("-"), n(10), F.lit(" days"))).otherwise(F.concat(n(0), F.lit(" hours")))
     return v.part.select("p_partkey", F.explode(F.array(t.parse_duration_range(text))).alias("r")).select("p_partkey", "r.*")
 
 

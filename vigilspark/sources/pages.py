@@ -21,7 +21,8 @@ def parse_rss(feeds: DataFrame, cap: int = 320) -> DataFrame:
     """(source, body) to items: title, link, date, summary.  RFC 822 or ISO dates; another date is empty."""
     item = F.explode(F.regexp_extract_all("body", F.lit(r"(?s)(<item\b.*?</item>)"), 1))
     when = F.trim(F.regexp_replace(_tag(F.col("_i"), "pubDate"), r"^\w{3}, ", ""))
-    date = F.coalesce(F.try_to_timestamp(when, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(when, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(F.substring(when, 1, 10), F.lit("yyyy-MM-dd")))
+    date = F.coalesce(F.try_to_timestamp(when, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(when, F.lit("d MMM yyyy HH:mm:ss z")),
+        F.try_to_timestamp(F.substring(when, 1, 10), F.lit("yyyy-MM-dd")))
     return feeds.select("source", item.alias("_i")).select(
         "source", html_to_text(_tag(F.col("_i"), "title")).alias("title"), F.trim(_tag(F.col("_i"), "link")).alias("link"),
         F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("")).alias("date"), F.substring(html_to_text(_tag(F.col("_i"), "description")), 1, cap).alias("summary"))
@@ -31,7 +32,8 @@ def parse_api_items(df: DataFrame, source: str, cap: int = 320) -> DataFrame:
     """JSON bodies with a ``value`` array to items; the summary falls back to the overview."""
     schema = "value array<struct<Id:string,Title:string,PublicationDate:string,Summary:string,Overview:string>>"
     v = F.explode(F.from_json("body", schema)["value"])
-    return df.select(v.alias("_v")).select(F.concat(F.lit(f"{source}:"), F.col("_v.Id")).alias("id"), F.lit(source).alias("source"), F.trim("_v.Title").alias("title"), F.substring("_v.PublicationDate", 1, 10).alias("date"),
+    return df.select(v.alias("_v")).select(F.concat(F.lit(f"{source}:"), F.col("_v.Id")).alias("id"), F.lit(source).alias("source"),
+        F.trim("_v.Title").alias("title"), F.substring("_v.PublicationDate", 1, 10).alias("date"),
                                            F.substring(html_to_text(F.coalesce(F.nullif("_v.Summary", F.lit("")), "_v.Overview", F.lit(""))), 1, cap).alias("summary"))
 
 
@@ -55,7 +57,8 @@ def parse_html_table_long(pages: DataFrame, caption: str, kinds: list[str]) -> D
     rows = rows.withColumn("label", F.when(whole, F.nullif(F.get("_r", F.lit(0)), F.lit("")))).withColumn("_c", F.when(whole, F.slice("_r", 2, 1 << 20)).otherwise(F.col("_r")))
     rows = carry_down(rows, "label", ["page_id"], ["_n"]).where(F.get("_c", F.lit(0)).isin(kinds))
     cells = F.explode(F.arrays_zip(F.slice("_h", 3, 1 << 20).alias("h"), F.slice("_c", 2, 1 << 20).alias("c")))
-    return rows.select("page_id", "label", F.get("_c", F.lit(0)).alias("kind"), cells.alias("_z")).select("page_id", "label", "kind", F.col("_z.h").alias("column"), clean_number(F.col("_z.c")).alias("value"))
+    return rows.select("page_id", "label", F.get("_c", F.lit(0)).alias("kind"), cells.alias("_z")).select("page_id", "label", "kind",
+        F.col("_z.h").alias("column"), clean_number(F.col("_z.c")).alias("value"))
 
 
 def parse_markdown_cards(files: DataFrame, skip: str = "(?i)^contents") -> DataFrame:
@@ -73,7 +76,8 @@ def parse_markdown_cards(files: DataFrame, skip: str = "(?i)^contents") -> DataF
     first = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["_f"] == e["_f"]) & (o["no"] < e["no"])))
     name = F.regexp_replace("_card", r"^\d+\t", "")
     return rows.groupBy("file", "_card").agg(F.map_from_entries(F.transform(first, lambda e: F.struct(e["_f"], e["_v"]))).alias("fields"),
-                                             F.transform(F.array_sort(F.collect_list(F.when(F.col("_note").isNotNull(), F.struct("no", "_note")))), lambda x: x["_note"]).alias("notes")).select(
+                                             F.transform(F.array_sort(F.collect_list(F.when(F.col("_note").isNotNull(), F.struct("no", "_note")))),
+                                                 lambda x: x["_note"]).alias("notes")).select(
         "file", F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", "")).alias("entity"), F.regexp_extract(name, r"\(([^)]*)\)\s*$", 1).alias("alias"), "fields", "notes")
 
 
@@ -109,11 +113,14 @@ def parse_weekly_pair_table(pages: DataFrame, columns: list[str]) -> DataFrame:
     Rows with another number of pairs, a week outside 1 to 53 or a pct outside 0 to 100 go; a year carries down."""
     lines = pages.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     pair = r"([\d,]+)\s*\(([\d.]+)\)"
-    rows = lines.withColumn("year", F.regexp_extract("line", r"^\s*(\d{4})\s+\d{1,2}\s", 1).try_cast("int")).withColumn("week", F.regexp_extract("line", r"^\s*(?:\d{4}\s+)?(\d{1,2})\s", 1).try_cast("int"))
-    rows = carry_down(rows, "year", ["doc"], ["no"]).withColumn("_n", F.regexp_extract_all("line", F.lit(pair), 1)).withColumn("_p", F.transform(F.regexp_extract_all("line", F.lit(pair), 2), lambda x: x.try_cast("double")))
+    rows = lines.withColumn("year", F.regexp_extract("line", r"^\s*(\d{4})\s+\d{1,2}\s", 1).try_cast("int")).withColumn("week",
+        F.regexp_extract("line", r"^\s*(?:\d{4}\s+)?(\d{1,2})\s", 1).try_cast("int"))
+    rows = carry_down(rows, "year", ["doc"], ["no"]).withColumn("_n", F.regexp_extract_all("line", F.lit(pair), 1)).withColumn("_p",
+        F.transform(F.regexp_extract_all("line", F.lit(pair), 2), lambda x: x.try_cast("double")))
     rows = rows.where((F.size("_n") == len(columns)) & F.col("week").between(1, 53) & F.forall("_p", lambda p: p.between(0, 100)))
     cells = F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("a"), F.col("_n").alias("n"), F.col("_p").alias("p")))
-    return rows.select("doc", "year", "week", cells.alias("_z")).select("doc", "year", "week", F.col("_z.a").alias("agent"), clean_number(F.col("_z.n"), True).alias("n"), F.col("_z.p").alias("pct"))
+    return rows.select("doc", "year", "week", cells.alias("_z")).select("doc", "year", "week", F.col("_z.a").alias("agent"),
+        clean_number(F.col("_z.n"), True).alias("n"), F.col("_z.p").alias("pct"))
 
 
 def parse_sentinel_indicators(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -124,8 +131,10 @@ def parse_sentinel_indicators(pages: DataFrame, patterns: dict[str, str]) -> Dat
 def parse_listing_with_hidden(pages: DataFrame) -> DataFrame:
     """List items (label, cover, file) of each page; those inside a comment are hidden."""
     part = F.posexplode(F.split("html", r"<!--|-->"))
-    items = pages.select("page_id", part.alias("_n", "_p")).select("page_id", (F.col("_n") % 2 == 1).alias("hidden"), F.explode(F.regexp_extract_all("_p", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1)).alias("_i"))
-    return items.select("page_id", "hidden", html_to_text(F.regexp_extract("_i", r"(?is)<b>(.*?)</b>", 1)).alias("label"), F.regexp_extract("_i", r'(?i)<img[^>]*src="([^"]*)"', 1).alias("cover"),
+    items = pages.select("page_id", part.alias("_n", "_p")).select("page_id", (F.col("_n") % 2 == 1).alias("hidden"),
+        F.explode(F.regexp_extract_all("_p", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1)).alias("_i"))
+    return items.select("page_id", "hidden", html_to_text(F.regexp_extract("_i", r"(?is)<b>(.*?)</b>", 1)).alias("label"),
+        F.regexp_extract("_i", r'(?i)<img[^>]*src="([^"]*)"', 1).alias("cover"),
                         F.nullif(F.regexp_extract("_i", r'(?i)<a[^>]*href="([^"]*)"', 1), F.lit("")).alias("file"))
 
 
@@ -138,7 +147,8 @@ def report_header(pages: DataFrame, needles: list[str], excluded: list[str]) ->
         fits = fits & ~F.col("text").contains(w)
     first = pages.groupBy("doc").agg(F.min_by("text", "page_no").alias("_t"), F.min(F.when(fits, F.col("page_no"))).alias("page"))
     read = lambda p: F.regexp_extract("_t", p, 1)
-    return first.select("doc", read(r"(?i)vol(?:ume)?\.?\s*(\d+)").try_cast("int").alias("volume"), read(r"(?i)\bno\.?\s*(\d+)").try_cast("int").alias("number"), read(r"(\d{4}-\d{2}-\d{2})").alias("date"), "page")
+    return first.select("doc", read(r"(?i)vol(?:ume)?\.?\s*(\d+)").try_cast("int").alias("volume"),
+        read(r"(?i)\bno\.?\s*(\d+)").try_cast("int").alias("number"), read(r"(\d{4}-\d{2}-\d{2})").alias("date"), "page")
 
 
 def grep_pages(pages: DataFrame, word: str, limit: int) -> DataFrame:
@@ -151,11 +161,13 @@ def parse_specimen_rows(lines: DataFrame, containers: list[str], method: str) ->
     """Lines (doc, no, line) to specimens: name, when, container, amount, temp; the container word is the anchor, a
     method line and a temperature carry down."""
     anchor = "|".join(containers)
-    rows = lines.withColumn("method", F.nullif(F.regexp_extract("line", method, 1), F.lit(""))).withColumn("temp", F.nullif(F.regexp_extract("line", r"(-?\d+\s*°C)", 1), F.lit("")))
+    rows = lines.withColumn("method", F.nullif(F.regexp_extract("line", method, 1), F.lit(""))).withColumn("temp",
+        F.nullif(F.regexp_extract("line", r"(-?\d+\s*°C)", 1), F.lit("")))
     rows = carry_down(carry_down(rows, "method", ["doc"], ["no"]), "temp", ["doc"], ["no"])
     form = rf"^(\S+)\s+(.*?)\s*({anchor})\b(?:\s+([\d.]+\s*mL))?"
     part = lambda i: F.trim(F.regexp_extract("line", form, i))
-    return rows.where(F.col("line").rlike(rf"^\S+\s.*\b(?:{anchor})\b")).select("doc", "no", "method", part(1).alias("name"), part(2).alias("when"), part(3).alias("container"), part(4).alias("amount"), "temp")
+    return rows.where(F.col("line").rlike(rf"^\S+\s.*\b(?:{anchor})\b")).select("doc", "no", "method", part(1).alias("name"), part(2).alias("when"),
+        part(3).alias("container"), part(4).alias("amount"), "temp")
 
 
 def split_sections(pages: DataFrame, tag: str) -> DataFrame:
@@ -172,12 +184,14 @@ def emit_feed(items: DataFrame, n: int) -> DataFrame:
     tags = F.when(F.size("labels") > 0, F.concat(F.lit("["), F.array_join("labels", ", "), F.lit("] "))).otherwise("")
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     title = F.concat(tags, F.col("title"))
-    return newest.select("id", "date", title.alias("title"), F.concat(F.lit("<item><title>"), escape(title), F.lit("</title><pubDate>"), "date", F.lit("</pubDate></item>")).alias("xml"))
+    return newest.select("id", "date", title.alias("title"), F.concat(F.lit("<item><title>"), escape(title), F.lit("</title><pubDate>"), "date",
+        F.lit("</pubDate></item>")).alias("xml"))
 
 
 def emit_digest(items: DataFrame, day: str) -> DataFrame:
     """One row: the subject with the number of items first seen on the day, and their titles by source."""
     rows = items.where(F.col("first_seen") == day)
     by = rows.groupBy("source").agg(F.count("*").alias("n"))
-    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="), F.col("n").cast("string")))), ",").alias("sources")).select(
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit("="),
+        F.col("n").cast("string")))), ",").alias("sources")).select(
         F.concat(F.lit(f"{day}: "), F.col("n").cast("string"), F.lit(" new")).alias("subject"), "n", "sources")

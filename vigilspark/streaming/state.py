@@ -101,7 +101,8 @@ def item_stream(stream: DataFrame, watched: list[str] | None = None, ttl: timede
     ``stream`` has id, day, seq and the fields; all of them are watched unless said otherwise.  An item's state ends
     ``ttl`` after its last delivery, a day's after its own."""
     fields = {f.name: f.dataType.simpleString() for f in stream.schema if f.name not in ("id", "day", "seq")}
-    out = f"id {stream.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind}" for c, kind in fields.items()) + ", first_seen string, last_seen string, updated string, changes array<string>"
+    out = f"id {stream.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind}" for c,
+        kind in fields.items()) + ", first_seen string, last_seen string, updated string, changes array<string>"
     state = ItemState(fields, list(fields) if watched is None else watched, int(ttl.total_seconds() * 1000))
     return stream.groupBy("id").transformWithStateInPandas(statefulProcessor=state, outputStructType=out, outputMode="Update", timeMode="ProcessingTime")
 
@@ -185,7 +186,8 @@ def collect_sources(streams: dict[str, DataFrame], out: str, checkpoint: str) ->
     queries, failed = {}, {}
     for name, stream in streams.items():
         try:
-            queries[name] = stream.writeStream.format("parquet").option("path", f"{out}/source={name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+            queries[name] = stream.writeStream.format("parquet").option("path", f"{out}/source={name}").option("checkpointLocation",
+                f"{checkpoint}/{name}").trigger(availableNow=True).start()
         except Exception as e:  # a stream that can't even be planned
             failed[name] = str(e)
     rows = []
