@@ -1,9 +1,8 @@
 """The pipeline's stages on a small table, each against what it must keep."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +29,47 @@ def test_stages(spark):
     assert pipeline.byte_level_bpe(spark, mixed, "").where("n_tokens > 0").count() == mixed.count()
 
 
+def brute_quality(text):
+    """The verdict of the quality rules by counting: windows of three words, repeats of ten or more."""
+    from tests.llm.test_operators import WORD
+
+    w = WORD.findall(text or "")
+    threes = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    repeated = {k for i in range(len(w) - 2) if threes[tuple(w[i:i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    if len(w) < 50 or 100 * len(repeated) > 50 * len(w):
+        return False
+    starts = defaultdict(list)
+    for i in range(len(w) - 9):
+        starts[tuple(w[i:i + 10])].append(i)
+    covered, longest = set(), 0
+    for i, j in ((i, j) for same in starts.values() for i in same for j in same if i != j):
+        n = 10
+        while max(i, j) + n < len(w) and w[i + n] == w[j + n]:
+            n += 1
+        covered.update(range(i, i + n))
+        longest = max(longest, n)
+    return 100 * len(covered) <= 30 * len(w) and 100 * longest <= 20 * len(w)
+
+
+def brute_groups(rows):
+    """The row of smallest doc_id of each group of near copies, null last."""
+    from tests.llm.test_operators import FOLD, WORD
+
+    sets = []
+    for r in rows:
+        w = WORD.findall((r[1] or "").translate(FOLD))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    place = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    return [rows[min((i for i in range(len(rows)) if group[i] == g), key=place)] for g in sorted(set(group))]
+
+
 def brute_run(rows):
     """What the four text stages leave of (doc_id, text, lang, source, n_chars), and the tokens of each row."""
     import hashlib
@@ -37,30 +77,11 @@ def brute_run(rows):
     import public_tokenizers
     import tiktoken
 
-    from tests.llm.test_operators import FOLD, WORD
-    from vigilspark.llm import bpe, quality
-    from vigilspark.llm.blocks import Block
-
-    counts = quality.measure(Block.of(pa.array([r[1] for r in rows], pa.string())))
-    kept = []
-    for i, r in enumerate(rows):
-        c = {k: int(v[i]) for k, v in counts.items()}
-        base = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
-        if not base and 100 * c["n_covered_words"] <= 30 * c["n_words"] and 100 * c["longest_repeat"] <= 20 * c["n_words"]:
-            kept.append(r)
-    sets = []
-    for r in kept:
-        w = WORD.findall(r[1].translate(FOLD))
-        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)})
-    group = list(range(len(kept)))
-    for i in range(len(kept)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
-                a, b = group[i], group[j]
-                group = [b if g == a else g for g in group]
-    place = lambda i: (kept[i][0] is None, kept[i][0] or 0)
-    single = [kept[min((i for i in range(len(kept)) if group[i] == g), key=place)] for g in sorted(set(group))]
+    from tests.llm.test_operators import WORD
+    from vigilspark.llm import bpe
+
+    kept = [r for r in rows if brute_quality(r[1])]
+    single = brute_groups(kept)
     seen = Counter(d[i:i + 200] for r in single for d in [r[1].encode()] for i in range(len(d) - 199))
     cut = []
     for r in single:
@@ -119,6 +140,10 @@ def test_stages_take_empty_and_awkward_tables(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, awkward, "").count() >= 0
         assert stage(spark, awkward.limit(0), "").count() == 0
+    rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
+    same = lambda stage, want: Counter((r["doc_id"], r["text"]) for r in stage(spark, awkward, "").collect()) == Counter(want)
+    assert same(pipeline.quality_rules, [r for r in rows if brute_quality(r[1])])
+    assert same(pipeline.ngram_jaccard_join, brute_groups(rows))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
