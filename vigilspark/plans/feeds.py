@@ -42,10 +42,14 @@ _GAPPY = """(SELECT id, day, event_id AS seq, CASE WHEN event_id % 13 > 0 THEN s
 FROM {feed} QUALIFY row_number() OVER (PARTITION BY id, day ORDER BY event_id DESC) = 1)"""
 
 
-def _stream(v, rows, files):
-    """``rows`` as a stream of files, one a micro-batch."""
+def _stream(v, rows, files, in_order=False):
+    """``rows`` as a stream of files, one a micro-batch; ``in_order``: of their numbers, as far as they are known."""
     path = v.folder("incoming")
-    rows.repartition(files, "file").write.parquet(path)
+    if in_order:  # the source reads older files first, so they are written one after the other
+        for k in sorted(r[0] for r in rows.select("file").distinct().collect()):
+            rows.where(F.col("file") == k).coalesce(1).write.mode("append").parquet(path)
+    else:
+        rows.repartition(files, "file").write.parquet(path)
     return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).drop("file")
 
 
@@ -88,7 +92,7 @@ def _(v):
     events = v.events.select(F.col("user_id").alias("source"), "ts", F.floor(F.unix_timestamp("ts") / 864_000).alias("file"))
     sources = v.events.where("user_id % 9 > 0").select(F.col("user_id").alias("source"), F.expr(_CADENCE.format("user_id")).alias("cadence")).distinct().union(
         v.spark.createDataFrame([(-1, 4)], "source long, cadence int")).withColumn("start", F.lit("2024-01-01"))
-    return _output(v, state.quiet_stream(_stream(v, events, 4), sources), "append").drop("batch")
+    return _output(v, state.quiet_stream(_stream(v, events, 4, in_order=True), sources), "append").drop("batch")
 
 
 @query("r4_source_streams", """SELECT event_type AS source, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END AS
