@@ -104,8 +104,9 @@ def _(v):
     read = lambda kind: v.spark.readStream.schema(v.events.schema).parquet(path).where(F.col("event_type") == kind).select(
         F.when(F.col("event_type") == "error", F.raise_error(F.lit("the source sent nonsense"))).otherwise(F.col("event_id")).cast("long").alias("event_id"))
     out = v.folder("collected")
-    health = state.collect_sources({k: read(k) for k in kinds}, out, v.folder("streams"))
-    items = v.spark.read.schema("event_id long, source string").parquet(out).groupBy("source").agg(F.count("*").alias("count"), F.sum("event_id").alias("ids"))
+    streams = {k: read(k) for k in kinds}
+    health = state.collect_sources(streams, out, v.folder("streams"))
+    items = state.collected(streams, out).groupBy("source").agg(F.count("*").alias("count"), F.sum("event_id").alias("ids"))
     zero = F.lit(0).cast("long")
     return health.drop("count").join(items, "source", "left").select("source", "ok", F.coalesce("count", zero).alias("count"), F.coalesce("ids", zero).alias("ids"))
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -183,22 +184,44 @@ def collect_sources(streams: dict[str, DataFrame], out: str, checkpoint: str) ->
     Rows (source, ok, error, count) for the sources; items are below ``out``, in a folder ``source=...`` each.  A source
     that fails stops its own query only: what it has committed stays, the others go on, and its next run takes up where
     its checkpoint ends."""
-    queries, failed = {}, {}
+    queries, failed, had = {}, {}, {}
     for name, stream in streams.items():
+        had[name] = _rows_in(stream, f"{out}/source={name}")
         try:
-            queries[name] = stream.writeStream.format("parquet").option("path", f"{out}/source={name}").option("checkpointLocation",
-                f"{checkpoint}/{name}").trigger(availableNow=True).start()
+            queries[name] = stream.writeStream.format("parquet").option("path", f"{out}/source={name}").option(
+                "checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
         except Exception as e:  # a stream that can't even be planned
             failed[name] = str(e)
-    rows = []
-    for name in streams:
-        count = 0
-        if name in queries:
-            try:
-                queries[name].awaitTermination()
-            except Exception as e:
-                failed[name] = str(e)
-            count = sum(max(p["numInputRows"], 0) for p in queries[name].recentProgress)
-        rows.append((name, name not in failed, failed.get(name, "")[:120] or None, count if name not in failed else 0))
+    for name, query in queries.items():
+        try:
+            query.awaitTermination()
+        except Exception as e:
+            failed[name] = str(e)
+    rows = [(name, name not in failed, failed.get(name, "")[:120] or None, 0 if name in failed else _rows_in(stream, f"{out}/source={name}") - had[name])
+            for name, stream in streams.items()]
     spark = next(iter(streams.values())).sparkSession if streams else SparkSession.active()
     return spark.createDataFrame(rows, "source string, ok boolean, error string, count long")
+
+
+def collected(streams: dict[str, DataFrame], out: str) -> DataFrame:
+    """What collect_sources has committed, with its ``source``.
+
+    Each folder is read by its own log, so files that a failed run left behind don't count."""
+    parts = [part.withColumn("source", F.lit(name)) for name, stream in streams.items() if (part := _committed(stream, f"{out}/source={name}")) is not None]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _committed(stream: DataFrame, path: str) -> DataFrame | None:
+    """What a stream's sink has committed; nothing before its first run."""
+    try:
+        return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _rows_in(stream: DataFrame, path: str) -> int:
+    found = _committed(stream, path)
+    return 0 if found is None else found.count()
