@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, prose, texts
-from vigilspark.llm import bpe, fingerprints, html_text, licenses, mixing, ngram_jaccard, quality, suffix_dedup, token_counts, warc
+from vigilspark.llm import bpe, fingerprints, html_text, licenses, mixing, ngram_jaccard, quality, shared, suffix_dedup, token_counts, warc
 from vigilspark.llm.blocks import Block
 from vigilspark.llm.shared import connected_components
 
@@ -626,6 +626,22 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 5 for i in range(5, 61)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("chunk", [3, 250_000])
+def test_components_rounds_take_three_exchanges(spark, monkeypatch, chunk):
+    monkeypatch.setattr(shared, "CHUNK", chunk, raising=False)
+    made, written = [], shared._written
+    monkeypatch.setattr(shared, "_written", lambda df, name: made.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or written(df, name))
+    r = random.Random(chunk)
+    ids = r.sample(range(-(1 << 63), 1 << 63, 1 << 40), 60)
+    # A path in no order, a hub, an id over many others, some of which have smaller neighbours, and repeats.
+    groups = [list(zip(ids, ids[1:])), [(7, i) for i in range(8, 40)], [(2000, i) for i in range(1000, 1030)] + [(i, i - 200) for i in range(1000, 1030, 3)]]
+    edges = [e if r.random() < 0.5 else e[::-1] for g in groups for e in g + g[:5]]
+    expected = {i: min(min(e) for e in g) for g in groups for e in g for i in e}
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5).localCheckpoint()).collect()
+    assert len(got) == len(expected) and {x["id"]: x["component"] for x in got} == expected
+    assert made and max(made) <= 3
+
+
 # 7. byte-level BPE
 
 @pytest.fixture(scope="module")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import U64, Block, blocks, chain, complete_groups, local_components, mix, ngram_hashes
-from .shared import buckets, connected_components, map_batches, materialise, partitions, scatter, unpack
+from .shared import buckets, connected_components, connected_stars, map_batches, materialise, partitions, scatter, unpack
 
 BITS = 50  # of a shingle's hash; the rest of 64 bits hold the document's place in its block
 MASK = U64((1 << BITS) - 1)
@@ -359,10 +359,9 @@ def verified_links(docs: DataFrame, members: DataFrame, edges: DataFrame, n: int
     big = sets.join(large, "cluster")
     first = materialise(edge_links(big, edges, percent), "first")
     for deal in range(DEALS + 1):
-        found = connected_components(first, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("comp"))
         # The links so far as stars, which the next runs of components needn't find again.
-        first = found.where("doc_id <> comp").select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
-        placed = materialise(big.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
+        first = connected_stars(first, "parts")
+        placed = materialise(big.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "big")
         apart = placed.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cluster")
         placed = placed.join(apart, "cluster")
         if deal == DEALS:
@@ -414,8 +413,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     described = materialise(map_batches(docs, describe, "doc_id long, n_shingles long, d1 long, d2 long"), "described")
     # A table of its own, so that Spark can split a set that many rows share when both sides meet.
     same = materialise(described.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
-    # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.
-    rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1").distinct(), "rep")
+    # Rows of one doc_id may hold several sets: each ties the doc_id to that set's representative.  Equal rows may stay.
+    rep = materialise(described.where("n_shingles > 0").join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1"), "rep")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # A shingle makes four bytes of digests or so at 0.9, and a small text ``sample_size`` digests under PIGEONHOLE.
     least = sample_size(percent) if percent < PIGEONHOLE else 1
@@ -423,9 +422,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     edges = materialise(candidate_edges(docs, n, percent, buckets(docs.sparkSession, 8 * shingles)).distinct(), "edges")
     clusters = connected_components(edges, "candidates")
     members = rep.where("doc_id = rep").join(clusters, F.col("d1") == F.col("id")).groupBy("doc_id").agg(F.min("component").alias("cluster"))
-    found = connected_components(verified_links(docs, members, edges, n, percent).union(copies), "links")
-    out = described.join(found, described.doc_id == found.id, "left").select(
-        described.doc_id, "n_shingles", F.coalesce("component", described.doc_id).alias("component_id"))
+    found = connected_stars(verified_links(docs, members, edges, n, percent).union(copies), "links")
+    out = described.join(found, described.doc_id == found.a, "left").select(
+        described.doc_id, "n_shingles", F.coalesce("b", described.doc_id).alias("component_id"))
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"))
 
 
