@@ -86,6 +86,13 @@ def test_bracket_lists_and_grades(spark):
     assert rows(match.suppress_mislisted(df).select("title", "entity"), "title") == [("All of grade 4 (A, B)", "C"), ("Guide (A)", "C"), ("Guide (A, B)", "A")]
 
 
+def test_a_row_of_equal_name_and_title_hides_no_contradiction(spark):
+    """Brand#1 and 345, Brand#13 and 45 are spelled alike."""
+    df = spark.createDataFrame([("Brand#1345", 2, "all of grade 2"), ("Brand#1345", 3, "all of grade 2"), ("x", None, "all of grade 2"), (None, 2, "all of grade 2"),
+        (None, 1, "all of grade 2"), ("x", 1, "plain"), ("x", 1, None)], "entity string, grade int, title string")
+    assert sorted(rows(quality.contradicting_links(df).select("subject", "detail")), key=repr) == [("Brand#1345", "all of grade 2"), (None, "all of grade 2")]
+
+
 def test_keywords_are_bounded_on_the_left_only(spark):
     items = spark.createDataFrame([(1, "Brucellosis found"), (2, "paratyphoid found")], "id int, text string")
     words = spark.createDataFrame([(0, "brucell", "brucellosis"), (1, "typhoid", "typhoid")], "place int, word string, label string")

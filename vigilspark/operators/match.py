@@ -33,14 +33,21 @@ def suppress_buried(matches: DataFrame, names: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("key")).alias("keys")).where("_free").drop("_free")
 
 
-def suppress_mislisted(matches: DataFrame) -> DataFrame:
-    """Drop hits (title, entity, grade) whose title states another grade, or lists two or more other entities in brackets."""
+def mislisted() -> Column:
+    """Whether a title states another grade than its row's, or lists two or more other entities in brackets; null if that hangs on an
+    unknown grade.  An entity without a name is named nowhere."""
     stated = F.regexp_extract("title", r"grade (\d+)", 1)
     listed = F.transform(F.split(F.regexp_extract("title", r"\(([^)]*)\)", 1), ","), lambda x: F.trim(x))
-    other_grade = (stated != "") & (stated != F.col("grade").cast("string")) & ~F.col("title").contains(F.col("entity"))
-    not_listed = (F.size(listed) >= 2) & ~F.exists(listed, lambda x: x == F.col("entity"))
+    named = F.coalesce(F.col("title").contains(F.col("entity")), F.lit(False))
+    other_grade = (stated != "") & (stated != F.col("grade").cast("string")) & ~named
+    not_listed = (F.size(listed) >= 2) & ~F.exists(listed, lambda x: x.eqNullSafe(F.col("entity")))
     same_grade = (stated != "") & (stated == F.col("grade").cast("string"))
-    return matches.where(same_grade | ~(other_grade | not_listed))
+    return ~same_grade & (other_grade | not_listed)
+
+
+def suppress_mislisted(matches: DataFrame) -> DataFrame:
+    """Drop hits (title, entity, grade) whose title states another grade, or lists two or more other entities in brackets."""
+    return matches.where(~mislisted())
 
 
 def longest_match(docs: DataFrame, names: DataFrame) -> DataFrame:

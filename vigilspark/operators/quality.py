@@ -128,9 +128,10 @@ def blanket_values(values: DataFrame, least: int = 3) -> DataFrame:
 
 
 def contradicting_links(df: DataFrame) -> DataFrame:
-    """Primary documents (title, entity, grade) that name another grade or a list without the entity."""
-    good = match.suppress_mislisted(df).select("entity", "title").distinct()
-    return df.join(good, ["entity", "title"], "left_anti").select(*finding("error", "contradicting link", F.col("entity"), F.col("title")))
+    """Primary documents (title, entity, grade) that name another grade or a list without the entity.
+
+    Each row is judged by its own grade: what names the same entity and title may have another."""
+    return df.where(match.mislisted()).select(*finding("error", "contradicting link", F.col("entity"), F.col("title")))
 
 
 def overlapping_dictionaries(a: DataFrame, b: DataFrame) -> DataFrame:
