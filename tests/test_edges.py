@@ -146,6 +146,16 @@ def test_brackets_in_a_list(spark):
     assert df.select(t.split_outside_parens(F.col("v"))).first()[0] == ["A (x,y)", "B"]
 
 
+def test_captions_are_read_once_and_only_of_kept_images(spark):
+    html = ("<p>Map 1. North</p>" + '<img src="/own.png" alt="a">' * 40 + '<p>Table 7: T &amp; U</p><img alt="b" src="http://x/1"><img src="http://x/2" alt="c"> <figcaption><i>two</i>'
+        "</figcaption>" + '<img src="http://x/1" alt="again"><img src="http://x/3"><IMG SRC="https://x/4" ALT=""><img src="http://x/5" alt="d">' * 40)
+    df = spark.createDataFrame([(html,), ("none",), ("",), (None,), ('<img src="http://x/1" alt="q">',)], "h string").select(t.extract_figures(F.col("h")).alias("f"))
+    assert [None if f is None else [tuple(x) for x in f] for f, in df.collect()] == [[("http://x/1", "Table 7: T & U"), ("http://x/2", "two"), ("http://x/3", ""), ("https://x/4", "")],
+        [], [], None, [("http://x/1", "q")]]
+    plan = spark.createDataFrame([(html,)], "h string").repartition(2).select(t.extract_figures(F.col("h")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("figcaption>(.*?)") == 1 and plan.count("(?:Figure|Fig") == 1
+
+
 def test_pct_and_week_out_of_range(spark):
     df = spark.createDataFrame([("d", "2024 5 1 (10) 2 (101)\n2024 54 1 (1) 2 (2)\n2024 6 1 (1) 2 (2)")], "doc string, text string")
     assert p.parse_weekly_pair_table(df, ["a", "b"]).select("week").distinct().collect()[0][0] == 6
