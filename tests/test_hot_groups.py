@@ -2,12 +2,13 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigilspark.operators import inflow, match, order, series, surveil
+from vigilspark.operators import inflow, match, order, search, series, surveil
 
 
 def same(a, b):
@@ -100,3 +101,31 @@ def test_versions_of_one_key(spark):
 
     want = {i: (slow(k, on)[1], (slow(k, on)[0] or "") > made) for k, on, made, i in dates}
     assert {x.id: (x.version, x.stale) for x in got.collect()} == want
+
+
+def slow_search(queries, rows, k=10):
+    for query in {i for i, _ in queries}:
+        hits = []
+        for i, q in queries:
+            q = (q or "").strip(" ").lower()
+            for id_, name, hub, year in rows if i == query and q else []:
+                if name is not None and all(w in name.lower() for w in q.split()):
+                    score = (3 if name.lower().startswith(q) else 1) + (5 if hub and name.lower() == q else 0)
+                    hits.append((-score, len(name), -(year or 0), id_))
+        yield from ((query, place, x[3], -x[0]) for place, x in enumerate(sorted(hits)[:k], 1))
+
+
+def test_equal_queries_and_names_are_searched_once(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["An a", "an A", "an a", "ban an", "Ana", None, "", "b"]), r.choice([True, False, None]), r.choice([None, 1, 2])) for i in range(300)]
+    asked = [(i % 9, r.choice([" an ", "An A", "a an", "b", "zz", "", None])) for i in range(20)] + [(3, "an"), (3, "an")]
+    corpus, queries = "id long, name string, hub boolean, year int", "query_id long, q string"
+    got = search.score_search(spark.createDataFrame(asked, queries), spark.createDataFrame(rows, corpus))
+    assert sorted(map(tuple, got.collect())) == sorted(slow_search(asked, rows))
+    # 30,000 x 30,000 hits, if each query and record were met by itself.
+    many = spark.range(30000)
+    start = time.monotonic()
+    found = search.score_search(many.select(F.col("id").alias("query_id"), F.lit("an a").alias("q")), many.select("id", F.lit("an a").alias("name"),
+        F.lit(False).alias("hub"), F.lit(2000).alias("year")))
+    assert found.groupBy("place", "id", "score").count().orderBy("place").collect() == [(i + 1, i, 3, 30000) for i in range(10)]
+    assert time.monotonic() - start < 30

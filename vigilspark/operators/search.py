@@ -32,15 +32,25 @@ def expand_entry_terms(terms: DataFrame) -> DataFrame:
 def score_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """Top k a query (query_id, q): prefix 3, contains 1, all words 1, an exact hub 5 more; then shorter, newer, id.
 
-    A query meets the corpus (id, name, hub, year) at its longest word; the other words are checked then."""
+    Equal texts of queries are one search, and so are records of equal name: of those the newest k are enough.  A search meets the
+    names of the corpus (id, name, hub, year) at its longest word; the other words are checked then."""
     q = queries.select("query_id", F.lower(F.trim("q")).alias("_q")).where("_q <> ''")
     longest = F.array_max(F.transform(F.split("_q", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     text = F.col("_t")
     words = F.forall(F.split("_q", r"\s+"), lambda w: text.contains(w))
     score = F.when(text.startswith(F.col("_q")), 3).when(text.contains(F.col("_q")), 1).when(words, 1).otherwise(0) + F.when(F.col("hub") & (text == F.col("_q")), 5).otherwise(0)
-    hits = contained(corpus.withColumn("_t", F.lower("name")), q.withColumn("_w", longest), "_t", "_w").where(words).withColumn("score", score)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.length("name"), F.col("year").desc_nulls_last(), "id"))
-    return hits.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "score")
+    named = corpus.select("id", "name", F.coalesce("hub", F.lit(False)).alias("hub"), "year")
+    newer = [F.col("year").desc_nulls_last(), F.col("id")]
+    better = [F.col("score").desc(), F.length("name")]
+
+    def first(rows, name, place, order, *by):
+        return rows.withColumn(name, place.over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+    records = first(named, "_k", F.row_number(), newer, "name", "hub").drop("_k")
+    hits = contained(named.select("name", "hub").distinct().withColumn("_t", F.lower("name")), q.select("_q").distinct().withColumn("_w", longest), "_t", "_w").where(words)
+    # Names beyond the k-th have no answer, but for those that are as good as it.
+    names = first(hits.select("_q", "name", "hub", score.alias("score")), "_k", F.rank(), better, "_q").drop("_k")
+    best = first(names.join(records, ["name", "hub"]), "_k", F.row_number(), better + newer, "_q").drop("_k")
+    return first(q.join(best, "_q"), "place", F.row_number(), better + newer, "query_id").select("query_id", "place", "id", "score")
 
 
 def match_query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
