@@ -5,7 +5,7 @@ Two tables below a folder, each delivery of records in a partition of its own:
 * ``dictionary``: (suffix, term, start, lists) for every suffix of every word of a name, so that "contains" is a range
   of suffixes.  Suffixes lie in ``SLICES`` ranges by their first bytes, cut once when the index is created.
   ``lists`` says for each list of the term how many records it has and how short the shortest name of each tier is.
-* ``postings``: (term, first, hub, block, docs), ``BLOCK`` records a block, shortest names first.  ``first`` lists hold
+* ``postings``: (term, first, hub, block, docs), ``BLOCK`` records a block, shortest names first, a row for each length in a block.  ``first`` lists hold
   the records whose name begins with the term.  Blocks lie in tiers of 1, 7, 56, 448 ... blocks.
 
 A search reads the slices of the dictionary that its words fall into, takes each query's rarest word, and reads the
@@ -22,6 +22,8 @@ SLICES = 64
 BLOCK = 128
 #: Blocks of a tier are so many times those of all tiers before it.
 GROWTH = 7
+#: Blocks of a list that are written to one file of a tier.
+FILE = 512
 #: Words meet suffixes at their first characters: a word at the longest of these lengths that it has.
 HEADS = (8, 4, 2, 1)
 _MAX_BROADCAST_BYTES = 8 << 20
@@ -39,7 +41,7 @@ def _slice(lead: Column, cuts: list[float]) -> Column:
 def _terms(records: DataFrame) -> DataFrame:
     """(term, first, hub, name, length, year, id): the distinct words of every name."""
     words = F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))
-    return records.select("id", "name", "hub", "year", F.length("name").alias("length"), F.explode(words).alias("term")).withColumn(
+    return records.select("id", "name", F.coalesce("hub", F.lit(False)).alias("hub"), "year", F.length("name").alias("length"), F.explode(words).alias("term")).withColumn(
         "first", F.startswith(F.lower("name"), F.col("term")))
 
 
@@ -47,6 +49,10 @@ def _suffixes(term: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.struct(F.substring(term, i, F.length(term)).alias("suffix"), (i == 1).alias("start")))
 
 
+def _tier(block: Column) -> Column:
+    return F.ceil(F.log(GROWTH + 1.0, block + 1) - 1e-9).cast("int")
+
+
 def create_index(records: DataFrame, path: str, slices: int = SLICES) -> None:
     """Cut the ranges by the suffixes of ``records`` (id, name, hub, year) and write them as the first delivery."""
     terms = _terms(records).select("term").distinct()
@@ -65,20 +71,22 @@ def add_delivery(records: DataFrame, path: str, delivery: int) -> None:
     cuts = _cuts(records.sparkSession, path)
     listed = _terms(records)
     # Pieces of a list by length first, so that a word in every name is no single window.
-    order = [F.col("length"), F.col("id")]
-    per = Window.partitionBy("term", "first", "hub")
-    sizes = listed.groupBy("term", "first", "hub", "length").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(per.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = listed.join(sizes.withColumn("before", before).drop("n"), ["term", "first", "hub", "length"]).withColumn(
-        "place", F.col("before") + F.row_number().over(Window.partitionBy("term", "first", "hub", "length").orderBy(*order)) - 1)
-    block = F.floor(F.col("place") / BLOCK)
-    tier = F.ceil(F.log(GROWTH + 1.0, F.col("block") + 1) - 1e-9).cast("int")
-    slice_ = _slice(_lead(F.col("term")), cuts)
+    piece = ["term", "first", "hub", "length"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("term", "first", "hub").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = listed.groupBy(*piece).agg(F.count("*").alias("n")).withColumn("before", before)
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*piece).orderBy("id")) - 1
+    block = F.floor(place / BLOCK)
     docs = F.sort_array(F.collect_list(F.struct("length", "id", "year", "name"))).alias("docs")
-    blocks = placed.withColumn("block", block).groupBy("term", "first", "hub", "block").agg(docs).withColumn("tier", tier).withColumn("slice", slice_)
-    blocks.repartition("slice", "tier").sortWithinPartitions("slice", "tier", "term").write.mode("overwrite").partitionBy("slice",
+    # A block's records of one length are a row, so that the rows of a piece stay where they were placed.
+    blocks = listed.join(sizes.drop("n"), piece).withColumn("block", block).groupBy(*piece, "block").agg(docs).drop("length")
+    blocks = blocks.withColumn("tier", _tier(F.col("block"))).withColumn("slice", _slice(_lead(F.col("term")), cuts))
+    blocks.repartition("slice", "tier", F.floor(F.col("block") / FILE)).sortWithinPartitions("slice", "tier", "term").write.mode("overwrite").partitionBy("slice",
         "tier").parquet(f"{path}/postings/delivery={delivery}")
-    tiers = placed.withColumn("block", block).groupBy("term", "first", "hub", tier.alias("tier")).agg(F.count("*").alias("n"), F.min("length").alias("shortest"))
+    # What a piece has in each tier follows from its place and size.
+    low, high = (F.when(t >= 0, F.pow(F.lit(GROWTH + 1.0), t) * BLOCK).otherwise(0).cast("long") for t in (F.col("tier") - 1, F.col("tier")))
+    shares = sizes.withColumn("tier", F.explode(F.sequence(*(_tier(F.floor(x / BLOCK)) for x in (F.col("before"), F.col("before") + F.col("n") - 1)))))
+    shares = shares.withColumn("n", F.least(F.col("before") + F.col("n"), high) - F.greatest(F.col("before"), low))
+    tiers = shares.groupBy("term", "first", "hub", "tier").agg(F.sum("n").alias("n"), F.min("length").alias("shortest"))
     lists = tiers.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("first", "hub", "tier", "n", "shortest"))).alias("lists"))
     rows = lists.select("term", "lists", F.explode(_suffixes(F.col("term"))).alias("s")).select("s.suffix", "term", "s.start", "lists")
     rows.withColumn("slice", _slice(_lead(F.col("suffix")), cuts)).repartition("slice").sortWithinPartitions("slice",
@@ -123,7 +131,7 @@ def _answers(queries: DataFrame, path: str, scratch: str, k: int, score: Column,
     # A word without a term is the rarest: its query has no answer.
     counts = known.withColumn("r", records).groupBy("word").agg(F.sum("r").alias("r"))
     rarest = q.join(counts, "word", "left").groupBy("query_id", "q").agg(F.min_by("word", F.struct(F.coalesce("r", F.lit(0)), "word")).alias("word"))
-    open_lists = rarest.join(known, "word").withColumn("e", F.explode("lists")).select("query_id", "q", "delivery", "term", "start", "e.*")
+    open_lists = rarest.join(known, "word").withColumn("e", F.explode("lists")).select("query_id", "q", "word", "delivery", "term", "start", "e.*")
     open_lists.write.parquet(f"{scratch}/lists")
     lists = spark.read.parquet(f"{scratch}/lists")
     last = lists.agg(F.max("tier")).first()[0]
@@ -159,16 +167,23 @@ def _answers(queries: DataFrame, path: str, scratch: str, k: int, score: Column,
 
 
 def search_index(queries: DataFrame, path: str, scratch: str, k: int = 10) -> DataFrame:
-    """score_search over a stored index: (query_id, place, id, score).  ``scratch`` is a new folder for its rounds."""
-    asked = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where("q <> ''")
+    """score_search over a stored index: (query_id, place, id, score).  ``scratch`` is a new folder for its rounds.
+
+    Equal texts are one search."""
+    spark = queries.sparkSession
+    queries = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where("q <> ''")
+    queries.select(F.col("q").alias("query_id"), "q").distinct().write.parquet(f"{scratch}/texts")
     text = F.lower("name")
     score = F.when(text.startswith(F.col("q")), 3).otherwise(1) + F.when(F.col("hub") & (text == F.col("q")), 5).otherwise(0)
-    # A query of one word can begin a name only in a first list, and be a whole one only while names are as short as it.
-    one = ~F.col("q").rlike(r"\s")
-    begins = ~one | (F.col("first") & F.col("start"))
+    # A query can begin a name only in a first list, if its word is its first one; and be a whole one only while names are as short as it.
+    one, leads = ~F.col("q").rlike(r"\s"), F.get(F.split("q", r"\s+"), F.lit(0)) == F.col("word")
+    begins = F.when(one, F.col("first") & F.col("start")).when(leads, F.col("first") & (F.col("term") == F.col("word"))).otherwise(True)
     bound = F.when(begins, 3).otherwise(1) + F.when(begins & F.col("hub") & (F.col("shortest") <= F.length("q")), 5).otherwise(0)
-    best = _answers(asked, path, scratch, k, score, [F.col("length"), F.col("year").desc_nulls_last(), F.col("id")], bound, "id")
-    return best.select("query_id", "place", "id", "score")
+    order = [F.col("length"), F.col("year").desc_nulls_last(), F.col("id")]
+    best = _answers(spark.read.parquet(f"{scratch}/texts"), path, scratch, k, score, order, bound, "id")
+    found = queries.join(best.select(F.col("query_id").alias("q"), "score", "length", "year", "id"), "q")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *order))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "score")
 
 
 def complete_index(prefixes: DataFrame, path: str, scratch: str, k: int = 8) -> DataFrame:
