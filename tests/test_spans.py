@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as t
-from vigilspark.operators import match, spans
+from vigilspark.operators import contain, match, spans
 
 
 def slow_places(text, names, least, cap):
@@ -65,3 +65,22 @@ def test_many_names_take_no_longer(spark):
     assert seconds(names) < 30
     found = t.find_terms(items, "title", names.select(F.col("name").alias("term"))).where("id = 3").first()
     assert found.terms == ["n21"]
+
+
+@pytest.mark.parametrize("few, most", [(64, 8 << 20), (0, 8 << 20), (0, 0)])
+def test_few_words_are_found_as_many_are(spark, monkeypatch, few, most):
+    monkeypatch.setattr(contain, "FEW_WORDS", few)
+    monkeypatch.setattr(contain, "MAX_BROADCAST_BYTES", most)
+    texts = [(i, x) for i, x in enumerate(["", None, "a", "the vector", "the Vector", "zoonosis of vectors", "éa\nb", "zoonosi", "the vector"])]
+    words = ["vector", "zoonosis", "a", "éa", "a\nb", "the vec", "x", "", None, "vector"]
+    got = contain.contained(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(w,) for w in words], "w string"), "t", "w", ["id"])
+    assert sorted(map(tuple, got.select("id", "w").collect())) == sorted((i, w) for i, x in texts for w in words if x and w and w in x)
+
+
+def test_few_glossary_words_cut_no_page_into_pieces(spark):
+    pages = spark.createDataFrame([(1, "The Vector."), (1, "que"), (2, "que que"), (3, None), (None, "lone")], "page_id int, text string")
+    word = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    got = t.glossary_gaps(pages, word("Que", "the", "zoonosis", "lone", "", None), word("THE", "the", "ghost", "vector"))
+    assert sorted(map(tuple, got.collect())) == [("ghost", 0, "unused"), ("lone", 0, "undefined"), ("que", 2, "undefined")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("LogicalRDD [page_id") == 1

@@ -1,4 +1,4 @@
-"""Which texts contain which words: an equi-join on pieces of characters, not a test of every pair."""
+"""Which texts contain which words: an equi-join on pieces of characters, not a test of every pair, unless the words are few."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PIECES = (8, 4, 2, 1)
 #: Bytes up to which words are broadcast (as JSON, an upper estimate); larger dictionaries are shuffled.
 MAX_BROADCAST_BYTES = 8 << 20
+#: Up to so many rows of words each text is searched for each of them: that costs less than to cut it into pieces.
+FEW_WORDS = 64
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -34,13 +36,16 @@ def contained(texts: DataFrame, words: DataFrame, text: str, word: str, key: lis
     """Rows of ``texts`` joined with the rows of ``words`` whose ``word`` the column ``text`` contains.
 
     Texts are cut into their distinct pieces and meet each word at its rarest piece; the whole word is
-    checked then.  One look at the words tells which lengths of pieces they need and whether their bytes
-    may be broadcast.  Beyond that both sides are shuffled by piece; with a ``key`` that names each text,
-    only the key travels with the pieces, as fits long texts.  Null and empty words are in no text;
-    repeated rows of either side repeat the pairs."""
+    checked then.  One look at the words tells whether they are so few that each is looked for by itself, which
+    lengths of pieces they need and whether their bytes may be broadcast.  Beyond that both sides are shuffled by
+    piece; with a ``key`` that names each text, only the key travels with the pieces, as fits long texts.  Null and
+    empty words are in no text; repeated rows of either side repeat the pairs."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    seen = words.where(F.length(word) > 0).agg(size, F.collect_set(_fitting(F.col(word), *map(F.lit, PIECES)))).first()
+    words = words.where(F.length(word) > 0)
+    seen = words.agg(size, F.collect_set(_fitting(F.col(word), *map(F.lit, PIECES))), F.count("*")).first()
     small, lengths = (seen[0] or 0) <= MAX_BROADCAST_BYTES, sorted(seen[1]) or [1]
+    if small and seen[2] <= FEW_WORDS:
+        return texts.join(F.broadcast(words), F.col(text).contains(F.col(word)))
     narrow = not small and key
     cut = texts.select(*(key if narrow else texts.columns), F.explode(F.concat(*(_pieces(F.col(text), n) for n in lengths))).alias("_piece"))
     met = cut.join(rarest_piece(words, word, "_piece").hint("broadcast" if small else "shuffle_hash"), "_piece").drop("_piece")
